@@ -12,7 +12,7 @@ forward pass along the best path.  Only the ``n - 1`` words of the smallest gaps
 from the best path in the N-best (changing one of them at a time already gives ``n - 1``
 better texts), so the backward search runs on these words alone.
 
-Map-only.  A worker keeps at most ``_KEPT`` words.  Characters that are no piece become an
+Map-only.  A worker keeps a bounded number of words.  Characters that are no piece become an
 unknown node (the least score of any piece, less 10) and are written as their UTF-8 bytes.
 Null and empty texts have no pieces, score 0 and one (empty) segmentation.  Decoding gives
 the text back exactly, save that U+2581, the word mark itself, comes back as a space.
@@ -36,23 +36,24 @@ from pyspark.sql import DataFrame
 from .common import as_text, prepare
 
 MARK = "▁"
-_KEPT = 150_000
+#: Words and word parts that a worker keeps, in each of two generations.
+_KEPT_WORDS, _KEPT_PARTS = 400_000, 100_000
 _FAR = 1e30
 _LETTERS = r"[^\W\d_" + MARK
 
 
 class _Words(dict):
-    """Word to (score, gap, ids), made on demand; two generations of at most ``_KEPT``."""
+    """Word to (score, gap, ids), made on demand; two generations of at most ``kept``."""
 
-    def __init__(self, make):
+    def __init__(self, make, kept: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.kept, self.older = make, kept, {}
 
     def __missing__(self, word: str) -> tuple[float, float, bytes]:
         found = self.older.get(word)
         if found is None:
             found = self.make(word)
-        if len(self) >= _KEPT:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         self[word] = found
@@ -93,8 +94,8 @@ class Segmenter:
         self.cut = re.compile(f"{MARK}*(?:(?!{MARK}){other})*{kept}+|{MARK}*(?:(?!{MARK}){other})+|{MARK}+", re.S)
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
         self.plain_form = all(self._normal(t) == MARK + t.replace(" ", MARK) for t in ("a  b", " ﬁÅ ", "A\n\tb", "　x"))
-        self.chunks = _Words(self._path)
-        self.words = _Words(lambda word: self._joined(self.cut.findall(MARK + word)))
+        self.chunks = _Words(self._path, _KEPT_PARTS)
+        self.words = _Words(lambda word: self._joined(self.cut.findall(MARK + word)), _KEPT_WORDS)
 
     def _normal(self, text: str) -> str:
         return self.sp.normalize(text)
