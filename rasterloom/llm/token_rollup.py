@@ -52,9 +52,7 @@ class BytePairCounter:
 
 def counted(documents: DataFrame, counter: Callable[[str], int], tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """Rows for the ledger with a positive sign, map-only; ``content`` is a digest of the text."""
-    spark = documents.sparkSession
-    prepare(spark)
-    sent = spark.sparkContext.broadcast(counter)
+    prepare(documents.sparkSession)
     rows = documents.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
         F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256).alias("content"), F.col(f"`{text_col}`").cast("string").alias("text"),
@@ -62,7 +60,7 @@ def counted(documents: DataFrame, counter: Callable[[str], int], tokenizer: str,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [sent.value(text) if (text := t.as_py()) else 0 for t in batch.column(4)]
+            sizes = [counter(text) if (text := t.as_py()) else 0 for t in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64())], names=["doc_id", "source", "lang", "content", "n_tokens"])
 
     found = rows.mapInArrow(count, "doc_id long, source string, lang string, content string, n_tokens long")

@@ -73,7 +73,8 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     sample = [r.v for r in rows.select("v").limit(pivot_sample).collect()]
     width = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
     rows = rows.where(F.size("v") == width)
-    chosen = pick_pivots(quantise(np.array([v for v in sample if len(v) == width]).reshape(-1, width)), pivots)
+    known = [v for v in sample if len(v) == width]
+    chosen = pick_pivots(quantise(np.array(known).reshape(len(known), width)), pivots)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
