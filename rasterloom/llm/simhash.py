@@ -280,5 +280,6 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     key = unused_name(documents, "kept_id")
     counted = staged(found.where("doc_id <=> component_id").groupBy("doc_id").count(), "kept")
     kept = counted.select(F.col("doc_id").alias(key))
-    out = documents.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key)), "left_semi")
+    # One plan at every size: texts are dealt by id once and met by the ids that stay, unsorted.
+    out = documents.join(kept.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key)), "left_semi")
     return out if counted.where("count > 1").isEmpty() else out.dropDuplicates([id_col])
