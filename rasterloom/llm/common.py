@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest Arrow batch sent to a Python worker, before the row that crosses it.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _REPO = str(Path(__file__).resolve().parents[2])
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 from pathlib import Path
@@ -37,19 +38,22 @@ from .common import as_text, prepare
 
 MARK = "▁"
 #: Words and word parts that a worker keeps, in each of two generations.
-_KEPT_WORDS, _KEPT_PARTS = 400_000, 100_000
+_KEPT_WORDS, _KEPT_PARTS = 300_000, 60_000
 _FAR = 1e30
 _LETTERS = r"[^\W\d_" + MARK
 
 
 class _Words(dict):
-    """Word to (score, gap, ids), made on demand; two generations of at most ``kept``."""
+    """Word to its packed best path, made on demand; two generations of at most ``kept``.
+
+    Packed: the gap as a double, then the ids as 32-bit numbers, in one bytes object.
+    """
 
     def __init__(self, make, kept: int):
         super().__init__()
         self.make, self.kept, self.older = make, kept, {}
 
-    def __missing__(self, word: str) -> tuple[float, float, bytes]:
+    def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
             found = self.make(word)
@@ -60,6 +64,9 @@ class _Words(dict):
         return found
 
 
+_GAP = struct.Struct("<d")
+
+
 class Segmenter:
     def __init__(self, model: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -93,6 +100,10 @@ class Segmenter:
         kept, other = _LETTERS + re.escape("".join(sorted(odd))) + "]", r"[\W\d_" + re.escape("".join(sorted(odd))) + "]"
         self.cut = re.compile(f"{MARK}*(?:(?!{MARK}){other})*{kept}+|{MARK}*(?:(?!{MARK}){other})+|{MARK}+", re.S)
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
+        # Ids tell their score; an unknown character's is told by the first byte of its UTF-8 form.
+        self.scores = np.zeros(size)
+        self.scores[plain] = [sp.get_score(i) for i in plain]
+        self.scores[[i for b, i in self.byte_ids.items() if not 0x80 <= b < 0xC0] or [self.unknown_id]] = self.unknown_score
         self.plain_form = all(self._normal(t) == MARK + t.replace(" ", MARK) for t in ("a  b", " ﬁÅ ", "A\n\tb", "　x"))
         self.chunks = _Words(self._path, _KEPT_PARTS)
         self.words = _Words(lambda word: self._joined(self.cut.findall(MARK + word)), _KEPT_WORDS)
@@ -126,14 +137,29 @@ class Segmenter:
             return (self.unknown_id,)
         return tuple(self.byte_ids[b] for b in chr(-1 - piece).encode("utf-8", "surrogatepass"))
 
-    def _path(self, chunk: str) -> tuple[float, float, bytes]:
-        """Forward Viterbi: best score, its gap to the next best, ids of the best."""
+    def _path(self, chunk: str) -> bytes:
+        """Forward Viterbi: the best path, packed with its gap to the next best."""
         n, longest, trie = len(chunk), self.longest, self.trie
         best, gap, came, arc = [-_FAR] * (n + 1), [_FAR] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for start in range(n):
-            base, kids, end = best[start], trie, start
-            for c in chunk[start : start + longest]:
+            base, node, end = best[start], trie.get(chunk[start]), start + 1
+            if node is None or node[1] < 0:
+                lead = base + self.unknown_score - best[end]
+                if lead > 0:
+                    best[end], gap[end], came[end], arc[end] = base + self.unknown_score, lead, start, -1 - ord(chunk[start])
+                elif -lead < gap[end]:
+                    gap[end] = -lead
+                if node is None:
+                    continue
+            kids, piece, score = node
+            if piece >= 0:
+                lead = base + score - best[end]
+                if lead > 0:
+                    best[end], gap[end], came[end], arc[end] = base + score, lead, start, piece
+                elif -lead < gap[end]:
+                    gap[end] = -lead
+            for c in chunk[end : start + longest]:
                 node = kids.get(c)
                 if node is None:
                     break
@@ -145,13 +171,6 @@ class Segmenter:
                         best[end], gap[end], came[end], arc[end] = base + score, lead, start, piece
                     elif -lead < gap[end]:
                         gap[end] = -lead
-            first = trie.get(chunk[start])
-            if first is None or first[1] < 0:
-                lead = base + self.unknown_score - best[start + 1]
-                if lead > 0:
-                    best[start + 1], gap[start + 1], came[start + 1], arc[start + 1] = base + self.unknown_score, lead, start, -1 - ord(chunk[start])
-                elif -lead < gap[start + 1]:
-                    gap[start + 1] = -lead
         at, least, ids = n, _FAR, []
         while at:
             if gap[at] < least:
@@ -162,13 +181,13 @@ class Segmenter:
                 ids.extend(reversed(self._ids(arc[at])))
             at = came[at]
         ids.reverse()
-        return best[n], least, array("I", ids).tobytes()
+        return _GAP.pack(least) + array("I", ids).tobytes()
 
-    def _joined(self, chunks: list[str]) -> tuple[float, float, bytes]:
+    def _joined(self, chunks: list[str]) -> bytes:
         if len(chunks) == 1:
             return self._path(chunks[0])
         parts = [self.chunks[c] for c in chunks]
-        return sum(p[0] for p in parts), min(p[1] for p in parts), b"".join(p[2] for p in parts)
+        return min(parts, key=_GAP.unpack_from)[:8] + b"".join([p[8:] for p in parts])
 
     def search(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a chunk: A-star backward from its end."""
@@ -194,7 +213,8 @@ class Segmenter:
                     heapq.heappush(agenda, (-(behind + score + best[at - size]), pushed, at - size, behind + score, (piece, path)))
         return out
 
-    def _split(self, text: str) -> tuple[list[str], list[tuple[float, float, bytes]], bool]:
+    def _split(self, text: str) -> tuple[list[str], list[bytes], bool]:
+        """Words (or runs with their marks), their packed paths, and whether the marks were left out."""
         if self.by_words and self.plain_form and "  " not in text and text[0] != " " and MARK not in text:
             words = text.split(" ")
             return words, list(map(self.words.__getitem__, words)), True
@@ -202,29 +222,42 @@ class Segmenter:
         chunks = self.runs.findall(whole) if self.by_words else [whole]
         return chunks, [self._joined(self.cut.findall(c)) if self.by_words else self._path(c) for c in chunks], False
 
+    def _paths(self, text: str) -> tuple[list[str], bool, np.ndarray, np.ndarray, np.ndarray]:
+        """Words, whether bare, the ids of the whole best path, where each word's begin, and the gaps."""
+        words, packed, bare = self._split(text)
+        raw = np.frombuffer(b"".join(packed), "<u4")
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        heads = np.cumsum(sizes) - sizes
+        ids = np.ones(len(raw), bool)
+        ids[heads] = ids[heads + 1] = False
+        gaps = np.stack([raw[heads], raw[heads + 1]], axis=1).view("<f8")[:, 0]
+        return words, bare, raw[ids], heads - 2 * np.arange(len(heads)), gaps
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the best segmentation."""
-        return np.frombuffer(b"".join(r[2] for r in self._split(text)[1]) if text else b"", "<u4")
+        return self._paths(text)[2] if text else np.zeros(0, "<u4")
 
     def nbest(self, text: str | None, n: int) -> list[tuple[float, bytes]]:
         """(score, ids as little-endian 32-bit numbers) of the ``n`` best segmentations, best first."""
         if not text:
             return [(0.0, b"")]
-        words, found, bare = self._split(text)
-        scores, losses, ids = zip(*found, strict=True)
-        parts, total, gaps = list(ids), sum(scores), np.array(losses)
-        few = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) < 64 else _smallest(gaps, n - 1)
-        changes: list[tuple[float, tuple]] = [(0.0, ())]  # loss, ((place, ids), ...)
-        for place in sorted(int(i) for i in few if gaps[i] < _FAR / 2):
-            best, *others = self.search(MARK + words[place] if bare else words[place], n)
-            more = [(loss + best[0] - score, change + ((place, ids),)) for loss, change in changes for score, ids in others]
+        words, bare, best, starts, gaps = self._paths(text)
+        total = float(self.scores[best].sum())
+        few = [int(i) for i in _smallest(gaps, min(n - 1, len(gaps))) if gaps[i] < _FAR / 2]
+        changes: list[tuple[float, tuple]] = [(0.0, ())]  # loss, ((place, ids), ...) in the order of places
+        for place in sorted(few):
+            (top, _), *others = self.search(MARK + words[place] if bare else words[place], n)
+            more = [(loss + top - score, change + ((place, ids),)) for loss, change in changes for score, ids in others]
             changes = heapq.nsmallest(n, changes + more, key=lambda c: c[0])
-        out = [(total, b"".join(parts))]
-        for loss, change in changes[1:]:
-            other = parts.copy()
+        raw = best.tobytes()
+        ends = {place: 4 * int(starts[place + 1]) if place + 1 < len(starts) else len(raw) for place in few}
+        out = []
+        for loss, change in changes:
+            parts, at = [], 0
             for place, ids in change:
-                other[place] = ids
-            out.append((total - loss, b"".join(other)))
+                parts += [raw[at : 4 * int(starts[place])], ids]
+                at = ends[place]
+            out.append((total - loss, b"".join([*parts, raw[at:]])))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
