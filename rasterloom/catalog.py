@@ -13,7 +13,8 @@ from .functions import text as T
 from .operators import evaluation as E
 from .operators import grid as G
 from .operators import records as R
-from .operators import router, scenes
+from .operators import imagery, router, scenes
+from .plans import datasets
 from .sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,3 +583,120 @@ SELECT user_id, n, count(*) AS sessions FROM (SELECT user_id, k, count(*) AS n F
 def events_session(spark, sf_dir):
     sessions = table(spark, sf_dir, "events").groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n"))
     return sessions.groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
+
+
+# ---- single functions and smaller operators -------------------------------------------------
+
+
+@query("SELECT user_id, round(exp(avg(ln(greatest(value / 100, 1e-12)))), 6) AS likelihood FROM events GROUP BY 1")
+def sequence_likelihood(spark, sf_dir):
+    tokens = table(spark, sf_dir, "events").select("user_id", (F.col("value") / 100).alias("p"))
+    return E.sequence_likelihood(tokens, "user_id", "p").withColumn("likelihood", F.round("likelihood", 6))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5('21|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
+def seeded_sample(spark, sf_dir):
+    return table(spark, sf_dir, "orders").orderBy(R.seeded(21, F.col("o_orderkey")), "o_orderkey").limit(100).select("o_orderkey")
+
+
+@query("SELECT doc_id, left(sha256(text), 16) || '.txt' AS stored_as FROM documents")
+def upload_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.upload_name(F.col("text"), F.lit(".TXT")).alias("stored_as"))
+
+
+@query("SELECT item_id, 'data:text/plain;base64,' || to_base64(encode(text)) AS uri FROM benchmark")
+def data_uris(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(T.data_uri(F.encode("text", "UTF-8"), "text/plain"), r"[\r\n]", "").alias("uri"))
+
+
+@query(r"SELECT page_id, list_transform(list_slice(regexp_extract_all(url, '-?\d+(?:\.\d+)?'), 1, 4), lambda x: CAST(x AS DOUBLE)) AS numbers FROM pages")
+def number_extraction(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.numbers(F.col("url")).alias("numbers"))
+
+
+_NAMES = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'd/S1A_IW_GRD.tif' WHEN 1 THEN 'd\\S2B_MSI.tif' WHEN 2 THEN 'scene_vv.tif' ELSE 'plain.tif' END AS name, CASE WHEN p_size < 25 THEN 'float32' ELSE 'uint16' END AS dtype, 1 + p_size % 4 AS bands FROM part"
+
+
+def _contains_sql(hints: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(b, '{h}')" for h in hints) + ")"
+
+
+@query(f"""WITH n AS ({_NAMES}), k AS (SELECT *, lower(regexp_extract(replace(name, chr(92), '/'), '([^/]*)$', 1)) AS b FROM n)
+SELECT p_partkey, CASE WHEN {_contains_sql(T.SAR_HINTS)} THEN 'sar' WHEN {_contains_sql(T.OPTICAL_HINTS)} THEN 'optical' WHEN bands = 1 AND dtype IN ('float32', 'float64') THEN 'sar' WHEN bands >= 3 THEN 'optical' ELSE 'unknown' END AS modality FROM k""")
+def modality_inference(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("_named_parts")
+    named = spark.sql(_NAMES.replace("FROM part", "FROM _named_parts").replace("\\", "\\\\"))
+    return named.select("p_partkey", T.modality(F.col("name"), F.col("dtype"), F.col("bands")).alias("modality"))
+
+
+@query("WITH " + _balance_sql("SELECT event_id AS id, event_type AS type, CASE WHEN value < 30 THEN 'yes' ELSE 'no' END AS answer FROM events", "type", "greatest(0.3, 1.0 / answers)", "answers > 8"))
+def balance_per_template(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_id as id", "event_type as type", "case when value < 30 then 'yes' else 'no' end as answer")
+    return R.balance(rows, F.col("answer"), ["id"], 0.3, ["type"], floor_by_count=True, max_answers=8).select("type", "answer", "id")
+
+
+_DETECTED = "l_orderkey, l_partkey % 60 AS x0, l_suppkey % 50 AS y0, l_partkey % 60 + l_quantity AS x1, l_suppkey % 50 + l_linenumber * 10 - 10 AS y1, 100 AS w, 80 AS h, l_discount * 10 AS score"
+
+
+@query(f"""WITH d AS (SELECT {_DETECTED} FROM lineitem), a AS (SELECT *, greatest(0, x1 - x0) * greatest(0, y1 - y0) / (w * h) AS f FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, y0, x0, y1, x1) AS k FROM a WHERE score >= 0.25 AND f > 0 AND f <= 0.92)
+SELECT l_orderkey, CAST(k AS INT) AS rank, round(score, 6) AS score, round(f, 6) AS area_fraction FROM r WHERE k <= 2""")
+def detections_kept(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").selectExpr(*[e.replace(" AS ", " as ") for e in _DETECTED.split(", ")])
+    return imagery.kept_detections(found, "l_orderkey", most=2).select("l_orderkey", "rank", F.round("score", 6).alias("score"), F.round("area_fraction", 6).alias("area_fraction"))
+
+
+@query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_GOLD} FROM lineitem) SELECT l_orderkey, l_linenumber, round(10 + x0 * 0.01, 6)::DOUBLE AS lon0, round(50 - y0 * 0.01, 6)::DOUBLE AS lat0, round(10 + x1 * 0.01, 6)::DOUBLE AS lon1, round(50 - y1 * 0.01, 6)::DOUBLE AS lat1 FROM b""")
+def pixel_rings(spark, sf_dir):
+    boxes = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[e.replace(" AS ", " as ") for e in _GOLD.split(", ")])
+    ring = B.lonlat_ring(tuple(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")), F.lit(10.0), F.lit(50.0), F.lit(0.01), F.lit(0.01))
+    at = lambda i, j: F.round(ring[i][j], 6)
+    return boxes.select("l_orderkey", "l_linenumber", at(0, 0).alias("lon0"), at(0, 1).alias("lat0"), at(2, 0).alias("lon1"), at(2, 1).alias("lat1"))
+
+
+@query(f"""WITH {_PX.replace('unnest(embedding)::DOUBLE', 'abs(unnest(embedding)::DOUBLE)')}, sq AS (SELECT y, x, v * v AS v FROM px), {_mean_sql('px', 'bm', 2)}, {_mean_sql('sq', 'bs', 2)},
+  l AS (SELECT y, x, m + greatest(0, least(1, 1 - 0.523 * 0.523 / greatest(ci2, 1e-10))) * (v - m) AS v FROM (SELECT px.y, px.x, px.v, bm.v AS m, greatest(bs.v - bm.v * bm.v, 0) / greatest(bm.v * bm.v, 1e-10) AS ci2 FROM px JOIN bm USING (y, x) JOIN bs USING (y, x))),
+  d AS (SELECT y, x, 10 * log10(greatest(v, 1e-10)) AS v FROM l), q AS (SELECT quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99 FROM d), c AS (SELECT y, x, least(greatest(v, greatest(-30, p1 - 5)), least(5, p99 + 5)) AS v FROM d, q),
+  s AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM c)
+SELECT count(*) AS n, count(*) FILTER (v <= lo) AS black, count(*) FILTER (v >= hi) AS white, round(avg(greatest(0, least(1, (v - lo) / (hi - lo)))) , 2) AS mean_share FROM c, s""")
+def sar_render(spark, sf_dir):
+    shown = imagery.render_sar(_pixels(spark, sf_dir).withColumn("v", F.abs("v")))
+    raw = G.decibels(G.lee(_pixels(spark, sf_dir).withColumn("v", F.abs("v"))))
+    ends = G.with_percentiles(raw, (0.02, 0.98), ("lo", "hi"))
+    both = shown.withColumnRenamed("v", "shown").join(ends, ["scene", "band", "y", "x"])
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("v") <= F.col("lo")).alias("black"), F.count_if(F.col("v") >= F.col("hi")).alias("white"), F.round(F.avg(F.col("shown") / 255.0), 2).alias("mean_share"))
+
+
+@query(f"""WITH {_PX}, dim AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), f AS (SELECT *, least(64.0 / w, 64.0 / h) AS s FROM dim), n AS (SELECT *, greatest(1, CAST(round_even(w * s, 0) AS INT)) AS nw, greatest(1, CAST(round_even(h * s, 0) AS INT)) AS nh FROM f)
+SELECT CAST(2 * 64 * 64 AS BIGINT) AS cells, CAST(2 * 64 * 64 - 2 * nw * nh AS BIGINT) AS padding FROM n""")
+def pair_composite(spark, sf_dir):
+    image = _pixels(spark, sf_dir)
+    both = imagery.pair_composite(image, image.withColumn("v", -F.col("v")), cell=64)
+    return both.agg(F.count("*").alias("cells"), F.count_if(F.col("v") == 128.0).alias("padding"))
+
+
+@query(f"""WITH {_PAIRS}, rows AS (SELECT 'vqa' AS kind, CAST(conv_id AS VARCHAR) AS key, question, answer FROM pairs WHERE question <> '' UNION ALL SELECT 'caption', CAST(item_id AS VARCHAR), NULL, text FROM benchmark)
+SELECT kind, count(*) AS n, count(question) AS asked, count(*) FILTER (len(string_split_regex(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), '\\s+')) <= 40) AS kept FROM rows GROUP BY 1""")
+def task_records(spark, sf_dir):
+    vqa = _pairs(spark, sf_dir).select(F.col("conv_id").cast("string").alias("key"), "question", "answer")
+    captions = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("key"), F.col("text").alias("answer"))
+    size = F.size(T.words(F.col("answer")))
+    return imagery.task_records(vqa=vqa, caption=captions).groupBy("kind").agg(F.count("*").alias("n"), F.count("question").alias("asked"), F.count_if((size > 0) & (size <= 40)).alias("kept"))
+
+
+@query()
+def label_questions(spark, sf_dir):
+    patches = table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower("p_type"), " ").alias("labels"))
+    return datasets.label_questions(patches, "labels").groupBy("template", "answer").agg(F.count("*").alias("n"))
+
+
+@query()
+def markdown_report(spark, sf_dir):
+    return sinks.markdown_table(box_metrics(spark, sf_dir).withColumn("task", F.lit("grounding")), ["l_linestatus", "n", "mean_iou", "acc_50"], ["task"])
+
+
+@query()
+def html_reports(spark, sf_dir):
+    traced = execution_traces(spark, sf_dir)
+    facts = F.array(F.struct(F.lit("task").alias("key"), F.col("task").alias("value")), F.struct(F.lit("status").alias("key"), F.col("status").alias("value")))
+    page = sinks.html_report(F.concat(F.lit("Request "), F.col("request_id").cast("string")), F.col("answer"), facts, F.array("trace"), F.filter(F.split("warnings", ","), lambda w: w != ""), F.lit("{}"))
+    return traced.select("request_id", page.alias("html"))
