@@ -76,7 +76,12 @@ def normalise_answer(text: Column) -> Column:
 
 def token_f1(predicted: Column, gold: Column) -> Column:
     """Harmonic mean of multiset precision and recall over normalised words."""
-    p, g = words(normalise_answer(predicted)), words(normalise_answer(gold))
+    # A lambda's variable holds both word lists: outside one they would be made again for every word.
+    sides = F.array(F.struct(words(normalise_answer(predicted)).alias("p"), words(normalise_answer(gold)).alias("g")))
+    return F.transform(sides, lambda s: _f1(s["p"], s["g"]))[0]
+
+
+def _f1(p: Column, g: Column) -> Column:
     fewer = F.when(F.size(p) <= F.size(g), p).otherwise(g)
     overlap = F.aggregate(F.array_distinct(fewer), F.lit(0), lambda n, w: n + F.least(_count(p, w), _count(g, w)))
     score = 2.0 * overlap / (F.size(p) + F.size(g))

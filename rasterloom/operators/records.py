@@ -133,7 +133,7 @@ def balance(rows: DataFrame, answer: Column, key: Sequence[str], fraction: float
     counts = marked.groupBy(*scope, "_a").agg(F.count("*").alias("n"))
     caps = balanced_caps(counts, fraction, scope, **limits)
     ranked = marked.withColumn("_n", F.row_number().over(Window.partitionBy(*scope, "_a").orderBy(seeded(seed, *map(F.col, key)), *key)))
-    joined = ranked.join(F.broadcast(caps), list(scope)) if scope else ranked.join(F.broadcast(caps))  # one row a scope
+    joined = ranked.join(caps, list(scope)) if scope else ranked.join(F.broadcast(caps))  # without a scope, one row
     return joined.where(F.col("_n") <= F.col("cap")).drop("_a", "_n", "cap")
 
 
