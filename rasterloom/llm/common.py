@@ -69,3 +69,11 @@ def unused_name(df: DataFrame, stem: str) -> str:
 def as_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so extra columns can't clash."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def salted_join(rows: DataFrame, facts: DataFrame, row_key: str, fact_key: str, spread: str, salts: int = 16) -> DataFrame:
+    """Inner join on a key that may hold a third of ``rows``: they are spread by ``spread`` over
+    ``salts`` parts, and the few columns of ``facts`` (a row a key) are repeated for each."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, (F.col(row_key) == F.col(fact_key)) & (F.col("_salt") == F.col("_part"))).drop("_salt", "_part")

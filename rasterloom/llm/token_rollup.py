@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, salted_join
 
 KEYS = ("source", "lang", "tokenizer")
 _LEDGER = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long, content string"
@@ -146,4 +146,4 @@ class TokenRollup:
         rows = self.live().select("doc_id", "content")
         many = rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
         same = many.select(F.col("content").alias("many_content"), "least")
-        return rows.join(same, F.col("content") == F.col("many_content")).where("doc_id > least").select("doc_id")
+        return salted_join(rows, same, "content", "many_content", "doc_id").where("doc_id > least").select("doc_id")

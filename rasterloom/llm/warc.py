@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, prepare, staged
+from .common import fresh_path, prepare, salted_join, staged
 
 _READ = 1 << 20
 _MANIFEST = "path string, records long, bytes long"
@@ -94,7 +94,7 @@ def _revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
     marks = staged(pages.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")), "digests")
     firsts = marks.where((F.col("size") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.max("page_id").alias("latest"), F.min("page_id").alias("earliest"))
     many = firsts.where("latest <> earliest").select(F.col("sha").alias("many_sha"), "latest")
-    found = marks.where(F.col("size") >= min_revisit_bytes).join(many, F.col("sha") == F.col("many_sha")).where("page_id <> latest")
+    found = salted_join(marks.where(F.col("size") >= min_revisit_bytes), many, "sha", "many_sha", "page_id").where("page_id <> latest")
     return found.select(F.col("page_id").alias("revisit_id"), F.col("sha").alias("revisit_sha"), F.col("latest").alias("refers_to")).distinct()
 
 
