@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .checkpoints import checkpointed
 
 PLANE = ("scene", "band")
 #: Fixed values of the filters and thresholds.
@@ -221,11 +222,11 @@ def components(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
     row = Window.partitionBy("scene", "cy").orderBy("cx")
     runs = cells.withColumn("_run", F.col("cx") - F.row_number().over(row))
     spans = runs.groupBy("scene", "cy", "_run").agg(F.min("cx").alias("lo"), F.max("cx").alias("hi"))
-    spans = spans.select("scene", "cy", "_run", "lo", "hi", F.struct("cy", F.col("lo").alias("cx")).alias("node")).checkpoint()
+    spans = checkpointed(spans.select("scene", "cy", "_run", "lo", "hi", F.struct("cy", F.col("lo").alias("cx")).alias("node")))
     a, b = spans.alias("a"), spans.alias("b")
     touch = (F.col("a.scene") == F.col("b.scene")) & (F.col("b.cy") == F.col("a.cy") + 1) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
     links = a.join(b, touch).select(F.col("a.scene").alias("scene"), F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    links = links.unionAll(links.select("scene", F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
+    links = checkpointed(links.unionAll(links.select("scene", F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = spans.select("scene", "node", F.col("node").alias("label"))
     for _ in range(max_rounds):
         near = links.join(labels.select("scene", F.col("node").alias("v"), "label"), ["scene", "v"]).groupBy("scene", F.col("u").alias("node")).agg(F.min("label").alias("low"))
@@ -233,7 +234,7 @@ def components(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
         hooked = own.select("scene", "node", F.col("low").alias("label")).unionAll(own.where("low < label").select("scene", F.col("label").alias("node"), F.col("low").alias("label")))
         hooked = hooked.groupBy("scene", "node").agg(F.min("label").alias("label"))
         up = hooked.select("scene", F.col("node").alias("label"), F.col("label").alias("up"))
-        after = hooked.join(up, ["scene", "label"], "left").select("scene", "node", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
+        after = checkpointed(hooked.join(up, ["scene", "label"], "left").select("scene", "node", F.least("label", F.coalesce("up", "label")).alias("label")))
         moved = after.join(labels.select("scene", "node", F.col("label").alias("old")), ["scene", "node"]).where("label <> old")
         labels = after
         if moved.isEmpty():

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.lexicon import GROUPS
 from ..operators import evaluation as E
 from ..operators import records as R
+from ..operators.checkpoints import checkpointed
 
 # Field names that records may use, in order.  Fixed values.
 IMAGE_KEYS = ("image", "image_id", "img", "image_path", "file_name", "filename", "imgname")
@@ -89,7 +90,7 @@ def build_questions(records: DataFrame, files: DataFrame, *, val_fraction: float
     ``records(record_id, record)``, ``files(path)``.  Raises ``BuildError`` when too many
     images are missing, a placeholder text occurs, or a floor isn't met.
     """
-    found = R.resolve_images(normalise(records), files, "image_id", "path").checkpoint()
+    found = checkpointed(R.resolve_images(normalise(records), files, "image_id", "path"))
     reason = R.reasons([("image_file_missing", F.col("image").isNull()), ("placeholder", T.is_forbidden(F.col("question"), F.col("answer")))])
     marked = found.withColumn("reason", reason)
     if check:
@@ -104,7 +105,7 @@ def build_questions(records: DataFrame, files: DataFrame, *, val_fraction: float
         kept = kept.orderBy(R.seeded(seed, *map(F.col, key)), *key).limit(max_records)
     tagged = kept.withColumn("task", F.when(T.is_caption(F.col("question"), F.col("answer")), "caption").otherwise("vqa"))
     balanced = R.balance(tagged.where("task = 'vqa'"), F.col("answer"), key, top_answer, seed=seed)
-    rows = balanced.unionByName(tagged.where("task = 'caption'")).checkpoint()
+    rows = checkpointed(balanced.unionByName(tagged.where("task = 'caption'")))
     if check:
         R.assert_quality(rows, F.col("image_id"), F.col("answer"), max_top=top_answer, **limits)
     report = R.quality_stats(rows, F.col("image_id"), F.col("answer")).join(marked.agg(F.count("reason").alias("dropped")))  # one row each
@@ -163,7 +164,7 @@ def build_change(samples: DataFrame, *, cap: int = 8, top_answer: float = 0.35,
     talk = lambda i: F.try_variant_get(record, f"$.conversations[{i}].value", "string")
     rows = samples.select("key", T.content_id(F.col("first"), F.col("second")).alias("pair_id"), F.col("first").isNull().alias("no_first"), F.col("second").isNull().alias("no_second"), record.isNull().alias("no_json"), T.clean_prompt(talk(0)).alias("question"), T.strip(talk(1)).alias("answer"))
     reason = R.reasons([("image_missing", F.col("no_first") | F.col("no_second")), ("annotation_unreadable", F.col("no_json")), ("question_or_answer_missing", F.coalesce(F.col("question"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("answer"), F.lit("")).eqNullSafe(""))])
-    marked = rows.withColumn("reason", reason).checkpoint()
+    marked = checkpointed(rows.withColumn("reason", reason))
     kept = marked.where("reason is null").select("key", "pair_id", "question", "answer")
     capped = R.cap_per_group(kept, ["pair_id"], ["key", "question"], cap, seed)
     balanced = R.balance(capped, F.col("answer"), ["key", "question"], top_answer, seed=seed)
