@@ -76,9 +76,12 @@ class Segmenter:
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(size) if sp.is_byte(i)}
         self.unknown_id = sp.unk_id()
         plain = [i for i in range(size) if not special[i] and not sp.is_byte(i)]
-        self.output = [b"" if special[i] else names[i].replace(MARK, " ").encode() for i in range(size)]
+        output = [b"" if special[i] else names[i].replace(MARK, " ").encode() for i in range(size)]
         for b, i in self.byte_ids.items():
-            self.output[i] = bytes([b])
+            output[i] = bytes([b])
+        self.buffer = np.frombuffer(b"".join(output), np.uint8)
+        self.lengths = np.array(list(map(len, output)), np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
         self.names = names
         #: Characters to (next characters, id or -1, score): a step a character.
         self.trie: dict[str, list] = {}
@@ -261,7 +264,13 @@ class Segmenter:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.output.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        """Every piece's bytes, gathered from one buffer."""
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids) or not ends[-1]:
+            return ""
+        places = np.repeat(self.offsets[ids] - ends + sizes, sizes) + np.arange(ends[-1])
+        raw = self.buffer[places].tobytes().decode("utf-8", "replace")
         return raw[1:] if raw.startswith(" ") else raw
 
 
