@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm import decontaminate, pieces, quality, secrets, simhash
+from rasterloom.llm import decontaminate, near_copies, pieces, quality, secrets
 from rasterloom.llm.catalog import TOKENIZERS
 from rasterloom.llm.common import staged, table
 
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate class (five-word shingles, Jaccard 0.8) stays: the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
