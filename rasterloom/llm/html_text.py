@@ -36,6 +36,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_P = _BLOCK - {"body", "html", "head", "title", "caption", "option"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
+#: Elements whose content is text up to their own end tag, whatever it looks like.
+_TEXT_ONLY = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea iframe noscript noembed noframes".split()}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -120,8 +122,16 @@ def blocks_of(page: str | None) -> list[Block]:
         flush()
         del stack[place:]
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    def text_end(tag: str, place: int) -> int:
+        """Where reading goes on after the opening tag of an element: at its end tag if it holds only text."""
+        if tag not in _TEXT_ONLY:
+            return place
+        end = _TEXT_ONLY[tag].search(page, place)
+        return end.start() if end else len(page)
+
+    at = resume = 0
+    while m := _TOKEN.search(page, resume):
+        resume = m.end()
         start, tag = m.start(), m.group(2)
         if skip is None and start > at:
             data = page[at:start]
@@ -138,8 +148,10 @@ def blocks_of(page: str | None) -> list[Block]:
             # Raw text ends at its own closing tag; a head that is never closed ends where the body starts.
             if m.group(1) and tag == skip[0]:
                 skip = (tag, skip[1] - 1) if skip[1] > 1 else None
-            elif tag == skip[0] and not m.group(1) and tag not in ("script", "style", "head", "select", "button"):
+            elif tag == skip[0] and not m.group(1) and tag not in _TEXT_ONLY and tag not in ("head", "select", "button"):
                 skip = (tag, skip[1] + 1)
+            elif tag in _TEXT_ONLY and not m.group(1):
+                resume = text_end(tag, resume)
             elif skip[0] == "head" and tag == "body":
                 skip = None
                 open_tag(tag, m.group(3))
@@ -172,8 +184,9 @@ def blocks_of(page: str | None) -> list[Block]:
                         break
             flush()
         if tag in _RAW or (m.group(3) and _HIDDEN.search(m.group(3)) and tag not in _VOID and tag not in ("html", "body", "p", "li")):
-            if not (m.group(3) or "").rstrip().endswith("/"):
+            if tag in _TEXT_ONLY or not (m.group(3) or "").rstrip().endswith("/"):
                 skip = (tag, 1)
+                resume = text_end(tag, resume)
             continue
         if tag not in _VOID:
             open_tag(tag, m.group(3) or "")
