@@ -9,14 +9,14 @@ length bounds (the window has to fit between the document's ends) and is verifie
 word by word.
 
 Two scans of the corpus, no shuffle of texts: the first sends one count per benchmark
-word and task, the second is map-only.  The benchmark is taken in blocks of at most
-``block_words`` words, so what goes to the executors at once is bounded; further
-blocks cost further scans and their hits are merged per document.
+word and task, the second is map-only.  The benchmark is indexed in blocks of at most
+``block_words`` words; a block costs a count over the corpus, and one last scan judges each
+row against all of them, so a worker holds the whole index.
 
 Null or wordless texts: no words, no hits, ``contaminated`` false.  Items without
 words have no windows.  Repeated items or rows are kept as they are; ties in rarity
-go to the smaller word, then the earlier offset.  A repeated doc_id stays repeated when
-the benchmark fits one block.
+go to the smaller word, then the earlier offset.  Each row is judged
+by its own text, so repeated and null ids stay as they are.
 """
 
 from __future__ import annotations
@@ -24,13 +24,12 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, prepare, staged, unused_name
+from .common import as_text, prepare
 
 #: A-Z to a-z; every ASCII byte that isn't a digit or a letter separates words.
 _FOLD = bytes(
@@ -141,91 +140,53 @@ def decontaminate(
     """``doc_id`` and the verdict columns of ``RESULT`` for every document row."""
     prepare(documents.sparkSession)
     texts = as_text(documents, id_col, text_col)
-    parts = []
-    for block in _blocks(as_text(benchmark, item_col, item_text_col), block_words):
-        index = WindowIndex(block, width, _rarity(texts, {w for _, t in block for w in words_of(t)}))
-        parts.append(documents.sparkSession.sparkContext.broadcast(index))
-    if not parts:
-        parts.append(documents.sparkSession.sparkContext.broadcast(WindowIndex([], width, {})))
-    if len(parts) == 1:
-        only = parts[0]
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = _arrow_schema()
-            for batch in batches:
-                rows = []
-                for text in batch.column(1):
-                    words = words_of(text.as_py())
-                    rows.append(_verdict(len(words), *only.value.find(words)))
-                ids = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_pylist([{"doc_id": d} | r for d, r in zip(ids, rows, strict=True)], schema=schema)
-
-        return texts.mapInArrow(scan, f"doc_id long, {RESULT}")
-    return _merge(texts, parts)
+    parts = _indexes(texts, as_text(benchmark, item_col, item_text_col), width, block_words)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = _arrow_schema()
+        for batch in batches:
+            rows = [_judged(text.as_py(), parts) for text in batch.column(1)]
+            ids = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pylist([{"doc_id": d} | r for d, r in zip(ids, rows, strict=True)], schema=schema)
 
-def _arrow_schema() -> pa.Schema:
-    return pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+    return texts.mapInArrow(scan, f"doc_id long, {RESULT}")
+
+
+def _indexes(texts: DataFrame, items: DataFrame, width: int, block_words: int) -> list:
+    """A broadcast index for each block of items."""
+    spark, parts = texts.sparkSession, []
+    for block in _blocks(items, block_words):
+        index = WindowIndex(block, width, _rarity(texts, {w for _, t in block for w in words_of(t)}))
+        parts.append(spark.sparkContext.broadcast(index))
+    return parts
 
 
-def _merge(texts: DataFrame, parts: list) -> DataFrame:
-    """Several blocks: a scan each gives runs and items, united per document (repeated ids unite too)."""
-    found = None
+def _judged(text: str | None, parts: list) -> dict:
+    """The verdict on one row over all blocks."""
+    words, spans, items = words_of(text), [], set()
     for part in parts:
+        more, ids = part.value.find(words)
+        spans += more
+        items |= ids
+    return _verdict(len(words), merged(spans), items)
 
-        def scan(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.int64()))])
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = words_of(text)
-                    spans, items = part.value.find(words)
-                    rows.append({"doc_id": doc_id, "n_words": len(words), "spans": [list(s) for s in spans], "items": sorted(items)})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-        one = texts.mapInArrow(scan, "doc_id long, n_words long, spans array<array<long>>, items array<long>")
-        found = one if found is None else found.unionAll(one)
-    united = staged(found, "decontaminate").groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-    )
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{"doc_id": r["doc_id"]} | _verdict(r["n_words"], merged([tuple(s) for s in r["spans"]]), set(r["items"])) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=_arrow_schema())
 
-    return united.mapInArrow(finish, f"doc_id long, {RESULT}")
+def _arrow_schema() -> pa.Schema:
+    return pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 13, block_words: int = 2_000_000) -> DataFrame:
     """The rows of ``documents`` that aren't contaminated, with the columns they came with.
 
-    With one block of items each row is judged where it lies: no join, no shuffle.
+    Each row is judged where it lies, whatever its id and the benchmark's size: no join, no shuffle.
     """
-    spark = documents.sparkSession
-    prepare(spark)
-    texts = as_text(documents, id_col, text_col)
-    blocks = list(islice(_blocks(as_text(benchmark, item_col, item_text_col), block_words), 2))
-    if len(blocks) > 1:
-        verdicts = decontaminate(documents, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, width=width, block_words=block_words)
-        return without(documents, verdicts.where("contaminated").select("doc_id"), id_col)
-    items = blocks[0] if blocks else []
-    index = spark.sparkContext.broadcast(WindowIndex(items, width, _rarity(texts, {w for _, t in items for w in words_of(t)})))
+    prepare(documents.sparkSession)
+    parts = _indexes(as_text(documents, id_col, text_col), as_text(benchmark, item_col, item_text_col), width, block_words)
     at = documents.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = []
-            for text in batch.column(at):
-                words = words_of(text.as_py())
-                clean.append(not _verdict(len(words), *index.value.find(words))["contaminated"])
+            clean = [not _judged(text.as_py(), parts)["contaminated"] for text in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
-
-
-def without(documents: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Left anti join on the id; a null id is never dropped."""
-    key = unused_name(documents, "dropped_id")
-    dropped = ids.select(F.col("doc_id").alias(key))
-    return documents.join(dropped, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_anti")
