@@ -30,7 +30,7 @@ from .trees import Tree, grow
 
 # Fixed sets of HTML element names.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-_RAW = frozenset("script style noscript template textarea iframe object svg math canvas head select button noframes noembed audio video".split())
+_RAW = frozenset("script style noscript template textarea iframe svg canvas head select button noframes noembed audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of these ends an open p.
 _CLOSES_P = _BLOCK - {"body", "html", "head", "title", "caption", "option"}
@@ -39,7 +39,9 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 #: Elements whose content is text up to their own end tag, whatever it looks like.
 _TEXT_ONLY = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea iframe noscript noembed noframes".split()}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+_MAYBE_HIDDEN = re.compile(r"hidden|display", re.I)
 
 #: Hint words in class, id and role, by what they tell.  Fixed values.
 _HINTS = {
@@ -72,6 +74,19 @@ def _hinted(names: str) -> tuple[frozenset[str], bool]:
     return frozenset(kinds), main
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an attribute of its own, or a style, hides the element."""
+    if not _MAYBE_HIDDEN.search(attributes):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" and not value.lower().startswith("until"):
+            return True
+        if (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NOT_SHOWN.search(value)):
+            return True
+    return False
+
+
 class Block:
     __slots__ = ("text", "words", "linked", "tag", "kinds", "main", "depth")
 
@@ -129,6 +144,7 @@ def blocks_of(page: str | None) -> list[Block]:
         end = _TEXT_ONLY[tag].search(page, place)
         return end.start() if end else len(page)
 
+    inside: list[str] = []  # open elements of a hidden one
     at = resume = 0
     while m := _TOKEN.search(page, resume):
         resume = m.end()
@@ -144,7 +160,14 @@ def blocks_of(page: str | None) -> list[Block]:
                 pieces.append(html.escape(page[start + 9 : at - 3], quote=False))
             continue
         tag = tag.lower()
+        if skip is not None and skip[0] not in _RAW and m.group(1) and tag != skip[0] and tag not in inside and any(s[0] == tag for s in stack):
+            skip = None  # a hidden element that is never closed ends with its parent
         if skip is not None:
+            if skip[0] not in _RAW:
+                if m.group(1) and tag in inside:
+                    inside.remove(tag)
+                elif not m.group(1) and tag not in _VOID and tag != skip[0]:
+                    inside.append(tag)
             # Raw text ends at its own closing tag; a head that is never closed ends where the body starts.
             if m.group(1) and tag == skip[0]:
                 skip = (tag, skip[1] - 1) if skip[1] > 1 else None
@@ -183,10 +206,11 @@ def blocks_of(page: str | None) -> list[Block]:
                     if stack[i][0] in ("ul", "ol", "dl", "table", "menu"):
                         break
             flush()
-        if tag in _RAW or (m.group(3) and _HIDDEN.search(m.group(3)) and tag not in _VOID and tag not in ("html", "body", "p", "li")):
+        if tag in _RAW or (m.group(3) and is_hidden(m.group(3)) and tag not in _VOID and tag not in ("html", "body", "p", "li")):
             if tag in _TEXT_ONLY or not (m.group(3) or "").rstrip().endswith("/"):
                 skip = (tag, 1)
                 resume = text_end(tag, resume)
+                inside = []
             continue
         if tag not in _VOID:
             open_tag(tag, m.group(3) or "")

@@ -17,3 +17,19 @@ def test_raw_text_ends_at_its_own_end_tag(raw):
     assert html_text.extract(f"<html><body>{raw}{ARTICLE}</body></html>") == WANT
     assert html_text.extract(f"<html><head>{raw}<title>T</title></head><body>{ARTICLE}</body></html>") == WANT
     assert html_text.extract(f"<html><body>{ARTICLE}<script>a<b") == WANT
+
+
+@pytest.mark.parametrize("attributes", ['class="post-content overflow-hidden"', 'data-x="hidden"', 'hidden="until-found"', 'title="display: none"'])
+def test_only_hidden_elements_are_left_out(attributes):
+    assert html_text.extract(f"<html><body><div {attributes}>{ARTICLE}</div></body></html>") == WANT
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', "style='display:none'", 'aria-hidden="true"'])
+def test_an_unclosed_hidden_element_ends_with_its_parent(attributes):
+    page = f"<html><body><section><div {attributes}><b>Gone</b> words.</section>{ARTICLE}</body></html>"
+    assert html_text.extract(page) == WANT
+
+
+def test_math_and_objects_keep_their_text():
+    words = " ".join(b.text for b in html_text.blocks_of(f"<article><p>{TEXT} <math><mi>x</mi></math> <object>Shown instead.</object></p></article>"))
+    assert "x" in words.split() and "Shown instead." in words
