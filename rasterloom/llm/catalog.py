@@ -22,11 +22,12 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", n=4, with_ids=False).drop("ids")
+    return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", n=4)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), LISTED, RULES)
+    listed = spark.createDataFrame([(name,) for name in LISTED], "name string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), listed, RULES)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,15 +61,15 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load all documents, take exact copies away, move what is left to the next tokenizer version
-    (which counts an end-of-text token), and commit every batch a second time."""
+    """Load all documents, take exact copies away, count what is left anew with the next version
+    (another vocabulary), and commit every batch a second time."""
     documents = table(spark, sf_dir, "documents")
     store = token_rollup.TokenRollup(spark, fresh_path(spark, "tokens"))
-    counter = token_rollup.BytePairCounter(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
+    first, second = (token_rollup.BytePairCounter(f"{TOKENIZERS}/{name}.tiktoken", PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k"))
     for _ in range(2):
-        store.insert("1-load", token_rollup.counted(documents, counter, "byte_bpe_50k@1"))
+        store.insert("1-load", token_rollup.counted(documents, first, "byte_bpe_50k"))
         store.delete("2-copies", store.exact_copies())
-        store.revise("3-recount", store.live().withColumns({"tokenizer": F.lit("byte_bpe_50k@2"), "n_tokens": F.col("n_tokens") + F.col("n_docs")}))
+        store.recount("3-recount", token_rollup.counted(documents, second, "byte_bpe_multi_50k"))
     return store.totals()
 
 

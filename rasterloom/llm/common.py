@@ -1,4 +1,4 @@
-"""Shared plumbing: staged tables, worker imports, column-name hygiene."""
+"""Shared plumbing: staged tables, worker imports, column-name hygiene, joins that bear hot keys."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for operators)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest Arrow batch sent to a Python worker, before the row that crosses it.
@@ -28,13 +27,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a local master (tests); on a cluster, whose
+    executors would not see it, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -71,9 +75,35 @@ def as_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def salted_join(rows: DataFrame, facts: DataFrame, row_key: str, fact_key: str, spread: str, salts: int = 16) -> DataFrame:
-    """Inner join on a key that may hold a third of ``rows``: they are spread by ``spread`` over
-    ``salts`` parts, and the few columns of ``facts`` (a row a key) are repeated for each."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, (F.col(row_key) == F.col(fact_key)) & (F.col("_salt") == F.col("_part"))).drop("_salt", "_part")
+#: A key is hot if it holds more than one in so many rows, so there are fewer hot keys than this.
+_HOT_SHARE = 2048
+
+
+def hot_above(rows: int) -> int:
+    """A key of more rows than this is hot; below a hundred none is."""
+    return max(100, rows // _HOT_SHARE)
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The hot keys of ``rows`` (a staged table): fewer than ``_HOT_SHARE`` values, whatever its size."""
+    return hot_among(rows.groupBy(key).count(), key, rows.count())
+
+
+def hot_among(counts: DataFrame, key: str, rows: int) -> list:
+    """The hot keys by their ``count`` column, of ``rows`` rows in all."""
+    return [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("count") > hot_above(rows))).select(key).limit(_HOT_SHARE).collect()]
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, row_key: str, fact_key: str, spread: str | Column, *, hot: list | None = None, how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join many ``rows`` to ``facts`` (one per key) on a key that may hold a third of the rows.
+
+    Rows of hot keys are dealt by ``spread`` over ``salts`` parts and their few facts repeated for
+    each part; other keys, and tables without hot keys, are joined as they are.
+    """
+    hot = hot_keys(rows, row_key) if hot is None else hot
+    if not hot:
+        return rows.join(facts, F.col(row_key) == F.col(fact_key), how)
+    salt = F.when(F.col(row_key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    parts = F.when(F.col(fact_key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left, right = rows.withColumn("_salt", salt), facts.withColumn("_part", F.explode(parts))
+    return left.join(right, (F.col(row_key) == F.col(fact_key)) & (F.col("_salt") == F.col("_part")), how).drop("_salt", "_part")

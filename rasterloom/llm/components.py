@@ -2,8 +2,8 @@
 
 Each round hooks every node's root to the smallest root next to it and then jumps
 pointers, so rounds grow with the logarithm of the longest chain.  Sums are minima, so
-a node with very many edges is combined before the shuffle, and joins on it can be
-split by adaptive execution.  Every round is written to the shared folder.
+a node with very many edges is combined before the shuffle; joins on a node or root that
+many rows share are spread.  Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hot_among, hot_keys, spread_join, staged
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -22,17 +22,20 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     """
     pairs = edges.select("src", "dst").where("src is not null and dst is not null")
     both = staged(pairs.unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    hubs = hot_keys(both, "dst")
     roots = staged(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")), "roots")
     for _ in range(max_rounds):
-        near = both.join(roots, both.dst == roots.node).groupBy("src").agg(F.min("root").alias("low"))
+        near = spread_join(both, roots, "dst", "node", "src", hot=hubs).groupBy("src").agg(F.min("root").alias("low"))
         own = roots.join(near, roots.node == near.src).select("node", "root", F.least("root", "low").alias("low"))
         # Hook: the old root, too, learns the lowest root that any of its nodes has seen.
         hooked = own.select("node", F.col("low").alias("root")).unionAll(own.where("low < root").select(F.col("root").alias("node"), F.col("low").alias("root")))
         hooked = staged(hooked.groupBy("node").agg(F.min("root").alias("root")), "hooked")
-        up = hooked.select(F.col("node").alias("up_node"), F.col("root").alias("up_root"))
-        jumped = hooked.join(up, hooked.root == up.up_node).select("node", F.least("root", "up_root").alias("root"))
+        # Jump: only roots that have got a root of their own are looked up.
+        heads = hooked.groupBy(F.col("root").alias("head")).count()
+        jumps = hooked.join(heads, F.col("node") == F.col("head")).where("root < head").select("head", F.col("root").alias("to"))
+        many = hot_among(heads, "head", hooked.count())
+        jumped = spread_join(hooked, jumps, "root", "head", "node", hot=many, how="left").select("node", F.coalesce("to", "root").alias("root"))
         before, roots = roots, staged(jumped, "roots")
-        moved = roots.select("node", F.col("root").alias("new")).join(before, "node").where("new <> root")
-        if moved.isEmpty():
+        if roots.select("node", F.col("root").alias("new")).join(before, "node").where("new <> root").isEmpty():
             return roots
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

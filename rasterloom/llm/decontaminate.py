@@ -11,17 +11,21 @@ word by word.
 Two scans of the corpus, no shuffle of texts: the first sends one count per benchmark
 word and task, the second is map-only.  The benchmark is indexed in blocks of at most
 ``block_words`` words; a block costs a count over the corpus, and one last scan judges each
-row against all of them, so a worker holds the whole index.
-
-Null or wordless texts: no words, no hits, ``contaminated`` false.  Items without
-words have no windows.  Repeated items or rows are kept as they are; ties in rarity
-go to the smaller word, then the earlier offset.  Each row is judged
-by its own text, so repeated and null ids stay as they are.
+row against all of them, so a worker holds the whole index: 12 bytes a window, 8 a word of
+an item, and each different word once.
+
+Null or wordless texts: no words, no hits, ``contaminated`` false.  Items without words have
+no windows; one without an id counts under the empty string.  Repeated items or rows are kept
+as they are; ties in rarity go to the smaller word, then the earlier offset.  Each row is judged
+by its own whole text, however long, so repeated and null ids stay as they are.  Without
+documents there are no rows, without items no hits.  Other columns may have any name:
+``decontaminate`` reads ids and texts only, ``keep_clean`` leaves the others as they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,36 +46,44 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
-    if len(words) < width:
-        return [tuple(words)] if words else []
-    return [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
-
-
 class WindowIndex:
-    """Windows of one block of items, keyed by their prefix word."""
+    """Windows of one block of items, in the order of their prefix words: item, its start there,
+    and the place of the prefix word in the window."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int, rarity: dict[bytes, int]):
-        owners: dict[tuple[bytes, ...], set[int]] = {}
+    def __init__(self, items: list[tuple[int | None, str | None]], width: int, rarity: dict[bytes, int]):
+        self.width, self.ids, self.words = width, [], []
+        same: dict[bytes, bytes] = {}
+        found: dict[bytes, array] = {}
         for item_id, text in items:
-            for window in windows_of(words_of(text), width):
-                owners.setdefault(window, set()).add(item_id)
-        self.prefix: dict[bytes, list[tuple[int, int, list[bytes], frozenset[int]]]] = {}
-        for window, ids in owners.items():
-            at = min(range(len(window)), key=lambda i: (rarity.get(window[i], 0), window[i], i))
-            self.prefix.setdefault(window[at], []).append((at, len(window), list(window), frozenset(ids)))
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Merged [start, end) runs of hit words, and the items with an occurring window."""
-        prefix, n = self.prefix, len(words)
-        spans, items = [], set()
+            words = [same.setdefault(w, w) for w in words_of(text)]
+            if not words:
+                continue
+            ranks = [(rarity.get(w, 0), w) for w in words]
+            size = min(width, len(words))
+            for start in range(len(words) - size + 1):
+                at = min(range(start, start + size), key=ranks.__getitem__)
+                found.setdefault(words[at], array("i")).extend((len(self.ids), start, at - start))
+            self.ids.append("" if item_id is None else str(item_id))
+            self.words.append(words)
+        self.prefix: dict[bytes, tuple[int, int]] = {}
+        self.rows = array("i")
+        for word, rows in found.items():
+            self.prefix[word] = (len(self.rows), len(self.rows) + len(rows))
+            self.rows.extend(rows)
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """[start, end) of the occurring windows, and the items that they are of."""
+        prefix, rows, n = self.prefix, self.rows, len(words)
+        spans, items = set(), set()
         for pos in [i for i, w in enumerate(words) if w in prefix]:
-            for at, size, window, ids in prefix[words[pos]]:
-                start = pos - at
-                if start >= 0 and start + size <= n and words[start : start + size] == window:
-                    spans.append((start, start + size))
-                    items |= ids
-        return merged(spans), items
+            low, high = prefix[words[pos]]
+            for k in range(low, high, 3):
+                start, own, first = pos - rows[k + 2], self.words[rows[k]], rows[k + 1]
+                size = min(self.width, len(own))
+                if start >= 0 and start + size <= n and words[start] == own[first] and words[start : start + size] == own[first : first + size]:
+                    spans.add((start, start + size))
+                    items.add(self.ids[rows[k]])
+        return list(spans), items
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -84,9 +96,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _verdict(n_words: int, spans: list[tuple[int, int]], items: set[int]) -> dict:
+def _verdict(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> dict:
     n_hit = sum(b - a for a, b in spans)
-    listed = ",".join(sorted(map(str, items)))
+    listed = ",".join(sorted(items))
     return {
         "n_words": n_words,
         "n_hit": n_hit,
@@ -110,8 +122,8 @@ def _rarity(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in counts.toLocalIterator()}  # at most the block's vocabulary
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str | None]]]:
-    block: list[tuple[int, str | None]] = []
+def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    block: list[tuple[int | None, str | None]] = []
     size = 0
     for row in items.toLocalIterator():  # a partition at a time; a block is all that is held
         block.append((row.doc_id, row.text))

@@ -1,24 +1,30 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into blocks at block-level tags; each block knows its words, its share of
-linked words, those of its neighbours, and what surrounds it (menu, aside, form, footer,
-header, article, and hint words in class and id).  A decision tree, grown once on a small
-labelled table of pages that ``labelled_pages`` writes from templates, keeps the main
-text.  Scripts, styles, templates, comments and markup never reach a block; character
-references are decoded; white space in a block becomes one space.
+linked words, those of its neighbours, whether it lies in an article, and which elements
+around it tell of a menu, aside, form, footer and so on (by tag, or by a whole word at either
+end of a class or id).  Such an element tells nothing if the article lies inside of it: a form
+around the page, a wrapper with a telling class.  A decision tree, grown once on a small
+labelled table of pages that ``labelled_pages`` writes from templates (with telling words on
+content, too), keeps the main text.  Scripts, styles, templates, comments and markup never
+reach a block; character references are decoded; white space in a block becomes one space.
 
 Null or empty html: empty text.  Unclosed, misnested or cut-off markup is read as far as
 it goes: a closing tag closes up to its opening one and is ignored if there is none, ``<``
-that starts no tag is text, and a raw-text element that never ends runs to the end of the
-page.  Texts are read whole and nothing kept is shortened.  Repeated pages give equal rows.
+that starts no tag is text, a tag that the page's end cuts off is dropped, and a raw-text
+element or comment that never ends runs to the end of the page.  Quotes count only as the
+value of an attribute.  Reading takes time in proportion to the page.  Texts are read whole
+and nothing kept is shortened.  Repeated pages give equal rows, an empty table an empty one;
+only the id, url and html columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,215 +36,304 @@ from .trees import Tree, grow
 
 # Fixed sets of HTML element names.
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-_RAW = frozenset("script style noscript template textarea iframe svg canvas head select button noframes noembed audio video".split())
+#: Elements that are left out with all that they hold.
+_RAW = frozenset("script style noscript template textarea iframe svg canvas select button noframes noembed audio video title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: An opening tag of these ends an open p.
-_CLOSES_P = _BLOCK - {"body", "html", "head", "title", "caption", "option"}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
 #: Elements whose content is text up to their own end tag, whatever it looks like.
-_TEXT_ONLY = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea iframe noscript noembed noframes".split()}
-_NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TEXT_ONLY = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea iframe noscript noembed noframes title".split()}
+_ARTICLE = frozenset(("article", "main"))
+#: What an opening tag ends: an open one of these, if it comes before any of those.
+_ENDS = {tag: (frozenset(same.split()), frozenset("ul ol dl table menu dir".split())) for tag, same in {"li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "tr": "tr td th", "td": "td th", "th": "td th"}.items()}
+
+#: A tag: possessive throughout, so a page is read once whatever it holds; the end is > or the page's end.
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+)(>|\Z)")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
-_MAYBE_HIDDEN = re.compile(r"hidden|display", re.I)
 
-#: Hint words in class, id and role, by what they tell.  Fixed values.
+#: Telling words in class, id and role.  Fixed values.
 _HINTS = {
-    "advert": "ad ads adv advert adverts advertisement advertising advertorial banner promo promoted promotion sponsor sponsored sponsors dfp adsense adsbygoogle teaser outbrain taboola affiliate",
+    "advert": "ad ads adv advert adverts advertisement advertising advertorial promo promoted promotion sponsor sponsored sponsors dfp adsense adsbygoogle teaser outbrain taboola affiliate",
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager tabs skip topbar toolbar sitemap tags categories",
-    "aside": "sidebar aside side related recommended recommendations widget widgets trending popular share sharing social complementary rail more newsletter subscribe signup",
-    "notice": "cookie cookies consent gdpr notice notices alert modal popup overlay paywall disclaimer privacy legal banner warning toast",
-    "comment": "comment comments commentlist disqus reply replies respond discussion reviews reader-comments",
-    "footer": "footer foot copyright colophon bottom contentinfo credits imprint",
-    "header": "masthead header banner topbar logo branding site-header page-header",
-    "form": "form search login contact-form searchbox newsletter subscribe",
-    "main": "article main content post entry story body text articlebody article-body post-content entry-content main-content maincontent",
+    "aside": "sidebar aside related recommended recommendations widget widgets trending popular share sharing social complementary rail newsletter subscribe signup",
+    "notice": "notice notices alert warning disclaimer legal banner toast",
+    "consent": "cookie cookies consent gdpr modal popup overlay paywall privacy",
+    "comment": "comment comments commentlist disqus reply replies respond discussion reviews",
+    "footer": "footer foot copyright colophon contentinfo credits imprint",
+    "header": "masthead header logo branding",
+    "form": "form search login searchbox",
 }
-_KINDS = {word: kind for kind, words in _HINTS.items() for word in words.split() if kind != "main"}
-_MAIN = frozenset(_HINTS["main"].split())
-_BY_TAG = {"nav": "menu", "menu": "menu", "aside": "aside", "footer": "footer", "form": "form", "fieldset": "form", "dialog": "notice", "header": "header", "search": "form"}
-_ORDER = ("advert", "menu", "aside", "notice", "comment", "footer", "header", "form")
+_KINDS = {word: kind for kind, words in _HINTS.items() for word in words.split()}
+#: Words of main content; words after which a hint is only said to be there or not.
+_MAIN = frozenset("article main content post entry story articlebody maincontent".split())
+_SAYING = frozenset("no not non without with has is hide show lg md sm xs xl".split())
+_BY_TAG = {"nav": "menu", "menu": "menu", "aside": "aside", "footer": "footer", "form": "form", "fieldset": "form", "dialog": "consent", "header": "header", "search": "form"}
+_ORDER = tuple(_HINTS)
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-@cache
+@lru_cache(maxsize=20_000)
 def _hinted(names: str) -> tuple[frozenset[str], bool]:
-    """Kinds that class and id words tell, and whether one tells of main content."""
+    """Kinds that class and id words tell (the first or last part of a name), and whether one tells of main content."""
     kinds, main = set(), False
     for name in re.split(r"\s+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()):
         parts = [p for p in re.split(r"[-_:]+|\d+", name) if p]
-        main = main or name in _MAIN or (bool(parts) and parts[-1] in _MAIN)
-        for word in (name, *parts):
-            if word in _KINDS:
-                kinds.add(_KINDS[word])
+        if parts and parts[0] not in _SAYING:
+            main = main or parts[-1] in _MAIN or (len(parts) > 1 and parts[-2] in _MAIN and parts[-1] in ("body", "text"))
+            kinds.update(_KINDS[word] for word in (parts[0], parts[-1]) if word in _KINDS)
     return frozenset(kinds), main
 
 
-def is_hidden(attributes: str) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
     """Whether an attribute of its own, or a style, hides the element."""
-    if not _MAYBE_HIDDEN.search(attributes):
-        return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values)
-        if name == "hidden" and not value.lower().startswith("until"):
-            return True
-        if (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NOT_SHOWN.search(value)):
-            return True
-    return False
+    if "hidden" in attributes and not attributes["hidden"].lower().startswith("until"):
+        return True
+    return attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NOT_SHOWN.search(attributes.get("style", "")))
+
+
+class Around:
+    """An element that tells of something: its kinds, the words in it, and whether an article begins in it."""
+
+    __slots__ = ("kinds", "outer", "words", "holds")
+
+    def __init__(self, kinds: frozenset[str], outer: "Around | None"):
+        self.kinds, self.outer, self.words, self.holds = kinds, outer, 0, False
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "tag", "kinds", "main", "depth")
+    __slots__ = ("text", "words", "linked", "tag", "around", "main")
 
-    def __init__(self, text: str, linked: int, tag: str, kinds: frozenset[str], main: bool, depth: int):
-        self.text, self.linked, self.tag, self.kinds, self.main, self.depth = text, linked, tag, kinds, main, depth
+    def __init__(self, text: str, linked: int, tag: str, around: Around | None, main: bool):
+        self.text, self.linked, self.tag, self.around, self.main = text, linked, tag, around, main
         self.words = text.count(" ") + 1
 
 
-_NONE: frozenset[str] = frozenset()
+class _Open:
+    """An open element: its tag, the nearest block tag, what is around, in main content, in a link."""
+
+    __slots__ = ("tag", "block", "around", "main", "link")
+
+    def __init__(self, tag: str, block: str, around: Around | None, main: bool, link: bool):
+        self.tag, self.block, self.around, self.main, self.link = tag, block, around, main, link
+
+
+class _Reader:
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.pieces: list[str] = []
+        self.linked = 0
+        self.stack = [_Open("html", "body", None, False, False)]
+        self.open: Counter[str] = Counter()
+
+    def say(self, data: str) -> None:
+        if data:
+            self.pieces.append(data)
+            if self.stack[-1].link:
+                self.linked += len(data.split())
+
+    def flush(self) -> None:
+        if self.pieces:
+            text = "".join(self.pieces)
+            text = " ".join((html.unescape(text) if "&" in text else text).split())
+            self.pieces.clear()
+            if text:
+                top = self.stack[-1]
+                self.blocks.append(Block(text, self.linked, top.block, top.around, top.main))
+                if top.around is not None:
+                    top.around.words += self.blocks[-1].words
+        self.linked = 0
+
+    def close_to(self, place: int) -> None:
+        for gone in self.stack[place:]:
+            self.open[gone.tag] -= 1
+        del self.stack[place:]
+
+    def close(self, tag: str) -> None:
+        block = tag in _BLOCK
+        if block:
+            self.flush()
+        if not self.open[tag]:
+            return
+        place = len(self.stack) - 1
+        while self.stack[place].tag != tag:
+            if not block and self.stack[place].tag in _BLOCK:
+                return  # an inline end tag closes no block
+            place -= 1
+        self.close_to(place)
+
+    def end_before(self, same: frozenset[str], walls: frozenset[str]) -> None:
+        """Close the nearest open one of ``same``, unless one of ``walls`` comes first."""
+        if any(self.open[t] for t in same):
+            for place in range(len(self.stack) - 1, 0, -1):
+                if self.stack[place].tag in same:
+                    self.flush()
+                    self.close_to(place)
+                    return
+                if self.stack[place].tag in walls:
+                    return
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        top = self.stack[-1]
+        around, main = top.around, top.main
+        content = tag in _ARTICLE
+        if content or tag == "h1":
+            outer = around
+            while outer is not None and not outer.holds:
+                outer.holds, outer = True, outer.outer
+        if tag not in ("html", "body"):
+            kinds: frozenset[str] = frozenset()
+            if attributes and not content:
+                names = " ".join(attributes[n] for n in ("class", "id", "role") if n in attributes)
+                kinds, told = _hinted(names) if names else (kinds, False)
+                main = main or told or attributes.get("itemprop", "").lower() == "articlebody"
+            if tag in _BY_TAG and not (tag == "header" and main):
+                kinds = kinds | {_BY_TAG[tag]}
+            if kinds:
+                around = Around(kinds, around)
+        self.stack.append(_Open(tag, tag if tag in _BLOCK else top.block, around, main or content, top.link or tag == "a"))
+        self.open[tag] += 1
+
+
+_P = frozenset(("p",))
 
 
 def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return []
-    out: list[Block] = []
-    pieces: list[str] = []
-    linked_words = 0
-    # Open elements: tag, kinds around, in main content, link.
-    stack: list[tuple[str, frozenset[str], bool, bool]] = [("html", _NONE, False, False)]
-    skip: tuple[str, int] | None = None
-
-    def flush() -> None:
-        nonlocal linked_words
-        if pieces:
-            text = "".join(pieces)
-            text = " ".join((html.unescape(text) if "&" in text else text).split())
-            pieces.clear()
-            if text:
-                tag = next((s[0] for s in reversed(stack) if s[0] in _BLOCK), "body")
-                _, kinds, main, _ = stack[-1]
-                out.append(Block(text, linked_words, tag, kinds, main, len(stack)))
-        linked_words = 0
-
-    def open_tag(tag: str, attributes: str) -> None:
-        _, kinds, main, link = stack[-1]
-        if tag in _BY_TAG and not (tag == "header" and main):
-            kinds = kinds | {_BY_TAG[tag]}
-        if attributes:
-            names = " ".join("".join(m) for m in _NAMES.findall(attributes))
-            if names and tag not in ("html", "body"):
-                told, is_main = _hinted(names)
-                if told:
-                    kinds = kinds | told
-                main = main or is_main
-        stack.append((tag, kinds, main or tag in ("article", "main"), link or tag == "a"))
-
-    def close_to(place: int) -> None:
-        flush()
-        del stack[place:]
-
-    def text_end(tag: str, place: int) -> int:
-        """Where reading goes on after the opening tag of an element: at its end tag if it holds only text."""
-        if tag not in _TEXT_ONLY:
-            return place
-        end = _TEXT_ONLY[tag].search(page, place)
-        return end.start() if end else len(page)
-
-    inside: list[str] = []  # open elements of a hidden one
-    at = resume = 0
-    while m := _TOKEN.search(page, resume):
-        resume = m.end()
-        start, tag = m.start(), m.group(2)
-        if skip is None and start > at:
-            data = page[at:start]
-            pieces.append(data)
-            if stack[-1][3]:
-                linked_words += len(data.split())
-        at = m.end()
-        if tag is None:
-            if skip is None and page.startswith("<![CDATA[", start):
-                pieces.append(html.escape(page[start + 9 : at - 3], quote=False))
+    reader = _Reader()
+    skip, depth = "", 0  # the element left out, and how often it is open
+    inside: Counter[str] = Counter()  # open elements of a hidden one
+    at = cursor = 0
+    while (start := page.find("<", cursor)) >= 0:
+        follows = page[start + 1 : start + 2]
+        named = page[start + 2 : start + 3] if follows == "/" else follows
+        tagged = named.isascii() and named.isalpha()
+        if not tagged and follows not in ("!", "?", "/"):
+            cursor = start + 1  # a < that starts nothing
             continue
-        tag = tag.lower()
-        if skip is not None and skip[0] not in _RAW and m.group(1) and tag != skip[0] and tag not in inside and any(s[0] == tag for s in stack):
-            skip = None  # a hidden element that is never closed ends with its parent
-        if skip is not None:
-            if skip[0] not in _RAW:
-                if m.group(1) and tag in inside:
-                    inside.remove(tag)
-                elif not m.group(1) and tag not in _VOID and tag != skip[0]:
-                    inside.append(tag)
-            # Raw text ends at its own closing tag; a head that is never closed ends where the body starts.
-            if m.group(1) and tag == skip[0]:
-                skip = (tag, skip[1] - 1) if skip[1] > 1 else None
-            elif tag == skip[0] and not m.group(1) and tag not in _TEXT_ONLY and tag not in ("head", "select", "button"):
-                skip = (tag, skip[1] + 1)
-            elif tag in _TEXT_ONLY and not m.group(1):
-                resume = text_end(tag, resume)
-            elif skip[0] == "head" and tag == "body":
-                skip = None
-                open_tag(tag, m.group(3))
+        if not skip:
+            reader.say(page[at:start])
+        if not tagged:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 2)
+                at = cursor = len(page) if end < 0 else end + 3
+            else:
+                end = page.find(">", start)
+                at = cursor = len(page) if end < 0 else end + 1
             continue
-        if m.group(1):
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if tag in _BLOCK:
-                close_to(place) if place else flush()
-            elif place and not any(s[0] in _BLOCK for s in stack[place + 1 :]):
-                del stack[place:]
+        m = _TAG.match(page, start)
+        at = cursor = m.end()
+        if not m.group(3):
+            break  # the page's end cuts a tag off
+        tag, closing = m.group(1).lower(), follows == "/"
+        if skip:
+            if skip in _RAW:
+                if closing and tag == skip:
+                    depth -= 1
+                elif tag == skip and not closing and tag not in _TEXT_ONLY and tag not in ("select", "button"):
+                    depth += 1
+            elif closing:
+                if inside[tag]:
+                    inside[tag] -= 1
+                elif tag == skip:
+                    depth -= 1
+                elif reader.open[tag]:
+                    depth = 0  # a hidden element that is never closed ends with its parent
+                    skip = ""
+                    reader.close(tag)
+                    continue
+            elif tag not in _VOID:
+                inside[tag] += 1
+            if tag in _TEXT_ONLY and not closing:
+                end = _TEXT_ONLY[tag].search(page, cursor)
+                cursor = at = end.start() if end else len(page)
+            if not depth:
+                skip = ""
             continue
-        if tag in _BLOCK or tag == "br":
-            if tag == "br":
-                pieces.append(" ")
-                continue
-            if tag in _CLOSES_P or tag == "p":
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close_to(i)
-                        break
-                    if stack[i][0] in _BLOCK:
-                        break
-            if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in same:
-                        close_to(i)
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "menu"):
-                        break
-            flush()
-        if tag in _RAW or (m.group(3) and is_hidden(m.group(3)) and tag not in _VOID and tag not in ("html", "body", "p", "li")):
-            if tag in _TEXT_ONLY or not (m.group(3) or "").rstrip().endswith("/"):
-                skip = (tag, 1)
-                resume = text_end(tag, resume)
-                inside = []
+        if closing:
+            reader.close(tag)
             continue
-        if tag not in _VOID:
-            open_tag(tag, m.group(3) or "")
-    if skip is None and at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page's end cut off
-        pieces.append(rest[: cut.start()] if cut else rest)
-        if stack[-1][3]:
-            linked_words += len(pieces[-1].split())
-    flush()
-    return out
-
-
-N_FEATURES = 10 + len(_ORDER) + 4
-_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+        if tag == "br":
+            reader.pieces.append(" ")
+            continue
+        if tag in _BLOCK:
+            reader.end_before(_P, _BLOCK - _P)
+            if tag in _ENDS:
+                reader.end_before(*_ENDS[tag])
+            reader.flush()
+        raw = m.group(2)
+        attributes = _attributes(raw) if "=" in raw or "hidden" in raw else {}
+        if tag in _RAW or (attributes and tag not in _VOID and tag not in ("html", "body", "p", "li") and is_hidden(attributes)):
+            if tag in _TEXT_ONLY:
+                end = _TEXT_ONLY[tag].search(page, cursor)
+                at = cursor = end.start() if end else len(page)
+            if tag in _TEXT_ONLY or not raw.rstrip().endswith("/"):
+                skip, depth = tag, 1
+                inside.clear()
+        elif tag not in _VOID:
+            reader.start(tag, attributes)
+    else:
+        if not skip:
+            reader.say(page[at:])
+    reader.flush()
+    return reader.blocks
+
+
+N_FEATURES = 10 + len(_ORDER) + 5
+
+
+def _telling(blocks: list[Block]) -> list[frozenset[str]]:
+    """The kinds that hold for each block: not those of an element with the article inside of it."""
+    total = sum(b.words for b in blocks)
+    seen: dict[int, Around] = {}
+    for b in blocks:
+        around = b.around
+        while around is not None and id(around) not in seen:
+            seen[id(around)] = around
+            around = around.outer
+    # Words of inner elements count for the outer ones; inner ones were made later.
+    own = list(seen.values())
+    level: dict[int, int] = {}
+    for a in own:
+        chain = []
+        while a is not None and id(a) not in level:
+            chain.append(a)
+            a = a.outer
+        base = level[id(a)] if a is not None else 0
+        for a in reversed(chain):
+            base += 1
+            level[id(a)] = base
+    for a in sorted(own, key=lambda a: -level[id(a)]):
+        if a.outer is not None:
+            a.outer.words += a.words
+    marked = any(b.main or b.tag == "h1" for b in blocks)
+    told: dict[int, frozenset[str]] = {}
+    for a in sorted(own, key=lambda a: level[id(a)]):
+        wraps = a.words >= 0.3 * total if a.holds else not marked and a.words > 0.5 * total
+        told[id(a)] = (told[id(a.outer)] if a.outer is not None else frozenset()) | (frozenset() if wraps else a.kinds)
+    return [told[id(b.around)] if b.around is not None else frozenset() for b in blocks]
 
 
 def block_features(blocks: list[Block]) -> Iterator[tuple]:
     """Words and link density of the block before, this one and the next; then its surroundings."""
+    kinds = _telling(blocks)
     any_main = any(b.main for b in blocks)
+    first = next((i for i, b in enumerate(blocks) if b.tag == "h1" and not kinds[i]), len(blocks))
     edge = (0.0, 0.0)
     flat = [edge, *((float(b.words), b.linked / b.words) for b in blocks), edge]
-    for i, b in enumerate(blocks):
+    for i, (b, told) in enumerate(zip(blocks, kinds, strict=True)):
         (pw, pl), (w, l), (nw, nl) = flat[i : i + 3]
         text = b.text
         yield (
             pw, pl, w, l, nw, nl, len(text) / b.words, float(text[-1] in ".!?:;。\"'”»…"), float("©" in text),
-            float(b.tag in _HEADINGS), *(float(k in b.kinds) for k in _ORDER), float(b.main), float(any_main), float(b.tag == "li"), float(bool(b.kinds)),
+            float(b.tag in _HEADINGS), *(float(k in told) for k in _ORDER), float(b.main), float(any_main), float(b.tag == "li"),
+            float(bool(told - {"notice"})), float(i >= first),
         )
 
 
@@ -252,7 +347,7 @@ _WORDS = {
 }
 
 
-def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
+def labelled_pages(count: int = 1_200, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
     """(html, main blocks) of invented pages: semantic, hint-word and plain layouts."""
     rng = np.random.default_rng(seed)
 
@@ -264,36 +359,68 @@ def labelled_pages(count: int = 600, seed: int = 5) -> Iterator[tuple[str, list[
         return " ".join(words).capitalize() + pick([".", ".", ".", "!", "?"])
 
     for _ in range(count):
-        lang, layout = pick(list(_WORDS)), int(rng.integers(4))
+        lang, layout = pick(list(_WORDS)), int(rng.integers(5))
         links = lambda n: "".join(f"<li><a href='/{i}'>{sentence(lang, 1, 3)[:-1]}</a></li>" for i in range(n))  # noqa: E731, B023
         title = sentence(lang, 3, 9)[:-1]
         body = [" ".join(sentence(lang, 1 if rng.random() < 0.15 else 5, 16) for _ in range(int(rng.integers(1, 7)))) for _ in range(int(rng.integers(1, 9)))]
-        main = [title, *body]
-        paragraphs = "".join(f"<p>{p}</p>" for p in body)
+        main, parts = [title], []
+        for p in body:
+            # Content that looks like something else: a linked line, a sign, a list, a telling class.
+            shape = int(rng.integers(12)) if layout < 4 else 11
+            if shape == 0:
+                parts.append(f"<p><a href='/x'>{p}</a></p>")
+            elif shape == 1:
+                p = "© " + p
+                parts.append(f"<p>{p}</p>")
+            elif shape == 2:
+                items = [sentence(lang, 1, 6)[:-1] for _ in range(int(rng.integers(2, 5)))]
+                cover = pick(["{}", "<a href='/y'>{}</a>"])
+                parts.append(f"<p>{p}</p><ul>" + "".join(f"<li>{cover.format(x)}</li>" for x in items) + "</ul>")
+                main += [p, *items]
+                continue
+            elif shape == 3:
+                parts.append(f"<div class='{pick(['alert-box', 'legal', 'notice', 'warning', 'alert', 'text-banner'])}'><p>{p}</p></div>")
+            elif shape == 4:
+                parts.append(f"<{(t := pick(['blockquote', 'div', 'h2', 'figcaption']))}>{p}</{t}>")
+            else:
+                parts.append(f"<p>{p}</p>")
+            main.append(p)
         heading = f"<h1>{title}</h1>"
+        if rng.random() < 0.2:
+            heading = f"<{(t := pick(['header', 'div']))} class='{pick(['header', 'post-header', 'entry-header'])}'>{heading}</{t}>"
         noise = {
             "nav": f"<nav><ul>{links(int(rng.integers(3, 9)))}</ul></nav>" if layout < 2 else f"<div class='menu'><ul>{links(6)}</ul></div>",
-            "ad": f"<div class='{pick(['ad', 'ads', 'sponsored', 'promo', 'banner-ad'])}'>{sentence(lang, 4, 14)}</div>",
+            "ad": f"<div class='{pick(['ad', 'ads', 'sponsored', 'promo', 'ad-banner'])}'>{sentence(lang, 4, 14)}</div>",
             "cookie": f"<div id='{pick(['cookie-notice', 'consent', 'gdpr'])}'><p>{sentence(lang, 6, 20)}</p><a href=#>OK</a></div>",
-            "side": f"<aside><h3>{sentence(lang, 2, 4)}</h3><p>{sentence(lang, 5, 30)}</p><ul>{links(4)}</ul></aside>" if rng.random() < 0.6 else f"<div class='sidebar'><p>{sentence(lang, 5, 30)}</p><ul>{links(4)}</ul></div>",
-            "comments": f"<{(t := pick(['section', 'div']))} class='{pick(['comments', 'comment-list', 'reader-comments'])}'><h3>{sentence(lang, 1, 3)}</h3><p>{sentence(lang, 5, 30)}</p><p>{sentence(lang, 3, 20)}</p></{t}>",
+            "notice": f"<div class='{pick(['notice', 'alert', 'site-banner', 'legal', 'disclaimer'])}'><p>{sentence(lang, 4, 24)}</p></div>",
+            "side": f"<aside><h3>{sentence(lang, 2, 4)}</h3><p>{sentence(lang, 5, 30)}</p><ul>{links(4)}</ul></aside>" if rng.random() < 0.6 else f"<div class='{pick(['sidebar', 'related', 'popular', 'widget'])}'><p>{sentence(lang, 5, 30)}</p><ul>{links(4)}</ul></div>",
+            "teasers": "<div class='related'>" + "".join(f"<article><h3>{sentence(lang, 2, 5)}</h3><p>{sentence(lang, 4, 12)}</p></article>" for _ in range(2)) + "</div>" if len(" ".join(body).split()) > 90 else "",
+            "comments": f"<{(t := pick(['section', 'div', 'ol']))} class='{pick(['comments', 'comment-list', 'reader-comments', 'replies'])}'><h3>{sentence(lang, 1, 3)}</h3><p>{sentence(lang, 5, 30)}</p><p>{sentence(lang, 3, 20)}</p></{t}>",
             "form": f"<form action=/s><label>{sentence(lang, 1, 4)}</label><p>{sentence(lang, 3, 9)}</p><input name=q></form>",
             "footer": f"<footer>&copy; {sentence(lang, 2, 6)} &middot; {sentence(lang, 3, 20)}</footer>" if layout < 3 else f"<div class=footer><p>© {sentence(lang, 3, 9)}</p></div>",
             "header": f"<header><p>{sentence(lang, 2, 12)}</p></header>" if layout < 3 else f"<div class='masthead'>{sentence(lang, 2, 8)}</div>",
         }
+        clear = dict(noise)
         if rng.random() < 0.3:  # nothing but its links or its sign tells what this is
             noise["nav"] = f"<div><ul>{links(int(rng.integers(3, 9)))}</ul></div>"
             noise["side"] = f"<div><ul>{links(5)}</ul></div>"
             noise["footer"] = f"<div><p>© {sentence(lang, 3, 9)} · {sentence(lang, 1, 4)}</p></div>"
             noise["header"] = f"<div><p><a href=/>{sentence(lang, 1, 4)}</a> | <a href=/x>{sentence(lang, 1, 4)}</a></p></div>"
-        wrap = {0: "<article>{}</article>", 1: "<main><article>{}</article></main>", 2: "<div class='post-content'>{}</div>", 3: "<div>{}</div>"}[layout]
-        inner = heading + paragraphs
-        for name in ("ad", "comments", "form", "side"):
-            if rng.random() < 0.2:  # noise inside the article, at its end or after the heading
-                inner = inner + noise[name] if rng.random() < 0.6 else heading + noise[name] + paragraphs
-        before = "".join(noise[n] for n in ("header", "nav", "cookie", "ad", "form") if rng.random() < 0.6)
-        after = "".join(noise[n] for n in ("side", "comments", "ad", "form", "footer") if rng.random() < 0.6)
-        yield f"<html><head><title>{title}</title><script>var a='</p>';</script></head><body>{before}{wrap.format(inner)}{after}</body></html>", main
+        wrap = {0: "<article{}>{}</article>", 1: "<main><article{}>{}</article></main>", 2: "<div class='post-content'>{1}</div>", 3: "<main{}>{}</main>", 4: "<div>{1}</div>"}[layout]
+        named = f" class='{pick(['post tags popular', 'post', 'story sponsored', 'h-entry comments-open'])}'" if rng.random() < 0.3 else ""
+        inner = "".join([heading, *parts])
+        for name in ("ad", "comments", "form", "side", "teasers", "cookie"):
+            if layout < 4 and rng.random() < 0.15:  # noise inside the article, at its end or after the heading
+                inner = inner + clear[name] if rng.random() < 0.6 else heading + clear[name] + "".join(parts)
+        whole = wrap.format(named, inner)
+        if layout < 4 and rng.random() < 0.4:  # a wrapper whose name speaks of something else
+            whole = f"<div class='{pick(['content with-sidebar', 'page no-comments', 'has-ads', 'sidebar-left', 'layout popular', 'modal-open', 'header-fixed'])}'>{whole}</div>"
+        before = "".join(noise[n] for n in ("header", "nav", "cookie", "notice", "ad", "form") if rng.random() < 0.5)
+        after = "".join(noise[n] for n in ("side", "teasers", "comments", "ad", "notice", "form", "footer") if rng.random() < 0.5)
+        page = before + whole + after
+        if rng.random() < 0.15:
+            page = f"<form id='aspnetForm' action='/'>{page.replace('<form action=/s>', '<div class=search-form>').replace('</form>', '</div>')}</form>"
+        yield f"<html><head><title>{title}</title><script>var a='</p>';</script></head><body>{page}</body></html>", main
 
 
 @cache
@@ -304,8 +431,8 @@ def block_tree() -> Tree:
         blocks, wanted = blocks_of(page), set(main)
         for b, f in zip(blocks, block_features(blocks), strict=True):
             x.append(f)
-            y.append(float(b.text in wanted and not b.kinds and b.linked * 2 <= b.words))
-    return grow(np.array(x), np.array(y), depth=10, least=4)
+            y.append(float(b.text in wanted))  # the generator knows
+    return grow(np.array(x), np.array(y), depth=14, least=4)
 
 
 def extract(page: str | None, tree: Tree | None = None) -> str:

@@ -1,21 +1,25 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix-filtered join that loses no pair.
+"""Near copies for a corpus: Jaccard similarity of word shingles, found by SimHash and by MinHash bands.
 
 Two texts are linked if the sets of their ``shingle``-word runs (words as in ``simhash``) have
-a Jaccard similarity of at least ``num / den``.  A 64-bit SimHash can't carry that rule: at 0.8
-a tenth to a sixth of its bits differ.  So sets are compared themselves:
-
-1. Shingles have one order for all texts: those seen often in a sample of texts last, the
-   others by hash.  Two sets of the wanted similarity share a shingle within the first
-   ``n - ceil(n * num / den) + 1`` of both, whatever the order is; the sample moves speed only.
-2. Those prefixes are dealt by shingle.  At the first shingle that two sets share, neither may
-   be so far in that what is left can't reach the overlap; pairs beyond that are no candidates.
-3. A run of one shingle first gives each member with a hub of the run, and these are verified
-   over the whole sets (twice, with other hubs for those not connected yet).  Only pairs whose members are not connected by then are candidates of
-   a last verification, so a large class of near copies costs no square of its size.
-4. Before whole sets are fetched, their bitmaps rule out most pairs (a bound, never a guess).
+a Jaccard similarity of at least ``num / den``; every link is verified on whole sets.
+
+1. One pass over the texts gives each its set's digest, SimHash, ``BANDS`` band keys and signature.
+2. The Golay keys of ``simhash`` give the pairs within 4 of 64 bits.  At a similarity of 0.8 some ten
+   bits differ, more than Golay keys reach, so SimHash alone would lose most of those links.
+3. For these, a band key joins ``ROWS`` independent minima of the set.  A pair at 0.8 has none of the
+   48 band keys in common with a probability of (1 - 0.8^5)^48, 5e-9, and less the nearer it is.
+4. A run of equal keys first gives each member with a hub of the run, and these are verified (twice,
+   with other hubs for those not connected yet).  Then only members of different classes that still
+   share a run are left; they meet in parts of a bounded size and are verified there, and no pair
+   but a link leaves its task.
+5. Signatures rule out candidates of well below the wanted similarity (a pair at 0.8 has at least
+   148 of 240 equal bytes but for a probability of 1e-9) before whole sets are fetched.
 
 Sets are of 64-bit hashes, and equal sets (one 64-bit digest) are one node.  A text of fewer
 words has one shingle; null or wordless texts have the empty set and are copies of each other.
+Very long texts are read whole.  Texts themselves are shuffled only where they are candidates;
+the rows that stay are found by the id and a hash of the text.  Extra columns stay as they are,
+whatever their names.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,12 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, prepare, shuffle_partitions, staged, unused_name
+from . import simhash
+from .common import as_text, hot_among, hot_keys, prepare, shuffle_partitions, spread_join, staged, unused_name
 from .components import connected_components
 
+BANDS, ROWS = 48, 5
+#: Bits of the map of wanted texts: 8 MB at most are sent, however many texts are wanted.
+_MAP_BITS = 1 << 26
+_PAGE_BITS = 32_768
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -48,6 +57,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_RNG = np.random.default_rng(17)
+_FACTORS = (_RNG.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)[:, None]
+_SHIFTS = _RNG.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)[:, None]
+_NUMBERS = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def shingles_of(text: str | None, hashes: dict[bytes, int], size: int) -> np.ndarray:
     """The sorted set of 64-bit hashes of the runs of ``size`` words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -58,7 +73,7 @@ def shingles_of(text: str | None, hashes: dict[bytes, int], size: int) -> np.nda
     runs = len(words) - size + 1
     total = np.full(runs, size, np.uint64)
     for j in range(size):
-        total = total + each[j : j + runs] * _ODD[j]
+        total = total + each[j : j + runs] * _ODD[j % 8]
     return np.unique(_mixed(total))
 
 
@@ -66,243 +81,327 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 7)).view(np.int64))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time: what is made of a text is longer than the text."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+def minima_of(shingles: np.ndarray) -> np.ndarray:
+    """The least value of the set under each of the ``BANDS * ROWS`` orders (32 bits a value)."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    folded = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(folded), 512):
+        values = folded[None, at : at + 512] ^ _SHIFTS
+        values *= _FACTORS
+        np.minimum(least, values.min(axis=1), out=least)
+    return least
 
 
-def _often(texts: DataFrame, size: int, sample: int, least: int = 3, limit: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about ``sample`` texts have (sorted), and their places by number of texts."""
-    share = max(1, texts.count() // sample)
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+def bands_of(minima: np.ndarray) -> np.ndarray:
+    total, each = _NUMBERS.copy(), minima.reshape(BANDS, ROWS).astype(np.uint64)
+    for j in range(ROWS):
+        total = _mixed(total + each[:, j] * _ODD[j])
+    return total.view(np.int64)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = _WordHashes(), set()
-        for batch in batches:
-            for text in batch.column(0):
-                found = shingles_of(text.as_py(), hashes, size)
-                if (node := node_of(found)) not in seen:
-                    seen.add(node)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
-    counts = some.mapInArrow(each, "h long").groupBy("h").count().where(F.col("count") >= least)
-    rows = counts.orderBy(F.desc("count"), "h").limit(limit).collect()
-    keys = np.array([r.h for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], (len(rows) - np.arange(len(rows)))[order]
+def signature_of(minima: np.ndarray) -> bytes:
+    return (minima * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def _ordered(shingles: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    keys, places = often
-    if not len(keys):
-        return shingles
-    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
-    rank = np.where(keys[at] == shingles, places[at], 0)
-    return shingles[np.argsort(rank, kind="stable")]
+def print_of(shingles: np.ndarray) -> int:
+    """The SimHash of a set, as a signed 64-bit number."""
+    if not len(shingles):
+        return 0
+    bits = np.unpackbits(shingles.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(shingles)).tobytes(), "big", signed=True)
 
 
-def bitmap_of(shingles: np.ndarray) -> np.ndarray:
-    """The set folded to a bitmap of four to eight bits a shingle (a power of two, 512 at least)."""
-    bits = np.zeros(max(512, 1 << (4 * len(shingles)).bit_length()), np.uint8)
-    bits[(shingles & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
+def least_equal(num: int, den: int) -> int:
+    """How many bytes of two signatures are equal at least if the sets reach ``num / den``, but for 1e-9:
+    the largest count whose Chernoff bound, exp(-orders * divergence), is below that."""
+    orders, share = BANDS * ROWS, num / den
+    for count in range(int(orders * share), 0, -1):
+        x = count / orders
+        if x < share and orders * (x * np.log(x / share) + (1 - x) * np.log((1 - x) / (1 - share + 1e-12))) > np.log(1e9):
+            return count
+    return 0
 
 
-def most_shared(n: int, left: bytes, m: int, right: bytes) -> int:
-    """A bound of the overlap: a bit that only one set has stands for a shingle of its own."""
-    size = min(len(left), len(right))
-    a, b = (np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, size // 8), axis=0) for x in (left, right))
-    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+_PRINTED = "doc_id long, text_key long, node long, n long, fp long, bands array<long>, band_bytes binary, signature binary"
 
 
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-n * num // den) + 1 if n else 0
+def _printed(shingle: int):
+    """Each row's id, text hash and digest of its set; what is known of the set goes once a task."""
 
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = _WordHashes(), set()
+        for batch in batches:
+            nodes, sizes, prints, bands, raw, marks = [], [], [], [], [], []
+            for text in batch.column(2):
+                own = shingles_of(text.as_py(), hashes, shingle)
+                nodes.append(node_of(own))
+                sizes.append(len(own))
+                if nodes[-1] in seen:
+                    for column in (prints, bands, raw, marks):
+                        column.append(None)
+                    continue
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add(nodes[-1])
+                minima = minima_of(own)
+                keys = bands_of(minima)
+                for column, value in ((prints, print_of(own)), (bands, keys), (raw, keys.tobytes()), (marks, signature_of(minima))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(raw, pa.binary()), pa.array(marks, pa.binary())],
+                names=["doc_id", "text_key", "node", "n", "fp", "bands", "band_bytes", "signature"],
+            )
 
-def _near_enough(left, at_left, right, at_right, num: int, den: int):
-    """Whether two sets whose first common shingle has these places can still reach the overlap."""
-    return (num + den) * np.minimum(left - at_left, right - at_right) >= num * (left + right)
+    return measured
 
 
-_RUNS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text, F.length(text))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The runs of equal first columns in sorted rows, across batches."""
-    key, held = None, []
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
-        if not len(cols[0]):
-            continue
-        cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-        starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(cols[0])]))
-        # Runs of one row inside the batch have no partner: only the first and last can go on.
-        todo = np.unique(np.concatenate((np.flatnonzero(stops - starts > 1), [0, len(starts) - 1])))
-        for n in todo.tolist():
-            a, b = starts[n], stops[n]
-            if key != int(cols[0][a]):
-                if held:
-                    yield key, [np.concatenate(c) for c in zip(*held, strict=True)]
-                key, held = int(cols[0][a]), []
-            held.append([c[a:b] for c in cols[1:]])
+        keys = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                if held and held[0].column(0)[0].as_py() != keys[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
     if held:
-        yield key, [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
-def _hubs(num: int, den: int, hubs: int):
-    """Pairs with the run's hub (kind 0), and the rows of runs of three or more (kind 1: key, node, size and place)."""
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+
+
+def _possible_pairs(run: pa.Table, least: int, strip: int = 16_384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different classes, each in the first band that both have, if signatures
+    allow it; the likeliest of a strip first.  A run is a part of the members and a part of the others."""
+    side, key, nodes, roots, hub_roots = (run.column(i).to_numpy() for i in range(1, 6))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return
+    bands, marks = _matrix(run.column(6), np.int64), _matrix(run.column(7), np.uint8)
+    other = roots != hub_roots
+    step = max(1, strip // len(right))
+    for at in range(0, len(left), step):
+        x, y = left[at : at + step, None], right[None, :]
+        # Two of the others meet twice: the smaller one stands left.
+        i, j = np.nonzero((roots[x] != roots[y]) & (~other[x] | (nodes[x] < nodes[y])))
+        x, y = left[at + i], right[j]
+        near = (marks[x] == marks[y]).sum(axis=1)
+        good = near >= least
+        x, y, near = x[good], y[good], near[good]
+        if len(x):
+            first = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == key[0]
+            order = np.argsort(-near[first], kind="stable")
+            yield x[first][order], y[first][order]
+
+
+def _members_with_pairs(least: int):
+    """The rows of a part that are in a possible pair, without what was told of their sets."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, rows = [], 0
-        for key, (nodes, spots, roots) in _runs(batches):
-            nodes, first = np.unique(nodes, return_index=True)
-            spots, roots = spots[first], roots[first]
-            if len(nodes) < 2:
-                continue
-            mixed = _mixed(nodes.view(np.uint64) + np.uint64(key % hubs))
-            hub = int(np.argmin(mixed))
-            n, at = spots >> 32, spots & 0xFFFFFFFF
-            good = _near_enough(n, at, n[hub], at[hub], num, den)
-            good &= roots != roots[hub]
-            low, high = np.minimum(nodes[good], nodes[hub]), np.maximum(nodes[good], nodes[hub])
-            out.append((np.zeros(len(low), np.int32), np.zeros(len(low), np.int64), low, high))
-            if len(nodes) > 2 and (roots != roots[0]).any():
-                out.append((np.ones(len(nodes), np.int32), np.full(len(nodes), key), nodes, spots))
-            rows += len(nodes)
-            if rows > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_RUNS)
-                out, rows = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_RUNS)
+        for run in _runs(batches):
+            places = [np.concatenate(pair) for pair in _possible_pairs(run, least)]
+            if places:
+                yield from run.take(pa.array(np.unique(np.concatenate(places)))).select(range(6)).to_batches()
 
     return stream
 
 
-def _across(num: int, den: int, strip: int = 256):
-    """Pairs of a run whose members are of different classes so far."""
+def _linked_across(least: int, num: int, den: int):
+    """Links between the classes of a part, verified on whole sets; none between classes linked already."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (nodes, spots, roots) in _runs(batches):
-            if (roots == roots[0]).all():
-                continue
-            n, at = spots >> 32, spots & 0xFFFFFFFF
-            for i in range(0, len(nodes), strip):
-                part = slice(i, i + strip)
-                good = (roots[part, None] != roots[None, :]) & (nodes[part, None] < nodes[None, :])
-                good &= _near_enough(n[part, None], at[part, None], n[None, :], at[None, :], num, den)
-                x, y = np.nonzero(good)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[part][x]), pa.array(nodes[y])], names=["a", "b"])
+        for run in _runs(batches):
+            nodes, roots = run.column(3).to_pylist(), run.column(4).to_pylist()
+            sets = [np.frombuffer(raw, np.int64) for raw in run.column(8).to_pylist()]
+            number = {root: i for i, root in enumerate(dict.fromkeys(roots))}
+            classes, out = simhash.Sets(len(number)), []
+            for x, y in _possible_pairs(run, least):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    a, b = number[roots[i]], number[roots[j]]
+                    if classes.root(a) != classes.root(b):
+                        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if shared * (num + den) >= (len(sets[i]) + len(sets[j])) * num:
+                            classes.join(a, b)
+                            out.append((nodes[i], nodes[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["src", "dst"])
 
     return stream
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, maps: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """``src, dst``: the pairs whose whole sets are similar enough."""
+def _map_of(keys: DataFrame, column: str, count: int) -> np.ndarray:
+    """A bit for each hashed key, one to sixteen bits a key, ``_MAP_BITS`` at most."""
+    pages = 1
+    while pages * _PAGE_BITS < min(_MAP_BITS, 16 * count):
+        pages *= 2
+    at = F.pmod(F.col(column), F.lit(pages * _PAGE_BITS))
+    made = keys.select(F.floor(at / _PAGE_BITS).cast("int").alias("page"), (at % _PAGE_BITS).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((pages, _PAGE_BITS // 8), np.uint8)
+    for row in made.toLocalIterator():  # at most _MAP_BITS / _PAGE_BITS rows of 4 KB
+        out[row.page] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, left, m, right = (batch.column(i).to_pylist() for i in range(2, 6))
-            good = [(num + den) * most_shared(*each) >= num * (each[0] + each[2]) for each in zip(n, left, m, right, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda name: maps.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
-    mapped = staged(pairs.distinct(), "met").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_bits", "b_n", "b_bits")
-    pairs = staged(mapped.mapInArrow(possible, "a long, b long"), "candidates")
-    need = staged(pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct(), "need")
+def _sets_of(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node, own``: the whole sets of the wanted nodes, from the texts whose hash is on a bounded map."""
+    need = staged(nodes.join(wanted.select(F.col("node").alias("need")).distinct(), F.col("node") == F.col("need")).select("need", "text_key"), "need")
+    sent = texts.sparkSession.sparkContext.broadcast(_map_of(need, "text_key", need.count()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in _parts(batches):
-            found = [shingles_of(t.as_py(), hashes, size) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "own"])
-
-    every = texts.select("text").mapInArrow(sets, "node long, own array<long>")
-    own = staged(every.join(need, F.col("node") == F.col("need"), "left_semi").dropDuplicates(["node"]), "sets")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("left")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("right")), "b")
+        hashes, wanted_bits = _WordHashes(), sent.value
+        seen: set[int] = set()
+        for batch in batches:
+            at = batch.column(0).to_numpy() % (8 * len(wanted_bits))
+            rows = np.flatnonzero(wanted_bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            for i in range(0, len(rows), 128):
+                found = []
+                for text in batch.column(1).take(pa.array(rows[i : i + 128])):
+                    own = shingles_of(text.as_py(), hashes, size)
+                    if (node := node_of(own)) not in seen:
+                        seen.add(node)
+                        found.append((node, own.view(np.int64)))
+                if len(seen) > 100_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], names=["node", "own"])
+
+    every = texts.select(_text_key(F.col("text")).alias("text_key"), "text").mapInArrow(sets, "node long, own array<long>")
+    return staged(every.join(need, F.col("node") == F.col("need"), "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``src, dst``: the pairs whose whole sets are similar enough."""
+    least = least_equal(num, den)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((left == right).sum(axis=1) >= least, pa.bool_()))
+
+    met = staged(pairs.distinct(), "met")
+    side = lambda x: nodes.select(F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("signature").alias(f"{x}_mark"))
+    marked = spread_join(met, side("a"), "a", "a_node", "b")
+    marked = spread_join(marked, side("b"), "b", "b_node", "a", hot=hot_keys(met, "b"))
+    fits = F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num
+    pairs = staged(marked.where(fits).select("a", "b", "a_mark", "b_mark").mapInArrow(possible, "a long, b long"), "candidates")
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    own = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, nodes, size)
+    both = spread_join(pairs, own.select(F.col("node").alias("a_node"), F.col("own").alias("left")), "a", "a_node", "b", salts=16)
+    both = spread_join(both, own.select(F.col("node").alias("b_node"), F.col("own").alias("right")), "b", "b_node", "a", hot=hot_keys(pairs, "b"), salts=16)
     shared = F.size(F.array_intersect("left", "right"))
     return staged(both.where(shared * (num + den) >= (F.size("left") + F.size("right")) * num).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")
 
 
-def links(texts: DataFrame, prefixes: DataFrame, *, shingle: int, num: int, den: int, rounds: tuple[int, ...] = (4, 64)) -> DataFrame:
-    """``src, dst``: links that connect the same nodes as all pairs of the wanted similarity do."""
-    spark = texts.sparkSession
+def _across(runs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``src, dst``: links between the classes that are left in runs.  No pair leaves its task unverified:
+    first the members that are in any possible pair are told, then these are met with their whole sets."""
+    tasks, least = shuffle_partitions(texts.sparkSession), least_equal(num, den)
+    told = nodes.select(F.col("node").alias("of"), "band_bytes", "signature")
+    dealt = lambda parts: parts.repartition(tasks, "part").sortWithinPartitions("part")
+    parts = _parts_of_runs(runs).join(told, F.col("node") == F.col("of")).drop("of")
+    left = staged(dealt(parts).mapInArrow(_members_with_pairs(least), "part long, side int, key long, node long, root long, hub_root long"), "members")
+    if left.isEmpty():
+        return left.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    own = _sets_of(left, texts, nodes, size)
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.values.to_numpy().tobytes() for x in batch.column(1)], pa.binary())], names=["own_node", "own"])
+
+    whole = left.join(told, F.col("node") == F.col("of")).drop("of").join(own.mapInArrow(raw, "own_node long, own binary"), F.col("node") == F.col("own_node")).drop("own_node")
+    return staged(dealt(whole).mapInArrow(_linked_across(least, num, den), "src long, dst long"), "similar")
+
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # exact copies, as far as one task meets them, go once
-        for batch in _parts(batches):
-            fresh = []
-            for i, node in enumerate(batch.column(0).to_pylist()):
-                if node not in seen:
-                    seen.add(node)
-                    fresh.append(i)
-            if len(seen) > 100_000:
-                seen.clear()
-            rows = batch.take(pa.array(fresh, pa.int64()))
-            lists = rows.column(2)
-            sizes = lists.value_lengths().to_numpy().astype(np.int64)
-            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            spots = (np.repeat(rows.column(1).to_numpy().astype(np.int64), sizes) << 32) | place
-            yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(rows.column(0).to_numpy(), sizes)), pa.array(spots)], names=["key", "node", "spot"])
-
-    keys = prefixes.select("node", "n", "prefix").mapInArrow(keyed, "key long, node long, spot long")
-    maps = staged(prefixes.groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "bitmaps")
-    rows, known = keys.withColumn("root", F.col("node")), None
+def links(texts: DataFrame, nodes: DataFrame, *, shingle: int, num: int, den: int, rounds: tuple[int, ...] = (4, 64)) -> DataFrame:
+    """``src, dst``: links that connect the same nodes as all pairs of the wanted similarity do.
+
+    ``nodes`` has a row per different set: node, n, text_key, fp, bands, signature.
+    """
+    spark = texts.sparkSession
+    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    near = simhash.links(prints.select("fp"))
+    ends = near.join(prints.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(prints.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
+    same = spread_join(nodes.select("node", "fp"), prints.select(F.col("fp").alias("own_fp"), "first"), "fp", "own_fp", "node").where("node <> first")
+    start = ends.select("a", "b").unionAll(same.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    known = _verified(start.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), texts, nodes, shingle, num, den)
+
+    def current(links: DataFrame) -> DataFrame:
+        return connected_components(links).select(F.col("node").alias("of"), F.col("root").alias("now"))
+
+    with_root = nodes.select("node", "bands").join(current(known), F.col("node") == F.col("of"), "left")
+    rows = with_root.select(F.explode("bands").alias("key"), "node", F.coalesce("now", "node").alias("root"))
+    total = BANDS * nodes.count()
     for hubs in rounds:
-        dealt = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-        found = staged(dealt.mapInArrow(_hubs(num, den, hubs), "kind int, key long, a long, b long"), "hubs")
-        new = _verified(found.where("kind = 0").select("a", "b"), texts, maps, shingle, num, den)
-        known = new if known is None else known.unionAll(new)
-        left = found.where("kind = 1").select("key", F.col("a").alias("node"), F.col("b").alias("spot"))
-        if left.isEmpty():
-            return known
-        roots = connected_components(known).select(F.col("node").alias("of"), "root")
-        rows = left.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "spot", F.coalesce("root", "node").alias("root"))
-    dealt = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    return known.unionAll(_verified(dealt.mapInArrow(_across(num, den), "a long, b long"), texts, maps, shingle, num, den))
-
-
-def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5, sample: int = 5_000) -> DataFrame:
+        runs = _open_runs(rows, hubs, total)
+        pairs = runs.where("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        known = known.unionAll(_verified(pairs, texts, nodes, shingle, num, den))
+        rows = runs.where("n > 2").join(current(known), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("now", "root").alias("root"))
+        total = runs.count()
+    runs = _open_runs(rows, rounds[-1], total)
+    if runs.isEmpty():
+        return known
+    return known.unionAll(_across(runs, texts, nodes, shingle, num, den))
+
+
+def _open_runs(rows: DataFrame, hubs: int, total: int) -> DataFrame:
+    """Rows of the runs (equal keys) that hold several classes: key, node, root, n, hub, hub_root, others.
+
+    One hub for all runs of the same members, so that bands give the same pairs.
+    """
+    rank = F.xxhash64("node", F.pmod("key", F.lit(hubs)))
+    known = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("node", rank).alias("hub"), F.min_by("root", rank).alias("hub_root"), F.min("root").alias("low"), F.max("root").alias("high"))
+    known = staged(known.where("low <> high").select(F.col("key").alias("run"), "n", "hub", "hub_root"), "open")
+    hot = hot_among(known.select("run", F.col("n").alias("count")), "run", total)
+    return staged(spread_join(rows, known, "key", "run", "node", hot=hot).drop("run"), "runs")
+
+
+def _parts_of_runs(runs: DataFrame, block: int = 1024) -> DataFrame:
+    """Each run's members against its others (those not of the hub's class), in parts of about
+    ``block`` by ``block``: part, side, key, node, root, hub_root."""
+    others = runs.where("root <> hub_root").groupBy(F.col("key").alias("run")).agg(F.count("*").alias("others"))
+    counted = spread_join(runs, others, "key", "run", "node").drop("run")
+    wide = counted.withColumns({"members": F.ceil(F.col("n") / block).cast("int"), "few": F.ceil(F.col("others") / block).cast("int")})
+    place = lambda size: F.pmod(F.xxhash64("node"), size).cast("int")
+    upto = lambda size: F.explode(F.sequence(F.lit(0), size - 1))
+    left = wide.withColumns({"side": F.lit(0), "i": place(F.col("members"))}).withColumn("j", upto(F.col("few")))
+    right = wide.where("root <> hub_root").withColumns({"side": F.lit(1), "j": place(F.col("few"))}).withColumn("i", upto(F.col("members")))
+    return left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("part"), "side", "key", "node", "root", "hub_root")
+
+
+def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row of each class, that of the smallest id, with the columns it came with.
 
-    Each row is judged by its own text.  Of equal rows of id and set, one stays; a class whose
+    Each row is judged by its own text.  Of equal rows of id and text, one stays; a class whose
     ids are all null keeps one row.
     """
     spark = documents.sparkSession
     prepare(spark)
-    texts = as_text(documents, id_col, text_col)
-    often = spark.sparkContext.broadcast(_often(texts, shingle, sample))
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in _parts(batches):
-            sets = [shingles_of(t.as_py(), hashes, shingle) for t in batch.column(1)]
-            heads = [_ordered(s, often.value)[: prefix_length(len(s), num, den)].view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "node", "n", "prefix", "bits"],
-            )
-
-    printed = staged(texts.mapInArrow(measured, "doc_id long, node long, n long, prefix array<long>, bits binary"), "prefixes")
-    roots = connected_components(links(texts, printed, shingle=shingle, num=num, den=den)).select(F.col("node").alias("of"), "root")
+    texts = as_text(documents, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = texts.select("doc_id", _text_key(F.col("text")).alias("text_key"), "text")
+    printed = staged(rows.mapInArrow(_printed(shingle), _PRINTED), "prints")
+    first = printed.where("signature is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("band_bytes").alias("band_bytes"), F.first("signature").alias("signature"))
+    nodes = staged(first, "nodes")
+    roots = connected_components(links(texts, nodes, shingle=shingle, num=num, den=den)).select(F.col("node").alias("of"), "root")
     # Null ids come last: a class keeps one only if it has no other.
-    distinct = printed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("own")).select("node", "own.none", "own.doc_id")
-    won = distinct.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min(F.struct("none", "doc_id", "node")).alias("least"))
-    id_key, node_key, own = (unused_name(documents, n) for n in ("kept_id", "kept_node", "own_node"))
-    kept = staged(won.select(F.col("least.doc_id").alias(id_key), F.col("least.node").alias(node_key)), "kept")
-    at = documents.columns.index(text_col)
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in batches:
-            nodes = [node_of(shingles_of(t.as_py(), hashes, shingle)) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names=[*batch.schema.names, own])
-
-    with_node = documents.mapInArrow(marked, documents.withColumn(own, F.lit(0).cast("long")).schema)
-    same = (F.col(own) == F.col(node_key)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_key))
-    out = with_node.join(kept.hint("shuffle_hash"), same, "left_semi")
-    repeated = printed.groupBy("doc_id", "node").count().where("count > 1")
+    own = printed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("own"))
+    won = own.join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("own").alias("least"))
+    id_key, text_key, mark = (unused_name(documents, n) for n in ("kept_id", "kept_text", "own_text"))
+    kept = staged(won.select(F.col("least.doc_id").alias(id_key), F.col("least.text_key").alias(text_key)), "kept")
+    marked = documents.withColumn(mark, _text_key(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    same = (F.col(mark) == F.col(text_key)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_key))
+    # One plan at every size: texts are dealt once and met by the rows that stay.
+    out = marked.join(kept.hint("shuffle_hash"), same, "left_semi")
+    repeated = printed.groupBy("doc_id", "text_key").count().where("count > 1")
     if not repeated.isEmpty():
-        out = out.dropDuplicates([id_col, own])
-    return out.drop(own)
+        out = out.dropDuplicates([id_col, mark])
+    return out.drop(mark)

@@ -5,18 +5,27 @@ lattice.  A forward Viterbi pass gives every position its best score from the st
 searching backward from the end, that score is an exact heuristic, so A-star pops whole
 segmentations in the order of their scores.
 
+Scores are the file's own if they are log-probabilities (unigram files).  A merge file has
+only ranks (0, -1, -2, ...), whose sums would favour many early merges; ranks become
+log-probabilities by the Zipf-Mandelbrot rule, p ~ 1 / (rank + 2.7).  Nothing is fitted.
+``scores="file"`` takes the ranks as they are.
+
 No piece holds a word mark after another character, so a text's lattice is a chain of the
 lattices of its words, and the forward pass of a word can be kept and used again.  For the
 N-best of a whole text, each word has a gap: the loss of its best alternative, read off the
 forward pass along the best path.  Only the ``n - 1`` words of the smallest gaps can differ
 from the best path in the N-best (changing one of them at a time already gives ``n - 1``
-better texts), so the backward search runs on these words alone.
+better texts), so the backward search runs on these words alone.  The best segmentation comes
+whole, the others as what they change in it (``expanded`` makes them whole).
 
 Map-only.  A worker keeps a bounded number of words.  Characters that are no piece become an
 unknown node (the least score of any piece, less 10) and are written as their UTF-8 bytes.
-Null and empty texts have no pieces, score 0 and one (empty) segmentation.  Decoding gives
-the text back exactly, save that U+2581, the word mark itself, comes back as a space.
-Ties are ordered by the search: longer pieces first, deterministic on every machine.
+Null and empty texts have no pieces, score 0 and one (empty) segmentation.  Very long texts and
+words are taken whole: a word of n letters takes time and memory in proportion to n.  Decoding
+gives the text back exactly, save that U+2581, the word mark itself, comes back as a space.
+Ties go to the search: the longer last piece first, deterministic on every machine.  Repeated
+rows give equal rows, an empty table an empty one; only the id and text columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -38,8 +47,11 @@ from .common import as_text, prepare
 
 MARK = "▁"
 #: Words and word parts that a worker keeps, in each of two generations.
-_KEPT_WORDS, _KEPT_PARTS = 300_000, 60_000
+_KEPT_WORDS, _KEPT_PARTS = 450_000, 90_000
+#: Longer words are not kept.
+_KEPT_LENGTH = 48
 _FAR = 1e30
+_ZIPF = 2.7
 _LETTERS = r"[^\W\d_" + MARK
 
 
@@ -57,6 +69,8 @@ class _Words(dict):
         found = self.older.get(word)
         if found is None:
             found = self.make(word)
+            if len(word) > _KEPT_LENGTH:
+                return found
         if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
@@ -68,7 +82,7 @@ _GAP = struct.Struct("<d")
 
 
 class Segmenter:
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, scores: str = "log"):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.sp, size = sp, sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(size)]
@@ -83,6 +97,7 @@ class Segmenter:
         self.lengths = np.array(list(map(len, output)), np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.names = names
+        value = _scores([sp.get_score(i) for i in range(size)], plain, scores)
         #: Characters to (next characters, id or -1, score): a step a character.
         self.trie: dict[str, list] = {}
         self.longest = max(len(names[i]) for i in plain)
@@ -91,8 +106,8 @@ class Segmenter:
             for c in names[i]:
                 node = kids.setdefault(c, [{}, -1, 0.0])
                 kids = node[0]
-            node[1:] = i, sp.get_score(i)
-        self.unknown_score = min(s for s in map(sp.get_score, plain) if s > -1e8) - 10.0
+            node[1:] = i, value[i]
+        self.unknown_score = min(value[i] for i in plain if value[i] > -1e8) - 10.0
         # Where the lattice falls apart: before a mark that follows something else, and
         # between a letter and what is none, as long as no piece goes across.
         self.by_words = not any(MARK in names[i].lstrip(MARK) for i in plain)
@@ -105,7 +120,7 @@ class Segmenter:
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
         # Ids tell their score; an unknown character's is told by the first byte of its UTF-8 form.
         self.scores = np.zeros(size)
-        self.scores[plain] = [sp.get_score(i) for i in plain]
+        self.scores[plain] = [value[i] for i in plain]
         self.scores[[i for b, i in self.byte_ids.items() if not 0x80 <= b < 0xC0] or [self.unknown_id]] = self.unknown_score
         self.plain_form = all(self._normal(t) == MARK + t.replace(" ", MARK) for t in ("a  b", " ﬁÅ ", "A\n\tb", "　x"))
         self.chunks = _Words(self._path, _KEPT_PARTS)
@@ -117,22 +132,6 @@ class Segmenter:
     def normalised(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if self.plain_form else self._normal(text)
 
-    def _edges(self, chunk: str) -> Iterator[tuple[int, int, int, float]]:
-        """(end, length, id, score) in the order of starts; -1 - code point for an unknown character."""
-        for start in range(len(chunk)):
-            kids, end = self.trie, start
-            for c in chunk[start : start + self.longest]:
-                node = kids.get(c)
-                if node is None:
-                    break
-                kids, piece, score = node
-                end += 1
-                if piece >= 0:
-                    yield end, end - start, piece, score
-            first = self.trie.get(chunk[start])
-            if first is None or first[1] < 0:
-                yield start + 1, 1, -1 - ord(chunk[start]), self.unknown_score
-
     def _ids(self, piece: int) -> tuple[int, ...]:
         if piece >= 0:
             return (piece,)
@@ -192,28 +191,58 @@ class Segmenter:
         parts = [self.chunks[c] for c in chunks]
         return min(parts, key=_GAP.unpack_from)[:8] + b"".join([p[8:] for p in parts])
 
+    def _lattice(self, chunk: str) -> tuple[list[float], list[list[tuple[float, int, int]]]]:
+        """Forward Viterbi over the lattice: the best score up to each position, and the arcs into
+        it, the best first: (loss to the best one, start, id or -1 - code point if unknown)."""
+        n, longest, trie = len(chunk), self.longest, self.trie
+        best, into = [0.0] + [-_FAR] * n, [[] for _ in range(n + 1)]
+        for start in range(n):
+            base, kids, end = best[start], trie, start
+            first = trie.get(chunk[start])
+            if first is None or first[1] < 0:
+                into[start + 1].append((base + self.unknown_score, start, -1 - ord(chunk[start])))
+            for c in chunk[start : start + longest]:
+                node = kids.get(c)
+                if node is None:
+                    break
+                kids, piece, score = node
+                end += 1
+                if piece >= 0:
+                    into[end].append((base + score, start, piece))
+            # All arcs into the next position are known now.
+            arcs = into[start + 1]
+            top = best[start + 1] = max(arcs)[0] if arcs else -_FAR
+            into[start + 1] = sorted((top - value, at, piece) for value, at, piece in arcs if value > -_FAR / 2)
+        return best, into
+
     def search(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
-        """The ``n`` best segmentations of a chunk: A-star backward from its end."""
-        size_of = len(chunk)
-        best, into = [-_FAR] * (size_of + 1), [[] for _ in range(size_of + 1)]
-        best[0] = 0.0
-        for end, size, piece, score in self._edges(chunk):
-            into[end].append((size, piece, score))
-            best[end] = max(best[end], best[end - size] + score)
-        agenda, pushed, out = [(-best[size_of], 0, size_of, 0.0, ())], 0, []
+        """The ``n`` best segmentations of a chunk: A-star backward from its end.
+
+        A state is a position and which of the arcs into it comes next; its cost is the loss so far,
+        since what lies before it can be had at its best score.  Of equal states the one nearest to
+        the start is taken, so ties cost no breadth, and no position is entered more than ``n`` times.
+        """
+        size = len(chunk)
+        best, into = self._lattice(chunk)
+        agenda, pushed, out, entered = [(0.0, size, 0, 0, 0.0, ())], 0, [], [0] * (size + 1)
         while agenda and len(out) < n:
-            cost, _, at, behind, path = heapq.heappop(agenda)
-            if at == 0:
-                ids, step = [], path
-                while step:
-                    ids.extend(self._ids(step[0]))
-                    step = step[1]
-                out.append((-cost, array("I", ids).tobytes()))
-                continue
-            for size, piece, score in into[at]:
-                if best[at - size] > -_FAR / 2:
-                    pushed += 1
-                    heapq.heappush(agenda, (-(behind + score + best[at - size]), pushed, at - size, behind + score, (piece, path)))
+            loss, at, _, arc, came, path = heapq.heappop(agenda)
+            arcs = into[at]
+            if arc + 1 < len(arcs):
+                pushed += 1
+                heapq.heappush(agenda, (came + arcs[arc + 1][0], at, pushed, arc + 1, came, path))
+            _, start, piece = arcs[arc]
+            path = (piece, path)
+            if start == 0:
+                ids = []
+                while path:
+                    ids.extend((path[0],) if path[0] >= 0 else self._ids(path[0]))
+                    path = path[1]
+                out.append((best[size] - loss, array("I", ids).tobytes()))
+            elif entered[start] < n:
+                entered[start] += 1
+                pushed += 1
+                heapq.heappush(agenda, (loss, start, pushed, 0, loss, path))
         return out
 
     def _split(self, text: str) -> tuple[list[str], list[bytes], bool]:
@@ -240,28 +269,23 @@ class Segmenter:
         """Ids of the best segmentation."""
         return self._paths(text)[2] if text else np.zeros(0, "<u4")
 
-    def nbest(self, text: str | None, n: int) -> list[tuple[float, bytes]]:
-        """(score, ids as little-endian 32-bit numbers) of the ``n`` best segmentations, best first."""
+    def nbest(self, text: str | None, n: int) -> tuple[np.ndarray, float, list[tuple[float, list[tuple[int, int, bytes]]]]]:
+        """Ids and score of the best segmentation, then (score, changes) of the ``n`` best, best first.
+
+        A change is (start, stop, ids): these take the place of the best one's ids from start to stop.
+        """
         if not text:
-            return [(0.0, b"")]
+            return np.zeros(0, "<u4"), 0.0, [(0.0, [])]
         words, bare, best, starts, gaps = self._paths(text)
         total = float(self.scores[best].sum())
         few = [int(i) for i in _smallest(gaps, min(n - 1, len(gaps))) if gaps[i] < _FAR / 2]
-        changes: list[tuple[float, tuple]] = [(0.0, ())]  # loss, ((place, ids), ...) in the order of places
+        found: list[tuple[float, tuple]] = [(0.0, ())]  # loss, ((place, ids), ...) in the order of places
         for place in sorted(few):
             (top, _), *others = self.search(MARK + words[place] if bare else words[place], n)
-            more = [(loss + top - score, change + ((place, ids),)) for loss, change in changes for score, ids in others]
-            changes = heapq.nsmallest(n, changes + more, key=lambda c: c[0])
-        raw = best.tobytes()
-        ends = {place: 4 * int(starts[place + 1]) if place + 1 < len(starts) else len(raw) for place in few}
-        out = []
-        for loss, change in changes:
-            parts, at = [], 0
-            for place, ids in change:
-                parts += [raw[at : 4 * int(starts[place])], ids]
-                at = ends[place]
-            out.append((total - loss, b"".join([*parts, raw[at:]])))
-        return out
+            more = [(loss + top - score, change + ((place, ids),)) for loss, change in found for score, ids in others]
+            found = heapq.nsmallest(n, found + more, key=lambda c: c[0])
+        stop = {place: int(starts[place + 1]) if place + 1 < len(starts) else len(best) for place in few}
+        return best, total, [(total - loss, [(int(starts[place]), stop[place], ids) for place, ids in change]) for loss, change in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """Every piece's bytes, gathered from one buffer."""
@@ -274,6 +298,28 @@ class Segmenter:
         return raw[1:] if raw.startswith(" ") else raw
 
 
+def expanded(ids: np.ndarray, changes) -> np.ndarray:
+    """The whole ids of a segmentation that is told by its changes to ``ids``."""
+    parts, at = [], 0
+    for start, stop, new in changes:
+        parts += [ids[at:start], np.frombuffer(new, "<u4") if isinstance(new, bytes) else np.array(new, "<u4")]
+        at = stop
+    return np.concatenate([*parts, ids[at:]]).astype("<u4")
+
+
+def _scores(own: list[float], plain: list[int], scores: str) -> list[float]:
+    """The additive score of every piece; ranks (distinct whole numbers) become log-probabilities.
+
+    Pieces that the file puts behind all ranks (below -1e8: runs of spaces) get the last rank.
+    """
+    ranked = [own[i] for i in plain if own[i] > -1e8]
+    if scores == "file" or len(set(ranked)) < len(ranked) or any(s > 0 or s != int(s) for s in ranked):
+        return own
+    last = min(ranked) - 1
+    whole = float(np.log(sum(1 / (_ZIPF - max(own[i], last)) for i in plain)))
+    return [float(-np.log(_ZIPF - min(max(s, last), 0.0))) - whole for s in own]
+
+
 def _smallest(values: np.ndarray, k: int) -> np.ndarray:
     """Places of the k least values, ties to the earlier place."""
     if k <= 0:
@@ -283,45 +329,61 @@ def _smallest(values: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((sure, np.flatnonzero(values == limit)[: k - len(sure)]))
 
 
-_LOADED: dict[str, Segmenter] = {}
+_LOADED: dict[tuple[str, str], Segmenter] = {}
 
 
-def segmenter(model: bytes) -> Segmenter:
-    """One per worker process and model."""
-    key = hashlib.sha256(model).hexdigest()
+def segmenter(model: bytes, scores: str = "log") -> Segmenter:
+    """One per worker process, model and kind of scores."""
+    key = hashlib.sha256(model).hexdigest(), scores
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Segmenter(model)
+        _LOADED[key] = Segmenter(model, scores)
     return _LOADED[key]
 
 
-_ENCODED = "doc_id long, n_pieces long, ids array<int>, score double, nbest array<struct<score:double,ids_sha256:string>>, ids_sha256 string, round_trip boolean"
-_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("score", pa.float64()),
-    ("nbest", pa.list_(pa.struct([("score", pa.float64()), ("ids_sha256", pa.string())]))), ("ids_sha256", pa.string()), ("round_trip", pa.bool_()),
-])
+_CHANGE = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_BEST = pa.struct([("score", pa.float64()), ("changes", pa.list_(_CHANGE))])
+_ENCODED = "doc_id long, n_pieces long, ids array<int>, score double, nbest array<struct<score:double,changes:array<struct<start:int,stop:int,ids:array<int>>>>>, ids_sha256 string, round_trip boolean"
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))), pa.int32())
+
 
+def _ids_column(parts: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+    return pa.ListArray.from_arrays(_offsets(list(map(len, parts))), pa.array(flat.astype(np.int32)))
 
-def encode(documents: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, with_ids: bool = True) -> DataFrame:
-    """A row per document: ids and score of the best segmentation, scores and digests of the ``n`` best,
+
+def _nbest_column(rows: list[list]) -> pa.Array:
+    best = [b for row in rows for b in row]
+    changes = [c for _, each in best for c in each]
+    flat = pa.StructArray.from_arrays([pa.array([c[0] for c in changes], pa.int32()), pa.array([c[1] for c in changes], pa.int32()), _ids_column([np.frombuffer(c[2], "<u4") for c in changes])], fields=list(_CHANGE))
+    each = pa.ListArray.from_arrays(_offsets([len(c) for _, c in best]), flat)
+    whole = pa.StructArray.from_arrays([pa.array([s for s, _ in best], pa.float64()), each], fields=list(_BEST))
+    return pa.ListArray.from_arrays(_offsets(list(map(len, rows))), whole)
+
+
+def encode(documents: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, scores: str = "log") -> DataFrame:
+    """A row per document: ids and score of the best segmentation, scores and changes of the ``n`` best,
     and whether decoding the ids gives the text back."""
     spark = documents.sparkSession
     prepare(spark)
     model = spark.sparkContext.broadcast(Path(model_file).read_bytes())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segmenter(model.value)
+        own = segmenter(model.value, scores)
         for batch in batches:
-            columns: list[list] = [[] for _ in _ARROW.names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                found = own.nbest(text, n)
-                digests = [hashlib.sha256(ids).hexdigest() for _, ids in found]
-                ids = np.frombuffer(found[0][1], "<u4")
-                row = (doc_id, len(ids), ids.astype(np.int32) if with_ids else None, found[0][0], [{"score": s, "ids_sha256": d} for (s, _), d in zip(found, digests, strict=True)], digests[0], own.decode(ids) == (text or ""))
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+            for at in range(0, batch.num_rows, 512):  # ids take several times the room of a text
+                part = batch.slice(at, 512)
+                texts = part.column(1).to_pylist()
+                found = [own.nbest(text, n) for text in texts]
+                every = [ids for ids, _, _ in found]
+                columns = [
+                    part.column(0), pa.array(list(map(len, every)), pa.int64()), _ids_column(every), pa.array([s for _, s, _ in found], pa.float64()), _nbest_column([b for _, _, b in found]),
+                    pa.array([hashlib.sha256(ids.tobytes()).hexdigest() for ids in every]), pa.array([own.decode(ids) == (text or "") for ids, text in zip(every, texts, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_pieces", "ids", "score", "nbest", "ids_sha256", "round_trip"])
 
     return as_text(documents, id_col, text_col).mapInArrow(encoded, _ENCODED)
 

@@ -1,71 +1,124 @@
 """Secret scan: patterns propose candidates, a random forest removes false positives.
 
-Candidates are values given to a telling name (``token = "..."``), keys with a known
-prefix or frame, and long unbroken runs that hold digits.  The forest sees a candidate's
-length, character transitions, dictionary coverage, whether it lies in a path or address,
-and the words beside it.  It is grown on labelled findings: invented lines with real-looking
-secrets and with what is mistaken for them (digests of commits and files, identifiers,
-paths, placeholders, card and phone numbers).
-
-Whole texts are scanned where they lie, no shuffle.  Null or empty texts give no findings;
-repeated rows give their findings each.  Of overlapping candidates the earliest wins, then
-the longest.  Offsets count code points.
+Candidates are values given to a telling name (``token = "..."``; quoted ones may hold spaces),
+what follows ``Bearer`` or stands as the password of an address, keys with a known prefix or
+frame, and long unbroken runs that hold digits.  A name tells by whole words of it: ``auth_token``
+does, ``author`` doesn't.  The forest sees a candidate's length, character transitions, dictionary
+coverage, whether it lies in a path or address, how it was given, and the words beside it.  It is
+grown on labelled findings: invented lines with real-looking secrets and with what is mistaken
+for them (digests of commits and files, identifiers, paths, placeholders, prose after a colon,
+card and phone numbers).
+
+Whole texts and whole values are read where they lie, in time proportional to the text, no
+shuffle.  All candidates are scored first: of overlapping ones those taken for secrets win, then
+keys of a known form, then the earliest, then the longest.  Null or empty texts give no findings;
+repeated rows give their findings each; an empty table gives none.  Offsets count code points.
+Other columns may have any name: ``scan`` reads the id and the text only, ``masked`` leaves the
+others as they are.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import as_text, prepare
 from .trees import Forest, grow_forest
 
-# Names that are given secrets, words that tell of digests and samples.
-_NAMES = ("token", "secret", "passw", "passphrase", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "client_key", "credential", "auth")
+# Words of names that are given secrets, words that tell of digests and samples.
+_PASSWORDS = frozenset("password passwd passphrase pwd pass passcode pw".split())
+_TOKENS = frozenset("token secret apikey credential auth authorization authtoken accesskey secretkey privatekey".split())
+_KEY_OF = frozenset("api access private secret client signing encryption account storage master".split())
 _BENIGN = frozenset("commit sha sha1 sha256 md5 checksum digest hash etag revision rev uuid guid id build version file path image blob tree isbn order invoice phone card".split())
-_SAMPLE = re.compile(r"example|sample|dummy|placeholder|your|changeme|change_me|xxxx|\*\*\*|test|todo|redacted|none|null|<|\$\{|1234|abcd|(.)\1{5,}", re.I)
+_SAMPLE = re.compile(r"example|sample|dummy|placeholder|your|changeme|change_me|xxxx|\*\*\*|test|todo|redacted|none|null|<|\$\{|\(|\[|1234|abcd|(.)\1{5,}", re.I)
 #: Fixed key formats.
 _PREFIXED = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?"
-    r"|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}|\bglpat-[A-Za-z0-9_-]{20,}|\bsk_(?:live|test)_[A-Za-z0-9]{16,}"
-    r"|\bxox[abprs]-[A-Za-z0-9-]{10,}|\bAIza[0-9A-Za-z_-]{35}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"
+    r"-----BEGIN [A-Z ]*+PRIVATE KEY-----|-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?-----"
+    r"|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}"
+    r"|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{4,}+)"
 )
 _MARKS = ("-----BEGIN", "AKIA", "ASIA", "gh", "glpat-", "sk_", "xox", "AIza", "eyJ")
-_GIVEN = re.compile(r"(?i)(?:[a-z0-9_-]*(?:" + "|".join(_NAMES) + r")[a-z0-9_-]*)[\"']?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"']?([^\s\"'<>;,]{6,})")
+_FRAME = re.compile(r"(?:[A-Za-z0-9+/=\s]|\\[nr])*+-----END [A-Z ]{0,30}-----")
+#: A name (read once: possessive) and what gives it a value.
+_NAME = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)[\"']?\s{0,3}(=>|:=|==|[:=])\s{0,3}")
+_VALUE = re.compile(r"\"([^\"\n]{6,}+)\"|'([^'\n]{6,}+)'|[\"']?((?:[^\s\"'<>;,&]|&(?![A-Za-z0-9_-]{1,40}=)){6,}+)")
+_BEARER = re.compile(r"\b(?:[Bb]earer|[Bb]asic)\s{1,3}([A-Za-z0-9._~+/=-]{16,}+)")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@\"'<>]{1,200}:([^\s:/@\"'<>]{4,200})@")
 _LONG = 18
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{18,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{18,}+={0,2}")
 _DIGIT = re.compile(r"[0-9]")
-_KINDS = ("given", "prefixed", "run")
+_KINDS = ("prefixed", "bearer", "address", "given", "run")
 
 _DICTIONARY = "the and for with from this that have not are was has you all one when more time user name value key file image data test path index config service system local server client public private http https www com org net html example default null true false string number list item main page link order number street road city river water history people world house first last great small never under after before about where which their other und der die das nicht auch eine ist von mit les des une est dans pour que qui los las una por con para".split()
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) without overlaps, in order."""
-    found: list[tuple[int, int, str]] = []
-    lower = text.lower()
-    if any(n in lower for n in _NAMES):
-        found += [(*m.span(1), "given") for m in _GIVEN.finditer(text)]
+class Candidate(NamedTuple):
+    start: int
+    end: int
+    kind: str
+    name: int = 0  # 1: a token's name, 2: a password's
+    equals: bool = False
+    quoted: bool = False
+    code: bool = False  # the name is written as in code
+
+
+@cache
+def _plain_words(name: str) -> tuple[str, ...]:
+    return tuple(w for w in re.split(r"[_-]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name).lower()) if w)
+
+
+def told_by(name: str) -> int:
+    """2 if whole words of the name tell of a password, 1 of another secret, else 0."""
+    if len(name) > 100:
+        return 0
+    words = _plain_words(name) if len(name) <= 40 else _plain_words.__wrapped__(name)
+    if any(w in _PASSWORDS for w in words):
+        return 2
+    pairs = zip(words, words[1:], strict=False)
+    return int(any(w in _TOKENS for w in words) or any(b == "key" and a in _KEY_OF for a, b in pairs))
+
+
+def candidates(text: str) -> list[Candidate]:
+    """Every candidate, overlaps included, in the order of the patterns."""
+    found: list[Candidate] = []
+    if "=" in text or ":" in text:
+        at = 0
+        while m := _NAME.search(text, at):
+            at = m.end()
+            told = told_by(m.group(1))
+            value = _VALUE.match(text, at) if told else None
+            if value is None:
+                continue
+            at = value.end()  # what stands in a value is part of it
+            group = value.lastindex
+            start, end = value.span(group)
+            if group == 3:
+                while end > start and text[end - 1] in ".)]}:":
+                    end -= 1
+            if end - start >= 6:
+                name = m.group(1)
+                code = "_" in name or "-" in name or name.isupper() or not (name.islower() or name.istitle())
+                found.append(Candidate(start, end, "given", told, m.group(2) != ":", group < 3, code))
+        if "earer" in text or "asic " in text:
+            found += [Candidate(*m.span(1), "bearer") for m in _BEARER.finditer(text)]
+        if "://" in text and "@" in text:
+            found += [Candidate(*m.span(1), "address") for m in _ADDRESS.finditer(text)]
     if any(m in text for m in _MARKS):
-        found += [(*m.span(), "prefixed") for m in _PREFIXED.finditer(text)]
+        for m in _PREFIXED.finditer(text):
+            rest = _FRAME.match(text, m.end()) if m.group().startswith("-----") else None
+            found.append(Candidate(m.start(), rest.end() if rest else m.end(), "prefixed"))
     if any(len(w) >= _LONG and _DIGIT.search(w) for w in text.split()):
-        found += [(*m.span(), "run") for m in _RUN.finditer(text) if _DIGIT.search(m.group())]
-    out: list[tuple[int, int, str]] = []
-    for start, end, kind in sorted(found, key=lambda c: (c[0], -c[1], _KINDS.index(c[2]))):
-        while kind == "given" and end > start and text[end - 1] in ".)]}":
-            end -= 1
-        if end - start >= 6 and (not out or start >= out[-1][1]):
-            out.append((start, end, kind))
-    return out
+        found += [Candidate(*m.span(), "run") for m in _RUN.finditer(text) if _DIGIT.search(m.group())]
+    return found
 
 
 @cache
@@ -86,19 +139,16 @@ def _class(c: str) -> str:
     return "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "p"
 
 
-def candidate_features(text: str, start: int, end: int, kind: str) -> tuple:
-    value = text[start:end]
-    body = value[:400]  # a frame can be long; its shape shows at once
-    low = body.lower()
-    before, after = text[max(0, start - 60) : start], text[end : end + 40]
+def candidate_features(text: str, c: Candidate) -> tuple:
+    value = text[c.start : c.end]
+    low = value.lower()
+    before, after = text[max(0, c.start - 60) : c.start], text[c.end : c.end + 40]
     around = re.findall(r"[a-z0-9_]+", before.lower())[-4:] + re.findall(r"[a-z0-9_]+", after.lower())[:2]
-    last = re.findall(r"[a-z0-9_-]+", before.lower())[-1:]
-    count = Counter(body)
-    n = len(body)
-    entropy = -sum(k / n * math.log2(k / n) for k in count.values())
+    n = len(value)
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     table = _transitions()
     steps = [table[p] for p in (a + b for a, b in zip(low, low[1:], strict=False)) if p in table]
-    classes = [_class(c) for c in body]
+    classes = "".join(map(_class, value))
     token = re.split(r"[\s\"']", before)[-1] if before else ""
     return (
         float(n),
@@ -109,22 +159,25 @@ def candidate_features(text: str, start: int, end: int, kind: str) -> tuple:
         classes.count("u") / n,
         classes.count("p") / n,
         sum(map(len, _words_pattern().findall(low))) / n,
-        float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body))),
+        float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value))),
         float(bool(re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
-        float(body.isdigit()),
+        float(value.isdigit()),
         float(value.count("/") + value.count("\\")) / n,
         float("://" in token or "/" in token or "@" in token or before.endswith((".", "/"))),
-        float(any(name in w for w in last for name in _NAMES)),
+        float(c.name),
         float(any(w in _BENIGN for w in around)),
-        float(bool(_SAMPLE.search(body))),
-        float(after[:1] in "\"'" and before[-1:] in ("\"", "'") if after else 0),
+        float(bool(_SAMPLE.search(value))),
         float(value.count("_") + value.count("-")) / n,
-        float(kind == "given"),
-        float(kind == "prefixed"),
+        float(c.equals),
+        float(c.quoted),
+        float(c.code),
+        float(value.count(" ")),
+        float(value.isalpha()),
+        *(float(c.kind == k) for k in _KINDS),
     )
 
 
-def labelled_findings(count: int = 3_000, seed: int = 3) -> Iterator[tuple[str, str, int]]:
+def labelled_findings(count: int = 4_000, seed: int = 3) -> Iterator[tuple[str, str, int]]:
     """(line, value, label): half secrets, half what is mistaken for them."""
     rng = np.random.default_rng(seed)
 
@@ -138,28 +191,52 @@ def labelled_findings(count: int = 3_000, seed: int = 3) -> Iterator[tuple[str,
     def words(n: int, sep: str = " ") -> str:
         return sep.join(pick(_DICTIONARY) for _ in range(n))
 
+    def invented(n: int) -> str:
+        """Words of no dictionary, of consonants and vowels in turn."""
+        return " ".join("".join(pick("bcdfghklmnprstvw") + pick("aeiou") for _ in range(int(rng.integers(2, 5)))) + pick(["", "n", "r", "s"]) for _ in range(n))
+
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    names = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "client_secret", "auth_token", "db_password", "TOKEN", "API_KEY", "Password")
+    passwords = ("password", "passwd", "pwd", "db_password", "Password", "DB_PASSWORD", "PASSPHRASE", "userPassword", "pass")
+    tokens = ("token", "secret", "api_key", "apikey", "access_key", "client_secret", "auth_token", "TOKEN", "API_KEY", "apiKey", "access-token", "SECRET_KEY", "x-api-key")
     for i in range(count):
         left, right = words(int(rng.integers(0, 9))), words(int(rng.integers(0, 9)))
+        if rng.random() < 0.5:
+            left, right = invented(int(rng.integers(0, 9))), invented(int(rng.integers(0, 9)))
         sep, quote = pick(["=", " = ", ": ", ":", " := "]), pick(['"', '"', "'", ""])
         if i % 2 == 0:
-            shape = int(rng.integers(9))
-            value = (chars(hexa, 16, 64), chars(alnum, 12, 44), "AKIA" + chars(alnum[:26] + "0123456789", 16), "ghp_" + chars(alnum, 36), "sk_live_" + chars(alnum, 24), "AIza" + chars(alnum + "_-", 35), chars(hexa, 18), chars(hexa, 40), chars(alnum + "!@%^*", 8, 16))[shape]
-            bare = 2 <= shape <= 5 and rng.random() < 0.6
-            line = f"{left} {value} {right}" if bare else f"{left} {pick(names)}{sep}{quote}{value}{quote} {right}"
+            shape = int(rng.integers(14))
+            value = (
+                chars(hexa, 16, 64), chars(alnum, 12, 44), "AKIA" + chars(alnum[:26] + "0123456789", 16), "ghp_" + chars(alnum, 36), "sk_live_" + chars(alnum, 24), "AIza" + chars(alnum + "_-", 35), chars(hexa, 18), chars(hexa, 40),
+                chars(alnum + "!@%^*", 8, 16), f"-----BEGIN {pick(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\\n{chars(alnum + '+/', 40, 400)}\\n-----END PRIVATE KEY-----", chars(alnum + "-._", 20, 60), pick([invented, words])(int(rng.integers(2, 6))),
+                chars(alnum + "!$%^&*", 6, 20), words(1) + chars("0123456789!", 2, 5),
+            )[shape]
+            if shape == 10:
+                line = f"{left} {pick(['Authorization: Bearer', 'bearer', 'Authorization: Basic'])} {value} {right}"
+            elif shape == 11:
+                line = f"{left} {pick(passwords)}{pick(['=', ' = ', ': '])}\"{value}\" {right}"
+            elif shape == 12:
+                line = f"{left} {pick(['postgres', 'mysql', 'https', 'amqp'])}://{words(1)}:{value}@{words(1)}.example.com/{words(1)} {right}"
+            elif shape == 9 or (2 <= shape <= 5 and rng.random() < 0.6):
+                line = f"{left} {value} {right}"
+            else:
+                line = f"{left} {pick(passwords if shape in (8, 13) else tokens + passwords)}{sep}{quote}{value}{quote} {right}"
             yield line, value, 1
         else:
-            shape = int(rng.integers(10))
+            shape = int(rng.integers(16))
             value = (
                 chars(hexa, 40), chars(hexa, 32), chars(hexa, 64), f"{chars(hexa, 8)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 12)}", words(4, "_") + chars("0123456789", 1, 3), words(3, "-") + "-" + chars("0123456789", 2, 8),
-                words(3, "/") + "/" + chars("0123456789", 2, 5), chars("0123456789", 18, 24), pick(["your_token_here", "changeme", "example123", "xxxxxxxx", "${SECRET}", "********", "placeholder_value_1", "test1234test1234test", "<token>", "None", "null-null-null"]), words(3, "") + chars("0123456789", 1, 2),
+                words(3, "/") + "/" + chars("0123456789", 2, 5), chars("0123456789", 18, 24), pick(["your_token_here", "changeme", "example123", "xxxxxxxx", "${SECRET}", "********", "placeholder_value_1", "test1234test1234test", "<token>", "None", "null-null-null", "get_token()", "os.environ[KEY]", "REDACTED"]),
+                words(3, "") + chars("0123456789", 1, 2), invented(1), words(1) + words(1), invented(1).capitalize(), invented(1) + "," , words(1, "") + "string", f"https://{words(1)}.example.com/{words(2, '/')}",
             )[shape]
             name = pick(["commit", "sha1", "md5", "checksum", "digest", "etag", "revision", "build", "file", "uuid", "id", "blob", "image", "path", "see", "order"])
             if shape == 8:
-                line = f"{left} {pick(names)}{sep}{quote}{value}{quote} {right}"
+                line = f"{left} {pick(tokens + passwords)}{sep}{quote}{value}{quote} {right}"
             elif shape == 6:
                 line = f"{left} https://www.example.com/{value} {right}"
+            elif shape in (10, 11, 12, 13):  # prose after a colon
+                line = f"{left} {pick(['secret', 'password', 'token', 'the secret', 'pass', 'Password', 'auth', 'Secret'])}: {value} {right}"
+            elif shape in (14, 15):
+                line = f"{left} {pick(tokens + passwords)}{pick([': ', '=', ' = '])}{value} {right}"
             else:
                 line = f"{left} {name}{pick([' ', ': ', '=', ' '])}{value} {right}"
             yield line, value, 0
@@ -170,28 +247,37 @@ def false_positive_forest() -> Forest:
     """The forest, grown on the labelled findings; the same on every machine."""
     x, y = [], []
     for line, value, label in labelled_findings():
-        for start, end, kind in candidates(line):
-            inside = line[start:end] in value or value in line[start:end]
+        for c in candidates(line):
+            inside = line[c.start : c.end] in value or value in line[c.start : c.end]
             if inside:
-                x.append(candidate_features(line, start, end, kind))
+                x.append(candidate_features(line, c))
                 y.append(float(label))
     return grow_forest(np.array(x), np.array(y))
 
 
-def findings(text: str | None, forest: Forest | None = None) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, score) of every candidate; score is the share of trees' vote for a secret."""
+def findings(text: str | None, forest: Forest | None = None, threshold: float = 0.5) -> list[tuple[int, int, str, float]]:
+    """(start, end, kind, score) without overlaps, in order; score is the share of trees' vote for a secret."""
     if not text:
         return []
     found = candidates(text)
     if not found:
         return []
     forest = forest or false_positive_forest()
-    return [(a, b, kind, forest.score(candidate_features(text, a, b, kind))) for a, b, kind in found]
+    scored = [(c, forest.score(candidate_features(text, c))) for c in dict.fromkeys(found)]
+    scored.sort(key=lambda s: (s[1] < threshold, s[0].kind != "prefixed", s[0].start, -s[0].end, _KINDS.index(s[0].kind)))
+    starts: list[int] = []
+    out: list[tuple[int, int, str, float]] = []
+    for c, score in scored:
+        place = bisect(starts, c.start)
+        if (place == 0 or out[place - 1][1] <= c.start) and (place == len(out) or out[place][0] >= c.end):
+            starts.insert(place, c.start)
+            out.insert(place, (c.start, c.end, c.kind, score))
+    return out
 
 
 def mask(text: str | None, forest: Forest | None = None, threshold: float = 0.5, cover: str = "[SECRET]") -> str | None:
     out, at = [], 0
-    for a, b, _, score in findings(text, forest):
+    for a, b, _, score in findings(text, forest, threshold):
         if score >= threshold:
             out += [text[at:a], cover]
             at = b
@@ -211,7 +297,7 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                for a, b, kind, score in findings(text, forest):
+                for a, b, kind, score in findings(text, forest, threshold):
                     rows.append({"doc_id": doc_id, "start": a, "stop": b, "kind": kind, "value": text[a:b], "score": score, "is_secret": score >= threshold})
             yield pa.RecordBatch.from_pylist(rows, schema=_FINDINGS)
 
@@ -236,7 +322,3 @@ def masked(documents: DataFrame, *, text_col: str = "text", length_col: str | No
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return documents.mapInArrow(cover, documents.schema)
-
-
-def value_digest(value: str) -> str:
-    return hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()

@@ -17,8 +17,10 @@ a spanning forest of each run (``n - 1`` links at most, never all pairs).  A run
 ``block`` fingerprints is not handled by one task: its rows go on, numbered by blocks,
 to a second step where each pair of blocks is a group of its own.
 
-Null or wordless texts have fingerprint zero and are linked like any other.  Repeated
-rows share a class.  Tied bits (set in exactly half of the hashes) are 0.
+Null or wordless texts have fingerprint zero and are linked like any other; very long ones
+are read whole, a task holding one batch of texts.  Repeated rows share a class.  Tied bits
+(set in exactly half of the hashes) are 0.  An empty table gives an empty one.  Only the id
+and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, prepare, shuffle_partitions, staged, unused_name
+from .common import as_text, prepare, shuffle_partitions, spread_join, staged
 from .components import connected_components
 
 #: Generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the binary Golay code.
@@ -121,7 +123,7 @@ def pair_keys(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-class _Sets:
+class Sets:
     """Union-find over places 0..n-1, kept only while one run or pair of blocks is handled."""
 
     def __init__(self, n: int):
@@ -146,7 +148,7 @@ def forest(left: np.ndarray, right: np.ndarray | None, distance: int, strip: int
     """Spanning links within ``left``, or between ``left`` and ``right``, at most ``distance`` bits apart."""
     whole = left if right is None else np.concatenate([left, right])
     first = 0 if right is None else len(left)
-    values, sets, out = whole.view(np.uint64), _Sets(len(whole)), []
+    values, sets, out = whole.view(np.uint64), Sets(len(whole)), []
     for at in range(0, len(left), strip):
         rows = values[at : at + strip]
         start = at if right is None else first
@@ -260,26 +262,16 @@ def links(distinct: DataFrame, *, distance: int = 4, block: int = 4096) -> DataF
 
 
 def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, distance: int = 4, block: int = 4096) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row."""
+    """doc_id, fingerprint (16 hex digits), component_id for every row.
+
+    Joins on a fingerprint or class that many rows have (wordless texts, one huge group of
+    copies) are spread.  A class whose ids are all null has a null component_id.
+    """
     printed = staged(fingerprints(documents, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "fingerprints")
     distinct = staged(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(links(distinct, distance=distance, block=block))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = staged(grouped.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id"), "classes")
-    joined = printed.join(of_print, printed.fp == of_print.class_fp)
+    grouped = staged(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "grouped")
+    least = grouped.groupBy(F.col("root").alias("class")).agg(F.min("least").alias("component_id"))
+    of_print = staged(spread_join(grouped, least, "root", "class", "fp").select(F.col("fp").alias("class_fp"), "component_id"), "classes")
+    joined = spread_join(printed, of_print, "fp", "class_fp", "doc_id")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42, distance: int = 4, block: int = 4096) -> DataFrame:
-    """One row of each class, that of the smallest id, with the columns it came with.
-
-    Of rows that repeat that id, one stays.  A class whose ids are all null keeps one row.
-    """
-    found = classes(documents, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, distance=distance, block=block)
-    key = unused_name(documents, "kept_id")
-    counted = staged(found.where("doc_id <=> component_id").groupBy("doc_id").count(), "kept")
-    kept = counted.select(F.col("doc_id").alias(key))
-    # One plan at every size: texts are dealt by id once and met by the ids that stay, unsorted.
-    out = documents.join(kept.hint("shuffle_hash"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key)), "left_semi")
-    return out if counted.where("count > 1").isEmpty() else out.dropDuplicates([id_col])

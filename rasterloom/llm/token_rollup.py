@@ -8,11 +8,15 @@ Per batch two tables are written in the store's folder: ``ledger/batch=<id>`` (a
 per document and change) and then ``deltas/batch=<id>`` (their sums).  A batch is committed
 once its deltas carry Spark's ``_SUCCESS`` mark, which is written last; committing it again
 is a no-op, and a batch that died half-way is simply written over.  Readers name committed
-batches only.
+batches only.  ``compact`` folds all committed batches into one of live rows, which takes
+their place in the same atomic way; their names stay committed.
 
 Null texts count zero tokens; null source or language is a group of its own.  Repeated rows
-count each.  A delete or revision of an unknown id changes nothing (a revision inserts).
-A delete or revision of a repeated id takes all its rows away.  An empty batch commits.
+count each.  Very long texts are counted whole.  A delete or revision names ids, or ids and
+contents; one of an unknown id changes nothing (a revision inserts), one of a repeated id takes
+all its rows away (of that content, if it is named).  Rows without an id have the null id in
+common: a revision replaces them together, and none is an exact copy of another.  An empty
+batch commits.  Documents' other columns may have any name; they are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, salted_join
+from .common import prepare, spread_join, staged
 
 KEYS = ("source", "lang", "tokenizer")
 _LEDGER = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long, content string"
@@ -80,12 +84,20 @@ class TokenRollup:
         place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
-    def committed(self) -> list[str]:
-        fs, place = self._folder("deltas")
+    def _names(self, kind: str) -> list[str]:
+        fs, place = self._folder(kind)
         if not fs.exists(place):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(place)]
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self.is_committed(n.removeprefix("batch=")))
+        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+
+    def committed(self) -> list[str]:
+        """Names of the committed batches that no committed compaction has replaced."""
+        done = [n for n in self._names("deltas") if self.is_committed(n)]
+        gone: set[str] = set()
+        for name in set(self._names("replaced")) & set(done):
+            gone |= {r.value for r in self.spark.read.text(f"{self.path}/replaced/batch={name}").collect()}  # names of batches
+        return [n for n in done if n not in gone]
 
     def is_committed(self, batch: str) -> bool:
         fs, place = self._folder(f"deltas/batch={batch}/_SUCCESS")
@@ -129,9 +141,11 @@ class TokenRollup:
         return self.is_committed(batch) is False and self.commit(batch, rows)
 
     def _taken(self, ids: DataFrame) -> DataFrame:
-        """The live rows of these ids, with the sign turned."""
-        gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-        old = self.live().join(gone, F.col("doc_id") == F.col("gone_id"), "left_semi")
+        """The live rows of these ids (and contents, if named), with the sign turned."""
+        named = [c for c in ("doc_id", "content") if c in ids.columns]
+        gone = ids.select(*[F.col(c).alias(f"gone_{c}") for c in named]).distinct()
+        same = [F.col(c).eqNullSafe(F.col(f"gone_{c}")) for c in named]
+        old = self.live().join(gone, same, "left_semi")
         return old.withColumns({"n_docs": -F.col("n_docs"), "n_tokens": -F.col("n_tokens")})
 
     def delete(self, batch: str, ids: DataFrame) -> bool:
@@ -139,11 +153,27 @@ class TokenRollup:
 
     def revise(self, batch: str, rows: DataFrame) -> bool:
         """New counts for the ids of ``rows``: the old ones are taken away in the same batch."""
-        return self.is_committed(batch) is False and self.commit(batch, self._taken(rows).unionByName(rows))
+        return self.is_committed(batch) is False and self.commit(batch, self._taken(rows.select("doc_id")).unionByName(rows))
+
+    def recount(self, batch: str, rows: DataFrame) -> bool:
+        """New counts, as made by ``counted``, for the documents among ``rows`` that are live."""
+        if self.is_committed(batch):
+            return False
+        live = self.live().select(F.col("doc_id").alias("live_id"), F.col("content").alias("live_content")).distinct()
+        new = rows.join(live, F.col("doc_id").eqNullSafe(F.col("live_id")) & (F.col("content") == F.col("live_content")), "left_semi")
+        return self.commit(batch, self._taken(rows.select("doc_id", "content")).unionByName(new))
 
     def exact_copies(self) -> DataFrame:
-        """Ids of live documents whose text a smaller id has, too."""
-        rows = self.live().select("doc_id", "content")
+        """Id and content of live documents whose text a smaller id has, too."""
+        rows = staged(self.live().select("doc_id", "content"), "live")
         many = rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
         same = many.select(F.col("content").alias("many_content"), "least")
-        return salted_join(rows, same, "content", "many_content", "doc_id").where("doc_id > least").select("doc_id")
+        return spread_join(rows, same, "content", "many_content", "doc_id").where("doc_id > least").select("doc_id", "content")
+
+    def compact(self, batch: str) -> bool:
+        """One batch of the live rows takes the place of all committed ones."""
+        if self.is_committed(batch):
+            return False
+        names = self.committed()
+        self.spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/replaced/batch={batch}")
+        return self.commit(batch, self.live())

@@ -1,25 +1,33 @@
 """Exact top-k by inner product with a pivot table.
 
-Vectors become integers floor(256 * x).  The index is a written table that holds, for
-each vector, its integers, its squared norm and its distances to ``pivots`` fixed
-vectors.  For query q and vector x the triangle inequality bounds |q - x| from below by
-the largest |d(q,p) - d(x,p)| over the pivots, and with  2<q,x> = |q|^2 + |x|^2 - |q-x|^2
-that is an upper bound on the score.  Vectors are evaluated in the order of their bounds
-until no bound reaches the k-th score so far, so the result is exact.
-
-Pivots are picked by farthest-first on a bounded sample of ``pivot_sample`` rows (their
-choice moves speed only).  Queries travel in blocks of ``query_block``, each small enough
-to broadcast; one pass over the index per block, candidates stay where they lie, and a
-task returns k rows for each query of the block.
-
-A vector that is null, empty, or holds null or non-finite components takes no part, nor
-does one of another length than most vectors of the sample.  Ties go to the smaller id.
-A repeated vec_id is a candidate per row; only rows of the query's own id are left out.
+Vectors become whole numbers floor(256 * x).  The index is a written table that holds, for
+each vector, its numbers and its distances to ``pivots`` fixed vectors.  The distances of x to
+all pivots, with its norm, tell its inner products with them, so the part of x that lies in the
+pivots' span; only the length of the rest stays unknown.  For query q the greatest inner
+product that all distances together allow is
+
+    <q', x'> + |q - q'| |x - x'|         (q', x' the parts in the span)
+
+which is the greatest lower bound on |q - x| that the table gives, never above what a single
+pivot's triangle inequality gives.  Vectors are evaluated in the order of these bounds until none
+reaches the k-th score, so the result is exact.  A query's own block already gives it k scores
+to start from.
+
+Pivots are picked by greatest remainder on a bounded sample of ``pivot_sample`` rows (their
+choice moves speed only).  Queries travel in blocks of ``query_block``, each small enough to
+broadcast; one pass over the index per block, candidates stay where they lie, and a task
+returns k rows for each query of the block.
+
+A vector that is null, holds null or non-finite components, or overflows a double when scaled,
+takes no part.  Vectors of different lengths count as filled up with zeros; an empty one is all
+zeros.  Scores are exact at any size; one beyond a long is written as the nearest long.  Ties go
+to the smaller id.  A repeated vec_id is a candidate per row and a query per row; rows of the
+query's own id are left out.  Rows without an id take no part.  An empty table gives no rows.
+Only the id and vector columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,144 +37,231 @@ from pyspark.sql import functions as F
 
 from .common import prepare, staged
 
-_SCHEMA = "query_id long, vec_id long, score long"
+_SCHEMA = "query_row long, query_id long, vec_id long, score long"
+#: Pivots are no longer than this, and a block of queries takes at most so many bytes.
+_PIVOT_WIDTH, _BLOCK_BYTES = 4096, 32 << 20
+_EXACT = float(1 << 53)
 
 
 def _usable(column: Column) -> Column:
-    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return column.isNotNull() & (F.size(column) > 0) & ~F.coalesce(bad, F.lit(True))
+    bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * 256) == float("inf")))
+    return column.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
 def quantise(values: np.ndarray) -> np.ndarray:
-    """Integers as doubles: products and sums of them stay exact below 2^53."""
+    """Whole numbers as doubles; scaling by a power of two and rounding down lose nothing."""
     return np.floor(256.0 * values.astype(np.float64))
 
 
+def packed(row: np.ndarray) -> bytes:
+    """32-bit numbers where all fit, else doubles, told apart by the first byte."""
+    return b"\0" + row.astype("<i4").tobytes() if not len(row) or np.abs(row).max() < 1 << 31 else b"\1" + row.astype("<f8").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<f8" if raw[0] else "<i4", offset=1).astype(np.float64)
+
+
+def _by_length(rows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the rows of each length."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, np.concatenate([rows[i] for i in at]).reshape(len(at), size)
+
+
 def pick_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Farthest-first from the vector of the largest norm."""
-    if not len(sample):
-        return sample
-    chosen = [int(np.argmax((sample**2).sum(1)))]
-    near = ((sample - sample[chosen[0]]) ** 2).sum(1)
-    while len(chosen) < min(count, len(sample)):
-        chosen.append(int(np.argmax(near)))
-        near = np.minimum(near, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    """Each is the vector that the ones before explain least; none that they explain wholly."""
+    norms = np.sqrt((sample**2).sum(1)) if len(sample) else np.zeros(0)
+    plain = np.isfinite(norms) & (norms > 0)
+    if not plain.any():
+        return sample[:0]
+    plain &= norms <= 16 * np.median(norms[plain])  # beside a far longer one, distances say little
+    sample = sample[plain]
+    rest, chosen = sample.copy(), []
+    while len(chosen) < min(count, *sample.shape):
+        left = (rest**2).sum(1)
+        at = int(np.argmax(left))
+        if left[at] < 1e-4 * (sample[at] ** 2).sum():
+            break
+        chosen.append(at)
+        way = rest[at] / np.sqrt(left[at])
+        rest -= np.outer(rest @ way, way)
     return sample[chosen]
 
 
-def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squared = (vectors**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * vectors @ pivots.T
-    return np.sqrt(np.maximum(squared, 0))
+class Pivots:
+    """Fixed vectors, and the coordinates in their span that distances to them tell."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.norms = vectors, (vectors**2).sum(1)
+        self.root = np.linalg.inv(np.linalg.cholesky(vectors @ vectors.T)) if len(vectors) else np.zeros((0, 0))
+
+    def distances(self, rows: np.ndarray) -> np.ndarray:
+        size = min(rows.shape[1], self.vectors.shape[1]) if len(self.vectors) else 0
+        squared = (rows**2).sum(1)[:, None] + self.norms[None, :] - 2 * rows[:, :size] @ self.vectors[:, :size].T
+        return np.sqrt(np.maximum(squared, 0))
+
+    def coordinates(self, squared: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates in an orthonormal basis of the span, and the length of what lies outside."""
+        inner = (squared[:, None] + self.norms[None, :] - far**2) / 2
+        own = inner @ self.root.T
+        return own, np.sqrt(np.maximum(squared - (own**2).sum(1), 0))
 
 
 class PivotIndex:
     """The written table and the pivots that it was made with."""
 
-    def __init__(self, table: DataFrame, pivots: np.ndarray):
+    def __init__(self, table: DataFrame, pivots: Pivots):
         self.table, self.pivots = table, pivots
 
 
-def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 32, pivot_sample: int = 2_000) -> PivotIndex:
+def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = 56, pivot_sample: int = 2_000) -> PivotIndex:
     prepare(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
-    sample = [r.v for r in rows.select("v").limit(pivot_sample).collect()]
-    width = Counter(map(len, sample)).most_common(1)[0][0] if sample else 0
-    rows = rows.where(F.size("v") == width)
-    known = [v for v in sample if len(v) == width]
-    chosen = pick_pivots(quantise(np.array(known).reshape(len(known), width)), pivots)
+    sample = [quantise(np.array(r.v)) for r in rows.select(F.slice("v", 1, _PIVOT_WIDTH).alias("v")).limit(pivot_sample).collect()]  # bounded by both
+    known = np.zeros((len(sample), max(map(len, sample), default=0)))
+    for row, v in zip(known, sample, strict=True):
+        row[: len(v)] = v
+    with np.errstate(over="ignore"):
+        chosen = Pivots(pick_pivots(known, pivots))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ints = quantise(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, width))
-            far = _distances(ints, chosen)
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "ints": pa.array([x.tobytes() for x in ints.astype(np.int32)], pa.binary()), "far": pa.array([x.tobytes() for x in far], pa.binary())})
+            lists = batch.column(1)
+            flat, ends = quantise(lists.flatten().to_numpy()), np.cumsum(lists.value_lengths().to_numpy())
+            ints = np.split(flat, ends[:-1])
+            far = np.zeros((len(ints), len(chosen.vectors)))
+            with np.errstate(over="ignore", invalid="ignore"):
+                for at, part in _by_length(ints):
+                    far[at] = chosen.distances(part)
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "size": pa.array(list(map(len, ints)), pa.int32()), "ints": pa.array(list(map(packed, ints)), pa.binary()), "far": pa.array([x.tobytes() for x in far], pa.binary())})
 
-    return PivotIndex(staged(rows.mapInArrow(measure, "vec_id long, ints binary, far binary"), "pivots"), chosen)
-
-
-def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+    return PivotIndex(staged(rows.mapInArrow(measure, "vec_id long, size int, ints binary, far binary"), "pivots"), chosen)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
+    order = np.lexsort((ids, ~scores))[:k]  # ~x falls as x rises and can't overflow
     return scores[order], ids[order]
 
 
-class _Search:
+def exact_scores(vectors: np.ndarray, query: np.ndarray, norms: np.ndarray, norm: float) -> np.ndarray:
+    """Inner products as longs; in doubles where these are exact, else in whole numbers."""
+    size = min(vectors.shape[1], len(query))
+    with np.errstate(over="ignore", invalid="ignore"):
+        large = ~(np.sqrt(norms) * np.sqrt(norm) < _EXACT)
+        out = np.where(large, 0.0, vectors[:, :size] @ query[:size]).astype(np.int64)
+    for i in np.flatnonzero(large):
+        whole = sum(int(a) * int(b) for a, b in zip(vectors[i, :size].tolist(), query[:size].tolist(), strict=True))
+        out[i] = min(max(whole, -(1 << 63)), (1 << 63) - 1)
+    return out
+
+
+class Search:
     """Running top-k of one task for a block of queries."""
 
-    def __init__(self, ids: np.ndarray, ints: np.ndarray, far: np.ndarray, k: int):
-        self.ids, self.ints, self.far, self.k = ids, ints.astype(np.float64), far, k
-        self.norms = (self.ints**2).sum(1)
-        self.scores = [np.zeros(0) for _ in ids]
-        self.found = [np.zeros(0, np.int64) for _ in ids]
-
-    def take(self, ids: np.ndarray, ints: np.ndarray, far: np.ndarray) -> None:
-        vectors = ints.astype(np.float64)
-        norms = (vectors**2).sum(1)
-        for n in range(len(self.ids)):
-            least = np.abs(far - self.far[n]).max(axis=1) if far.shape[1] else np.zeros(len(ids))
-            least = np.maximum(least - 1e-6 * (1 + least), 0)  # rounding can't make the bound too sharp
-            bound = (self.norms[n] + norms - least**2) / 2
-            self._evaluate(n, ids, vectors, np.where(ids == self.ids[n], -np.inf, bound))
-
-    def _evaluate(self, n: int, ids: np.ndarray, vectors: np.ndarray, bound: np.ndarray) -> None:
-        k, step = self.k, 64
-        reach = self.scores[n][-1] if len(self.scores[n]) == k else -np.inf
+    def __init__(self, rows: list[tuple[int, bytes, bytes]], pivots: Pivots, k: int):
+        self.ids, self.k, self.pivots = np.array([r[0] for r in rows], np.int64), k, pivots
+        ints = [unpacked(r[1]) for r in rows]
+        self.ints = np.zeros((len(ints), max(map(len, ints), default=0)))
+        for row, v in zip(self.ints, ints, strict=True):
+            row[: len(v)] = v
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.norms = (self.ints**2).sum(1)
+            self.own, self.rest = pivots.coordinates(self.norms, np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), -1))
+        self.scores = [np.zeros(0, np.int64) for _ in rows]
+        self.found = [np.zeros(0, np.int64) for _ in rows]
+        self.start = np.full(len(rows), -np.inf)  # the block's own scores: no k-th score can be lower
+        self.evaluated = 0
+
+    def begin(self, strip: int = 256) -> Search:
+        """What the queries of the block score against each other."""
+        if (np.sqrt(self.norms.max(initial=0)) ** 2 < _EXACT) and len(self.ids) > self.k:
+            for at in range(0, len(self.ids), strip):
+                scores = self.ints[at : at + strip] @ self.ints.T
+                scores[self.ids[at : at + strip, None] == self.ids[None, :]] = -np.inf
+                self.start[at : at + strip] = np.partition(scores, -self.k, axis=1)[:, -self.k]
+        return self
+
+    def take(self, ids: np.ndarray, ints: list[np.ndarray], far: np.ndarray, strip: int = 128) -> None:
+        for at, vectors in _by_length(ints):
+            with np.errstate(over="ignore", invalid="ignore"):
+                norms = (vectors**2).sum(1)
+                own, rest = self.pivots.coordinates(norms, far[at])
+                for first in range(0, len(self.ids), strip):
+                    part = slice(first, first + strip)
+                    bound = self.own[part] @ own.T + self.rest[part, None] * rest[None, :]
+                    # Scores are whole; what rounding can take from a bound is given back.
+                    bound += 0.5 + 1e-7 * np.sqrt(self.norms[part, None]) * np.sqrt(norms)[None, :]
+                    bound[np.isnan(bound)] = np.inf
+                    bound[self.ids[part, None] == ids[at][None, :]] = -np.inf
+                    for n in range(first, min(first + strip, len(self.ids))):
+                        self._evaluate(n, ids[at], vectors, norms, bound[n - first])
+
+    def _reach(self, n: int) -> float:
+        return max(self.start[n], float(self.scores[n][-1])) if len(self.scores[n]) == self.k else self.start[n]
+
+    def _evaluate(self, n: int, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, bound: np.ndarray) -> None:
+        reach, step, at = self._reach(n), 32, 0
         left = np.flatnonzero((bound > -np.inf) & (bound >= reach))
         left = left[np.argsort(-bound[left], kind="stable")]
-        at = 0
         while at < len(left) and bound[left[at]] >= reach:
             part = left[at : at + step]
-            got = vectors[part] @ self.ints[n]
-            self.scores[n], self.found[n] = _best(np.concatenate((self.scores[n], got)), np.concatenate((self.found[n], ids[part])), k)
-            if len(self.scores[n]) == k:
-                reach = self.scores[n][-1]
+            got = exact_scores(vectors[part], self.ints[n], norms[part], self.norms[n])
+            self.evaluated += len(part)
+            self.scores[n], self.found[n] = _best(np.concatenate((self.scores[n], got)), np.concatenate((self.found[n], ids[part])), self.k)
+            reach = self._reach(n)
             at, step = at + step, min(step * 4, 4096)
 
-    def rows(self) -> pa.RecordBatch:
-        sizes = [len(x) for x in self.found]
-        none = np.zeros(0, np.int64)
+    def rows(self, first: int) -> pa.RecordBatch:
+        sizes, none = [len(x) for x in self.found], np.zeros(0, np.int64)
         return pa.RecordBatch.from_pydict({
-            "query_id": pa.array(np.repeat(self.ids, sizes), pa.int64()),
-            "vec_id": pa.array(np.concatenate([*self.found, none]), pa.int64()),
-            "score": pa.array(np.concatenate([*self.scores, none]).astype(np.int64), pa.int64()),
-        })
+            "query_row": pa.array(np.repeat(np.arange(first, first + len(sizes)), sizes), pa.int64()), "query_id": pa.array(np.repeat(self.ids, sizes), pa.int64()),
+            "vec_id": pa.array(np.concatenate([*self.found, none]), pa.int64()), "score": pa.array(np.concatenate([*self.scores, none]), pa.int64()),
+        })
 
 
-def _pass(index: PivotIndex, queries: list, k: int) -> DataFrame:
-    ids = np.array([q.vec_id for q in queries], np.int64)
-    ints = np.stack([np.frombuffer(q.ints, np.int32) for q in queries])
-    far = np.stack([np.frombuffer(q.far, np.float64) for q in queries])
-    sent = index.table.sparkSession.sparkContext.broadcast((ids, ints, far))
+def _pass(index: PivotIndex, queries: list[tuple[int, bytes, bytes]], first: int, k: int) -> DataFrame:
+    sent = index.table.sparkSession.sparkContext.broadcast(queries)  # at most _BLOCK_BYTES and query_block rows
+    pivots = index.pivots
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = _Search(*sent.value, k)
+        state = Search(sent.value, pivots, k).begin()
         for batch in batches:
             if batch.num_rows:
-                state.take(batch.column(0).to_numpy(), _unpacked(batch.column(1), np.int32), _unpacked(batch.column(2), np.float64))
-        yield state.rows()
+                far = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
+                state.take(batch.column(0).to_numpy(), list(map(unpacked, batch.column(1).to_pylist())), far)
+        yield state.rows(first)
 
-    return index.table.mapInArrow(search, _SCHEMA)
+    return index.table.select("vec_id", "ints", "far").mapInArrow(search, _SCHEMA)
+
+
+def _blocks(queries: DataFrame, query_block: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """Rows in the order of their lengths; a block is all that is held."""
+    block: list[tuple[int, bytes, bytes]] = []
+    for row in queries.select("size", "vec_id", "ints", "far").orderBy("size").toLocalIterator():
+        if block and (len(block) == query_block or (len(block) + 1) * (8 * row["size"] + len(row.far)) > _BLOCK_BYTES):
+            yield block
+            block = []
+        block.append((row.vec_id, bytes(row.ints), bytes(row.far)))
+    if block:
+        yield block
 
 
 def search(index: PivotIndex, queries: DataFrame, *, k: int = 5, query_block: int = 4_096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best for every row of ``queries`` (rows of the index's table)."""
-    parts, block = [], []
-    for row in queries.select("vec_id", "ints", "far").toLocalIterator():  # a block is all that is held
-        block.append(row)
-        if len(block) == query_block:
-            parts.append(staged(_pass(index, block, k), "topk"))
-            block = []
-    if block or not parts:
-        parts.append(_pass(index, block, k) if block else index.table.sparkSession.createDataFrame([], _SCHEMA))
+    parts, first, held = [], 0, None
+    for block in _blocks(queries, query_block):
+        if held is not None:
+            parts.append(staged(_pass(index, held, first, k), "topk"))
+            first += len(held)
+        held = block
+    parts.append(_pass(index, held, first, k) if held else index.table.sparkSession.createDataFrame([], _SCHEMA))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

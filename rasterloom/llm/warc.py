@@ -8,15 +8,17 @@ piece, rewrites every record as a gzip member of its own, and writes a sidecar i
 Files go to the folder that all executors share, each under a name of its own attempt;
 the paths come back as rows of a written manifest, so a retried or lost task leaves at
 most an unlisted file, and later steps read listed files only.  Any store that pyarrow
-can open serves.  Memory: one record and one read buffer.
+can open serves.  Memory: one record, one read buffer and ``_INDEX_ROWS`` rows of the index.
 
 Which records are revisits is decided before writing, by digest: ids and digests are
 all that is shuffled, and equal digests are combined before the shuffle.  Of equal
 payloads of at least ``min_revisit_bytes`` bytes, the largest id is the response.
 
-Null html is an empty payload; empty payloads follow the same rule.  A repeated id with
-equal payload is a response in each of its rows if the id is the largest.  Null ids are
-written with an empty id and read back as null; a group of only null ids is all response.
+Null html is an empty payload; empty payloads follow the same rule.  Very long payloads are
+a record like any other.  A repeated id with equal payload is a response in each of its rows
+if the id is the largest.  Null ids are written with an empty id and read back as null; they
+revisit like others, and a group of only null ids is all response.  An empty table gives no
+archive and no record.  Other columns may have any name; they are not read.
 """
 
 from __future__ import annotations
@@ -32,9 +34,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, prepare, salted_join, staged
+from .common import fresh_path, prepare, spread_join, staged
 
 _READ = 1 << 20
+_INDEX_ROWS = 8192
 _MANIFEST = "path string, records long, bytes long"
 _INDEX = "path string, record_id string, offset long, length long"
 
@@ -90,11 +93,11 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def _revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """page_id and the id it refers to, for revisits only."""
-    marks = staged(pages.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")), "digests")
-    firsts = marks.where((F.col("size") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.max("page_id").alias("latest"), F.min("page_id").alias("earliest"))
-    many = firsts.where("latest <> earliest").select(F.col("sha").alias("many_sha"), "latest")
-    found = salted_join(marks.where(F.col("size") >= min_revisit_bytes), many, "sha", "many_sha", "page_id").where("page_id <> latest")
+    """page_id, digest and the id it refers to, for revisits only."""
+    marks = pages.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size"), F.monotonically_increasing_id().alias("row"))
+    marks = staged(marks.where(F.col("size") >= min_revisit_bytes), "digests")
+    latest = marks.groupBy("sha").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1 and latest is not null")
+    found = spread_join(marks.select("page_id", "sha", "row"), latest.select(F.col("sha").alias("many_sha"), "latest"), "sha", "many_sha", "row").where("not (page_id <=> latest)")
     return found.select(F.col("page_id").alias("revisit_id"), F.col("sha").alias("revisit_sha"), F.col("latest").alias("refers_to")).distinct()
 
 
@@ -105,7 +108,7 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     folder = fresh_path(spark, "warc")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     back = staged(_revisits(rows, min_revisit_bytes), "revisits")
-    same = (F.col("page_id") == F.col("revisit_id")) & (F.sha1("payload") == F.col("revisit_sha"))
+    same = F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.sha1("payload") == F.col("revisit_sha"))
     marked = rows.join(back, same, "left").select("page_id", "url", "payload", "refers_to")
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,42 +139,52 @@ def normalise(manifest: DataFrame, *, level: int = 1) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                yield _rewrite(path, level)
+                yield from _rewrite(path, level)
 
     return staged(_dealt(manifest.select("path"), manifest.count()).mapInArrow(rewrite, _INDEX), "index")
 
 
-def _rewrite(path: str, level: int) -> pa.RecordBatch:
+def _rewrite(path: str, level: int) -> Iterator[pa.RecordBatch]:
+    """The members and their index, written side by side; the index also comes back in batches."""
     fs, source = _open_fs(path)
     stem = f"{path.rsplit('/', 1)[0]}/members-{uuid4().hex}"
     target = f"{stem}.warc.gz"
-    ids, offsets, lengths, at = [], [], [], 0
-    reader, unpacker = RecordReader(), zlib.decompressobj(31)
-    with fs.open_input_stream(source, compression=None) as raw, fs.open_output_stream(_open_fs(target)[1], compression=None) as out:
-
-        def keep(data: bytes) -> None:
-            nonlocal at
+    lines: list[tuple[str, int, int]] = []
+    at = 0
+    reader = RecordReader()
+
+    def batch() -> pa.RecordBatch:
+        ids, offsets, lengths = zip(*lines, strict=True) if lines else ((), (), ())
+        side.write("".join(f"{i}\t{o}\t{n}\n" for i, o, n in lines).encode())
+        lines.clear()
+        return pa.RecordBatch.from_pydict({"path": pa.array([target] * len(ids), pa.string()), "record_id": pa.array(ids, pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+
+    out_path, side_path = _open_fs(target)[1], _open_fs(f"{stem}.idx")[1]
+    with fs.open_input_stream(source, compression=None) as raw, fs.open_output_stream(out_path, compression=None) as out, fs.open_output_stream(side_path, compression=None) as side:
+        for data in _inflated(raw):
             for item in reader.feed(data):
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                 member = packer.compress(item) + packer.flush()
                 out.write(member)
-                ids.append(headers(item[: item.index(b"\r\n\r\n") + 2])["warc-record-id"])
-                offsets.append(at)
-                lengths.append(len(member))
+                lines.append((headers(item[: item.index(b"\r\n\r\n") + 2])["warc-record-id"], at, len(member)))
                 at += len(member)
-
-        while data := raw.read(_READ):
-            while data:  # bounded pieces, even of a stream that inflates a thousandfold; further members follow on
-                keep(unpacker.decompress(data, 4 * _READ))
-                data = unpacker.unconsumed_tail
-                if unpacker.eof:
-                    data, unpacker = unpacker.unused_data, zlib.decompressobj(31)
-        keep(unpacker.flush())
+                if len(lines) == _INDEX_ROWS:
+                    yield batch()
+        yield batch()
     if reader.buffer:
         raise ValueError(f"{path} ends inside a record")
-    with fs.open_output_stream(_open_fs(f"{stem}.idx")[1], compression=None) as side:
-        side.write("".join(f"{i}\t{o}\t{n}\n" for i, o, n in zip(ids, offsets, lengths, strict=True)).encode())
-    return pa.RecordBatch.from_pydict({"path": pa.array([target] * len(ids), pa.string()), "record_id": pa.array(ids, pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+
+
+def _inflated(raw: pa.NativeFile) -> Iterator[bytes]:
+    """Bounded pieces, even of a stream that inflates a thousandfold; further members follow on."""
+    unpacker = zlib.decompressobj(31)
+    while data := raw.read(_READ):
+        while data:
+            yield unpacker.decompress(data, 4 * _READ)
+            data = unpacker.unconsumed_tail
+            if unpacker.eof:
+                data, unpacker = unpacker.unused_data, zlib.decompressobj(31)
+    yield unpacker.flush()
 
 
 _RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"

@@ -97,7 +97,7 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_classes_and_kept_rows(spark):
+def test_classes(spark):
     base = "the quick brown fox jumps over the lazy dog while many other words follow in this rather long line of text " * 6
     texts = [base, base, base + "end", None, "", "solo words here", LONG, LONG + "x", base.upper()]
     rows = docs(spark, texts, 10).unionAll(docs(spark, [base], 10))  # one row twice
@@ -105,10 +105,23 @@ def test_classes_and_kept_rows(spark):
     want = plain_classes(fps)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.classes(rows).collect()}
     assert got == {10 + i: (f"{f:016x}", 10 + w) for i, (f, w) in enumerate(zip(fps, want, strict=True))}
-    kept = simhash.keep_one(rows)
-    assert kept.columns == rows.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({10 + w for w in want})
-    assert simhash.classes(docs(spark, [])).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
+    assert simhash.classes(docs(spark, [])).count() == 0
+
+
+def test_repeated_and_null_ids_have_the_class_of_their_own_text(spark):
+    rows = spark.createDataFrame([(3, "T t T"), (5, "T t T"), (5, "another text altogether, with words"), (None, "T t T"), (None, "alone")], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.fingerprint, r.component_id or -1) for r in simhash.classes(rows).collect())
+    fp = lambda t: f"{plain_fingerprint(t):016x}"
+    assert got == sorted([(3, fp("T t T"), 3), (5, fp("T t T"), 3), (5, fp("another text altogether, with words"), 5), (-1, fp("T t T"), 3), (-1, fp("alone"), -1)])
+
+
+def test_hot_fingerprints_and_hubs_are_spread(spark):
+    """One class of nearly all rows: the salted joins must lose and repeat nothing."""
+    rows = spark.range(3000).selectExpr("id as doc_id", "case when id % 10 < 8 then 'the same few words' else concat('x', id, ' y') end as text")
+    got = simhash.classes(rows).where("doc_id % 10 < 8").groupBy("component_id").count().collect()
+    assert [(r.component_id, r["count"]) for r in got] == [(0, 2400)] and simhash.classes(rows).count() == 3000
+    star = spark.range(1, 2000).selectExpr("0 as src", "id as dst")
+    assert components.connected_components(star).groupBy("root").count().collect()[0]["count"] == 2000
 
 
 def test_op6_equals_brute_force(spark, sf_dir):
@@ -147,6 +160,9 @@ def test_decontamination(spark, block_words):
     assert got == {i: plain_contamination(t, items) for i, t in enumerate(texts)}
     kept = decontaminate.keep_clean(rows, table, block_words=block_words)
     assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, g in got.items() if not g[-1])
+    unnamed = spark.createDataFrame([(None, passage), (None, "short item"), (8, passage)], "item_id long, text string")
+    listed = {r.doc_id: (r.n_items, r.items_sha256) for r in decontaminate.decontaminate(rows, unnamed, block_words=block_words).collect()}
+    assert listed[3] == (2, hashlib.sha256(b",8").hexdigest())
     none = table.limit(0)
     assert decontaminate.decontaminate(rows, none).where("contaminated").count() == 0 and decontaminate.keep_clean(rows, none).count() == len(texts)
     assert decontaminate.decontaminate(docs(spark, []), table, block_words=block_words).count() == 0
@@ -156,49 +172,55 @@ def test_decontamination(spark, block_words):
 
 
 def plain_topk(rows, k):
-    usable = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    """Whole-number scores; vectors of other lengths are filled up with zeros."""
+    usable = [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(256 * np.float64(x)) for x in v)]
     out = []
     for q, a in usable:
         if q % 50 == 0:
-            scored = sorted(((-int(a @ b), i) for i, b in usable if i != q))[:k]
+            score = lambda b: min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1)  # noqa: B023, B905, E731
+            scored = sorted((-score(b), i) for i, b in usable if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
 
+def topk_rows(table, **options):
+    index = topk.build_index(table, pivots=options.pop("pivots", 6))
+    return sorted(map(tuple, topk.search(index, index.table.where("vec_id % 50 = 0"), k=5, **options).select("query_id", "rank", "vec_id", "score").collect()))
+
+
 @pytest.mark.parametrize("query_block", [2, 4096])
 def test_topk(spark, query_block):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.2, 8).round(3).tolist()) for i in range(260)]
     rows += [(1000 + i, rows[3][1]) for i in range(9)]  # many ties
-    rows += [(2000, None), (2050, []), (2100, [None] + [0.1] * 7), (2150, [float("nan")] * 8), (2200, [float("inf")] * 8), (None, rows[0][1])]
+    rows += [(2000, None), (2050, []), (2100, [None] + [0.1] * 7), (2150, [float("nan")] * 8), (2200, [float("inf")] * 8), (None, rows[0][1]), (2250, [1e308] * 8)]
+    rows += [(7, rows[9][1]), (50, rows[9][1])]  # repeated ids: of a candidate and of a query
     table = spark.createDataFrame([(i, v, 5) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    index = topk.build_index(table, pivots=6)
-    got = topk.search(index, index.table.where("vec_id % 50 = 0"), k=5, query_block=query_block)
-    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == plain_topk(rows, 5)
+    assert topk_rows(table, query_block=query_block) == plain_topk(rows, 5)
     few = topk.build_index(table.where("vec_id in (0, 1, 2)"))
     assert topk.search(few, few.table.where("vec_id = 0"), k=5).count() == 2
     none = topk.build_index(table.limit(0))
     assert topk.search(none, none.table, k=5).count() == 0
 
 
-def test_bounds_prune():
-    rng = np.random.default_rng(4)
-    centres = rng.normal(0, 60, (6, 16))
-    ints = np.floor(np.concatenate([c + rng.normal(0, 3, (300, 16)) for c in centres]))
-    pivots = topk.pick_pivots(ints, 16)
-    ids, far = np.arange(len(ints)), topk._distances(ints, pivots)
-    seen = []
+def test_topk_of_other_lengths_and_large_values(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 1, int(rng.integers(0, 7))).tolist()) for i in range(120)]
+    rows += [(150, [1e7, -3.5]), (151, [1.0, 2.0]), (152, [1e7, 1.0]), (200, [2e13, 1.0, 7.0]), (201, [-2e13, 1.0]), (250, [0.0] * 4), (300, [1e300]), (301, [5e-324, 3.0]), (302, [2.0**45, 1.0, 2.0**-8])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert topk_rows(table, pivots=3) == plain_topk(rows, 5) == topk_rows(table, pivots=3, query_block=2)
 
-    class Counting(np.ndarray):
-        def __matmul__(self, other):
-            seen.append(len(self))
-            return np.asarray(self) @ other
 
-    state = topk._Search(ids[:20], ints[:20], far[:20], 5)
-    for n in range(20):
-        least = np.maximum(np.abs(far - far[n]).max(1) - 1e-6, 0)
-        state._evaluate(n, ids, ints.view(Counting), np.where(ids == ids[n], -np.inf, (state.norms[n] + (ints**2).sum(1) - least**2) / 2))
-    assert sum(seen) < 0.7 * 20 * len(ints)
+@pytest.mark.parametrize("clustered", [True, False])
+def test_bounds_prune(clustered):
+    """Few candidates are evaluated: in clusters by far, on random directions thanks to many pivots."""
+    rng = np.random.default_rng(4)
+    ints = np.floor(np.concatenate([c + rng.normal(0, 3, (300, 16)) for c in rng.normal(0, 60, (6, 16))]) if clustered else rng.normal(0, 32, (4000, 64)))
+    pivots = topk.Pivots(topk.pick_pivots(ints, 8 if clustered else 56))
+    far = pivots.distances(ints)
+    state = topk.Search([(i, topk.packed(ints[i]), far[i].tobytes()) for i in range(0, len(ints), 50)], pivots, 5).begin()
+    state.take(np.arange(len(ints)), list(ints), far)
+    assert state.evaluated < 0.25 * len(state.ids) * len(ints)
 
 
 # ---- URL filter -------------------------------------------------------------------------------
@@ -227,17 +249,34 @@ def test_url_judgement(spark):
     assert urlfilter.judge(rows.limit(0), LISTED, RULES).count() == 0
 
 
-@pytest.mark.parametrize("max_bytes", [8 << 20, 2000])
-def test_cascade_is_exact(spark, max_bytes):
-    keys = spark.range(60_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("listed"))
-    cascades = urlfilter.build(keys, bits_per_key=1, hashes=1, max_filter_bytes=max_bytes)  # so full that it takes many levels
-    assert (max(len(c.levels) for c in cascades) > 3) if max_bytes > 2000 else len(cascades) > 1
+@pytest.mark.parametrize(("options", "shards", "least"), [({}, 1, 5), ({"bits_per_key": 1, "hashes": 1}, 1, 5), ({"max_filter_bytes": 1500}, 4, 2), ({"bits_per_key": 30, "hashes": 20}, 1, 1)])
+def test_cascade_is_exact(spark, options, shards, least):
+    keys = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("listed"))
+    cascades = urlfilter.build(keys, **options)
+    assert len(cascades) >= shards and max(len(c.levels) for c in cascades) >= least
+    assert all(sum(len(v.bits) for v in c.levels) <= options.get("max_filter_bytes", 8 << 20) for c in cascades)
     held = F.lit(False)
     for c in cascades:
         held = held | c.holds(F.col("key"))
     assert keys.where(held != F.col("listed")).count() == 0
 
 
+def test_lists_are_tables_and_shards_are_probed_apart(spark):
+    """A long list, split into several filters, with null and repeated names and names that no page has."""
+    pages = spark.range(3000).selectExpr("id as page_id", "concat('http://h', id % 700, '.site.example/', repeat('x', cast(id % 5 as int) * 4000)) as url", "false as listed")
+    listed = spark.range(20_000).selectExpr("concat('h', id * 3, '.site.example') as name", "1 as key").unionAll(spark.createDataFrame([(None, 1), ("h1.site.example", 1), ("h1.site.example", 2)], "name string, key int"))
+    for options in ({}, {"max_filter_bytes": 40}):
+        got = {r.page_id: (r.listed, r.verdict, len(r.path)) for r in urlfilter.judge(pages, listed, [], **options).collect()}
+        assert got == {i: ((n := i % 700) % 3 == 0 or n == 1, "block" if n % 3 == 0 or n == 1 else "allow", 1 + i % 5 * 4000) for i in range(3000)}
+    assert urlfilter.judge(pages, listed.limit(0), []).where("listed").count() == 0
+
+
+def test_query_needs_several_levels(spark, sf_dir):
+    host, _ = urlfilter.host_and_path(F.col("url"))
+    keys = urlfilter.universe_of(host, spark.read.parquet(f"{sf_dir}/pages.parquet"), LISTED)
+    assert max(len(c.levels) for c in urlfilter.build(keys)) >= 3
+
+
 # ---- WARC ---------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/", "<p>x</p>"), (2, "http://b/\r\nX: y", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n\r\n"), (7, "u", "<p>x</p>"), (8, "u", "y" * 3_000_000), (9, "u", "solo")]
@@ -267,6 +306,16 @@ def test_warc_round_trip(spark, least):
     assert warc.read(warc.normalise(warc.write(rows.limit(0)))).count() == 0
 
 
+def test_null_and_repeated_ids_revisit(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_INDEX_ROWS", 2)
+    rows = [(1, "x"), (None, "x"), (7, "x"), (7, "x"), (None, "y"), (None, "y"), (None, None), (4, "")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'u' as url", "1 as sha")
+    got = warc.read(warc.normalise(warc.write(pages.coalesce(1)))).collect()
+    order = lambda t: tuple(-1 if x is None else x for x in t)
+    want = [(1, "revisit", 7), (None, "revisit", 7), (7, "response", None), (7, "response", None), (None, "response", None), (None, "response", None), (None, "revisit", 4), (4, "response", None)]
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=lambda t: str(order(t))) == sorted(want, key=lambda t: str(order(t)))
+
+
 def test_records_cut_anywhere():
     items = [warc.record(i, "u", b"a\r\n\r\n" * i, "response", None, "D") for i in range(5)]
     stream = b"".join(items)

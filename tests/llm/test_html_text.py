@@ -1,5 +1,7 @@
 """Pages whose markup hides the article from a careless reader."""
 
+import time
+
 import pytest
 
 from rasterloom.llm import html_text
@@ -33,3 +35,46 @@ def test_an_unclosed_hidden_element_ends_with_its_parent(attributes):
 def test_math_and_objects_keep_their_text():
     words = " ".join(b.text for b in html_text.blocks_of(f"<article><p>{TEXT} <math><mi>x</mi></math> <object>Shown instead.</object></p></article>"))
     assert "x" in words.split() and "Shown instead." in words
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="content with-sidebar">{}</div>', '<div class="page no-comments">{}</div>', '<form id="aspnetForm" action="/">{}</form>', '<div class="overflow-hidden"><div class="lg:hidden-x hidden-xs">{}</div></div>',
+    "<p data-x=it's></p>{}", "<div title=it's>{}</div>", "<fieldset>{}</fieldset>", '<div id="modal-open" class="popular">{}</div>', '<a name="x" href="unclosed>{}', "<b><i>{}</i></b>", "<section class=legal>{}</section>",
+])
+def test_what_wraps_an_article_drops_nothing_of_it(around):
+    assert html_text.extract(f"<html><body>{around.format(ARTICLE)}</body></html>") == WANT
+
+
+@pytest.mark.parametrize(("inner", "said"), [
+    (f'<p><a href="/x">{TEXT}</a></p>', TEXT), (f"<p>© {TEXT}</p>", f"© {TEXT}"), (f'<div class="alert-box"><p>{TEXT}</p></div>', TEXT), (f'<div class="legal">{TEXT}</div>', TEXT),
+    ("<![CDATA[ gone ]]>", None), ("<!-- gone > still gone -->", None), (f"<p data-x=it's>Don't go. {TEXT}</p>", f"Don't go. {TEXT}"), (f"<blockquote>{TEXT}</blockquote>", TEXT), ("<h2>One more thing</h2>", "One more thing"),
+    ('<div class="ad">Buy now at once.</div>', None), ('<section class="comments"><p>I liked this a lot.</p></section>', None), ("<form><p>Write to us here.</p></form>", None), ('<div class="reader-comments"><p>Me too.</p></div>', None),
+    ('<aside><p>Another story of the town.</p></aside>', None), ('<div id="cookie-notice"><p>We use cookies on this site.</p></div>', None), (f"<p>{TEXT} a < b and <3</p>", f"{TEXT} a < b and <3"),
+])
+def test_inside_an_article(inner, said):
+    page = f"<html><body><article><h1>A town and its river</h1><p>{TEXT}</p>{inner}<p>{TEXT} It is still there.</p></article></body></html>"
+    want = ["A town and its river", TEXT, *([said] if said else []), f"{TEXT} It is still there."]
+    assert html_text.extract(page) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize("opening", ['<article class="post tags popular">', '<article id="comments-open">', '<main class="sponsored"><article>', '<article class="h-entry" style="color:red">'])
+def test_an_article_is_one_whatever_its_class(opening):
+    assert html_text.extract(f"<html><body>{opening}{ARTICLE.removeprefix('<article>')}</body></html>") == WANT
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=utf-8><title>T</title><link rel=x>", "<title>T</title>", "<head><title>a < b <p> </title><style>p{}</style>"])
+def test_a_head_that_is_never_closed_ends_where_content_begins(head):
+    assert html_text.extract(f"<html>{head}{ARTICLE}") == WANT
+    assert html_text.extract(f"<html>{head}<body>{ARTICLE}") == WANT
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a <", "<a b='", "<a b=\"c='", "<!--", "<div>", "</x>", "<b>x<hr>", "<p>", "<script>", "<![CDATA[", "<div hidden>", "<li>", "<a href=x class=y>", "<", "&amp"])
+def test_reading_takes_time_in_proportion(unit):
+    page = unit * (400_000 // len(unit))
+    began = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - began < 4
+
+
+def test_a_cut_off_tag_is_dropped():
+    assert html_text.extract(f"<html><body>{ARTICLE.removesuffix('</article>')}<p class='x") == WANT
