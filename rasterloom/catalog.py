@@ -14,8 +14,6 @@ from .operators import evaluation as E
 from .operators import grid as G
 from .operators import records as R
 from .operators import imagery, router, scenes
-from .plans import datasets
-from .sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,10 +186,19 @@ def top_answers(spark, sf_dir):
     return R.top_values(table(spark, sf_dir, "part").select(F.col("p_type").alias("value"), "p_partkey"), "value", "p_partkey", 20)
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('refund', 'click') GROUP BY 1")
+@query("""SELECT p_partkey FROM (SELECT *, CASE p_partkey % 5 WHEN 0 THEN ' Urban and natural LAND-cover. ' WHEN 1 THEN 'urban and natural land-cover' ELSE p_name END AS answer, CASE WHEN p_partkey % 7 = 0 THEN 'Describe the visible features.' ELSE 'what is it' END AS question FROM part)
+WHERE lower(trim(answer)) IN ('urban and natural land-cover.', 'urban and natural land-cover') OR lower(trim(question)) IN ('describe the visible features in this image.', 'describe the visible features.')""")
 def forbidden_values(spark, sf_dir):
+    key = F.col("p_partkey")
+    answer = F.when(key % 5 == 0, " Urban and natural LAND-cover. ").when(key % 5 == 1, "urban and natural land-cover").otherwise(F.col("p_name"))
+    question = F.when(key % 7 == 0, "Describe the visible features.").otherwise("what is it")
+    return table(spark, sf_dir, "part").where(T.is_forbidden(question, answer)).select("p_partkey")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('refund', 'click') GROUP BY 1")
+def banned_types(spark, sf_dir):
     banned = spark.createDataFrame([("refund",), ("click",)], "event_type string")
-    return table(spark, sf_dir, "events").join(F.broadcast(banned), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").join(F.broadcast(banned), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))  # two rows
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL OR TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) < 5) AS failed, round(count(*) FILTER (TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NULL OR TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) < 5) / count(*), 6) AS fraction FROM events")
@@ -343,11 +350,17 @@ _ASKED = [
     (4, "What changed between the two dates?", "bi_temporal", 2), (5, "Use the optical and SAR images together to identify built-up and water regions", "cross_modal", 2), (6, "what has changed over time near the runway", "single", 1),
     (7, "Locate the storage tank and the oil tank by the harbour", "single", 1), (8, "tanker routes", "single", 1), (9, "", "single", 1), (10, "Locate it", "single", 1), (11, "which roads remained unchanged", "bi_temporal", 2), (12, "Is the car park next to a golf course or a stadium, a lake, a dam?", "single", 1),
 ]
-_ASKED_SQL = "VALUES " + ", ".join(f"({i}, '{q}', '{m}', {n})" for i, q, m, n in _ASKED)
+#: The questions above, and every user turn of the conversations with a mode and a number of images of its own.
+_ASKED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}', '{m}', {n})" for i, q, m, n in _ASKED) + """) UNION ALL
+  SELECT CAST(1000 + conv_id * 100 + turn AS INT), text, ['single', 'bi_temporal', 'cross_modal'][CAST(1 + conv_id % 3 AS INT)], CAST(1 + turn % 2 AS INT) FROM conversations WHERE role = 'user'"""
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ASKED, "request_id int, query string, input_mode string, image_count int")
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    mode = F.element_at(F.array(F.lit("single"), F.lit("bi_temporal"), F.lit("cross_modal")), (1 + c("conv_id") % 3).cast("int"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    said = turns.select((1000 + c("conv_id") * 100 + c("turn")).cast("int").alias("request_id"), c("text").alias("query"), mode.alias("input_mode"), (1 + c("turn") % 2).cast("int").alias("image_count"))
+    return spark.createDataFrame(_ASKED, "request_id int, query string, input_mode string, image_count int").unionByName(said)
 
 
 def _score_sql(task: str) -> str:
@@ -356,13 +369,13 @@ def _score_sql(task: str) -> str:
     return f"CAST({cues}{bonus} AS DOUBLE)"
 
 
-_SCORES_SQL = f"""asked(request_id, query, input_mode, image_count) AS ({_ASKED_SQL}), low AS (SELECT *, lower(trim(query)) AS q FROM asked),
+_SCORES_SQL = f"""asked(request_id, query, input_mode, image_count) AS ({_ASKED_SQL}), low AS (SELECT *, regexp_replace(regexp_replace(lower(query), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS q FROM asked),
   raw AS (SELECT *, {', '.join(f'{_score_sql(t)} AS {t}' for t in L.TASKS)} FROM low), scored AS (SELECT * REPLACE (CASE WHEN greatest({', '.join(L.TASKS)}) = 0 THEN 1.0 ELSE vqa END AS vqa) FROM raw)"""
 
 
 @query(f"WITH {_SCORES_SQL} SELECT request_id, {', '.join(f'round({t}, 6)::DOUBLE AS score_{t}' for t in L.TASKS)} FROM scored")
 def intent_scores(spark, sf_dir):
-    return router.with_scores(_asked(spark)).select("request_id", *[F.round(f"score_{t}", 6).alias(f"score_{t}") for t in L.TASKS])
+    return router.with_scores(_asked(spark, sf_dir)).select("request_id", *[F.round(f"score_{t}", 6).alias(f"score_{t}") for t in L.TASKS])
 
 
 _FORMS_SQL = "VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in L.ENTITIES.items())
@@ -381,14 +394,14 @@ _ENTITY_SQL = f"""forms(form, phrase) AS ({_FORMS_SQL}), spots AS (SELECT id, q,
 SELECT request_id, CASE WHEN s1 <= 0 THEN 'vqa' ELSE task END AS task, string_split(entities, ',')[1] AS target_entity, round(0.45 + 0.5 * greatest(0, least(1, (CASE WHEN s1 <= 0 THEN 1 ELSE s1 END - s2) / CASE WHEN s1 <= 0 THEN 1 ELSE s1 END)), 3)::DOUBLE AS confidence,
   CASE WHEN s1 > 0 AND task = 'grounding' THEN replace(entities, ',', '.,') || '.' END AS nouns FROM two""")
 def intent_route(spark, sf_dir):
-    routed = router.repair(router.route(_asked(spark)))
+    routed = router.repair(router.route(_asked(spark, sf_dir)))
     return routed.select("request_id", "task", "target_entity", "confidence", F.array_join("search_nouns", ",").alias("nouns"))
 
 
-@query(f"""WITH asked(request_id, query, input_mode, image_count) AS ({_ASKED_SQL}), texts AS (SELECT request_id AS id, lower(trim(query)) AS q FROM asked UNION ALL SELECT 1000 + p_partkey, lower(trim(p_name)) FROM part), {_ENTITY_SQL} SELECT id, coalesce(entities, '') AS entities FROM texts LEFT JOIN found USING (id)""")
+@query(f"""WITH asked(request_id, query, input_mode, image_count) AS ({_ASKED_SQL}), texts AS (SELECT request_id AS id, regexp_replace(regexp_replace(lower(query), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS q FROM asked UNION ALL SELECT -p_partkey, lower(trim(p_name)) FROM part), {_ENTITY_SQL} SELECT id, coalesce(entities, '') AS entities FROM texts LEFT JOIN found USING (id)""")
 def entity_extract(spark, sf_dir):
-    asked = _asked(spark).select(F.col("request_id").cast("long").alias("id"), "query")
-    named = table(spark, sf_dir, "part").select((1000 + F.col("p_partkey")).alias("id"), F.col("p_name").alias("query"))
+    asked = _asked(spark, sf_dir).select(F.col("request_id").cast("long").alias("id"), "query")
+    named = table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("id"), F.col("p_name").alias("query"))
     return asked.unionByName(named).select("id", F.array_join(router.entities(F.col("query")), ",").alias("entities"))
 
 
@@ -399,18 +412,10 @@ _TOOLS_SQL = "VALUES " + ", ".join(f"('{k}', '{kind}', {str(a).lower()}, '{c}')"
 @query(f"""WITH plan(task, step_order, tool) AS ({_PLAN_SQL}), tools(tool, kind, adapted, confidence_type) AS ({_TOOLS_SQL}), routed AS ({ORACLES['intent_route']})
 SELECT request_id, step_order, tool, kind, confidence_type FROM routed JOIN plan USING (task) JOIN tools USING (tool)""")
 def tool_plan(spark, sf_dir):
-    steps = router.plan(router.repair(router.route(_asked(spark))))
+    steps = router.plan(router.repair(router.route(_asked(spark, sf_dir))))
     return steps.join(F.broadcast(router.tool_catalogue(spark).withColumnRenamed("tool", "key")), F.col("tool") == F.col("key")).select("request_id", "step_order", "tool", "kind", "confidence_type")  # nine tools
 
 
-@query()
-def execution_traces(spark, sf_dir):
-    steps = router.plan(router.repair(router.route(_asked(spark))))
-    warned = F.when(F.col("tool") == "change_map", F.array(F.lit("weak_separability"), F.lit("weak_separability"))).otherwise(F.array().cast("array<string>"))
-    results = steps.select("request_id", "step_order", "tool", "purpose", F.concat(F.lit("answer of "), F.col("tool")).alias("answer"), F.lit(0.5).alias("confidence"), warned.alias("warnings"), F.lit(None).cast("string").alias("error"))
-    return router.traces(router.repair(router.route(_asked(spark))), results, "request_id").select("request_id", "task", "answer", "status", F.array_join("warnings", ",").alias("warnings"), F.size("steps").alias("n_steps"), F.to_json("steps").alias("trace"))
-
-
 # ---- raster algebra ---------------------------------------------------------------------
 
 _PX = "px AS (SELECT vec_id AS y, unnest(range(0, len(embedding))) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings)"
@@ -456,12 +461,12 @@ def grid_lee(spark, sf_dir):
     return G.lee(_pixels(spark, sf_dir).withColumn("v", F.abs("v"))).select("y", "x", F.round("v", 6).alias("v"))
 
 
-@query("""WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label IN (0, 1)), q AS (SELECT quantile_cont(v, 0.25) FILTER (label = 0) AS r1, quantile_cont(v, 0.75) FILTER (label = 0) AS r3, quantile_cont(v, 0.25) FILTER (label = 1) AS t1, quantile_cont(v, 0.75) FILTER (label = 1) AS t3 FROM v)
-SELECT round((r3 - r1) / (t3 - t1), 6) AS gain, round(r1 - (r3 - r1) / (t3 - t1) * t1, 6) AS "offset" FROM q""")
+@query("""WITH v AS (SELECT label, unnest(embedding)::DOUBLE AS v FROM embeddings), q AS (SELECT quantile_cont(v, 0.25) FILTER (label % 2 = 0) AS r1, quantile_cont(v, 0.75) FILTER (label % 2 = 0) AS r3, quantile_cont(v, 0.25) FILTER (label % 2 = 1) AS t1, quantile_cont(v, 0.75) FILTER (label % 2 = 1) AS t3 FROM v)
+SELECT round((r3 - r1) / (t3 - t1), 5) AS gain, round(r1 - (r3 - r1) / (t3 - t1) * t1, 3) AS "offset" FROM q""")
 def grid_radiometric_fit(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    side = lambda k: G.pixels_of(rows.where(F.col("label") == k), "vec_id", "embedding")
-    return G.radiometric_fit(side(0), side(1)).select(F.round("gain", 6).alias("gain"), F.round("offset", 6).alias("offset"))
+    side = lambda k: G.pixels_of(rows.where(F.col("label") % 2 == k), "vec_id", "embedding")
+    return G.rounded_fit(G.radiometric_fit(side(0), side(1))).select("gain", "offset")
 
 
 _MAG = f"""{_PX}, hgt AS (SELECT max(y) + 1 AS h FROM px), df AS (SELECT a.y, a.x, greatest(0, least(1, abs(a.v - b.v))) AS v FROM px a JOIN hgt ON true JOIN px b ON b.x = a.x AND b.y = (a.y + 1) % h), {_mean_sql('df', 'mag', 1)}"""
@@ -548,13 +553,6 @@ def html_escape_report(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_escape(F.regexp_extract("html", r"<title>([^<]*)", 1)).alias("title"))
 
 
-@query()
-def geojson_export(spark, sf_dir):
-    regions = G.regions(_mask(spark, sf_dir))
-    ring = B.lonlat_ring((F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), F.lit(10.0), F.lit(50.0), F.lit(0.01), F.lit(0.01))
-    return sinks.geojson(regions.orderBy("rank"), ring, ["area_px", "rank", "direction"], ["scene"])
-
-
 @query("""WITH keyed AS (SELECT doc_id, sha256(text || 'describe' || lang) AS key FROM documents), cache AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE doc_id < (SELECT max(doc_id) // 2 FROM documents) GROUP BY key)
 SELECT cache.key IS NOT NULL AS cache_hit, count(*) AS n FROM keyed LEFT JOIN cache USING (key) GROUP BY 1""")
 def cache_join(spark, sf_dir):
@@ -639,10 +637,10 @@ _DETECTED = "l_orderkey, l_partkey % 60 AS x0, l_suppkey % 50 AS y0, l_partkey %
 
 
 @query(f"""WITH d AS (SELECT {_DETECTED} FROM lineitem), a AS (SELECT *, greatest(0, x1 - x0) * greatest(0, y1 - y0) / (w * h) AS f FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, y0, x0, y1, x1) AS k FROM a WHERE score >= 0.25 AND f > 0 AND f <= 0.92)
-SELECT l_orderkey, CAST(k AS INT) AS rank, round(score, 6) AS score, round(f, 6) AS area_fraction FROM r WHERE k <= 2""")
+SELECT l_orderkey, CAST(k AS INT) AS rank, round(score, 6) AS score, round(f, 6) AS area_fraction FROM r WHERE k <= 8""")
 def detections_kept(spark, sf_dir):
     found = table(spark, sf_dir, "lineitem").selectExpr(*[e.replace(" AS ", " as ") for e in _DETECTED.split(", ")])
-    return imagery.kept_detections(found, "l_orderkey", most=2).select("l_orderkey", "rank", F.round("score", 6).alias("score"), F.round("area_fraction", 6).alias("area_fraction"))
+    return imagery.kept_detections(found, "l_orderkey").select("l_orderkey", "rank", F.round("score", 6).alias("score"), F.round("area_fraction", 6).alias("area_fraction"))
 
 
 @query(f"""WITH b AS (SELECT l_orderkey, l_linenumber, {_GOLD} FROM lineitem) SELECT l_orderkey, l_linenumber, round(10 + x0 * 0.01, 6)::DOUBLE AS lon0, round(50 - y0 * 0.01, 6)::DOUBLE AS lat0, round(10 + x1 * 0.01, 6)::DOUBLE AS lon1, round(50 - y1 * 0.01, 6)::DOUBLE AS lat1 FROM b""")
@@ -653,27 +651,6 @@ def pixel_rings(spark, sf_dir):
     return boxes.select("l_orderkey", "l_linenumber", at(0, 0).alias("lon0"), at(0, 1).alias("lat0"), at(2, 0).alias("lon1"), at(2, 1).alias("lat1"))
 
 
-@query(f"""WITH {_PX.replace('unnest(embedding)::DOUBLE', 'abs(unnest(embedding)::DOUBLE)')}, sq AS (SELECT y, x, v * v AS v FROM px), {_mean_sql('px', 'bm', 2)}, {_mean_sql('sq', 'bs', 2)},
-  l AS (SELECT y, x, m + greatest(0, least(1, 1 - 0.523 * 0.523 / greatest(ci2, 1e-10))) * (v - m) AS v FROM (SELECT px.y, px.x, px.v, bm.v AS m, greatest(bs.v - bm.v * bm.v, 0) / greatest(bm.v * bm.v, 1e-10) AS ci2 FROM px JOIN bm USING (y, x) JOIN bs USING (y, x))),
-  d AS (SELECT y, x, 10 * log10(greatest(v, 1e-10)) AS v FROM l), q AS (SELECT quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99 FROM d), c AS (SELECT y, x, least(greatest(v, greatest(-30, p1 - 5)), least(5, p99 + 5)) AS v FROM d, q),
-  s AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM c)
-SELECT count(*) AS n, count(*) FILTER (v <= lo) AS black, count(*) FILTER (v >= hi) AS white, round(avg(greatest(0, least(1, (v - lo) / (hi - lo)))) , 2) AS mean_share FROM c, s""")
-def sar_render(spark, sf_dir):
-    shown = imagery.render_sar(_pixels(spark, sf_dir).withColumn("v", F.abs("v")))
-    raw = G.decibels(G.lee(_pixels(spark, sf_dir).withColumn("v", F.abs("v"))))
-    ends = G.with_percentiles(raw, (0.02, 0.98), ("lo", "hi"))
-    both = shown.withColumnRenamed("v", "shown").join(ends, ["scene", "band", "y", "x"])
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("v") <= F.col("lo")).alias("black"), F.count_if(F.col("v") >= F.col("hi")).alias("white"), F.round(F.avg(F.col("shown") / 255.0), 2).alias("mean_share"))
-
-
-@query(f"""WITH {_PX}, dim AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), f AS (SELECT *, least(64.0 / w, 64.0 / h) AS s FROM dim), n AS (SELECT *, greatest(1, CAST(round_even(w * s, 0) AS INT)) AS nw, greatest(1, CAST(round_even(h * s, 0) AS INT)) AS nh FROM f)
-SELECT CAST(2 * 64 * 64 AS BIGINT) AS cells, CAST(2 * 64 * 64 - 2 * nw * nh AS BIGINT) AS padding FROM n""")
-def pair_composite(spark, sf_dir):
-    image = _pixels(spark, sf_dir)
-    both = imagery.pair_composite(image, image.withColumn("v", -F.col("v")), cell=64)
-    return both.agg(F.count("*").alias("cells"), F.count_if(F.col("v") == 128.0).alias("padding"))
-
-
 @query(f"""WITH {_PAIRS}, rows AS (SELECT 'vqa' AS kind, CAST(conv_id AS VARCHAR) AS key, question, answer FROM pairs WHERE question <> '' UNION ALL SELECT 'caption', CAST(item_id AS VARCHAR), NULL, text FROM benchmark)
 SELECT kind, count(*) AS n, count(question) AS asked, count(*) FILTER (len(string_split_regex(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), '\\s+')) <= 40) AS kept FROM rows GROUP BY 1""")
 def task_records(spark, sf_dir):
@@ -683,20 +660,4 @@ def task_records(spark, sf_dir):
     return imagery.task_records(vqa=vqa, caption=captions).groupBy("kind").agg(F.count("*").alias("n"), F.count("question").alias("asked"), F.count_if((size > 0) & (size <= 40)).alias("kept"))
 
 
-@query()
-def label_questions(spark, sf_dir):
-    patches = table(spark, sf_dir, "part").select("p_partkey", F.split(F.lower("p_type"), " ").alias("labels"))
-    return datasets.label_questions(patches, "labels").groupBy("template", "answer").agg(F.count("*").alias("n"))
-
-
-@query()
-def markdown_report(spark, sf_dir):
-    return sinks.markdown_table(box_metrics(spark, sf_dir).withColumn("task", F.lit("grounding")), ["l_linestatus", "n", "mean_iou", "acc_50"], ["task"])
-
-
-@query()
-def html_reports(spark, sf_dir):
-    traced = execution_traces(spark, sf_dir)
-    facts = F.array(F.struct(F.lit("task").alias("key"), F.col("task").alias("value")), F.struct(F.lit("status").alias("key"), F.col("status").alias("value")))
-    page = sinks.html_report(F.concat(F.lit("Request "), F.col("request_id").cast("string")), F.col("answer"), facts, F.array("trace"), F.filter(F.split("warnings", ","), lambda w: w != ""), F.lit("{}"))
-    return traced.select("request_id", page.alias("html"))
+from . import catalog_rasters, catalog_runs  # noqa: E402, F401  they register their queries here

@@ -27,21 +27,10 @@ def pixels_of(matrix: DataFrame, row: str, values: str, scene: str = "s0", band:
     return cells.select(F.lit(scene).alias("scene"), F.lit(band).alias("band"), "y", F.col("x").cast("long").alias("x"), F.when(~F.isnan(v), v).alias("v"))
 
 
-def to_tiles(pixels: DataFrame, edge: int = 256) -> DataFrame:
-    """Tiles (scene, band, ty, tx, cells): the form that kernels take."""
-    return pixels.groupBy(*PLANE, F.floor(F.col("y") / edge).alias("ty"), F.floor(F.col("x") / edge).alias("tx")).agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("cells"))
-
-
 def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy(*PLANE).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
-def valid_planes(pixels: DataFrame) -> DataFrame:
-    """Adds ``valid``: the pixel is there in all bands."""
-    every = Window.partitionBy("scene", "y", "x")
-    return pixels.withColumn("valid", F.min(F.col("v").isNotNull()).over(every))
-
-
 def with_percentiles(pixels: DataFrame, shares: Sequence[float], names: Sequence[str], by: Sequence[str] = PLANE, value: str = "v") -> DataFrame:
     """Exact percentiles (linear interpolation) of each plane beside its pixels."""
     found = pixels.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_q"))
@@ -78,36 +67,52 @@ def _mirrored(pixels: DataFrame, axis: str, size: str, radius: int) -> DataFrame
     return pixels.withColumn("_at", F.explode(places))
 
 
-def _along(pixels: DataFrame, axis: str, other: str, size: str, radius: int, values: Sequence[str]) -> DataFrame:
+def _along(pixels: DataFrame, axis: str, other: str, size: str, radius: int, values: Sequence[str], carry: Sequence[str]) -> DataFrame:
     frame = Window.partitionBy(*PLANE, other).orderBy("_at").rowsBetween(-radius, radius)
-    moved = _mirrored(pixels, axis, size, radius).select(*PLANE, other, "_at", axis, size, "h" if size == "w" else "w", *[F.sum(v).over(frame).alias(v) for v in values])
+    moved = _mirrored(pixels, axis, size, radius).select(*PLANE, other, "_at", axis, "h", "w", *carry, *[F.sum(v).over(frame).alias(v) for v in values])
     return moved.where(F.col("_at") == F.col(axis)).drop("_at")
 
 
-def box_means(pixels: DataFrame, radius: int, values: Sequence[str] = ("v",)) -> DataFrame:
-    """Mean over (2r+1) squared pixels with reflected edges; two window sums, rows then columns."""
+def sized(pixels: DataFrame) -> DataFrame:
+    """Pixels with the height and width of their plane; as they are if they have them."""
+    return pixels if {"h", "w"} <= set(pixels.columns) else pixels.join(sizes(pixels), list(PLANE))
+
+
+def box_means(pixels: DataFrame, radius: int, values: Sequence[str] = ("v",), carry: Sequence[str] = ()) -> DataFrame:
+    """Mean over (2r+1) squared pixels with reflected edges; two window sums, rows then columns.
+
+    Columns to ``carry`` come along as they are (a pixel's own values beside its means: no join).
+    """
     if radius < 1:
-        return pixels.select(*PLANE, "y", "x", *values)
-    sized = pixels.join(sizes(pixels), list(PLANE)).select(*PLANE, "y", "x", "h", "w", *values)
-    summed = _along(_along(sized, "x", "y", "w", radius, values), "y", "x", "h", radius, values)
+        return pixels.select(*PLANE, "y", "x", *values, *carry)
+    whole = sized(pixels).select(*PLANE, "y", "x", "h", "w", *[c for c in carry if c not in ("h", "w")], *values)
+    rest = [c for c in carry if c not in ("h", "w")]
+    summed = _along(_along(whole, "x", "y", "w", radius, values, rest), "y", "x", "h", radius, values, rest)
     area = float((2 * radius + 1) ** 2)
-    return summed.select(*PLANE, "y", "x", *[(F.col(v) / area).alias(v) for v in values])
+    return summed.select(*PLANE, "y", "x", *[(F.col(v) / area).alias(v) for v in values], *carry)
+
+
+def moments(pixels: DataFrame, radius: int, carry: Sequence[str] = ("v",)) -> DataFrame:
+    """Local mean ``m`` and mean square ``s`` of v, beside the pixel's own columns."""
+    return box_means(pixels.withColumns({"m": F.col("v"), "s": F.col("v") * F.col("v")}), radius, ("m", "s"), carry)
 
 
 def lee(pixels: DataFrame, radius: int = 2, cu: float = LEE_CU) -> DataFrame:
     """Lee speckle filter on linear power."""
-    means = box_means(pixels.select(*PLANE, "y", "x", F.col("v").alias("m"), (F.col("v") * F.col("v")).alias("s")), radius, ("m", "s"))
-    joined = pixels.join(means, [*PLANE, "y", "x"])
     var = F.greatest(F.col("s") - F.col("m") * F.col("m"), F.lit(0.0))
     ci2 = var / F.greatest(F.col("m") * F.col("m"), F.lit(EPS))
     weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - cu * cu / F.greatest(ci2, F.lit(EPS))))
-    return joined.select(*PLANE, "y", "x", (F.col("m") + weight * (F.col("v") - F.col("m"))).alias("v"))
+    return moments(pixels, radius).select(*PLANE, "y", "x", (F.col("m") + weight * (F.col("v") - F.col("m"))).alias("v"))
+
+
+def deviation() -> Column:
+    """Local standard deviation from the columns of ``moments``."""
+    return F.sqrt(F.greatest(F.col("s") - F.col("m") * F.col("m"), F.lit(0.0)))
 
 
 def texture(pixels: DataFrame, radius: int = 2) -> DataFrame:
     """Local standard deviation."""
-    means = box_means(pixels.select(*PLANE, "y", "x", F.col("v").alias("m"), (F.col("v") * F.col("v")).alias("s")), radius, ("m", "s"))
-    return means.select(*PLANE, "y", "x", F.sqrt(F.greatest(F.col("s") - F.col("m") * F.col("m"), F.lit(0.0))).alias("v"))
+    return moments(pixels, radius).select(*PLANE, "y", "x", deviation().alias("v"))
 
 
 def rgb_bands(count: Column, names: Column, interpretation: Column) -> Column:
@@ -141,6 +146,11 @@ def radiometric_fit(reference: DataFrame, target: DataFrame) -> DataFrame:
     return both.select(*PLANE, gain.alias("gain"), F.when(F.abs(width) < 1e-6, 0.0).otherwise(F.col("r")[0] - gain * F.col("t")[0]).alias("offset"))
 
 
+def rounded_fit(fit: DataFrame) -> DataFrame:
+    """The fit as reports show it."""
+    return fit.select(*PLANE, F.round("gain", 5).alias("gain"), F.round("offset", 3).alias("offset"))
+
+
 def radiometric_normalise(reference: DataFrame, target: DataFrame) -> DataFrame:
     fit = radiometric_fit(reference, target)
     v = F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("v") * F.col("gain") + F.col("offset")))
@@ -257,6 +267,8 @@ def regions(mask: DataFrame, min_fraction: float = 0.0005, most: int = 8, max_ed
         "scene", "w", "h", "cells", (F.col("a") * scale).alias("x0"), (F.col("b") * scale).alias("y0"),
         F.least((F.col("c") + 1) * scale, "w").alias("x1"), F.least((F.col("d") + 1) * scale, "h").alias("y1"), F.floor(F.col("mx") * scale).alias("cx"), F.floor(F.col("my") * scale).alias("cy"),
     )
+    # A box can't hold more pixels than it has: small ones go before any pixel is met.
+    boxes = boxes.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= min_fraction * F.col("w") * F.col("h"))
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
     # Counting by row and box first: the join's rows are those of a box, not its pixels.
     per_row = boxes.withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1))).join(mask.where("on").select("scene", "y", "x"), ["scene", "y"]).where(inside)
@@ -266,27 +278,35 @@ def regions(mask: DataFrame, min_fraction: float = 0.0005, most: int = 8, max_ed
     return ranked.where(F.col("rank") <= most).withColumn("direction", T.position_words(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"))).drop("w", "h")
 
 
-def change_summary(masked: DataFrame) -> DataFrame:
-    """changed_fraction, separability and the warnings they give, per scene."""
+def change_summary(masked: DataFrame, resized: Column | None = None) -> DataFrame:
+    """changed_fraction, separability and the warnings they give, per scene; ``resized`` tells of images of two sizes."""
     out = masked.groupBy("scene").agg(F.avg(F.col("on").cast("int")).alias("changed_fraction"), F.max("separability").alias("separability"))
-    notes = F.filter(F.array(F.when(F.col("separability") < WEAK_SEPARABILITY, "weak_separability"), F.when(F.col("changed_fraction") > IMPLAUSIBLE, "implausible_change")), lambda w: w.isNotNull())
+    told = F.when(F.lit(False) if resized is None else resized, "size_mismatch")
+    notes = F.filter(F.array(told, F.when(F.col("separability") < WEAK_SEPARABILITY, "weak_separability"), F.when(F.col("changed_fraction") > IMPLAUSIBLE, "implausible_change")), lambda w: w.isNotNull())
     return out.withColumn("warnings", notes)
 
 
 def detect_change(first: DataFrame, second: DataFrame, open_radius: int = 1, close_radius: int = 2, smooth: int = 1) -> DataFrame:
-    """The mask (``on``, with separability) of what changed between two images on one grid."""
-    magnitude = change_magnitude(first, radiometric_normalise(first, second), smooth)
-    raw = change_mask(magnitude)
-    tidy = closed(opened(raw, open_radius), close_radius)
-    return tidy.join(raw.select("scene", "separability").distinct(), "scene")
+    """The mask (``on``, with separability) of what changed between two images on one grid.
+
+    The magnitude is written once: the threshold and the mask read it again.
+    """
+    magnitude = checkpointed(change_magnitude(first, radiometric_normalise(first, second), smooth))
+    cut = checkpointed(otsu(magnitude))
+    raw = magnitude.join(cut.select("scene", F.greatest("threshold", F.lit(CHANGE_FLOOR)).alias("cut")), "scene").withColumn("on", F.col("v") > F.col("cut"))
+    return closed(opened(raw, open_radius), close_radius).join(cut.select("scene", "separability"), "scene")
 
 
 def sar_classes(optical: DataFrame, sar: DataFrame, water: float = 0.15, built: float = 0.90, rough: float = 0.55, smooth: int = 1) -> DataFrame:
-    """water, built_up and rejected per pixel: dark returns that aren't bright in the optical image, and bright rough ones."""
-    grey = box_means(sar, smooth)
-    rough_of = texture(grey, 2).select(*PLANE, "y", "x", F.col("v").alias("t"))
-    light = optical.select(*PLANE, "y", "x", F.col("v").alias("o"))
-    every = grey.join(rough_of, [*PLANE, "y", "x"]).join(light, [*PLANE, "y", "x"])
+    """water, built_up and rejected per pixel: dark returns that aren't bright in the optical image, and bright rough ones.
+
+    Radar, optical and texture travel as columns of one relation; it is written once, for the
+    percentiles and the classes.
+    """
+    light = optical.select(*PLANE, "y", "x", F.col("v").alias("o"), F.lit(True).alias("lit"))
+    both = sized(sar).select(*PLANE, "y", "x", "h", "w", "v").join(light, [*PLANE, "y", "x"], "left")
+    grey = box_means(both, smooth, ("v",), ("o", "lit", "h", "w"))
+    every = checkpointed(moments(grey, 2, ("v", "o", "lit")).where("lit").select(*PLANE, "y", "x", "v", "o", deviation().alias("t")))
     cuts = every.groupBy(*PLANE).agg(F.percentile("v", F.array(F.lit(water), F.lit(built))).alias("qv"), F.percentile("t", F.lit(rough)).alias("qt"), F.percentile("o", F.lit(0.60)).alias("qo"))
     joined = every.join(cuts, list(PLANE))
     dark, bright = F.col("v") <= F.col("qv")[0], F.col("o") > F.col("qo")
@@ -319,3 +339,27 @@ def resample_bilinear(source: DataFrame, grid: DataFrame) -> DataFrame:
     given = source.select("scene", "band", F.col("y").alias("y0"), F.col("x").alias("x0"), "v")
     met = asked.join(given, ["scene", "y0", "x0"])
     return met.groupBy("scene", "band", "y", "x").agg(F.when(F.sum("k") > 1 - 1e-9, F.sum(F.col("k") * F.col("v"))).alias("v"))
+
+
+def _places(sizes_: DataFrame) -> DataFrame:
+    """A row per pixel of each scene's ``h`` by ``w`` grid; rows of pixels are dealt before they are taken apart."""
+    rows = sizes_.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h").cast("long") - 1))).repartition("scene", "y")
+    return rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w").cast("long") - 1)))
+
+
+def grid_map(pairs: DataFrame) -> DataFrame:
+    """``grid(scene, y, x, sy, sx)``: where each pixel centre of image a lies in image b, both north-up in one system.
+
+    ``pairs(scene, a_h, a_w, a_x0, a_y1, a_rx, a_ry, b_x0, b_y1, b_rx, b_ry)``: upper left corners and resolutions.
+    """
+    at = _places(pairs.withColumns({"h": F.col("a_h"), "w": F.col("a_w")}))
+    east, north = F.col("a_x0") + (F.col("x") + 0.5) * F.col("a_rx"), F.col("a_y1") - (F.col("y") + 0.5) * F.col("a_ry")
+    return at.select("scene", "y", "x", ((F.col("b_y1") - north) / F.col("b_ry") - 0.5).alias("sy"), ((east - F.col("b_x0")) / F.col("b_rx") - 0.5).alias("sx"))
+
+
+def resize_map(pairs: DataFrame) -> DataFrame:
+    """``grid`` of a plain resize of b to a's size; places beyond the edge centres are held at the edge."""
+    at = _places(pairs.withColumns({"h": F.col("a_h"), "w": F.col("a_w")}))
+    held = lambda place, n: F.greatest(F.lit(0.0), F.least(place, n - 1.0))
+    scaled = lambda axis, n: held((F.col(axis) + 0.5) * F.col(f"b_{n}") / F.col(f"a_{n}") - 0.5, F.col(f"b_{n}"))
+    return at.select("scene", "y", "x", scaled("y", "h").alias("sy"), scaled("x", "w").alias("sx"))

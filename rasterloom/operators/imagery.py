@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from . import grid as G
+from .checkpoints import checkpointed
 
 #: Largest share of the frame that a detection may cover, and how many are kept.  Fixed values.
 MAX_BOX_FRACTION, TOP_K, BOX_THRESHOLD = 0.92, 8, 0.25
@@ -23,7 +24,7 @@ def as_rgb(pixels: DataFrame, bands: Sequence[int]) -> DataFrame:
 
 def render_sar(pixels: DataFrame, radius: int = 2, integer: bool = False) -> DataFrame:
     """Speckle filter on linear power, then decibels, then the stretch."""
-    return G.stretch(G.decibels(G.lee(pixels, radius), integer).drop("label"))
+    return G.stretch(checkpointed(G.decibels(checkpointed(G.lee(pixels, radius)), integer).drop("label")))
 
 
 def sar_bands(count: Column) -> Column:
@@ -46,26 +47,51 @@ def column_layout(columns: Sequence[str]) -> str:
     raise ValueError(f"neither bands nor stacks among {sorted(columns)}")
 
 
-def alignment(a_crs: Column, b_crs: Column, same_grid: Column, same_size: Column) -> Column:
-    """How the second image is brought onto the first one's grid."""
+def alignment(a_crs: Column, b_crs: Column, same_grid: Column, same_size: Column) -> tuple[Column, Column]:
+    """How the second image is brought onto the first one's grid, and the warning that goes with it.
+
+    Two reference systems would need a projection library: such a pair is resized, as a failed reprojection is.
+    """
     both = a_crs.isNotNull() & b_crs.isNotNull()
-    return F.when(both & ~same_grid & (a_crs == b_crs), "reprojected_to_reference").when(both & ~same_grid, "unsupported_reference_system").when(same_size, "identical_grid").otherwise("resized_to_reference")
+    plain = F.when(same_size, "identical_grid").otherwise("pixel_resize")
+    method = F.when(both & ~same_grid & (a_crs == b_crs), "reproject_to_reference_grid").otherwise(plain)
+    return method, F.when(both & (a_crs != b_crs), "reprojection_failed")
+
+
+def align_pairs(images: DataFrame, pairs: DataFrame) -> DataFrame:
+    """scene, band, y, x, v of each second image on its first one's grid, and the method.
+
+    ``images(scene, band, y, x, v)`` are the second ones; ``pairs(scene, a_crs, b_crs, a_h, a_w, a_x0, a_y1,
+    a_rx, a_ry, b_...)`` has a row a scene.
+    """
+    c = F.col
+    same_size = (c("a_h") == c("b_h")) & (c("a_w") == c("b_w"))
+    same_grid = same_size & (c("a_crs") == c("b_crs"))
+    for k in ("x0", "y1", "rx", "ry"):
+        same_grid = same_grid & (c(f"a_{k}") == c(f"b_{k}"))
+    method, warning = alignment(c("a_crs"), c("b_crs"), F.coalesce(same_grid, F.lit(False)), same_size)
+    told = checkpointed(pairs.withColumns({"method": method, "warning": warning}))
+    moved = G.grid_map(told.where("method = 'reproject_to_reference_grid'")).unionByName(G.resize_map(told.where("method = 'pixel_resize'")))
+    kept = images.join(told.where("method = 'identical_grid'").select("scene"), "scene", "left_semi").select("scene", "band", "y", "x", "v")
+    placed = G.resample_bilinear(images, moved).unionByName(kept)
+    return placed.join(told.select("scene", "method", "warning"), "scene")
+
+
+def fit_into(image: DataFrame, cell: int, shift: int = 0, padding: float = 128.0) -> DataFrame:
+    """An image letterboxed into a square cell by nearest pixels: scene, cy, cx, v; the rest is padding."""
+    size = image.groupBy("scene").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    fit = B.letterbox(F.col("w"), F.col("h"), cell)
+    upto = F.explode(F.sequence(F.lit(0), F.lit(cell - 1)))
+    canvas = size.select("scene", "w", "h", *[c.alias(n) for n, c in fit.items()]).withColumn("cy", upto).withColumn("cx", upto)
+    inside = (F.col("cx") >= F.col("dx")) & (F.col("cx") < F.col("dx") + F.col("new_w")) & (F.col("cy") >= F.col("dy")) & (F.col("cy") < F.col("dy") + F.col("new_h"))
+    source = lambda at, d, new, n: F.when(inside, F.floor((F.col(at) - F.col(d) + 0.5) * F.col(n) / F.col(new)))
+    asked = canvas.select("scene", "cy", (F.col("cx") + shift).alias("cx"), source("cy", "dy", "new_h", "h").alias("y"), source("cx", "dx", "new_w", "w").alias("x"))
+    return asked.join(image.select("scene", "y", "x", "v"), ["scene", "y", "x"], "left").select("scene", "cy", "cx", F.coalesce("v", F.lit(padding)).alias("v"))
 
 
 def pair_composite(left: DataFrame, right: DataFrame, cell: int = 224) -> DataFrame:
-    """Two images side by side on one canvas, each letterboxed into its half by nearest pixels; padding is grey."""
-    ys = F.explode(F.sequence(F.lit(0), F.lit(cell - 1)))
-    out = None
-    for side, (image, shift) in enumerate(((left, 0), (right, cell))):
-        size = image.groupBy("scene").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-        fit = B.letterbox(F.col("w"), F.col("h"), cell)
-        canvas = size.select("scene", "w", "h", *[c.alias(n) for n, c in fit.items()]).withColumn("cy", ys).withColumn("cx", F.explode(F.sequence(F.lit(0), F.lit(cell - 1))))
-        inside = (F.col("cx") >= F.col("dx")) & (F.col("cx") < F.col("dx") + F.col("new_w")) & (F.col("cy") >= F.col("dy")) & (F.col("cy") < F.col("dy") + F.col("new_h"))
-        source = lambda at, d, new, n: F.when(inside, F.floor((F.col(at) - F.col(d) + 0.5) * F.col(n) / F.col(new)))
-        asked = canvas.select("scene", "cy", (F.col("cx") + shift).alias("cx"), source("cy", "dy", "new_h", "h").alias("y"), source("cx", "dx", "new_w", "w").alias("x"))
-        part = asked.join(image.select("scene", "y", "x", "v"), ["scene", "y", "x"], "left").select("scene", "cy", "cx", F.lit(side).alias("side"), F.coalesce("v", F.lit(128.0)).alias("v"))
-        out = part if out is None else out.unionAll(part)
-    return out
+    """Two images side by side on one canvas, each letterboxed into its half; ``side`` tells which."""
+    return fit_into(left, cell).withColumn("side", F.lit(0)).unionByName(fit_into(right, cell, cell).withColumn("side", F.lit(1)))
 
 
 def kept_detections(detections: DataFrame, image: str, threshold: float = BOX_THRESHOLD, most: int = TOP_K) -> DataFrame:

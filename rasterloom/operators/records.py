@@ -72,9 +72,10 @@ def is_active(flag: Column) -> Column:
     return ~flag.eqNullSafe(F.lit(False))
 
 
-def join_answers(questions: DataFrame, answers: DataFrame, question_key: str, answer_key: str, order: Sequence[Column]) -> DataFrame:
-    """Questions with the first active answer; those without keep nulls, for ``reasons``."""
-    firsts = first_per_key(answers, [answer_key], order)
+def join_answers(questions: DataFrame, answers: DataFrame, question_key: str, answer_key: str, order: Sequence[Column], active: str | None = None) -> DataFrame:
+    """Questions with the first active answer (all count without a flag); those without keep nulls, for ``reasons``."""
+    usable = answers if active is None else answers.where(is_active(F.col(active)))
+    firsts = first_per_key(usable, [answer_key], order)
     return questions.join(firsts, questions[question_key] == firsts[answer_key], "left")
 
 
@@ -127,21 +128,55 @@ def balanced_caps(counts: DataFrame, fraction: float, scope: Sequence[str] = (),
     return out.select(*scope, F.when(free, F.col("most")).otherwise(F.col("cap")).alias("cap"))
 
 
+def first_in_order(rows: DataFrame, by: Sequence[str], order: Column, key: Sequence[str], cap: Column, total: DataFrame) -> DataFrame:
+    """The first ``cap`` rows of each group in the order of a hexadecimal digest, ties by ``key``.
+
+    ``total(by..., cap, ...)`` has a row a group.  Digests fall evenly into 4096 bins, so counts per
+    group and bin (combined before the shuffle) tell which bins are whole on one side; rows of the
+    one bin that the cap cuts are all that is ranked, whatever a group holds.
+    """
+    binned = rows.withColumns({"_order": order, "_bin": F.conv(F.substring(order, 1, 3), 16, 10).cast("int")})
+    upto = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
+    capped = counts.join(total, list(by)).withColumn("_cap", cap)
+    cut = capped.groupBy(*by).agg(F.max(F.when(F.col("_upto") <= F.col("_cap"), F.col("_bin"))).alias("_whole"), F.max(F.when(F.col("_upto") <= F.col("_cap"), F.col("_upto"))).alias("_had"), F.max("_cap").alias("_cap"))
+    cut = cut.select(*by, F.coalesce("_whole", F.lit(-1)).alias("_whole"), (F.col("_cap") - F.coalesce("_had", F.lit(0))).alias("_left"))
+    near = binned.join(cut, list(by)).where(F.col("_bin") <= F.col("_whole") + 1)
+    ranked = near.where(F.col("_bin") > F.col("_whole")).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_order", *key)))
+    edge = ranked.where(F.col("_n") <= F.col("_left")).drop("_n")
+    return near.where(F.col("_bin") <= F.col("_whole")).unionByName(edge).drop("_order", "_bin", "_whole", "_left")
+
+
 def balance(rows: DataFrame, answer: Column, key: Sequence[str], fraction: float, scope: Sequence[str] = (), seed: int = 0, **limits) -> DataFrame:
     """Rows kept so that no answer exceeds its share, globally or within each scope."""
-    marked = rows.withColumn("_a", F.lower(T.strip(answer)))
-    counts = marked.groupBy(*scope, "_a").agg(F.count("*").alias("n"))
-    caps = balanced_caps(counts, fraction, scope, **limits)
-    ranked = marked.withColumn("_n", F.row_number().over(Window.partitionBy(*scope, "_a").orderBy(seeded(seed, *map(F.col, key)), *key)))
-    joined = ranked.join(caps, list(scope)) if scope else ranked.join(F.broadcast(caps))  # without a scope, one row
-    return joined.where(F.col("_n") <= F.col("cap")).drop("_a", "_n", "cap")
+    everywhere = unused(rows, "_all")
+    marked = rows.withColumns({"_a": F.lower(T.strip(answer)), everywhere: F.lit(0)})
+    groups = [*scope] if scope else [everywhere]
+    counts = marked.groupBy(*groups, "_a").agg(F.count("*").alias("n"))
+    caps = balanced_caps(counts, fraction, groups, **limits)
+    total = counts.join(caps, groups).select(*groups, "_a", "cap").na.fill("", ["_a"])
+    known = marked.withColumn("_a", F.coalesce("_a", F.lit("")))
+    return first_in_order(known, [*groups, "_a"], seeded(seed, *map(F.col, key)), key, F.col("cap"), total).drop("_a", everywhere)
+
+
+def unused(rows: DataFrame, stem: str) -> str:
+    while stem in rows.columns:
+        stem += "_"
+    return stem
+
+
+def seeded_sample(rows: DataFrame, key: Sequence[str], most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` rows, the first in seeded order; no task holds more than one bin of them."""
+    whole = unused(rows, "_all")
+    marked = rows.withColumn(whole, F.lit(0))
+    total = rows.sparkSession.createDataFrame([(0, most)], f"{whole} int, _most long")
+    return first_in_order(marked, [whole], seeded(seed, *map(F.col, key)), key, F.col("_most"), total).drop(whole)
 
 
 def split_by_group(rows: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
     """Adds ``is_val``: whole groups go to one side, ``max(1, floor(n * fraction))`` of them to validation."""
     keys = rows.select(F.col(group).alias("_g")).where("_g is not null").distinct()
-    count = keys.count()
-    chosen = keys.orderBy(seeded(seed, F.col("_g")), "_g").limit(max(1, int(count * fraction))).withColumn("_val", F.lit(True))
+    chosen = seeded_sample(keys, ["_g"], max(1, int(keys.count() * fraction)), seed).withColumn("_val", F.lit(True))
     return rows.join(chosen, rows[group] == chosen["_g"], "left").withColumn("is_val", F.coalesce("_val", F.lit(False))).drop("_g", "_val")
 
 
@@ -156,9 +191,17 @@ def orphans(files: DataFrame, kept: DataFrame, file_key: str, kept_key: str) ->
 
 # ---- gates ----------------------------------------------------------------------------
 
+#: Floors of the four builders.  Fixed values.
+FLOORS: dict[str, dict[str, float]] = {
+    "questions": {"min_records": 2000, "min_groups": 300, "min_answers": 100, "max_top": 0.35},
+    "change": {"min_records": 500, "min_groups": 50, "min_answers": 8, "max_top": 0.35},
+    "typed": {"min_records": 2000, "min_groups": 100, "min_answers": 8, "max_top": 0.35},
+    "optical_sar": {"min_records": 4000, "min_groups": 800, "min_answers": 10, "max_top": 0.35},
+}
+
 
 def quality_stats(rows: DataFrame, group: Column, answer: Column) -> DataFrame:
-    """One row: records, groups, answers, top_answer_fraction."""
+    """One row: records, groups, answers, top_answer_fraction (records per group is their ratio)."""
     tidy = rows.select(group.alias("g"), F.lower(T.strip(answer)).alias("a"))
     by_answer = tidy.groupBy("a").agg(F.count("*").alias("n"))
     top = by_answer.agg(F.sum("n").alias("records"), F.count("a").alias("answers"), F.max("n").alias("most"))
@@ -178,6 +221,10 @@ def assert_quality(rows: DataFrame, group: Column, answer: Column, **limits) ->
         raise BuildError(", ".join(row.problems))
 
 
+def records_per_group(stats: DataFrame) -> DataFrame:
+    return stats.withColumn("records_per_group", F.coalesce(F.try_divide(F.col("records").cast("double"), F.col("groups")), F.lit(0.0)))
+
+
 def failure_fraction(rows: DataFrame, failed: Column) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(failed).alias("failed")).withColumn("fraction", F.coalesce(F.try_divide(F.col("failed").cast("double"), F.col("total")), F.lit(0.0)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +98,40 @@ def plan(routed: DataFrame) -> DataFrame:
     return rows.select(*routed.columns, (F.col("_at") + 1).alias("step_order"), F.col("_step.tool").alias("tool"), purpose.alias("purpose"), F.col("_step.parameters").alias("parameters"))
 
 
+def validated(routed: DataFrame, images: str = "images", status: str = "coregistration") -> DataFrame:
+    """Adds ``rejected``: why a request can't run, or null.
+
+    ``images`` is array<struct<valid boolean, error string>> of what was supplied; ``status`` is the
+    outcome of ``scenes.coregister`` for its first two (null if there is no pair).
+    """
+    given = F.coalesce(F.size(images), F.lit(0))
+    bad = F.try_element_at(F.filter(images, lambda i: ~F.coalesce(i["valid"], F.lit(False))), F.lit(1))
+    pair = F.col("task").isin(*L.PAIR_TASKS)
+    short = F.format_string("Task '%s' needs two images; %d supplied.", F.col("task"), given)
+    why = (
+        F.when(given <= 0, "No image was supplied.")
+        .when(bad.isNotNull(), F.coalesce(bad["error"], F.lit("unreadable input")))
+        .when(pair & (given < 2), short)
+        .when(pair & F.col(status).isin("unreadable", "no_overlap"), F.concat(F.lit("co-registration: "), F.col(status)))
+    )
+    return routed.withColumn("rejected", why)
+
+
+def with_adapters(steps: DataFrame, loaded: Sequence[str]) -> DataFrame:
+    """Adds ``adapter`` and ``adapter_warnings``: a tool whose own adapter isn't loaded takes the one that stands in."""
+    adapter, warning = F.col("tool"), F.lit(None).cast("string")
+    for tool, (own, other, told) in L.FALLBACKS.items():
+        adapter = F.when(F.col("tool") == tool, own if own in loaded else other).otherwise(adapter)
+        warning = F.when((F.col("tool") == tool) & F.lit(own not in loaded), told).otherwise(warning)
+    return steps.withColumns({"adapter": adapter, "adapter_warnings": F.filter(F.array(warning), lambda w: w.isNotNull())})
+
+
+def grounding_tool(backend: Column, adapter_loaded: Column) -> Column:
+    """Which of the two grounding tools runs: the adapted model if asked for or there, else the detector."""
+    wanted = F.lower(F.coalesce(backend, F.lit("auto")))
+    return F.when((wanted == "vlm") | ((wanted == "auto") & adapter_loaded), "grounding_vlm").otherwise("grounding")
+
+
 def tool_catalogue(spark) -> DataFrame:
     return spark.createDataFrame(list(L.TOOLS), "tool string, kind string, remote_sensing_adapted boolean, confidence_type string")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import text as T
-from ..functions.lexicon import GROUPS
+from ..functions.lexicon import GROUPS, JOINT_ANSWERS, LABEL_QUESTIONS
 from ..operators import evaluation as E
 from ..operators import records as R
 from ..operators.checkpoints import checkpointed
@@ -102,7 +102,7 @@ def build_questions(records: DataFrame, files: DataFrame, *, val_fraction: float
     kept = marked.where("reason is null").drop("reason")
     key = ["image_id", "question", "answer"]
     if max_records is not None:
-        kept = kept.orderBy(R.seeded(seed, *map(F.col, key)), *key).limit(max_records)
+        kept = R.seeded_sample(kept, key, max_records, seed)
     tagged = kept.withColumn("task", F.when(T.is_caption(F.col("question"), F.col("answer")), "caption").otherwise("vqa"))
     balanced = R.balance(tagged.where("task = 'vqa'"), F.col("answer"), key, top_answer, seed=seed)
     rows = checkpointed(balanced.unionByName(tagged.where("task = 'caption'")))
@@ -129,36 +129,24 @@ def label_questions(rows: DataFrame, labels: str) -> DataFrame:
     """
     grouped = with_groups(rows, labels)
     has = lambda g: F.array_contains("groups", g)
-    yes = lambda g: F.when(has(g), "yes").otherwise("no")
     water, built = has("water"), has("built-up")
-    both = (
-        F.when(built & water, "Both are present: built-up areas appear as bright, high-texture double-bounce returns in the SAR image, and water-covered regions appear dark due to specular scattering.")
-        .when(built, "Built-up areas are present, visible as bright double-bounce returns in the SAR image. No significant water-covered regions are present.")
-        .when(water, "Water-covered regions are present, visible as dark specular returns in the SAR image. No significant built-up areas are present.")
-        .otherwise("Neither built-up areas nor water-covered regions are present in this area.")
-    )
-    detail = F.slice(F.array_sort(F.array_distinct(T.labels_of(F.col(labels)))), 1, 6)
+    both, only_built, only_water, neither = map(F.lit, JOINT_ANSWERS)
     listed = lambda items: F.when(F.size(items) > 0, F.concat(F.array_join(items, ", "), F.lit(".")))
-    templates = [
-        ("presence_water", "Are water-covered regions present in this area?", yes("water")),
-        ("presence_builtup", "Are built-up regions present in this area?", yes("built-up")),
-        ("presence_forest", "Is there forest cover in this scene?", yes("forest")),
-        ("presence_agriculture", "Is there agricultural land in this scene?", yes("agriculture")),
-        ("sar_water", "Does the SAR image indicate open water through specular (dark) returns?", yes("water")),
-        ("sar_builtup", "Does the SAR image show strong double-bounce returns indicating buildings?", yes("built-up")),
-        ("urban_rural", "Is this predominantly an urban or a rural area?", F.when(built, "urban").otherwise("rural")),
-        ("joint_builtup_water", "Use the optical and SAR images together to identify built-up and water-covered regions.", F.when(F.size("groups") > 0, both)),
-        ("land_cover_groups", "Which broad land-cover types are present in this area?", listed(F.array_sort("groups"))),
-        ("land_cover_detail", "What land-cover classes are visible in this area?", listed(detail)),
-    ]
+    open_ = {
+        "kind": F.when(built, "urban").otherwise("rural"),
+        "joint": F.when(F.size("groups") > 0, F.when(built & water, both).when(built, only_built).when(water, only_water).otherwise(neither)),
+        "groups": listed(F.array_sort("groups")),
+        "labels": listed(F.slice(F.array_sort(F.array_distinct(T.labels_of(F.col(labels)))), 1, 6)),
+    }
+    templates = [(t, q, open_[told] if told in open_ else F.when(has(told), "yes").otherwise("no")) for t, q, told in LABEL_QUESTIONS]
     made = F.array(*[F.struct(F.lit(t).alias("template"), F.lit(q).alias("question"), a.alias("answer")) for t, q, a in templates])
     return grouped.select(*rows.columns, F.inline(made)).where("answer is not null")
 
 
-def build_change(samples: DataFrame, *, cap: int = 8, top_answer: float = 0.35, val_fraction: float = 0.1, seed: int = 0) -> Build:
+def build_change(samples: DataFrame, *, cap: int = 8, top_answer: float = 0.35, val_fraction: float = 0.1, seed: int = 0, check: bool = False) -> Build:
     """Change questions from ``samples(key, first, second, annotation)``: content ids, caps, balance, split by pair.
 
-    Pairs of equal content share an id; their rows stay.
+    Pairs of equal content share an id; their rows stay.  ``check`` applies the change set's floors.
     """
     record = F.try_parse_json("annotation")
     talk = lambda i: F.try_variant_get(record, f"$.conversations[{i}].value", "string")
@@ -169,6 +157,8 @@ def build_change(samples: DataFrame, *, cap: int = 8, top_answer: float = 0.35,
     capped = R.cap_per_group(kept, ["pair_id"], ["key", "question"], cap, seed)
     balanced = R.balance(capped, F.col("answer"), ["key", "question"], top_answer, seed=seed)
     prefixed = balanced.withColumns({"prefix": T.change_prompt(F.col("question")), "suffix": F.col("answer")})
+    if check:
+        R.assert_quality(prefixed, F.col("pair_id"), F.col("answer"), **R.FLOORS["change"])
     return Build(R.split_by_group(prefixed, "pair_id", val_fraction, seed), marked.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")))
 
 

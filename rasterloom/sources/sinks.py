@@ -30,12 +30,15 @@ def html_table(pairs: Column) -> Column:
     return F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>"))
 
 
-def html_report(title: Column, answer: Column, facts: Column, steps: Column, warnings: Column, geojson_text: Column) -> Column:
-    """A page that needs nothing else: answer, facts, steps (array<string>), warnings, data."""
+def html_report(title: Column, answer: Column, facts: Column, steps: Column, warnings: Column, geojson_text: Column, images: Column | None = None, stamp: Column | None = None) -> Column:
+    """A page that needs nothing else: answer, facts, steps (array<string>), warnings, images (array of
+    data addresses), the time it was made (UTC) and data."""
     items = lambda xs: F.concat(F.lit("<ul>"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("<li>"), T.html_escape(x), F.lit("</li>"))), ""), F.lit("</ul>"))
+    figures = F.lit("") if images is None else F.concat(F.lit("<h2>Images</h2>"), F.array_join(F.transform(images, lambda i: F.concat(F.lit("<figure><img src='"), i, F.lit("'></figure>"))), ""))
+    made = F.lit("") if stamp is None else F.concat(F.lit("<p>"), F.date_format(stamp, "yyyy-MM-dd HH:mm"), F.lit(" UTC</p>"))
     return F.concat(
         F.lit("<!doctype html><html><head><meta charset='utf-8'><title>"), T.html_escape(title), F.lit("</title></head><body><h1>"), T.html_escape(title), F.lit("</h1><p>"), T.html_escape(answer), F.lit("</p>"), html_table(facts),
-        F.lit("<h2>Steps</h2>"), items(steps), F.lit("<h2>Warnings</h2>"), items(F.array_distinct(warnings)), F.lit("<pre>"), T.html_escape(geojson_text), F.lit("</pre></body></html>"),
+        F.lit("<h2>Steps</h2>"), items(steps), F.lit("<h2>Warnings</h2>"), items(F.array_distinct(warnings)), figures, made, F.lit("<pre>"), T.html_escape(geojson_text), F.lit("</pre></body></html>"),
     )
 
 
@@ -44,3 +47,8 @@ def markdown_table(rows: DataFrame, columns: Sequence[str], by: Sequence[str]) -
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
     head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"
     return rows.groupBy(*by).agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("markdown"))
+
+
+def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """A report of few rows (one per build or task) as one JSON file, nulls kept."""
+    report.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)

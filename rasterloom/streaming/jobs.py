@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 
-_PAIRS = "key long, question_turn long, answer_turn long, question string, answer string"
+_PAIRS = "key string, question_turn long, answer_turn long, question string, answer string"
 
 
 def _timed(rows: DataFrame, time: str, delay: str) -> DataFrame:
@@ -23,9 +23,12 @@ def pair_turns(turns: DataFrame, key: str, order: str, role: str, value: str, ti
     """Question-answer pairs of late and unordered turns.
 
     A conversation's turns wait in state until the watermark passes its last one; then they
-    are paired in order, as the batch form does, and the state goes.
+    are paired in order, as the batch form does (tags of images go, a question that is blank
+    without them counts as asked but gives no pair), and the state goes.  Keys are text.
     """
-    shaped = turns.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("turn"), F.lower(role).alias("role"), T.strip(F.col(value)).alias("said"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", delay)
+    asks = F.lower(role).isin("human", "user")
+    turns = turns.where(T.strip(F.col(value)) != "").withColumn(value, F.when(asks, T.clean_prompt(F.col(value))).otherwise(F.col(value)))
+    shaped = turns.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("turn"), F.lower(role).alias("role"), T.strip(F.col(value)).alias("said"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", delay)
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
@@ -40,16 +43,14 @@ def pair_turns(turns: DataFrame, key: str, order: str, role: str, value: str, ti
         state.update((held,))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
 
-    def _paired(group: int, rows: list) -> pd.DataFrame:
+    def _paired(group: str, rows: list) -> pd.DataFrame:
         turns = sorted((int(t), r, s) for t, r, s in ("".join(row).split("\t", 2) for row in rows))
         out, asked = [], None
         for turn, who, said in turns:
-            if not said:
-                continue
             if who in ("human", "user"):
                 asked = (turn, said)
             elif who in ("gpt", "assistant", "model"):
-                if asked:
+                if asked and asked[1]:
                     out.append((group, asked[0], turn, asked[1], said))
                 asked = None
         return pd.DataFrame(out, columns=[c.split()[0] for c in _PAIRS.split(", ")])

@@ -5,6 +5,8 @@ import io
 import zlib
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from rasterloom.functions import boxes as B
 from rasterloom.functions import text as T
 from rasterloom.operators import evaluation as E
 from rasterloom.operators import records as R
-from rasterloom.operators import router, scenes
+from rasterloom.operators import imagery, kernels, router, scenes
 from rasterloom.plans import datasets as D
 from rasterloom.sources import readers, sinks
 
@@ -148,8 +150,9 @@ def test_change_build_from_tar(spark, tmp_path):
 
 def _tiff(path, cube, geo=True):
     bands, h, w = len(cube), len(cube[0]), len(cube[0][0])
-    data = zlib.compress(b"".join(struct.pack("<H", v) for plane in cube for row in plane for v in row))
-    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [16]), (259, 3, [8]), (273, 4, [8]), (277, 3, [bands]), (278, 4, [h]), (279, 4, [len(data)]), (284, 3, [2])]
+    strips = [zlib.compress(b"".join(struct.pack("<H", v) for row in plane for v in row)) for plane in cube]
+    data, sizes = b"".join(strips), list(map(len, strips))
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [16]), (259, 3, [8]), (273, 4, [8 + sum(sizes[:i]) for i in range(bands)]), (277, 3, [bands]), (278, 4, [h]), (279, 4, sizes), (284, 3, [2])]
     tags += [(33550, 12, [10.0, 10.0, 0.0]), (33922, 12, [0, 0, 0, 500000.0, 2000000.0, 0]), (34735, 3, [1, 1, 0, 1, 3072, 0, 1, 32643])] if geo else []
     extra, entries, at = b"", b"", 8 + len(data)
     after = at + 2 + 12 * len(tags) + 4
@@ -190,3 +193,159 @@ def test_cache_metrics_and_reports(spark):
 def test_modality_and_positions(spark):
     row = one(spark, T.modality(F.lit("/x/S1A_scene.tif"), F.lit("u2"), F.lit(3)).alias("a"), T.modality(F.lit("p.tif"), F.lit("float32"), F.lit(1)).alias("b"), T.modality(F.lit("p.tif"), F.lit("u1"), F.lit(2)).alias("c"), T.position_words(F.lit(90), F.lit(90), F.lit(100), F.lit(100)).alias("p"), T.position_words(F.lit(50), F.lit(50), F.lit(100), F.lit(100)).alias("m"), T.detect_prompt(F.array(F.lit("ship. "), F.lit(" "))).alias("d"))
     assert (row.a, row.b, row.c, row.p, row.m, row.d) == ("sar", "sar", "unknown", "southern eastern", "centre", "detect ship")
+
+
+def test_listing_and_writers(spark, tmp_path):
+    for name in ("a/tile_1.png", "a/tile_2.PNG", "b/other.tif", "b/notes.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    files = readers.list_files(spark, str(tmp_path))
+    assert sorted(r.name for r in files.collect()) == ["other.tif", "tile_1.png", "tile_2.PNG"]
+    assert readers.first_match(files, ("tile", "png")).endswith("a/tile_1.png") and readers.first_match(files, ("none",)) is None
+    assert {r.stem for r in readers.image_index(files, "stem").collect()} == {"tile_1", "tile_2", "other"}
+    rows = spark.createDataFrame([(1, "é <a>", None), (2, "b", 0.5)], "id int, text string, score double")
+    sinks.write_jsonl(rows.coalesce(1), str(tmp_path / "out"))
+    lines = [json.loads(x) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()]
+    assert lines == [{"id": 1, "text": "é <a>", "score": None}, {"id": 2, "text": "b", "score": 0.5}]
+    assert readers.read_jsonl(spark, str(tmp_path / "out"), "id int, text string, score double", limit=1, order=("id",)).first().id == 1
+    sinks.write_report(rows.limit(1), str(tmp_path / "report"))
+    assert json.loads(next((tmp_path / "report").glob("*.json")).read_text())["score"] is None
+    stored = readers.uploads(spark, str(tmp_path / "b")).collect()
+    assert {r.stored_as.rsplit(".", 1)[1] for r in stored} == {"tif", "txt"} and len({r.stored_as.split(".")[0] for r in stored}) == 1
+    assert imagery.column_layout(["B04", "B03", "B02", "VV", "VH", "labels"]) == "per_band" and imagery.column_layout(["s1", "S2"]) == "stacked"
+    with pytest.raises(ValueError, match="neither"):
+        imagery.column_layout(["x"])
+
+
+def test_predictions_from_a_table_and_from_a_function(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "id int, prompt string")
+    told = spark.createDataFrame([(1, "yes")], "id int, answer string")
+    assert {r.id: r.answer for r in kernels.predict_from_table(asked, told, "id").collect()} == {1: "yes", 2: None}
+
+    def shout(batch):
+        return pa.RecordBatch.from_pydict({"id": batch.column(0), "answer": [p.upper() for p in batch.column(1).to_pylist()]})
+
+    assert {r.id: r.answer for r in kernels.predict(asked, shout, "id int, answer string").collect()} == {1: "A", 2: "B"}
+
+
+def test_more_prompts(spark):
+    row = one(spark, T.fusion_prompt(F.lit(" q ")).alias("f"), T.caption_prompt().alias("c"), T.detect_prompt(F.array(F.lit("ship."), F.lit("car "))).alias("d"))
+    assert row.f == "answer en " + T.FUSION_PREFIX + "q" and row.c == "caption en" and row.d == "detect ship ; car"
+
+
+def _pack_lzw(data):
+    """A plain TIFF LZW writer: clears its table whenever it is full."""
+    out, have, bits = bytearray(), 0, 0
+
+    def put(code, width):
+        nonlocal have, bits
+        bits, have = bits << width | code, have + width
+        while have >= 8:
+            have -= 8
+            out.append(bits >> have & 255)
+            bits &= (1 << have) - 1
+
+    table, width, before = {}, 9, b""
+
+    def clear():
+        nonlocal table, width
+        put(256, width)
+        table, width = {bytes([i]): i for i in range(256)}, 9
+
+    clear()
+    for byte in data:
+        if (more := before + bytes([byte])) in table:
+            before = more
+            continue
+        put(table[before], width)
+        table[more] = len(table) + 2
+        width = 9 if len(table) + 2 < 512 else 10 if len(table) + 2 < 1024 else 11 if len(table) + 2 < 2048 else 12
+        before = bytes([byte])
+        if len(table) + 2 >= 4094:
+            put(table[before], width)
+            before = b""
+            clear()
+    if before:
+        put(table[before], width)
+    put(257, width)
+    if have:
+        out.append(bits << 8 - have & 255)
+    return bytes(out)
+
+
+def test_lzw_and_packbits():
+    rng = random.Random(5)
+    for data in (b"", b"a" * 5000, bytes(rng.randrange(256) for _ in range(20_000)), bytes(rng.randrange(4) for _ in range(30_000))):
+        assert readers.unpack_lzw(_pack_lzw(data)) == data
+    assert readers.unpack_bits(bytes([2, 1, 2, 3, 254, 9, 128, 0, 7])) == b"\x01\x02\x03\x09\x09\x09\x07"
+
+
+@pytest.mark.parametrize("compression", [1, 5, 8, 32773])
+@pytest.mark.parametrize(("kind", "form", "predictor"), [("u1", 1, 1), ("u2", 1, 2), ("i2", 2, 2), ("f4", 3, 1), ("f4", 3, 3), ("f8", 3, 3), ("c8", 6, 1)])
+@pytest.mark.parametrize(("planar", "big"), [(1, False), (2, True)])
+def test_tiled_tiffs(compression, kind, form, predictor, planar, big):
+    rng = np.random.default_rng(3)
+    cube = (rng.integers(0, 200, (3, 37, 45)) + (1j * rng.integers(0, 9, (3, 37, 45)) if kind == "c8" else 0)).astype(kind)
+    size, parts = 16, []
+    for planes in ([[b] for b in range(3)] if planar == 2 else [[0, 1, 2]]):
+        for y in range(0, 37, size):
+            for x in range(0, 45, size):
+                tile = np.zeros((size, size, len(planes)), kind)
+                piece = cube[planes, y : y + size, x : x + size].transpose(1, 2, 0)
+                tile[: piece.shape[0], : piece.shape[1]] = piece
+                if predictor == 2:
+                    tile[:, 1:] = np.diff(tile, axis=1)
+                raw = tile.astype(np.dtype(kind).newbyteorder("<")).tobytes()
+                if predictor == 3:
+                    n = len(planes)
+                    rows = tile.astype(np.dtype(kind).newbyteorder(">")).reshape(size, -1).view(np.uint8).reshape(size, -1, np.dtype(kind).itemsize).transpose(0, 2, 1).reshape(size, -1)
+                    rows = rows.copy()
+                    rows[:, n:] = rows[:, n:] - rows[:, :-n]
+                    raw = rows.tobytes()
+                packbits = lambda r: b"".join(bytes([len(r[i : i + 128]) - 1]) + r[i : i + 128] for i in range(0, len(r), 128))
+                parts.append({1: bytes, 5: _pack_lzw, 8: zlib.compress, 32773: packbits}[compression](raw))
+    bits = np.dtype(kind).itemsize * 8
+    start = 16 if big else 8
+    body, offsets = b"", []
+    for part in parts:
+        offsets.append(start + len(body))
+        body += part
+    tags = [(256, 4, [45]), (257, 4, [37]), (258, 3, [bits]), (259, 3, [compression]), (277, 3, [3]), (284, 3, [planar]), (317, 3, [predictor]), (322, 3, [size]), (323, 3, [size]), (324, 4, offsets), (325, 4, list(map(len, parts))), (339, 3, [form]), (42113, 2, b"7\0")]
+    place = start + len(body)
+    after = place + (8 + 20 * len(tags) + 8 if big else 2 + 12 * len(tags) + 4)
+    entries, extra, room = b"", b"", 8 if big else 4
+    for tag, code, values in tags:
+        packed = values if code == 2 else struct.pack("<" + {3: "H", 4: "I"}[code] * len(values), *values)
+        entries += struct.pack("<HHQ" if big else "<HHI", tag, code, len(values))
+        if len(packed) <= room:
+            entries += packed.ljust(room, b"\0")
+        else:
+            entries += struct.pack("<Q" if big else "<I", after + len(extra))
+            extra += packed
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, place) if big else struct.pack("<2sHI", b"II", 42, place)
+    raw = head + body + struct.pack("<Q" if big else "<H", len(tags)) + entries + (b"\0" * (8 if big else 4)) + extra
+    tiff = readers.Tiff(raw)
+    assert np.allclose(tiff.pixels(), np.abs(cube) if kind == "c8" else cube) and tiff.nodata == 7
+
+
+def test_images_are_decoded_in_the_jvm(spark, tmp_path):
+    w, h = 5, 4
+    rows = [[(x * 40, y * 50, (x + y) * 20) for x in range(w)] for y in range(h)]
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    lines = b"".join(b"\0" + b"".join(bytes(p) for p in row) for row in rows)
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+    pixel = b"".join(b"".join(bytes(p[::-1]) for p in row) + b"\0" * (-3 * w % 4) for row in rows[::-1])
+    (tmp_path / "b.bmp").write_bytes(struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(pixel), 0, 0, 54, 40, w, h, 1, 24, 0, len(pixel), 0, 0, 0, 0) + pixel)
+    (tmp_path / "c.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 7, 3) + b"\0\0\0")
+    (tmp_path / "d.jpg").write_bytes(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 6, 9) + b"\x03" + b"\0" * 12)
+    (tmp_path / "e.jpg").write_bytes(b"\xff\xd8\xff")
+    meta = {r.path.rsplit("/", 1)[1]: r for r in readers.raster_metadata(spark, str(tmp_path)).collect()}
+    assert [(meta[n].driver, meta[n].w, meta[n].h, meta[n].bands) for n in ("a.png", "b.bmp", "c.gif", "d.jpg")] == [("PNG", 5, 4, 3), ("BMP", 5, 4, 3), ("GIF", 7, 3, 1), ("JPEG", 9, 6, 3)] and meta["e.jpg"].error
+    got = {(r.scene[-5:], r.y, r.x, r.band): r.v for r in readers.image_pixels(spark, str(tmp_path)).collect()}
+    assert all(got[name, y, x, b] == rows[y][x][b] for name in ("a.png", "b.bmp") for y in range(h) for x in range(w) for b in range(3)) and len(got) == 2 * 3 * w * h
+
+
+def test_every_band_has_to_be_there(spark, tmp_path):
+    _tiff(tmp_path / "a.tif", [[[1, 9999, 3]], [[7, 8, 9999]]])
+    both = readers.raster_pixels(spark, str(tmp_path), nodata=9999, every_band=True).where("v is not null").collect()
+    assert sorted((r.band, r.x, r.v) for r in both) == [(0, 0, 1.0), (1, 0, 7.0)]
