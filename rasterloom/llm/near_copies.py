@@ -8,8 +8,7 @@ a Jaccard similarity of at least ``num / den``; every link is verified on whole
    bits differ, more than Golay keys reach, so SimHash alone would lose most of those links.
 3. For these, a band key joins ``ROWS`` independent minima of the set.  A pair at 0.8 has none of the
    48 band keys in common with a probability of (1 - 0.8^5)^48, 5e-9, and less the nearer it is.
-4. A run of equal keys first gives each member with a hub of the run, and these are verified (twice,
-   with other hubs for those not connected yet).  Then only members of different classes that still
+4. A run of equal keys first gives each member with a hub of the run, and these are verified.  Then only members of different classes that still
    share a run are left; they meet in parts of a bounded size and are verified there, and no pair
    but a link leaves its task.
 5. Signatures rule out candidates of well below the wanted similarity (a pair at 0.8 has at least
@@ -122,7 +121,7 @@ def least_equal(num: int, den: int) -> int:
     return 0
 
 
-_PRINTED = "doc_id long, text_key long, node long, n long, fp long, bands array<long>, band_bytes binary, signature binary"
+_PRINTED = "doc_id long, text_key long, node long, n long, fp long, bands array<long>, signature binary"
 
 
 def _printed(shingle: int):
@@ -131,25 +130,24 @@ def _printed(shingle: int):
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _WordHashes(), set()
         for batch in batches:
-            nodes, sizes, prints, bands, raw, marks = [], [], [], [], [], []
+            nodes, sizes, prints, bands, marks = [], [], [], [], []
             for text in batch.column(2):
                 own = shingles_of(text.as_py(), hashes, shingle)
                 nodes.append(node_of(own))
                 sizes.append(len(own))
                 if nodes[-1] in seen:
-                    for column in (prints, bands, raw, marks):
+                    for column in (prints, bands, marks):
                         column.append(None)
                     continue
                 if len(seen) > 100_000:
                     seen.clear()
                 seen.add(nodes[-1])
                 minima = minima_of(own)
-                keys = bands_of(minima)
-                for column, value in ((prints, print_of(own)), (bands, keys), (raw, keys.tobytes()), (marks, signature_of(minima))):
+                for column, value in ((prints, print_of(own)), (bands, bands_of(minima)), (marks, signature_of(minima))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(raw, pa.binary()), pa.array(marks, pa.binary())],
-                names=["doc_id", "text_key", "node", "n", "fp", "bands", "band_bytes", "signature"],
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=["doc_id", "text_key", "node", "n", "fp", "bands", "signature"],
             )
 
     return measured
@@ -175,11 +173,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
-
-
 def _possible_pairs(run: pa.Table, least: int, strip: int = 16_384) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of different classes, each in the first band that both have, if signatures
     allow it; the likeliest of a strip first.  A run is a part of the members and a part of the others."""
@@ -187,7 +180,8 @@ def _possible_pairs(run: pa.Table, least: int, strip: int = 16_384) -> Iterator[
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(left) or not len(right):
         return
-    bands, marks = _matrix(run.column(6), np.int64), _matrix(run.column(7), np.uint8)
+    bands = run.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    marks = np.frombuffer(b"".join(run.column(7).to_pylist()), np.uint8).reshape(len(bands), -1)
     other = roots != hub_roots
     step = max(1, strip // len(right))
     for at in range(0, len(left), step):
@@ -306,7 +300,7 @@ def _across(runs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, num:
     """``src, dst``: links between the classes that are left in runs.  No pair leaves its task unverified:
     first the members that are in any possible pair are told, then these are met with their whole sets."""
     tasks, least = shuffle_partitions(texts.sparkSession), least_equal(num, den)
-    told = nodes.select(F.col("node").alias("of"), "band_bytes", "signature")
+    told = nodes.select(F.col("node").alias("of"), "bands", "signature")
     dealt = lambda parts: parts.repartition(tasks, "part").sortWithinPartitions("part")
     parts = _parts_of_runs(runs).join(told, F.col("node") == F.col("of")).drop("of")
     left = staged(dealt(parts).mapInArrow(_members_with_pairs(least), "part long, side int, key long, node long, root long, hub_root long"), "members")
@@ -322,7 +316,7 @@ def _across(runs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, num:
     return staged(dealt(whole).mapInArrow(_linked_across(least, num, den), "src long, dst long"), "similar")
 
 
-def links(texts: DataFrame, nodes: DataFrame, *, shingle: int, num: int, den: int, rounds: tuple[int, ...] = (4, 64)) -> DataFrame:
+def links(texts: DataFrame, nodes: DataFrame, *, shingle: int, num: int, den: int, hub_bands: int = 8, hubs: int = 4) -> DataFrame:
     """``src, dst``: links that connect the same nodes as all pairs of the wanted similarity do.
 
     ``nodes`` has a row per different set: node, n, text_key, fp, bands, signature.
@@ -338,19 +332,17 @@ def links(texts: DataFrame, nodes: DataFrame, *, shingle: int, num: int, den: in
     def current(links: DataFrame) -> DataFrame:
         return connected_components(links).select(F.col("node").alias("of"), F.col("root").alias("now"))
 
-    with_root = nodes.select("node", "bands").join(current(known), F.col("node") == F.col("of"), "left")
-    rows = with_root.select(F.explode("bands").alias("key"), "node", F.coalesce("now", "node").alias("root"))
-    total = BANDS * nodes.count()
-    for hubs in rounds:
-        runs = _open_runs(rows, hubs, total)
-        pairs = runs.where("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        known = known.unionAll(_verified(pairs, texts, nodes, shingle, num, den))
-        rows = runs.where("n > 2").join(current(known), F.col("node") == F.col("of"), "left").select("key", "node", F.coalesce("now", "root").alias("root"))
-        total = runs.count()
-    runs = _open_runs(rows, rounds[-1], total)
-    if runs.isEmpty():
-        return known
-    return known.unionAll(_across(runs, texts, nodes, shingle, num, den))
+    def rows(count: int) -> DataFrame:
+        """key, node, root of the first ``count`` bands, with the classes so far."""
+        with_root = nodes.select("node", "bands").join(current(known), F.col("node") == F.col("of"), "left")
+        return with_root.select(F.explode(F.slice("bands", 1, count)).alias("key"), "node", F.coalesce("now", "node").alias("root"))
+
+    total = nodes.count()
+    runs = _open_runs(rows(hub_bands), hubs, hub_bands * total)
+    pairs = runs.where("root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    known = known.unionAll(_verified(pairs, texts, nodes, shingle, num, den))
+    runs = _open_runs(rows(BANDS), hubs, BANDS * total)
+    return known if runs.isEmpty() else known.unionAll(_across(runs, texts, nodes, shingle, num, den))
 
 
 def _open_runs(rows: DataFrame, hubs: int, total: int) -> DataFrame:
@@ -365,7 +357,7 @@ def _open_runs(rows: DataFrame, hubs: int, total: int) -> DataFrame:
     return staged(spread_join(rows, known, "key", "run", "node", hot=hot).drop("run"), "runs")
 
 
-def _parts_of_runs(runs: DataFrame, block: int = 1024) -> DataFrame:
+def _parts_of_runs(runs: DataFrame, block: int = 512) -> DataFrame:
     """Each run's members against its others (those not of the hub's class), in parts of about
     ``block`` by ``block``: part, side, key, node, root, hub_root."""
     others = runs.where("root <> hub_root").groupBy(F.col("key").alias("run")).agg(F.count("*").alias("others"))
@@ -389,7 +381,7 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     texts = as_text(documents, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     rows = texts.select("doc_id", _text_key(F.col("text")).alias("text_key"), "text")
     printed = staged(rows.mapInArrow(_printed(shingle), _PRINTED), "prints")
-    first = printed.where("signature is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("band_bytes").alias("band_bytes"), F.first("signature").alias("signature"))
+    first = printed.where("signature is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = staged(first, "nodes")
     roots = connected_components(links(texts, nodes, shingle=shingle, num=num, den=den)).select(F.col("node").alias("of"), "root")
     # Null ids come last: a class keeps one only if it has no other.
