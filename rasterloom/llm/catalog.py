@@ -22,7 +22,7 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", n=4)
+    return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", n=4, kept_words=600_000)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

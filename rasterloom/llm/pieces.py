@@ -46,8 +46,8 @@ from pyspark.sql import DataFrame
 from .common import as_text, prepare
 
 MARK = "▁"
-#: Words and word parts that a worker keeps, in each of two generations.
-_KEPT_WORDS, _KEPT_PARTS = 300_000, 60_000
+#: Word parts that a worker keeps for each five words that it keeps.
+_PARTS_PER_WORD = 0.2
 #: Longer words are not kept.
 _KEPT_LENGTH = 48
 _FAR = 1e30
@@ -82,7 +82,7 @@ _GAP = struct.Struct("<d")
 
 
 class Segmenter:
-    def __init__(self, model: bytes, scores: str = "log"):
+    def __init__(self, model: bytes, scores: str = "log", kept_words: int = 300_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.sp, size = sp, sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(size)]
@@ -123,8 +123,8 @@ class Segmenter:
         self.scores[plain] = [value[i] for i in plain]
         self.scores[[i for b, i in self.byte_ids.items() if not 0x80 <= b < 0xC0] or [self.unknown_id]] = self.unknown_score
         self.plain_form = all(self._normal(t) == MARK + t.replace(" ", MARK) for t in ("a  b", " ﬁÅ ", "A\n\tb", "　x"))
-        self.chunks = _Words(self._path, _KEPT_PARTS)
-        self.words = _Words(lambda word: self._joined(self.cut.findall(MARK + word)), _KEPT_WORDS)
+        self.chunks = _Words(self._path, int(kept_words * _PARTS_PER_WORD))
+        self.words = _Words(lambda word: self._joined(self.cut.findall(MARK + word)), kept_words)
 
     def _normal(self, text: str) -> str:
         return self.sp.normalize(text)
@@ -329,15 +329,15 @@ def _smallest(values: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((sure, np.flatnonzero(values == limit)[: k - len(sure)]))
 
 
-_LOADED: dict[tuple[str, str], Segmenter] = {}
+_LOADED: dict[tuple[str, str, int], Segmenter] = {}
 
 
-def segmenter(model: bytes, scores: str = "log") -> Segmenter:
-    """One per worker process, model and kind of scores."""
-    key = hashlib.sha256(model).hexdigest(), scores
+def segmenter(model: bytes, scores: str = "log", kept_words: int = 300_000) -> Segmenter:
+    """One per worker process, model and options."""
+    key = hashlib.sha256(model).hexdigest(), scores, kept_words
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Segmenter(model, scores)
+        _LOADED[key] = Segmenter(model, scores, kept_words)
     return _LOADED[key]
 
 
@@ -364,15 +364,18 @@ def _nbest_column(rows: list[list]) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(list(map(len, rows))), whole)
 
 
-def encode(documents: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, scores: str = "log") -> DataFrame:
+def encode(documents: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, scores: str = "log", kept_words: int = 300_000) -> DataFrame:
     """A row per document: ids and score of the best segmentation, scores and changes of the ``n`` best,
-    and whether decoding the ids gives the text back."""
+    and whether decoding the ids gives the text back.
+
+    A worker keeps at most ``kept_words`` words in each of two generations, some 250 bytes a word.
+    """
     spark = documents.sparkSession
     prepare(spark)
     model = spark.sparkContext.broadcast(Path(model_file).read_bytes())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segmenter(model.value, scores)
+        own = segmenter(model.value, scores, kept_words)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # ids take several times the room of a text
                 part = batch.slice(at, 512)

@@ -10,9 +10,11 @@ Features come from one pass over the bytes of the text (a 256-bin count) and one
 its words, map-only.  Fitting reads a bounded sample, ``fit_rows`` of each kind, chosen
 by a hash of the id; scoring reads every row where it lies.
 
-Null or empty texts have all-zero features and get the model's score for those.
-Repeated rows are scored alike.  Without positives (or without rows) the model is the
-constant 0.5, so nothing is predicted good.  Other columns are never read.
+Null or empty texts have all-zero features and get the model's score for those.  Very long
+texts are read whole, in one pass over bytes and one over words.  Equal texts have equal scores,
+so repeated rows are scored alike, and ties at the threshold count as good.  Without positives (or
+without rows) the model is the constant 0.5, so nothing is predicted good; an empty table gives no
+rows.  Other columns are never read, so they may have any name.
 """
 
 from __future__ import annotations

@@ -322,9 +322,25 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     assert set(got) == ids["sentencepiece"] and all(r.round_trip for r in got.values())
 
 
+def test_pipeline_equals_brute_force(spark, sf_dir, segmenter):
+    """All rows of the pipeline from plain loops over the documents (scores as the classifier's query gives them)."""
+    from test_exact import plain_contamination
+    from test_near_copies import plain_kept
+
+    documents = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    good = sorted(r.doc_id for r in QUERIES["op7_quality"](spark, sf_dir).collect() if r.score >= 0.7)
+    kept = plain_kept([(i, documents[i].text) for i in good])
+    clean = [i for i in kept if not plain_contamination(documents[i].text, items)[-1]]
+    want = {i: segmenter.encode(secrets.mask(documents[i].text)).tolist() for i in clean}
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert got == want and 0 < len(want) < len(kept) <= len(good) < len(documents)
+
+
 def test_stages_on_awkward_tables(spark, sf_dir, tmp_path):
-    rows = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "Some plain words are here, as always.", "en", None, 37), (3, "Some plain words are here, as always.", "en", None, 37), (None, "x", "en", "s", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    long = "An ordinary sentence of some words, as they come. " * 4000
+    rows = [(8, long, "en", "s", 0), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "Some plain words are here, as always.", "en", None, 37), (3, "Some plain words are here, as always.", "en", None, 37), (None, "x", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as kept_id", "'x' as own_text", "2.0 as score", "'y' as fp")
     for table in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, table, sf_dir)
