@@ -82,7 +82,7 @@ _GAP = struct.Struct("<d")
 
 
 class Segmenter:
-    def __init__(self, model: bytes, scores: str = "log", kept_words: int = 300_000):
+    def __init__(self, model: bytes, scores: str = "log", kept_words: int = 220_000):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.sp, size = sp, sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(size)]
@@ -332,7 +332,7 @@ def _smallest(values: np.ndarray, k: int) -> np.ndarray:
 _LOADED: dict[tuple[str, str, int], Segmenter] = {}
 
 
-def segmenter(model: bytes, scores: str = "log", kept_words: int = 300_000) -> Segmenter:
+def segmenter(model: bytes, scores: str = "log", kept_words: int = 220_000) -> Segmenter:
     """One per worker process, model and options."""
     key = hashlib.sha256(model).hexdigest(), scores, kept_words
     if key not in _LOADED:
@@ -364,7 +364,7 @@ def _nbest_column(rows: list[list]) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(list(map(len, rows))), whole)
 
 
-def encode(documents: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, scores: str = "log", kept_words: int = 300_000) -> DataFrame:
+def encode(documents: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", n: int = 4, scores: str = "log", kept_words: int = 220_000) -> DataFrame:
     """A row per document: ids and score of the best segmentation, scores and changes of the ``n`` best,
     and whether decoding the ids gives the text back.
 
