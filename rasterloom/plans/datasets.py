@@ -165,9 +165,24 @@ def build_change(samples: DataFrame, *, cap: int = 8, top_answer: float = 0.35,
 def benchmark(gold: DataFrame, predictions: DataFrame, key: str, kind: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Text metrics of predictions joined to gold on the id, and the breakdown by type.
 
-    ``gold(key, answer[, kind])``, ``predictions(key, prediction)``; a gold row without a
-    prediction scores as an empty answer.
+    ``gold(key, answer[, kind])``, ``predictions(key, prediction[, latency, cache_hit])``; a gold row
+    without a prediction scores as an empty answer.  Serves questions, captions, changes and pairs.
     """
     joined = gold.join(predictions, key, "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))
-    scored = E.text_rows(joined, F.col("prediction"), F.col("answer"), [key, *([kind] if kind else [])])
+    facts = [c for c in ("latency", "cache_hit") if c in predictions.columns]
+    scored = E.text_rows(joined, F.col("prediction"), F.col("answer"), [key, *([kind] if kind else []), *facts])
     return E.text_metrics(scored), E.by_type(scored, kind) if kind else None
+
+
+def benchmark_boxes(gold: DataFrame, detections: DataFrame, key: str) -> DataFrame:
+    """Box metrics of the best detection of each gold box, one row: and how many samples each backend answered.
+
+    ``gold(key, x0, y0, x1, y1)``, ``detections(key, x0, y0, x1, y1, backend)``; samples without a
+    detection count, with backend ``none``.
+    """
+    box = lambda t: tuple(F.col(f"{t}{c}").cast("double") for c in ("x0", "y0", "x1", "y1"))
+    said = detections.select(key, "backend", *[F.col(c).alias(f"p{c}") for c in ("x0", "y0", "x1", "y1")])
+    met = gold.select(key, *[F.col(c).alias(f"g{c}") for c in ("x0", "y0", "x1", "y1")]).join(said, key, "left")
+    scored = met.withColumn("iou", F.when(F.col("px0").isNotNull(), B.iou(box("g"), box("p"))))
+    best = scored.groupBy(key).agg(F.max("iou").alias("iou"), F.coalesce(F.min("backend"), F.lit("none")).alias("backend")).withColumn("task", F.lit("grounding"))
+    return E.box_metrics(best, ["task"]).join(E.backend_counts(best, ["task"], "backend"), "task")  # one row each

@@ -181,6 +181,13 @@ def test_cache_metrics_and_reports(spark):
     said = spark.createDataFrame([(1, "Yes."), (2, "no")], "id int, prediction string")
     metrics, types = D.benchmark(gold, said, "id", "kind")
     assert abs(metrics.first().exact_match - 2 / 3) < 1e-9 and {r.kind: r.n for r in types.collect()} == {"a": 2, "b": 1, None: 3}
+    timed = said.withColumns({"latency": F.lit(2.0), "cache_hit": F.col("id") == 1})
+    row = D.benchmark(gold, timed, "id")[0].first()
+    assert (row.mean_latency, row.cache_hits, row.most_common_prediction) == (2.0, 1, "")
+    boxes = spark.createDataFrame([(1, 0, 0, 10, 10), (2, 0, 0, 10, 10), (3, 5, 5, 6, 6)], "id int, x0 int, y0 int, x1 int, y1 int")
+    found = spark.createDataFrame([(1, 0, 0, 10, 10, "vlm"), (1, 90, 90, 99, 99, "vlm"), (2, 0, 0, 10, 5, "detector")], "id int, x0 int, y0 int, x1 int, y1 int, backend string")
+    row = D.benchmark_boxes(boxes, found, "id").first()
+    assert (row.n, round(row.mean_iou, 6), round(row.acc_50, 6), round(row.no_detection_rate, 6), row.backends) == (3, 0.5, round(2 / 3, 6), round(1 / 3, 6), {"detector": 1, "none": 1, "vlm": 1})
     hit = readers.cached(said, spark.createDataFrame([("1", "cached", 0.5)], "key string, answer string, confidence double"), F.col("id").cast("string"))
     assert {r.id: r.cache_hit for r in hit.collect()} == {1: True, 2: False}
     facts = F.array(F.struct(F.lit("a<b").alias("key"), F.lit("1 & 2").alias("value")))
