@@ -86,12 +86,17 @@ def hot_above(rows: int) -> int:
 
 def hot_keys(rows: DataFrame, key: str) -> list:
     """The hot keys of ``rows`` (a staged table): fewer than ``_HOT_SHARE`` values, whatever its size."""
-    return hot_among(rows.groupBy(key).count(), key, rows.count())
+    return hot_among(rows.groupBy(key).count(), key)
 
 
-def hot_among(counts: DataFrame, key: str, rows: int) -> list:
-    """The hot keys by their ``count`` column, of ``rows`` rows in all."""
-    return [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("count") > hot_above(rows))).select(key).limit(_HOT_SHARE).collect()]
+def hot_among(counts: DataFrame, key: str, rows: int | None = None) -> list:
+    """The hot keys by their ``count`` column, of ``rows`` rows in all (its sum, if not given)."""
+    known = counts.where(F.col(key).isNotNull())
+    most, total = known.agg(F.max("count"), F.sum("count")).first()
+    limit = hot_above(total if rows is None else rows) if most else 0
+    if not most or most <= limit:  # as a rule: one small job
+        return []
+    return [r[0] for r in known.where(F.col("count") > limit).select(key).limit(_HOT_SHARE).collect()]
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, row_key: str, fact_key: str, spread: str | Column, *, hot: list | None = None, how: str = "inner", salts: int = 64) -> DataFrame:

@@ -28,14 +28,15 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         near = spread_join(both, roots, "dst", "node", "src", hot=hubs).groupBy("src").agg(F.min("root").alias("low"))
         own = roots.join(near, roots.node == near.src).select("node", "root", F.least("root", "low").alias("low"))
         # Hook: the old root, too, learns the lowest root that any of its nodes has seen.
-        hooked = own.select("node", F.col("low").alias("root")).unionAll(own.where("low < root").select(F.col("root").alias("node"), F.col("low").alias("root")))
-        hooked = staged(hooked.groupBy("node").agg(F.min("root").alias("root")), "hooked")
+        low = own.select("node", F.col("low").alias("root"), F.col("root").alias("old"))
+        hooks = own.where("low < root").select(F.col("root").alias("node"), F.col("low").alias("root"), F.lit(None).cast("long").alias("old"))
+        hooked = staged(low.unionAll(hooks).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old")), "hooked")
         # Jump: only roots that have got a root of their own are looked up.
         heads = hooked.groupBy(F.col("root").alias("head")).count()
         jumps = hooked.join(heads, F.col("node") == F.col("head")).where("root < head").select("head", F.col("root").alias("to"))
-        many = hot_among(heads, "head", hooked.count())
-        jumped = spread_join(hooked, jumps, "root", "head", "node", hot=many, how="left").select("node", F.coalesce("to", "root").alias("root"))
-        before, roots = roots, staged(jumped, "roots")
-        if roots.select("node", F.col("root").alias("new")).join(before, "node").where("new <> root").isEmpty():
+        jumped = spread_join(hooked, jumps, "root", "head", "node", hot=hot_among(heads, "head"), how="left")
+        after = staged(jumped.select("node", F.coalesce("to", "root").alias("root"), "old"), "roots")
+        roots = after.select("node", "root")
+        if after.where("root <> old").isEmpty():
             return roots
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
