@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import html_text, pieces, quality, secrets, simhash, token_rollup, topk, urlfilter, warc
+from . import bytebpe, html_text, pieces, quality, secrets, simhash, token_rollup, topk, urlfilter, warc
 from .common import fresh_path, table
 
 #: The folder of the public tokenizers' files.
@@ -77,8 +77,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bytebpe.Codec(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
+    coded = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), codec), codec)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_warc, op4_html_text, op5_secrets, op6_simhash, op7_quality, op8_topk, op9_token_counts, op10_decontamination)
+    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_warc, op4_html_text, op5_secrets, op6_simhash, op7_quality, op8_topk, op9_token_counts, op10_decontamination, op11_byte_bpe)
 }
 
 _LISTED_SQL = ", ".join(f"'{d}'" for d in LISTED)
