@@ -41,7 +41,7 @@ def test_ids_are_the_librarys(codec):
 
 
 def test_slices_and_a_small_cache(codec, monkeypatch):
-    texts, worker = [*odd_texts(200), "word " * 400], codec.ready()
+    texts, worker = [*odd_texts(40), "word " * 40], codec.ready()
     whole = worker.encode(texts)
     monkeypatch.setattr(bytebpe, "_LONG", 7)
     monkeypatch.setattr(bytebpe, "_GROUP", 3)
