@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import bytebpe, html_text, negatives, pieces, quality, secrets, simhash, token_rollup, topk, urlfilter, warc
+from . import bytebpe, html_text, negatives, pieces, prefix_trie, quality, secrets, simhash, token_rollup, topk, urlfilter, warc
 from .common import fresh_path, table
 
 #: The folder of the public tokenizers' files.
@@ -89,8 +89,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.build_index(rows.select("vec_id", "embedding", label.alias("label"))), F.col("vec_id") % 50 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.build(table(spark, sf_dir, "conversations"), graft=prefix_trie.Graft(every=20, heads=4))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_warc, op4_html_text, op5_secrets, op6_simhash, op7_quality, op8_topk, op9_token_counts, op10_decontamination, op11_byte_bpe, op12_hard_negatives)
+    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_warc, op4_html_text, op5_secrets, op6_simhash, op7_quality, op8_topk, op9_token_counts, op10_decontamination, op11_byte_bpe, op12_hard_negatives, op13_prefix_trie)
 }
 
 _LISTED_SQL = ", ".join(f"'{d}'" for d in LISTED)
@@ -151,6 +156,25 @@ n AS (
     row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS k
   FROM p JOIN s ON p.k <= 5 AND s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
 SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3""",
+    "op13_prefix_trie": """
+WITH own AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 4 AS h FROM own),
+whole AS (
+  SELECT c.conv_id, list_concat(coalesce(list_slice(b.w, 1, c.h), []), list_slice(c.w, c.h + 1, len(c.w))) AS seq FROM crc c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+steps AS (SELECT conv_id, len(seq) AS size, d, list_slice(seq, 1, d) AS path, seq[d].x AS said FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, any_value(CASE WHEN d > 0 THEN len(regexp_extract_all(said, '[^\x20\x09-\x0D]+')) ELSE 0 END) AS words,
+    sha256(coalesce(string_agg(CASE WHEN size = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends FROM steps GROUP BY path, d),
+kids AS (SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+faced AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.path = nodes.path),
+below AS (
+  SELECT list_slice(path, 1, k) AS path, sum((n - 1) * words) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM faced) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM faced f JOIN below ON below.path = f.path LEFT JOIN nodes u ON f.d > 0 AND u.d = f.d - 1 AND u.path = list_slice(f.path, 1, f.d - 1)""",
     "op10_decontamination": """
 WITH split AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
