@@ -235,13 +235,13 @@ def _merged(pieces: DataFrame, group: Column | None) -> DataFrame:
     by = ["key"] if group is None else ["part", "key"]
     if group is not None:
         pieces = pieces.withColumn("part", group)
-    dealt = pieces.repartition(*by).sortWithinPartitions(*by, "first")
+    dealt, last = pieces.repartition(*by).sortWithinPartitions(*by, "first"), group is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge, part = Merge(group is None), None
+        merge, part = Merge(last), None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != part and group is not None:
+                if row[0] != part and not last:
                     merge.close()
                     if merge.out:
                         yield with_part(merge.taken(), part)

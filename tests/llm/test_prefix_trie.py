@@ -64,14 +64,22 @@ def some_rows(seed, ids, longest=6):
     return rows
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """No partitions are put together, so that there is more than one round of merges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("graft", [None, Graft(), Graft(5, 3)])
 @pytest.mark.parametrize("options", [{}, {"held_nodes": 7, "fan": 2}])
-def test_trie(spark, graft, options):
+def test_trie(spark, many_tasks, graft, options):
     rows = some_rows(13, [*range(-45, 130), *range(1000, 1500, 7)]) + [(None, 1, "user", "lost"), (3, None, None, None), (10**15, 0, "user", "far")]
     assert built(spark, rows, graft=graft, **options) == plain(rows, graft)
 
 
-def test_copies_and_a_long_conversation(spark, monkeypatch):
+def test_copies_and_a_long_conversation(spark, many_tasks, monkeypatch):
     """A third of all conversations are equal, one has 700 turns, and end lists travel in small pieces."""
     monkeypatch.setattr(prefix_trie, "_ENDS_BYTES", 40)
     rows = [(c, t, "user", f"turn {t}") for c in range(0, 400, 2) for t in range(3)] + [(c, 0, "user", f"own {c}") for c in range(1, 400, 2)] + [(999, t, "user", f"word {t % 7}") for t in range(700)]
