@@ -6,7 +6,7 @@ import io
 import struct
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ def change_samples(members: DataFrame) -> DataFrame:
 
 # ---- rasters ---------------------------------------------------------------------------------
 
-_META = "path string, driver string, w int, h int, bands int, dtype string, crs string, x0 double, y0 double, x1 double, y1 double, rx double, ry double, nodata double, error string"
+META = "path string, driver string, w int, h int, bands int, dtype string, crs string, x0 double, y0 double, x1 double, y1 double, rx double, ry double, nodata double, error string"
 #: (sample format, bits) to number type; 5 and 6 are complex.
 _KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8", (5, 32): "i2", (6, 64): "c8", (6, 128): "c16"}
 _TAG_KINDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
@@ -165,18 +165,22 @@ class Tiff:
     """Strips or tiles, classic or big, plain, LZW, deflated or PackBits, with predictors; one sample
     type, chunky or planar; north-up geo keys.  So also cloud-optimised files, whose first image is the full one."""
 
-    def __init__(self, raw: bytes):
-        self.raw = raw
-        self.order = {b"II": "<", b"MM": ">"}[raw[:2]]
-        magic = struct.unpack(self.order + "H", raw[2:4])[0]
+    def __init__(self, raw: bytes | Callable[[int, int], bytes], directory: int | None = None):
+        """``raw``: the file's bytes, or a function that reads (place, count); ``directory``: of the image, else the first."""
+        self.read = raw if callable(raw) else lambda at, n: raw[at : at + n]
+        head = self.read(0, 16)
+        self.order = {b"II": "<", b"MM": ">"}[head[:2]]
+        magic = struct.unpack(self.order + "H", head[2:4])[0]
         if magic not in (42, 43):
             raise ValueError("not a TIFF")
         self.big = magic == 43
-        at = struct.unpack_from(self.order + ("Q" if self.big else "I"), raw, 8 if self.big else 4)[0]
-        count = struct.unpack_from(self.order + ("Q" if self.big else "H"), raw, at)[0]
-        first, step = (at + 8, 20) if self.big else (at + 2, 12)
-        self.tags = dict(self._tag(first + step * i) for i in range(count))
+        at = directory or struct.unpack_from(self.order + ("Q" if self.big else "I"), head, 8 if self.big else 4)[0]
+        (count, ahead), step = (self._number(at, "Q"), 20) if self.big else (self._number(at, "H"), 12)
+        rows = self.read(at + ahead, count * step + 8)
+        self.next = struct.unpack_from(self.order + ("Q" if self.big else "I"), rows, count * step)[0] if len(rows) >= count * step + (8 if self.big else 4) else 0
+        self.tags = dict(self._tag(rows, step * i) for i in range(count))
         one = lambda t, d=None: (self.tags.get(t) or [d])[0]
+        self.reduced = one(254, 0) == 1
         self.w, self.h, self.bands = one(256), one(257), one(277, 1)
         self.complex_ints = one(339, 1) == 5
         self.kind = _KINDS[(one(339, 1), one(258, 1))]
@@ -188,15 +192,18 @@ class Tiff:
         text = one(42113)
         self.nodata = float(text.rstrip(b"\0 ")) if text else None
 
-    def _tag(self, at: int) -> tuple[int, list]:
-        tag, kind, n = struct.unpack_from(self.order + ("HHQ" if self.big else "HHI"), self.raw, at)
+    def _number(self, at: int, code: str) -> tuple[int, int]:
+        size = struct.calcsize(code)
+        return struct.unpack(self.order + code, self.read(at, size))[0], size
+
+    def _tag(self, rows: bytes, at: int) -> tuple[int, list]:
+        tag, kind, n = struct.unpack_from(self.order + ("HHQ" if self.big else "HHI"), rows, at)
         code, size = _TAG_KINDS.get(kind, ("B", 1))
         inline, wide, place = (8, "Q", at + 12) if self.big else (4, "I", at + 8)
-        if n * size > inline:
-            place = struct.unpack_from(self.order + wide, self.raw, place)[0]
+        raw = rows[place : place + n * size] if n * size <= inline else self.read(struct.unpack_from(self.order + wide, rows, place)[0], n * size)
         if code == "s":
-            return tag, [self.raw[place : place + n]]
-        return tag, list(struct.unpack_from(f"{self.order}{n}{code}" if len(code) == 1 else self.order + code * n, self.raw, place))
+            return tag, [raw[:n]]
+        return tag, list(struct.unpack_from(f"{self.order}{n}{code}" if len(code) == 1 else self.order + code * n, raw))
 
     def geo(self) -> dict:
         scale, tie, keys = self.tags.get(33550), self.tags.get(33922), self.tags.get(34735, [])
@@ -206,9 +213,20 @@ class Tiff:
         x0, y1 = tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1]
         return {"crs": f"EPSG:{code}" if code else None, "x0": x0, "y1": y1, "x1": x0 + self.w * scale[0], "y0": y1 - self.h * scale[1], "rx": scale[0], "ry": scale[1]}
 
+    def places(self) -> tuple[list[int], list[int]]:
+        """Where the strips or tiles lie, and their sizes."""
+        return (self.tags[324], self.tags[325]) if self.tiled else (self.tags[273], self.tags[279])
+
+    def part(self, at: int, size: int, rows: int) -> np.ndarray:
+        """(rows, width, samples) of one strip or tile of ``rows`` rows inside the image; complex samples as their amplitude."""
+        found = self._part(at, size, self.part_h if self.tiled else rows, 1 if self.planar == 2 else self.bands)
+        if self.complex_ints:
+            found = found[..., ::2].astype(np.float64) + 1j * found[..., 1::2]
+        return np.abs(found) if np.iscomplexobj(found) else found
+
     def _part(self, at: int, size: int, rows: int, samples: int) -> np.ndarray:
-        """(rows, width, samples) of one strip or tile."""
-        data = _UNPACK[self.compression](self.raw[at : at + size])
+        """(rows, width, values) as they are stored."""
+        data = _UNPACK[self.compression](self.read(at, size))
         kind = np.dtype(self.kind).newbyteorder(self.order)
         values_per = samples * (2 if self.complex_ints else 1)
         n = rows * self.part_w * values_per
@@ -224,19 +242,13 @@ class Tiff:
 
     def pixels(self) -> np.ndarray:
         """(bands, h, w); complex samples as their amplitude."""
-        offsets, sizes = (self.tags[324], self.tags[325]) if self.tiled else (self.tags[273], self.tags[279])
-        samples = 1 if self.planar == 2 else self.bands
+        offsets, sizes = self.places()
         across, down = -(-self.w // self.part_w), -(-self.h // self.part_h)
         out = None
         for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
             band, place = divmod(i, across * down)
             y, x = place // across * self.part_h, place % across * self.part_w
-            rows = self.part_h if self.tiled else min(self.part_h, self.h - y)
-            part = self._part(at, size, rows, samples)
-            if self.complex_ints:
-                part = part[..., ::2].astype(np.float64) + 1j * part[..., 1::2]
-            if np.iscomplexobj(part):
-                part = np.abs(part)
+            part = self.part(at, size, min(self.part_h, self.h - y))
             if out is None:
                 out = np.zeros((self.bands, self.h, self.w), part.dtype.newbyteorder("="))
             inside = part[: self.h - y, : self.w - x].transpose(2, 0, 1)
@@ -266,13 +278,14 @@ def _image_size(raw: bytes) -> dict | None:
     return None
 
 
-def _metadata(path: str, raw: bytes) -> dict:
-    row = dict.fromkeys(c.split()[0] for c in _META.split(", "))
+def metadata(path: str, raw: bytes, read: Callable[[int, int], bytes] | None = None) -> dict:
+    """The row of a file from its bytes, or from its first ones and a function that reads others."""
+    row = dict.fromkeys(c.split()[0] for c in META.split(", "))
     row["path"] = path
     try:
         if image := _image_size(raw):
             return row | image
-        tiff = Tiff(raw)
+        tiff = Tiff(read or raw)
         return row | {"driver": "GTiff", "w": tiff.w, "h": tiff.h, "bands": tiff.bands, "dtype": tiff.kind, "nodata": tiff.nodata} | tiff.geo()
     except Exception as error:  # noqa: BLE001  a broken file is a row with its error, never a failed job
         return row | {"error": f"{type(error).__name__}: {error}"}
@@ -283,12 +296,12 @@ def raster_metadata(spark: SparkSession, path: str) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-        schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in _META.split(", ")])
+        schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in META.split(", ")])
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([_metadata(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], schema=schema)
+            yield pa.RecordBatch.from_pylist([metadata(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(look, _META)
+    return files.mapInArrow(look, META)
 
 
 _PIXELS = "scene string, band int, y long, x long, v double"

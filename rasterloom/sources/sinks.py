@@ -1,13 +1,21 @@
-"""Exports: JSON lines, GeoJSON, traces, Markdown and stand-alone HTML, as columns and writers."""
+"""Exports: JSON lines, GeoJSON, traces, Markdown, stand-alone HTML, tar shards and TIFFs, as columns and writers."""
 
 from __future__ import annotations
 
+import io
+import struct
+import tarfile
+import uuid
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranged import filesystem
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -52,3 +60,75 @@ def markdown_table(rows: DataFrame, columns: Sequence[str], by: Sequence[str]) -
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A report of few rows (one per build or task) as one JSON file, nulls kept."""
     report.coalesce(1).write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def _put(folder: str, name: str, raw: bytes) -> str:
+    """Written under another name first: a task that is run again leaves whole files only."""
+    system, place = filesystem(folder)
+    system.create_dir(place, recursive=True)
+    path, part = f"{place}/{name}", f"{place}/.{name}.{uuid.uuid4().hex[:8]}"
+    with system.open_output_stream(part) as out:
+        out.write(raw)
+    system.move(part, path)
+    return f"{folder}/{name}"
+
+
+def write_tar(members: DataFrame, folder: str) -> DataFrame:
+    """``path, members`` of a tar shard for each ``shard`` of ``members(shard, name, content)``; a shard is what a task writes."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        out, at = io.BytesIO(), group.column("name").to_pylist()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for n in sorted(range(group.num_rows), key=at.__getitem__):
+                raw, info = group.column("content")[n].as_py() or b"", tarfile.TarInfo(at[n])
+                info.size = len(raw)
+                tar.addfile(info, io.BytesIO(raw))
+        path = _put(folder, f"{group.column('shard')[0].as_py()}.tar", out.getvalue())
+        return pa.table({"path": [path], "members": pa.array([group.num_rows], pa.int64())})
+
+    rows = members.select(F.col("shard").cast("string").alias("shard"), "name", F.col("content").cast("binary").alias("content"))
+    return rows.groupBy("shard").applyInArrow(pack, "path string, members long")
+
+
+def tiff_bytes(cube: np.ndarray, *, rows_per_strip: int = 16, nodata: float | None = None, overviews: int = 0) -> bytes:
+    """(bands, h, w) as a deflated TIFF of strips, a band after the other, with overviews of every second row and column."""
+    kind = {"u": 1, "i": 2, "f": 3}[cube.dtype.kind]
+    out, last = bytearray(b"II*\0\0\0\0\0"), 4
+    for level in range(overviews + 1):
+        planes = cube[:, :: 1 << level, :: 1 << level].astype(cube.dtype.newbyteorder("<"))
+        strips = [zlib.compress(np.ascontiguousarray(p[y : y + rows_per_strip]).tobytes()) for p in planes for y in range(0, p.shape[0], rows_per_strip)]
+        offsets = []
+        for raw in strips:
+            offsets.append(len(out))
+            out += raw
+        tags = [(254, "I", [int(level > 0)]), (256, "I", [planes.shape[2]]), (257, "I", [planes.shape[1]]), (258, "H", [8 * cube.dtype.itemsize] * len(cube)), (259, "H", [8]), (262, "H", [1]),
+            (273, "I", offsets), (277, "H", [len(cube)]), (278, "I", [rows_per_strip]), (279, "I", [len(s) for s in strips]), (284, "H", [2]), (339, "H", [kind] * len(cube))]
+        tags += [] if nodata is None else [(42113, "s", list(f"{nodata:g}\0".encode()))]
+        rows = b""
+        for tag, code, values in tags:
+            raw = bytes(values) if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
+            if len(raw) > 4:
+                place, raw = len(out), raw + b"\0" * (len(raw) % 2)
+                out += raw
+                raw = struct.pack("<I", place)
+            rows += struct.pack("<HHI", tag, {"H": 3, "I": 4, "s": 2}[code], len(values)) + raw.ljust(4, b"\0")
+        struct.pack_into("<I", out, last, len(out))
+        last = len(out) + 2 + len(rows)
+        out += struct.pack("<H", len(tags)) + rows + bytes(4)
+    return bytes(out)
+
+
+def write_tiffs(pixels: DataFrame, folder: str, *, kind: str = "f4", rows_per_strip: int = 16, nodata: float | None = None, overviews: int = 0) -> DataFrame:
+    """``path, rows`` of a TIFF for each ``scene`` of ``scanlines(scene, band, y, values)``; a scene is what a task writes."""
+
+    def draw(group: pa.Table) -> pa.Table:
+        band, y = group.column("band").to_numpy(), group.column("y").to_numpy()
+        values = np.stack(group.column("values").to_numpy())
+        cube = np.full((band.max() + 1, y.max() + 1, values.shape[1]), 0 if nodata is None else nodata, np.dtype(kind))
+        cube[band, y] = values
+        scene = group.column("scene")[0].as_py()
+        path = _put(folder, f"{scene}.tif", tiff_bytes(cube, rows_per_strip=rows_per_strip, nodata=nodata, overviews=overviews))
+        return pa.table({"path": [path], "rows": pa.array([group.num_rows], pa.int64())})
+
+    rows = pixels.select(F.col("scene").cast("string").alias("scene"), F.col("band").cast("int").alias("band"), F.col("y").cast("long").alias("y"), "values")
+    return rows.groupBy("scene").applyInArrow(draw, "path string, rows long")
