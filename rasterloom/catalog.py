@@ -660,4 +660,4 @@ def task_records(spark, sf_dir):
     return imagery.task_records(vqa=vqa, caption=captions).groupBy("kind").agg(F.count("*").alias("n"), F.count("question").alias("asked"), F.count_if((size > 0) & (size <= 40)).alias("kept"))
 
 
-from . import catalog_files, catalog_rasters, catalog_runs  # noqa: E402, F401  they register their queries here
+from . import catalog_files, catalog_rasters, catalog_runs, catalog_tiles  # noqa: E402, F401  they register their queries here

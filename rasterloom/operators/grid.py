@@ -223,6 +223,25 @@ def pooled(mask: DataFrame, max_edge: int = 256) -> DataFrame:
     return cells.where((F.col("cy") < F.floor(F.col("h") / F.col("scale"))) & (F.col("cx") < F.floor(F.col("w") / F.col("scale")))).distinct()
 
 
+def settled(labels: DataFrame, links: DataFrame, by: Sequence[str] = ("scene",), max_rounds: int = 64) -> DataFrame:
+    """``labels(by, node, label)`` with the least label that ``links(by, u, v)``, both ways, lead to.
+
+    Labels travel along links with pointer jumping; every round is checkpointed.
+    """
+    for _ in range(max_rounds):
+        near = links.join(labels.select(*by, F.col("node").alias("v"), "label"), [*by, "v"]).groupBy(*by, F.col("u").alias("node")).agg(F.min("label").alias("low"))
+        own = labels.join(near, [*by, "node"], "left").select(*by, "node", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
+        hooked = own.select(*by, "node", F.col("low").alias("label")).unionAll(own.where("low < label").select(*by, F.col("label").alias("node"), F.col("low").alias("label")))
+        hooked = hooked.groupBy(*by, "node").agg(F.min("label").alias("label"))
+        up = hooked.select(*by, F.col("node").alias("label"), F.col("label").alias("up"))
+        after = checkpointed(hooked.join(up, [*by, "label"], "left").select(*by, "node", F.least("label", F.coalesce("up", "label")).alias("label")))
+        moved = after.join(labels.select(*by, "node", F.col("label").alias("old")), [*by, "node"]).where("label <> old")
+        labels = after
+        if moved.isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
 def components(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Adds ``label``: the least cell (y, x) that is 4-connected with it.
 
@@ -237,20 +256,7 @@ def components(cells: DataFrame, max_rounds: int = 64) -> DataFrame:
     touch = (F.col("a.scene") == F.col("b.scene")) & (F.col("b.cy") == F.col("a.cy") + 1) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("b.lo") <= F.col("a.hi"))
     links = a.join(b, touch).select(F.col("a.scene").alias("scene"), F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     links = checkpointed(links.unionAll(links.select("scene", F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = spans.select("scene", "node", F.col("node").alias("label"))
-    for _ in range(max_rounds):
-        near = links.join(labels.select("scene", F.col("node").alias("v"), "label"), ["scene", "v"]).groupBy("scene", F.col("u").alias("node")).agg(F.min("label").alias("low"))
-        own = labels.join(near, ["scene", "node"], "left").select("scene", "node", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
-        hooked = own.select("scene", "node", F.col("low").alias("label")).unionAll(own.where("low < label").select("scene", F.col("label").alias("node"), F.col("low").alias("label")))
-        hooked = hooked.groupBy("scene", "node").agg(F.min("label").alias("label"))
-        up = hooked.select("scene", F.col("node").alias("label"), F.col("label").alias("up"))
-        after = checkpointed(hooked.join(up, ["scene", "label"], "left").select("scene", "node", F.least("label", F.coalesce("up", "label")).alias("label")))
-        moved = after.join(labels.select("scene", "node", F.col("label").alias("old")), ["scene", "node"]).where("label <> old")
-        labels = after
-        if moved.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    labels = settled(spans.select("scene", "node", F.col("node").alias("label")), links, ("scene",), max_rounds)
     of_span = spans.join(labels, ["scene", "node"]).select("scene", "cy", "_run", "label")
     return runs.join(of_span, ["scene", "cy", "_run"]).drop("_run")
 
