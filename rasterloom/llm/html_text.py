@@ -42,6 +42,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements whose content is text up to their own end tag, whatever it looks like.
 _TEXT_ONLY = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea iframe noscript noembed noframes title".split()}
 _ARTICLE = frozenset(("article", "main"))
+#: What can't stand in an element that is left out, so that an unclosed one ends there.
+_CANT_HOLD = {"select": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())} | dict.fromkeys(("button", "audio", "video", "canvas"), frozenset("article main section h1 h2 h3".split()))
 #: What an opening tag ends: an open one of these, if it comes before any of those.
 _ENDS = {tag: (frozenset(same.split()), frozenset("ul ol dl table menu dir".split())) for tag, same in {"li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "tr": "tr td th", "td": "td th", "th": "td th"}.items()}
 
@@ -57,7 +59,7 @@ _HINTS = {
     "aside": "sidebar aside related recommended recommendations widget widgets trending popular share sharing social complementary rail newsletter subscribe signup",
     "notice": "notice notices alert warning disclaimer legal banner toast",
     "consent": "cookie cookies consent gdpr modal popup overlay paywall privacy",
-    "comment": "comment comments commentlist disqus reply replies respond discussion reviews",
+    "comment": "comment comments commentlist disqus replies respond discussion reviews",
     "footer": "footer foot copyright colophon contentinfo credits imprint",
     "header": "masthead header logo branding",
     "form": "form search login searchbox",
@@ -66,6 +68,9 @@ _KINDS = {word: kind for kind, words in _HINTS.items() for word in words.split()
 #: Words of main content; words after which a hint is only said to be there or not.
 _MAIN = frozenset("article main content post entry story articlebody maincontent".split())
 _SAYING = frozenset("no not non without with has is hide show lg md sm xs xl".split())
+_PROSE = frozenset("text intro introduction lead copy prose paragraph quote summary abstract story".split())
+#: Elements that make a form of what is around them.
+_CONTROLS = frozenset("input textarea select button".split())
 _BY_TAG = {"nav": "menu", "menu": "menu", "aside": "aside", "footer": "footer", "form": "form", "fieldset": "form", "dialog": "consent", "header": "header", "search": "form"}
 _ORDER = tuple(_HINTS)
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -79,7 +84,8 @@ def _hinted(names: str) -> tuple[frozenset[str], bool]:
         parts = [p for p in re.split(r"[-_:]+|\d+", name) if p]
         if parts and parts[0] not in _SAYING:
             main = main or parts[-1] in _MAIN or (len(parts) > 1 and parts[-2] in _MAIN and parts[-1] in ("body", "text"))
-            kinds.update(_KINDS[word] for word in (parts[0], parts[-1]) if word in _KINDS)
+            said = parts[-1:] if parts[-1] in _PROSE else (parts[0], parts[-1])
+            kinds.update(_KINDS[word] for word in said if word in _KINDS)
     return frozenset(kinds), main
 
 
@@ -98,12 +104,12 @@ def is_hidden(attributes: dict[str, str]) -> bool:
 
 
 class Around:
-    """An element that tells of something: its kinds, the words in it, and whether an article begins in it."""
+    """An element that tells of something: its kinds, the words in it, and whether an article begins or a control lies in it."""
 
-    __slots__ = ("kinds", "outer", "words", "holds")
+    __slots__ = ("kinds", "outer", "words", "holds", "controls")
 
-    def __init__(self, kinds: frozenset[str], outer: "Around | None"):
-        self.kinds, self.outer, self.words, self.holds = kinds, outer, 0, False
+    def __init__(self, kinds: frozenset[str], outer: "Around | None", form: bool):
+        self.kinds, self.outer, self.words, self.holds, self.controls = kinds, outer, 0, False, form
 
 
 class Block:
@@ -178,6 +184,11 @@ class _Reader:
                 if self.stack[place].tag in walls:
                     return
 
+    def control(self) -> None:
+        around = self.stack[-1].around
+        while around is not None and not around.controls:
+            around.controls, around = True, around.outer
+
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         top = self.stack[-1]
         around, main = top.around, top.main
@@ -195,7 +206,7 @@ class _Reader:
             if tag in _BY_TAG and not (tag == "header" and main):
                 kinds = kinds | {_BY_TAG[tag]}
             if kinds:
-                around = Around(kinds, around)
+                around = Around(kinds, around, tag == "form")
         self.stack.append(_Open(tag, tag if tag in _BLOCK else top.block, around, main or content, top.link or tag == "a"))
         self.open[tag] += 1
 
@@ -233,11 +244,8 @@ def blocks_of(page: str | None) -> list[Block]:
             break  # the page's end cuts a tag off
         tag, closing = m.group(1).lower(), follows == "/"
         if skip:
-            if skip in _RAW:
-                if closing and tag == skip:
-                    depth -= 1
-                elif tag == skip and not closing and tag not in _TEXT_ONLY and tag not in ("select", "button"):
-                    depth += 1
+            if skip in _TEXT_ONLY and closing and tag == skip:
+                depth = 0
             elif closing:
                 if inside[tag]:
                     inside[tag] -= 1
@@ -248,7 +256,11 @@ def blocks_of(page: str | None) -> list[Block]:
                     skip = ""
                     reader.close(tag)
                     continue
-            elif tag not in _VOID:
+            elif tag in _CANT_HOLD.get(skip, ()):  # left open: it ends where something begins that it can't hold
+                skip, cursor = "", start
+                at = start
+                continue
+            elif tag not in _VOID and not (tag == skip and tag in _CANT_HOLD):
                 inside[tag] += 1
             if tag in _TEXT_ONLY and not closing:
                 end = _TEXT_ONLY[tag].search(page, cursor)
@@ -268,6 +280,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 reader.end_before(*_ENDS[tag])
             reader.flush()
         raw = m.group(2)
+        if tag in _CONTROLS:
+            reader.control()
         attributes = _attributes(raw) if "=" in raw or "hidden" in raw else {}
         if tag in _RAW or (attributes and tag not in _VOID and tag not in ("html", "body", "p", "li") and is_hidden(attributes)):
             if tag in _TEXT_ONLY:
@@ -316,7 +330,8 @@ def _telling(blocks: list[Block]) -> list[frozenset[str]]:
     told: dict[int, frozenset[str]] = {}
     for a in sorted(own, key=lambda a: level[id(a)]):
         wraps = a.words >= 0.3 * total if a.holds else not marked and a.words > 0.5 * total
-        told[id(a)] = (told[id(a.outer)] if a.outer is not None else frozenset()) | (frozenset() if wraps else a.kinds)
+        own = a.kinds if a.controls else a.kinds - {"form"}  # a name alone makes no form
+        told[id(a)] = (told[id(a.outer)] if a.outer is not None else frozenset()) | (frozenset() if wraps else own)
     return [told[id(b.around)] if b.around is not None else frozenset() for b in blocks]
 
 
@@ -347,7 +362,7 @@ _WORDS = {
 }
 
 
-def labelled_pages(count: int = 1_200, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
+def labelled_pages(count: int = 3_000, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
     """(html, main blocks) of invented pages: semantic, hint-word and plain layouts."""
     rng = np.random.default_rng(seed)
 
@@ -361,8 +376,10 @@ def labelled_pages(count: int = 1_200, seed: int = 5) -> Iterator[tuple[str, lis
     for _ in range(count):
         lang, layout = pick(list(_WORDS)), int(rng.integers(5))
         links = lambda n: "".join(f"<li><a href='/{i}'>{sentence(lang, 1, 3)[:-1]}</a></li>" for i in range(n))  # noqa: E731, B023
-        title = sentence(lang, 3, 9)[:-1]
+        title = sentence(lang, 1, 9)[:-1]
         body = [" ".join(sentence(lang, 1 if rng.random() < 0.15 else 5, 16) for _ in range(int(rng.integers(1, 7)))) for _ in range(int(rng.integers(1, 9)))]
+        if rng.random() < 0.35:  # a page of short paragraphs
+            body = [sentence(lang, 2, int(rng.integers(4, 20))) for _ in range(int(rng.integers(1, 6)))]
         main, parts = [title], []
         for p in body:
             # Content that looks like something else: a linked line, a sign, a list, a telling class.
@@ -379,13 +396,15 @@ def labelled_pages(count: int = 1_200, seed: int = 5) -> Iterator[tuple[str, lis
                 main += [p, *items]
                 continue
             elif shape == 3:
-                parts.append(f"<div class='{pick(['alert-box', 'legal', 'notice', 'warning', 'alert', 'text-banner'])}'><p>{p}</p></div>")
+                parts.append(f"<div class='{pick(['alert-box', 'legal', 'notice', 'warning', 'alert', 'text-banner', 'toc-text', 'review-form', 'reply', 'tags-intro'])}'><p>{p}</p></div>")
             elif shape == 4:
-                parts.append(f"<{(t := pick(['blockquote', 'div', 'h2', 'figcaption']))}>{p}</{t}>")
+                parts.append(f"<{(t := pick(['blockquote', 'div', 'h2', 'figcaption', 'fieldset', 'td']))}>{p}</{t}>")
             else:
                 parts.append(f"<p>{p}</p>")
             main.append(p)
         heading = f"<h1>{title}</h1>"
+        if layout == 4 and rng.random() < 0.4:  # no heading, or no element around it that tells
+            heading, main = "", main[1:]
         if rng.random() < 0.2:
             heading = f"<{(t := pick(['header', 'div']))} class='{pick(['header', 'post-header', 'entry-header'])}'>{heading}</{t}>"
         noise = {
@@ -406,18 +425,21 @@ def labelled_pages(count: int = 1_200, seed: int = 5) -> Iterator[tuple[str, lis
             noise["side"] = f"<div><ul>{links(5)}</ul></div>"
             noise["footer"] = f"<div><p>© {sentence(lang, 3, 9)} · {sentence(lang, 1, 4)}</p></div>"
             noise["header"] = f"<div><p><a href=/>{sentence(lang, 1, 4)}</a> | <a href=/x>{sentence(lang, 1, 4)}</a></p></div>"
-        wrap = {0: "<article{}>{}</article>", 1: "<main><article{}>{}</article></main>", 2: "<div class='post-content'>{1}</div>", 3: "<main{}>{}</main>", 4: "<div>{1}</div>"}[layout]
+        wrap = {0: "<article{}>{}</article>", 1: "<main><article{}>{}</article></main>", 2: "<div class='post-content'>{1}</div>", 3: "<main{}>{}</main>", 4: pick(["<div>{1}</div>", "<div class='elementor-widget-container'>{1}</div>", "<section>{1}</section>", "{1}", "<div><div>{1}</div></div>", "<table><tr><td>{1}</td></tr></table>"])}[layout]
         named = f" class='{pick(['post tags popular', 'post', 'story sponsored', 'h-entry comments-open'])}'" if rng.random() < 0.3 else ""
         inner = "".join([heading, *parts])
         for name in ("ad", "comments", "form", "side", "teasers", "cookie"):
             if layout < 4 and rng.random() < 0.15:  # noise inside the article, at its end or after the heading
                 inner = inner + clear[name] if rng.random() < 0.6 else heading + clear[name] + "".join(parts)
+        if layout == 4 and rng.random() < 0.2:  # cells or bare divisions instead of paragraphs
+            t = pick(["td", "div"])
+            inner = inner.replace("<p>", f"<{t}>").replace("</p>", f"</{t}>")
         whole = wrap.format(named, inner)
         if layout < 4 and rng.random() < 0.4:  # a wrapper whose name speaks of something else
             whole = f"<div class='{pick(['content with-sidebar', 'page no-comments', 'has-ads', 'sidebar-left', 'layout popular', 'modal-open', 'header-fixed'])}'>{whole}</div>"
         before = "".join(noise[n] for n in ("header", "nav", "cookie", "notice", "ad", "form") if rng.random() < 0.5)
         after = "".join(noise[n] for n in ("side", "teasers", "comments", "ad", "notice", "form", "footer") if rng.random() < 0.5)
-        page = before + whole + after
+        page = before + whole + after if layout < 4 or rng.random() < 0.6 else whole
         if rng.random() < 0.15:
             page = f"<form id='aspnetForm' action='/'>{page.replace('<form action=/s>', '<div class=search-form>').replace('</form>', '</div>')}</form>"
         yield f"<html><head><title>{title}</title><script>var a='</p>';</script></head><body>{page}</body></html>", main
