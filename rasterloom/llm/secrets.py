@@ -4,10 +4,12 @@ Candidates are values given to a telling name (``token = "..."``; quoted ones ma
 what follows ``Bearer`` or stands as the password of an address, keys with a known prefix or
 frame, and long unbroken runs that hold digits.  A name tells by whole words of it: ``auth_token``
 does, ``author`` doesn't.  The forest sees a candidate's length, character transitions, dictionary
-coverage, whether it lies in a path or address, how it was given, and the words beside it.  It is
-grown on labelled findings: invented lines with real-looking secrets and with what is mistaken
-for them (digests of commits and files, identifiers, paths, placeholders, prose after a colon,
-card and phone numbers).
+coverage, whether it lies in a path or address, how it was given, the words beside it, and what
+the whole unbroken token around it shows (a digest in a path, a date, a DOI, a public key's or
+certificate's frame, a data URI).  It is grown on labelled findings: invented lines with
+real-looking secrets and with what is mistaken for them (digests of commits and files, public
+keys, data URIs, identifiers, time stamps, paths, placeholders, prose after a colon, card and
+phone numbers).
 
 Whole texts and whole values are read where they lie, in time proportional to the text, no
 shuffle.  All candidates are scored first: of overlapping ones those taken for secrets win, then
@@ -56,6 +58,16 @@ _ADDRESS = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/
 _LONG = 18
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{18,}+={0,2}")
 _DIGIT = re.compile(r"[0-9]")
+# What stands before or around public values.  Fixed values.
+_PUBLIC_KEY = re.compile(r"(?:ssh-(?:rsa|dss|ed25519)|ecdsa-sha2-nistp\d{3}|sk-(?:ssh|ecdsa)-[\w.@-]{1,60})\s{1,3}$")
+_BASE64_URI = re.compile(r"data:[\w.+-]{0,40}/?[\w.+-]{0,40}(?:;[\w=.-]{1,40}){0,3};base64,$")
+_DIGEST = re.compile(r"(?:^|[^0-9A-Za-z])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})(?![0-9A-Za-z])", re.I)
+_DATE = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}[-/]?[01][0-9][-/]?[0-3][0-9]")
+_DOI = re.compile(r"(?:^|[/:\s(])10\.[0-9]{4,9}/")
+_NAMED_DIGEST = re.compile(r"(?:sha-?(?:1|224|256|384|512)|md5|blake2[bs]?|integrity|fingerprint|btih)[\"']?[-:= ]{1,3}[\"']?$", re.I)
+_BLOCK_LABEL = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
+#: How far back a frame that a value lies in may begin: that of a large certificate.
+_FRAME_REACH = 16_384
 _KINDS = ("prefixed", "bearer", "address", "given", "run")
 
 _DICTIONARY = "the and for with from this that have not are was has you all one when more time user name value key file image data test path index config service system local server client public private http https www com org net html example default null true false string number list item main page link order number street road city river water history people world house first last great small never under after before about where which their other und der die das nicht auch eine ist von mit les des une est dans pour que qui los las una por con para".split()
@@ -139,6 +151,21 @@ def _class(c: str) -> str:
     return "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "p"
 
 
+def _in_public_frame(text: str, at: int) -> bool:
+    """Whether the last frame begun before is open and isn't a private key's."""
+    begun = text.rfind("-----BEGIN ", max(0, at - _FRAME_REACH), at)
+    if begun < 0 or text.find("-----END ", begun, at) >= 0:
+        return False
+    label = _BLOCK_LABEL.match(text, begun)
+    return bool(label) and "PRIVATE" not in label.group(1)
+
+
+def _token_around(text: str, c: Candidate) -> tuple[str, str]:
+    """What stands before and after the candidate in the same unbroken run of text (300 characters each way)."""
+    before = re.split(r"[\s\"'<>]", text[max(0, c.start - 300) : c.start])[-1]
+    return before, re.split(r"[\s\"'<>]", text[c.end : c.end + 300])[0]
+
+
 def candidate_features(text: str, c: Candidate) -> tuple:
     value = text[c.start : c.end]
     low = value.lower()
@@ -150,6 +177,8 @@ def candidate_features(text: str, c: Candidate) -> tuple:
     steps = [table[p] for p in (a + b for a, b in zip(low, low[1:], strict=False)) if p in table]
     classes = "".join(map(_class, value))
     token = re.split(r"[\s\"']", before)[-1] if before else ""
+    left, right = _token_around(text, c)
+    whole = f"{left}{value[:1000]}{right}"
     return (
         float(n),
         entropy,
@@ -174,10 +203,19 @@ def candidate_features(text: str, c: Candidate) -> tuple:
         float(value.count(" ")),
         float(value.isalpha()),
         *(float(c.kind == k) for k in _KINDS),
+        float(bool(_PUBLIC_KEY.search(before)) or _in_public_frame(text, c.start)),
+        float(bool(_BASE64_URI.search(left[-140:] if left else before[-60:]))),
+        float("://" in whole),
+        float(bool(_DIGEST.search(whole))),
+        float(bool(_DATE.search(whole))),
+        float(bool(_DOI.search(whole))),
+        float(bool(_NAMED_DIGEST.search(before)) or value[:2] == "0x"),
+        float(len(left) + len(right)),
+        float(max(map(len, re.findall(r"[A-Za-z0-9+]+", value)), default=0)),  # its longest piece without a separator
     )
 
 
-def labelled_findings(count: int = 4_000, seed: int = 3) -> Iterator[tuple[str, str, int]]:
+def labelled_findings(count: int = 6_000, seed: int = 3) -> Iterator[tuple[str, str, int]]:
     """(line, value, label): half secrets, half what is mistaken for them."""
     rng = np.random.default_rng(seed)
 
@@ -206,10 +244,21 @@ def labelled_findings(count: int = 4_000, seed: int = 3) -> Iterator[tuple[str,
         if i % 2 == 0:
             shape = int(rng.integers(14))
             value = (
-                chars(hexa, 16, 64), chars(alnum, 12, 44), "AKIA" + chars(alnum[:26] + "0123456789", 16), "ghp_" + chars(alnum, 36), "sk_live_" + chars(alnum, 24), "AIza" + chars(alnum + "_-", 35), chars(hexa, 18), chars(hexa, 40),
-                chars(alnum + "!@%^*", 8, 16), f"-----BEGIN {pick(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\\n{chars(alnum + '+/', 40, 400)}\\n-----END PRIVATE KEY-----", chars(alnum + "-._", 20, 60), pick([invented, words])(int(rng.integers(2, 6))),
-                chars(alnum + "!$%^&*", 6, 20), words(1) + chars("0123456789!", 2, 5),
-            )[shape]
+                lambda: chars(hexa, 16, 64),
+                lambda: chars(alnum, 12, 44),
+                lambda: "AKIA" + chars(alnum[:26] + "0123456789", 16),
+                lambda: "ghp_" + chars(alnum, 36),
+                lambda: "sk_live_" + chars(alnum, 24),
+                lambda: "AIza" + chars(alnum + "_-", 35),
+                lambda: chars(hexa, 18),
+                lambda: chars(hexa, 40),
+                lambda: chars(alnum + "!@%^*", 8, 16),
+                lambda: f"-----BEGIN {pick(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\\n{chars(alnum + '+/', 40, 400)}\\n-----END PRIVATE KEY-----",
+                lambda: chars(alnum + "-._", 20, 60),
+                lambda: pick([invented, words])(int(rng.integers(2, 6))),
+                lambda: chars(alnum + "!$%^&*", 6, 20),
+                lambda: words(1) + chars("0123456789!", 2, 5),
+            )[shape]()
             if shape == 10:
                 line = f"{left} {pick(['Authorization: Bearer', 'bearer', 'Authorization: Basic'])} {value} {right}"
             elif shape == 11:
@@ -222,12 +271,41 @@ def labelled_findings(count: int = 4_000, seed: int = 3) -> Iterator[tuple[str,
                 line = f"{left} {pick(passwords if shape in (8, 13) else tokens + passwords)}{sep}{quote}{value}{quote} {right}"
             yield line, value, 1
         else:
-            shape = int(rng.integers(16))
+            shape = int(rng.integers(30))
+            site = f"https://{pick(['', 'www.', 'git.', 'docs.', 'cdn.', 'api.'])}{pick([words(1, ''), invented(1)])}.{pick(['com', 'org', 'net', 'io', 'de', 'example.com'])}"
+            year = f"20{chars('0123456789', 2)}-{pick(['01', '04', '09', '11'])}-{pick(['03', '15', '22', '28'])}"
             value = (
-                chars(hexa, 40), chars(hexa, 32), chars(hexa, 64), f"{chars(hexa, 8)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 12)}", words(4, "_") + chars("0123456789", 1, 3), words(3, "-") + "-" + chars("0123456789", 2, 8),
-                words(3, "/") + "/" + chars("0123456789", 2, 5), chars("0123456789", 18, 24), pick(["your_token_here", "changeme", "example123", "xxxxxxxx", "${SECRET}", "********", "placeholder_value_1", "test1234test1234test", "<token>", "None", "null-null-null", "get_token()", "os.environ[KEY]", "REDACTED"]),
-                words(3, "") + chars("0123456789", 1, 2), invented(1), words(1) + words(1), invented(1).capitalize(), invented(1) + "," , words(1, "") + "string", f"https://{words(1)}.example.com/{words(2, '/')}",
-            )[shape]
+                lambda: chars(hexa, 40),
+                lambda: chars(hexa, 32),
+                lambda: chars(hexa, 64),
+                lambda: f"{chars(hexa, 8)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 12)}",
+                lambda: words(4, "_") + chars("0123456789", 1, 3),
+                lambda: words(3, "-") + "-" + chars("0123456789", 2, 8),
+                lambda: words(3, "/") + "/" + chars("0123456789", 2, 5),
+                lambda: chars("0123456789", 18, 24),
+                lambda: pick(["your_token_here", "changeme", "example123", "xxxxxxxx", "${SECRET}", "********", "placeholder_value_1", "test1234test1234test", "<token>", "None", "null-null-null", "get_token()", "os.environ[KEY]", "REDACTED"]),
+                lambda: words(3, "") + chars("0123456789", 1, 2),
+                lambda: invented(1),
+                lambda: words(1) + words(1),
+                lambda: invented(1).capitalize(),
+                lambda: invented(1) + ",",
+                lambda: words(1, "") + "string",
+                lambda: f"https://{words(1)}.example.com/{words(2, '/')}",
+                lambda: f"{site}/{invented(1)}/{invented(1)}/{pick(['commit', 'blob', 'tree', 'raw', 'commits', 'archive', 'releases'])}/{chars(hexa, 40)}{pick(['', '', '/' + words(2, '/') + '.py', '.zip', '#L' + chars('0123456789', 2)])}",
+                lambda: f"{site}/{words(int(rng.integers(1, 4)), '/')}/{pick([chars(hexa, 32), chars(hexa, 64), chars(alnum, 11), chars(alnum, 22), chars('0123456789', 8, 16), f'{chars(hexa, 8)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 4)}-{chars(hexa, 12)}'])}{pick(['', '.jpg', '/', '.html', '?page=2', '.js', '?v=' + chars(alnum, 11) + '&list=' + chars(alnum + '-', 18, 34), '?id=' + chars(alnum, 20)])}",
+                lambda: f"{pick(['ssh-rsa AAAAB3NzaC1yc2EAAAADAQABAAABAQ', 'ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAI', 'ecdsa-sha2-nistp256 AAAAE2VjZHNhLXNoYTItbmlzdHAyNTYAAAAIbmlzdHAyNTYAAABB'])}{chars(alnum + '+/', 40, 400)}{pick(['', '=', '=='])} {words(1)}@{words(1)}",
+                lambda: f"data:{pick(['image/png', 'image/jpeg', 'image/svg+xml', 'font/woff2', 'application/pdf', 'text/plain;charset=utf-8'])};base64,{pick(['iVBORw0KGgo', '/9j/4AAQSkZJRg', 'PHN2Zy', 'd09GMgAB', 'JVBERi0x', ''])}{chars(alnum + '+/', 40, 600)}{pick(['', '=', '=='])}",
+                lambda: f"{pick(['doi ', 'doi:', 'https://doi.org/', 'DOI: '])}10.{chars('0123456789', 4, 5)}/{pick([f'{words(1)}.{year[:4]}.{chars("0123456789", 5, 9)}', f's{chars("0123456789", 5)}-{chars("0123456789", 3)}-{chars("0123456789", 5)}-{chars(alnum, 1)}', f'{words(1)}-{chars("0123456789", 6, 12)}'])}",
+                lambda: f"{year}{pick(['T', '_', '-'])}{chars('012', 1)}{chars('0123456789', 1)}{pick([':', '-', ''])}{chars('012345', 1)}{chars('0123456789', 1)}{pick([':', '-', ''])}{chars('012345', 1)}{chars('0123456789', 1)}{pick(['Z', '+00:00', '.' + chars('0123456789', 3) + 'Z', '-build-' + year.replace('-', '') + chars('0123456789', 1, 6), '-' + words(2, '-') + '-' + chars('0123456789', 2, 5)])}",
+                lambda: f"{words(int(rng.integers(1, 3)), '-')}-{pick(['build', 'release', 'v', 'backup', 'log', 'snapshot'])}-{year.replace('-', '')}{pick(['', '-', '_'])}{chars('0123456789', 2, 8)}{pick(['', '.tar.gz', '.log', '-amd64'])}",
+                lambda: f"{pick(['sha256', 'sha512', 'sha384', 'sha1'])}{pick(['-', ':'])}{pick([chars(hexa, 64), chars(hexa, 40), chars(alnum + '+/', 43) + '=', chars(alnum + '+/', 86) + '=='])}",
+                lambda: f"{pick(['-----BEGIN PUBLIC KEY-----', '-----BEGIN CERTIFICATE-----', '-----BEGIN RSA PUBLIC KEY-----', '-----BEGIN PGP SIGNATURE-----'])}\n" + "\n".join(pick(["MII", ""]) + chars(alnum + "+/", 60) for _ in range(int(rng.integers(1, 4)))) + "\n-----END -----",
+                lambda: f"{pick(['magnet:?xt=urn:btih:', 'urn:uuid:', 'urn:isbn:', 'ipfs://', 'pkg:', '0x', '0x'])}{pick([chars(hexa, 40), chars(hexa + 'ABCDEF', 40), chars('0123456789ABCDEF', 64), chars(alnum, 46), chars('0123456789', 13)])}",
+                lambda: "0x" + pick([chars(hexa, 40), chars(hexa + "ABCDEF", 40), chars("0123456789ABCDEF", 16, 64)]),
+                lambda: f"{pick(['magnet:?xt=urn:btih:', 'urn:sha1:', 'sha1:', 'md5:', 'fingerprint '])}{pick([chars(hexa, 40), chars(hexa, 32), chars('0123456789ABCDEF', 40)])}",
+                lambda: f"{words(1)}.{chars(hexa, 16, 32)}.{pick(['js', 'css', 'png', 'woff2', 'chunk.js'])}",
+                lambda: f"{pick(['/', './', 'src/', 'C:/', '../'])}{words(int(rng.integers(2, 6)), '/')}/{words(1)}{chars('0123456789', 1, 8)}.{pick(['py', 'txt', 'jpg', 'c'])}",
+            )[shape]()
             name = pick(["commit", "sha1", "md5", "checksum", "digest", "etag", "revision", "build", "file", "uuid", "id", "blob", "image", "path", "see", "order"])
             if shape == 8:
                 line = f"{left} {pick(tokens + passwords)}{sep}{quote}{value}{quote} {right}"
@@ -235,6 +313,9 @@ def labelled_findings(count: int = 4_000, seed: int = 3) -> Iterator[tuple[str,
                 line = f"{left} https://www.example.com/{value} {right}"
             elif shape in (10, 11, 12, 13):  # prose after a colon
                 line = f"{left} {pick(['secret', 'password', 'token', 'the secret', 'pass', 'Password', 'auth', 'Secret'])}: {value} {right}"
+            elif shape >= 16:
+                cover = pick(["{}", "{}", "({})", "<{}>", '"{}"', "see {}", "{}.", "[{}]", "url: {}", "href='{}'"])
+                line = f"{left} {cover.format(value)} {right}"
             elif shape in (14, 15):
                 line = f"{left} {pick(tokens + passwords)}{pick([': ', '=', ' = '])}{value} {right}"
             else:

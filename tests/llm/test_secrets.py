@@ -24,6 +24,29 @@ CLEAN = [
     "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff fixed it", "sha256: 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08", "see https://www.example.org/articles/2019/07/a-history-of-rivers-12", "id 550e8400-e29b-41d4-a716-446655440000 was removed",
     "max_tokens: 4096", "password: changeme", "api_key=${API_KEY}", "token = get_token()", "ISBN 978-3-16-148410-0 and phone +49 30 1234567", "passage: Genesis", "The compass: northward, always.", "secretary: Hammarskjold of Sweden", "call +1 (988) 555-2485 or 10.0.0.1, card 4785380592391139",
 ]
+#: Public values of many forms: none is a secret.
+DIGEST, LONG_KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "AAAAB3NzaC1yc2EAAAADAQABAAABAQC7vbqajDhA4Y2gq6g8Zz5nHh8sD3b2uV0lKxJrWq9tMfYpXc1Rk2eWm"
+PUBLIC = [
+    f"https://github.com/a/b/commit/{DIGEST}", f"fixed in https://gitlab.example.org/group/project/-/commit/{DIGEST}.", f"ssh-rsa {LONG_KEY} user@host", "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAIGk3l9Qv0c8m2Xy7Zw4RtUqPbNs6Jd1Fh5Ke8La9Mo2T me",
+    "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAAHElEQVQI12P4", "doi 10.1000/j.journal.2019.104857392", "https://doi.org/10.1038/s41586-020-2649-2", "2024-01-15T10:22:33-build-20240115102233", "release-2024-01-15-10-22-33-nightly-4711",
+    "integrity sha512-Zt8qLw93Kd01mmPfA7b3Hc9dEfGh1jKl2mNo3pQr4sTu5vWx6yZa7bCd8eFg9hIj0kLm1nOp2qRs3tUv4wXy5z==", "docker pull repo/app@sha256:9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08",
+    "-----BEGIN CERTIFICATE-----\nMIIDdzCCAl+gAwIBAgIEAgAAuTANBgkqhkiG9w0BAQUFADBaMQswCQYDVQQGEwJJ\nRTESMBAGA1UEChMJQmFsdGltb3JlMRMwEQYDVQQLEwpDeWJlclRydXN0MSIwIAYD\n-----END CERTIFICATE-----", "https://cdn.example.net/assets/main.3f2a9b1c8d7e6f5a4b3c.js",
+    "/usr/share/doc/python3/examples/tools2019/readme12.txt", f"magnet:?xt=urn:btih:{DIGEST}", "0x52908400098527886E0F7030069857D2E4169EE7 was the address", "https://example.org/files/550e8400-e29b-41d4-a716-446655440000/view", "Version 2.10.4-rc1+build.20240115.4f2a",
+    "https://arxiv.org/abs/2106.09685v2 and https://www.nature.com/articles/s41586-021-03819-2",
+]
+
+
+@pytest.mark.parametrize("line", PUBLIC)
+def test_public_values_are_left_alone(line):
+    assert secrets.mask(f"Some words here. {line} And more.") == f"Some words here. {line} And more."
+
+
+@pytest.mark.parametrize(("line", "value"), [
+    ("https://hooks.host/services/T00/B00/x?token=9aF3kLq8ZxT2mW7vB1nR4sYd", "9aF3kLq8ZxT2mW7vB1nR4sYd"), ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq7K2xQpLm", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq7K2xQpLm"),
+    (f'token = "{DIGEST}f"', f"{DIGEST}f"), ("token: '9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08'", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"), ("on 2024-01-15 the api_key=Zq9fK3lq8ZxT2mW7vB1nR4sYd", "Zq9fK3lq8ZxT2mW7vB1nR4sYd"),
+])
+def test_secrets_beside_public_forms_are_masked(line, value):
+    assert secrets.mask(line) == line.replace(value, "[SECRET]")
 
 
 @pytest.mark.parametrize(("line", "value"), SECRET)
