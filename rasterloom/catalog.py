@@ -106,10 +106,7 @@ def image_index_fallback(spark, sf_dir):
     base = F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"([^/]*)/?$", 1)
     names = table(spark, sf_dir, "pages").select("page_id", "url", base.alias("base"))
     wanted = names.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("base")).otherwise(F.concat(T.stem(F.col("base")), F.lit(".png"))).alias("name"))
-    exact = names.groupBy("base").agg(F.min("url").alias("exact"))
-    loose = names.groupBy(T.stem(F.col("base")).alias("stem")).agg(F.min("url").alias("loose"))
-    joined = wanted.join(exact, F.col("name") == F.col("base"), "left").join(loose, T.stem(F.col("name")) == F.col("stem"), "left")
-    return joined.select("page_id", "name", F.coalesce("exact", "loose").alias("image"))
+    return R.resolve_images(wanted, names.select("url", "base"), "name", "url", base="base").select("page_id", "name", "image")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -594,7 +591,7 @@ def sequence_likelihood(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5('21|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
 def seeded_sample(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy(R.seeded(21, F.col("o_orderkey")), "o_orderkey").limit(100).select("o_orderkey")
+    return R.seeded_sample(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 100, seed=21)
 
 
 @query("SELECT doc_id, left(sha256(text), 16) || '.txt' AS stored_as FROM documents")
@@ -660,4 +657,4 @@ def task_records(spark, sf_dir):
     return imagery.task_records(vqa=vqa, caption=captions).groupBy("kind").agg(F.count("*").alias("n"), F.count("question").alias("asked"), F.count_if((size > 0) & (size <= 40)).alias("kept"))
 
 
-from . import catalog_files, catalog_rasters, catalog_runs, catalog_tiles  # noqa: E402, F401  they register their queries here
+from . import catalog_files, catalog_more, catalog_rasters, catalog_runs, catalog_tiles  # noqa: E402, F401  they register their queries here

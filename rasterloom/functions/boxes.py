@@ -111,7 +111,15 @@ def lonlat_ring(box: Box, left: Column, top: Column, px: Column, py: Column) ->
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
 
 
-def cells_of(box: Box, edge: float) -> Column:
-    """Grid cells that a rectangle touches: the equi key of a pruned rectangle join."""
-    span = lambda a, b: F.sequence(F.floor(a / edge), F.floor(b / edge))
-    return F.flatten(F.transform(span(box[0], box[2]), lambda x: F.transform(span(box[1], box[3]), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+def cell_level(box: Box, edge: float) -> Column:
+    """The least level whose cells (``edge`` doubled as often) are as wide and high as the rectangle."""
+    longest = F.greatest(box[2] - box[0], box[3] - box[1])
+    guess = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longest / edge, F.lit(1e-300)))).cast("int"))
+    return F.when(edge * F.pow(F.lit(2.0), guess) < longest, guess + 1).otherwise(guess)  # a logarithm may round down
+
+
+def cells_at(box: Box, edge: float, level: Column) -> Column:
+    """The cells of a level that a rectangle no larger than them touches: four at most."""
+    size = edge * F.pow(F.lit(2.0), level)
+    span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
+    return F.flatten(F.transform(span(box[0], box[2]), lambda x: F.transform(span(box[1], box[3]), lambda y: F.struct(level.alias("level"), x.alias("cx"), y.alias("cy")))))

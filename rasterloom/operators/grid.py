@@ -369,3 +369,29 @@ def resize_map(pairs: DataFrame) -> DataFrame:
     held = lambda place, n: F.greatest(F.lit(0.0), F.least(place, n - 1.0))
     scaled = lambda axis, n: held((F.col(axis) + 0.5) * F.col(f"b_{n}") / F.col(f"a_{n}") - 0.5, F.col(f"b_{n}"))
     return at.select("scene", "y", "x", scaled("y", "h").alias("sy"), scaled("x", "w").alias("sx"))
+
+
+def _weights(pairs: DataFrame, given: str, wanted: str) -> DataFrame:
+    """scene, at, out, k: what pixel ``at`` of an axis gives to pixel ``out``, by a triangle as wide as the pixels of the coarser side."""
+    scale = F.col(given) / F.col(wanted)
+    wide = F.greatest(scale, F.lit(1.0))
+    rows = pairs.select("scene", F.col(given).alias("_n"), scale.alias("_s"), wide.alias("_w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(wanted).cast("long") - 1)).alias("out"))
+    centre = (F.col("out") + 0.5) * F.col("_s")
+    first = F.greatest(F.lit(0).cast("long"), F.floor(centre - F.col("_w") + 0.5))
+    last = F.least(F.col("_n").cast("long"), F.floor(centre + F.col("_w") + 0.5)) - 1
+    near = F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("at"), F.greatest(F.lit(0.0), 1 - F.abs((i + 0.5 - centre) / F.col("_w"))).alias("k")))
+    total = F.aggregate(near, F.lit(0.0), lambda n, c: n + c["k"])
+    return rows.select("scene", "out", total.alias("_t"), F.explode(near).alias("c")).select("scene", F.col("c.at").alias("at"), "out", (F.col("c.k") / F.col("_t")).alias("k")).where("k > 0")
+
+
+def resize(source: DataFrame, pairs: DataFrame, whole: bool = True) -> DataFrame:
+    """``source`` in other sizes, each output pixel the weighted mean of all that it covers: no aliasing when shrinking.
+
+    ``pairs(scene, a_h, a_w, b_h, b_w)``: to the size of a, from that of b.  Rows first, then columns;
+    an input pixel gives to about two output pixels of an axis, so both joins are small.  ``whole``
+    rounds after each pass, as 8-bit images do.  A missing pixel makes what it gives to missing.
+    """
+    rounded = lambda v: F.floor(v + 0.5).cast("double") if whole else v
+    gathered = F.when(F.count("*") == F.count("v"), rounded(F.sum(F.col("k") * F.col("v")))).alias("v")
+    rows = source.select(*PLANE, "y", F.col("x").alias("at"), "v").join(_weights(pairs, "b_w", "a_w"), ["scene", "at"]).groupBy(*PLANE, "y", F.col("out").alias("x")).agg(gathered)
+    return rows.select(*PLANE, F.col("y").alias("at"), "x", "v").join(_weights(pairs, "b_h", "a_h"), ["scene", "at"]).groupBy(*PLANE, F.col("out").alias("y"), "x").agg(gathered)

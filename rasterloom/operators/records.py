@@ -1,7 +1,8 @@
 """Record builders: pairing, joins with reasons, caps, balancing, splits and gates.
 
-Plans only: the sole actions are the count of distinct keys in ``split_by_group`` and the
-one-row aggregates of the gates.
+Plans only, but for the count of distinct keys in ``split_by_group``, the one-row aggregates of the
+gates, and what balancing, sampling and splitting write once to read it several times: counts, a
+cut per group, and the rows that may be kept.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .checkpoints import written
 
 
 class BuildError(RuntimeError):
@@ -79,10 +81,14 @@ def join_answers(questions: DataFrame, answers: DataFrame, question_key: str, an
     return questions.join(firsts, questions[question_key] == firsts[answer_key], "left")
 
 
-def resolve_images(records: DataFrame, files: DataFrame, name: str, path: str) -> DataFrame:
-    """Adds ``image``: the file with the record's base name, else one with its stem; least path wins."""
-    exact = files.groupBy(T.basename(F.col(path)).alias("_base")).agg(F.min(path).alias("_exact"))
-    loose = files.groupBy(T.stem(F.col(path)).alias("_stem")).agg(F.min(path).alias("_loose"))
+def resolve_images(records: DataFrame, files: DataFrame, name: str, path: str, base: str | None = None) -> DataFrame:
+    """Adds ``image``: the file with the record's base name, else one with its stem; least path wins.
+
+    The base name is that of ``path``, or in the column ``base`` where it isn't its last part.
+    """
+    named = T.basename(F.col(path)) if base is None else F.col(base)
+    exact = files.groupBy(named.alias("_base")).agg(F.min(path).alias("_exact"))
+    loose = files.groupBy(T.stem(named).alias("_stem")).agg(F.min(path).alias("_loose"))
     keyed = records.withColumns({"_b": T.basename(F.col(name)), "_s": T.stem(F.col(name))})
     joined = keyed.join(exact, F.col("_b") == F.col("_base"), "left").join(loose, F.col("_s") == F.col("_stem"), "left")
     return joined.withColumn("image", F.coalesce("_exact", "_loose")).drop("_b", "_s", "_base", "_stem", "_exact", "_loose")
@@ -140,8 +146,9 @@ def first_in_order(rows: DataFrame, by: Sequence[str], order: Column, key: Seque
     counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
     capped = counts.join(total, list(by)).withColumn("_cap", cap)
     cut = capped.groupBy(*by).agg(F.max(F.when(F.col("_upto") <= F.col("_cap"), F.col("_bin"))).alias("_whole"), F.max(F.when(F.col("_upto") <= F.col("_cap"), F.col("_upto"))).alias("_had"), F.max("_cap").alias("_cap"))
-    cut = cut.select(*by, F.coalesce("_whole", F.lit(-1)).alias("_whole"), (F.col("_cap") - F.coalesce("_had", F.lit(0))).alias("_left"))
-    near = binned.join(cut, list(by)).where(F.col("_bin") <= F.col("_whole") + 1)
+    cut = written(cut.select(*by, F.coalesce("_whole", F.lit(-1)).alias("_whole"), (F.col("_cap") - F.coalesce("_had", F.lit(0))).alias("_left")), "cut")
+    # What may be kept is written once: whole bins and the bin that is cut are read from there.
+    near = written(binned.join(cut, list(by)).where(F.col("_bin") <= F.col("_whole") + 1), "near")
     ranked = near.where(F.col("_bin") > F.col("_whole")).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_order", *key)))
     edge = ranked.where(F.col("_n") <= F.col("_left")).drop("_n")
     return near.where(F.col("_bin") <= F.col("_whole")).unionByName(edge).drop("_order", "_bin", "_whole", "_left")
@@ -152,7 +159,7 @@ def balance(rows: DataFrame, answer: Column, key: Sequence[str], fraction: float
     everywhere = unused(rows, "_all")
     marked = rows.withColumns({"_a": F.lower(T.strip(answer)), everywhere: F.lit(0)})
     groups = [*scope] if scope else [everywhere]
-    counts = marked.groupBy(*groups, "_a").agg(F.count("*").alias("n"))
+    counts = written(marked.groupBy(*groups, "_a").agg(F.count("*").alias("n")), "counts")
     caps = balanced_caps(counts, fraction, groups, **limits)
     total = counts.join(caps, groups).select(*groups, "_a", "cap").na.fill("", ["_a"])
     known = marked.withColumn("_a", F.coalesce("_a", F.lit("")))
@@ -175,7 +182,7 @@ def seeded_sample(rows: DataFrame, key: Sequence[str], most: int, seed: int = 0)
 
 def split_by_group(rows: DataFrame, group: str, fraction: float, seed: int = 0) -> DataFrame:
     """Adds ``is_val``: whole groups go to one side, ``max(1, floor(n * fraction))`` of them to validation."""
-    keys = rows.select(F.col(group).alias("_g")).where("_g is not null").distinct()
+    keys = written(rows.select(F.col(group).alias("_g")).where("_g is not null").distinct(), "groups")
     chosen = seeded_sample(keys, ["_g"], max(1, int(keys.count() * fraction)), seed).withColumn("_val", F.lit(True))
     return rows.join(chosen, rows[group] == chosen["_g"], "left").withColumn("is_val", F.coalesce("_val", F.lit(False))).drop("_g", "_val")
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..functions import lexicon as L
+from .checkpoints import importable
 
 BACKEND = "local-rules-v1"
 
@@ -149,3 +152,36 @@ def traces(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:
     status = F.when(F.col("steps").isNull(), "unsupported_query").when(F.exists("steps", lambda s: s["error"].isNotNull()), "executed_with_errors").otherwise("executed")
     warnings = F.array_distinct(F.flatten(F.transform("steps", lambda s: F.coalesce(s["warnings"], F.array().cast("array<string>")))))
     return joined.select("*", answer.alias("answer"), last["confidence"].alias("confidence_of_answer"), warnings.alias("warnings"), status.alias("status"))
+
+
+class PlanSteps:
+    """The table function ``plan_steps``: a request's tool calls in order, from SQL.
+
+    ``SELECT r.*, s.* FROM routed r, LATERAL plan_steps(r.task, r.search_nouns) s`` gives the rows of ``plan``;
+    of a whole table, ``plan_steps(TABLE(routed) PARTITION BY request_id)`` does with the request's id before them.
+    """
+
+    @staticmethod
+    def analyze(first: AnalyzeArgument, nouns: AnalyzeArgument | None = None) -> AnalyzeResult:
+        steps = StructType().add("step_order", IntegerType()).add("tool", StringType()).add("purpose", StringType()).add("parameters", StringType())
+        if not first.isTable:
+            if first.dataType != StringType():
+                raise ValueError("plan_steps takes a task's name and its nouns, or a table")
+            return AnalyzeResult(steps)
+        names = first.dataType.fieldNames()
+        if missing := {"request_id", "task", "search_nouns"} - set(names):
+            raise ValueError(f"the table lacks {sorted(missing)}")
+        return AnalyzeResult(StructType([first.dataType["request_id"], *steps.fields]))
+
+    def eval(self, first: Row | str | None, nouns: list[str] | None = None) -> Iterator[tuple]:
+        whole = isinstance(first, Row)
+        task, nouns = (first["task"], first["search_nouns"]) if whole else (first, nouns)
+        for n, (tool, why, how) in enumerate(L.PLANS.get(task, ()), 1):
+            step = (n, tool, f"Localise: {', '.join(nouns)}" if tool == "grounding" and nouns is not None else None if tool == "grounding" else why, how)
+            yield (first["request_id"], *step) if whole else step
+
+
+def register_plans(spark: SparkSession) -> None:
+    """Make ``plan_steps`` known to SQL."""
+    importable(spark)
+    spark.udtf.register("plan_steps", F.udtf(PlanSteps))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions import projections as P
 
 #: Raster formats that are accepted.  Fixed values.
 DRIVERS = ("GTiff", "COG", "PNG", "JPEG", "BMP", "GIF")
@@ -19,30 +20,52 @@ def is_valid(scenes: DataFrame) -> Column:
 def footprint_pairs(left: DataFrame, right: DataFrame, edge: float, least: float = MIN_OVERLAP) -> DataFrame:
     """left_id, right_id, overlap of rectangles that overlap by ``least`` of the smaller one.
 
-    A rectangle lies in every grid cell it touches; pairs meet in a shared cell and are kept
-    only in the cell of their intersection's lower left corner, so none comes twice and no
+    A rectangle lies in the cells of the grid level of its own size, four at most; a pair meets
+    at the coarser of its two levels.  So each rectangle is dealt to its own level and, to meet
+    coarser ones, to the levels above it that the other side has (some dozens at most).  A pair is
+    kept only in the cell of its intersection's lower left corner, so none comes twice and no
     distinct is needed.  Inputs: id, x0, y0, x1, y1.
     """
-    def dealt(side: DataFrame, tag: str) -> DataFrame:
-        box = (F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-        return side.select(F.col("id").alias(f"{tag}_id"), *[F.col(c).alias(f"{tag}_{c}") for c in ("x0", "y0", "x1", "y1")], F.explode(B.cells_of(box, edge)).alias("cell"))
-
-    a, b = dealt(left, "left"), dealt(right, "right")
-    box = lambda t: tuple(F.col(f"{t}_{c}") for c in ("x0", "y0", "x1", "y1"))
-    met = a.join(b, "cell")
-    own = (F.col("cell.cx") == F.floor(F.greatest("left_x0", "right_x0") / edge)) & (F.col("cell.cy") == F.floor(F.greatest("left_y0", "right_y0") / edge))
+    corners = ("x0", "y0", "x1", "y1")
+
+    def sized(side: DataFrame, tag: str) -> DataFrame:
+        named = side.select(F.col("id").alias(f"{tag}_id"), *[F.col(c).alias(f"{tag}_{c}") for c in corners])
+        return named.withColumn(f"{tag}_level", B.cell_level(box(tag), edge)).where(F.col(f"{tag}_level").isNotNull())
+
+    def box(tag: str) -> tuple:
+        return tuple(F.col(f"{tag}_{c}") for c in corners)
+
+    def dealt(side: DataFrame, tag: str, level: Column) -> DataFrame:
+        return side.withColumn("_level", level).withColumn("cell", F.explode(B.cells_at(box(tag), edge, F.col("_level")))).drop("_level")
+
+    def met(coarse: DataFrame, other: DataFrame, coarse_tag: str, tag: str, strictly: bool) -> DataFrame:
+        """Pairs at the level of ``coarse``; the other side's rectangles are no larger (or smaller)."""
+        levels = [r[0] for r in coarse.select(f"{coarse_tag}_level").distinct().collect()]  # a level per doubling: dozens
+        above = F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda n: n > F.col(f"{tag}_level") if strictly else n >= F.col(f"{tag}_level"))
+        return dealt(coarse, coarse_tag, F.col(f"{coarse_tag}_level")).join(dealt(other, tag, F.explode(above)), "cell")
+
+    a, b = sized(left, "left"), sized(right, "right")
+    both = met(a, b, "left", "right", False).unionByName(met(b, a, "right", "left", True))
+    size = edge * F.pow(F.lit(2.0), F.col("cell.level"))
+    own = (F.col("cell.cx") == F.floor(F.greatest("left_x0", "right_x0") / size)) & (F.col("cell.cy") == F.floor(F.greatest("left_y0", "right_y0") / size))
     share = B.overlap_share(box("left"), box("right"))
-    return met.where(own).select("left_id", "right_id", share.alias("overlap")).where((F.col("overlap") >= least) & (F.col("overlap") > 0))
+    return both.where(own).select("left_id", "right_id", share.alias("overlap")).where((F.col("overlap") >= least) & (F.col("overlap") > 0))
 
 
 def coregister(pairs: DataFrame) -> DataFrame:
     """Adds status, ok_to_proceed, requires_resampling, overlap and pixel offsets.
 
     Each side ``a_``/``b_``: valid, crs (null: not georeferenced), w, h, x0, y0, x1, y1, rx, ry.
-    Different reference systems can't be transformed here; such pairs end as no_overlap, as
-    a failed transform does.
+    A pair in two known reference systems (longitude and latitude, web or transverse Mercator) is
+    compared in a's: b's bounds are those of its densified edges there.  One that can't be
+    transformed ends as no_overlap.
     """
     c = F.col
+    given = pairs.columns
+    moved = P.bounds(c("b_crs"), c("a_crs"), tuple(c(f"b_{k}") for k in ("x0", "y0", "x1", "y1")))
+    pairs = pairs.withColumn("_moved", F.when(c("a_crs") != c("b_crs"), moved))
+    failed = (c("a_crs") != c("b_crs")) & c("_moved").isNull()  # its measures are those of the plain numbers
+    pairs = pairs.withColumns({f"b_{k}": F.coalesce(c(f"_moved.{k}"), c(f"b_{k}")) for k in ("x0", "y0", "x1", "y1")} | {f"_b_{k}": c(f"b_{k}") for k in ("x0", "y0", "x1", "y1")})
     box = lambda t: tuple(c(f"{t}_{k}") for k in ("x0", "y0", "x1", "y1"))
     same_dims = (c("a_w") == c("b_w")) & (c("a_h") == c("b_h"))
     overlap = B.overlap_share(box("a"), box("b"))
@@ -56,13 +79,13 @@ def coregister(pairs: DataFrame) -> DataFrame:
         F.when(~(c("a_valid") & c("b_valid")), "unreadable")
         .when(~located & same_dims, "not_georeferenced")
         .when(~located, "dimension_mismatch")
-        .when(c("a_crs") != c("b_crs"), "no_overlap")
-        .when(overlap < MIN_OVERLAP, "no_overlap")
+        .when(failed | (overlap < MIN_OVERLAP), "no_overlap")
         .when(same_dims & same_res & (dx < 1e-6) & (dy < 1e-6), "identical_grid")
         .when(same_res & (dx <= TOLERANCE_PX) & (dy <= TOLERANCE_PX), "aligned_within_tolerance")
         .otherwise("resampling_required")
     )
     out = pairs.withColumns({"status": status, "overlap": F.when(located, overlap), "dx_px": F.when(located, dx), "dy_px": F.when(located, dy)})
+    out = out.withColumns({f"b_{k}": c(f"_b_{k}") for k in ("x0", "y0", "x1", "y1")}).select(*given, "status", "overlap", "dx_px", "dy_px")
     return out.withColumns({
         "ok_to_proceed": ~c("status").isin("unreadable", "no_overlap"),
         "verified": c("status").isin("identical_grid", "aligned_within_tolerance"),
