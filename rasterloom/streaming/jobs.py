@@ -99,7 +99,7 @@ class _Capped(StatefulProcessor):
         self.held = handle.getListState("held", StructType([StructField("order", StringType()), StructField("row", StringType())]))
         self.done = handle.getValueState("done", StructType([StructField("told", StringType())]))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
         if self.done.exists():  # the group has been given: what comes later changes nothing
             for _ in rows:
                 pass
@@ -107,8 +107,8 @@ class _Capped(StatefulProcessor):
         best = dict(self.held.get()) if self.held.exists() else {}
         latest = 0
         for frame in rows:
-            best.update(zip(frame["_order"], frame["_row"], strict=True))  # a repeated row has the same order
-            latest = max(latest, int(frame["_ms"].max()))
+            best.update(zip(frame["row_order"], frame["row_json"], strict=True))  # a repeated row has the same order
+            latest = max(latest, int(frame["row_ms"].max()))
             if len(best) > 4 * self.cap:
                 best = dict(heapq.nsmallest(self.cap, best.items()))
         self.held.put([(k, v) for k, v in heapq.nsmallest(self.cap, best.items())])
@@ -119,11 +119,11 @@ class _Capped(StatefulProcessor):
             self.handle.registerTimer(latest + self.wait_ms)
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         rows = sorted(self.held.get())
         self.held.clear()
         self.done.update(("",))
-        yield pd.DataFrame({"_row": [row for _, row in rows]})
+        yield pd.DataFrame({"row_json": [row for _, row in rows]})
 
     def close(self) -> None:
         pass
@@ -139,12 +139,12 @@ def cap_per_group(rows: DataFrame, group: Sequence[str], key: Sequence[str], cap
     """
     importable(rows.sparkSession)
     schema = rows.schema
-    keys = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("_group")
+    keys = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("group_key")
     order = F.concat(seeded(seed, *map(F.col, key)), F.lit("|"), F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
-    shaped = _timed(rows, time, delay).select(keys, order.alias("_order"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("_row"), F.unix_millis(time).alias("_ms"), F.col(time))
+    shaped = _timed(rows, time, delay).select(keys, order.alias("row_order"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("row_json"), F.unix_millis(time).alias("row_ms"), F.col(time).alias("row_time"))
     wait = int(pd.Timedelta(quiet).total_seconds() * 1000) + 1
-    capped = shaped.groupBy("_group").transformWithStateInPandas(_Capped(cap, wait), "_row string", "append", "EventTime")
-    return capped.select(F.from_json("_row", schema).alias("r")).select("r.*")
+    capped = shaped.groupBy("group_key").transformWithStateInPandas(_Capped(cap, wait), "row_json string", "append", "EventTime")
+    return capped.select(F.from_json("row_json", schema).alias("r")).select("r.*")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
