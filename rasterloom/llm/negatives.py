@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, shuffle_partitions, staged
+from . import blocks
+from .common import prepare, staged
 from .topk import _EXACT, _by_length, _usable, quantise
 
 _PACK = "vec_ids binary, labels binary, size int, ints binary, codes binary, rests binary"
@@ -296,22 +297,8 @@ class Anchors:
 
 def _met(index: Index, anchors: DataFrame, k: int, windows: int, block_rows: int, broadcast_bytes: int) -> DataFrame:
     """``row, window, vec_id, score``: the ``k`` best rows of each window (or anchor), a share from each task."""
-    spark, quantiser = index.packs.sparkSession, index.quantiser
-    n, widest = anchors.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
-    bytes_each = 8 * widest + 100 + 16 * windows
-    blocks = max(1, -(-n // max(1, min(block_rows, (32 << 20) // bytes_each))))
-    key = F.concat_ws("-", F.col("size"), F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    dealt = anchors.withColumn("block", key)
-    names = [r.block for r in dealt.select("block").distinct().collect()]  # one in block_rows anchors and length
-    packed = dealt.groupBy("block").agg(F.collect_list(F.struct(*[c for c in anchors.columns if c != "size"])).alias("anchors"))  # about block_rows at most
-    packs = index.packs.withColumn("block", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
-    if n * bytes_each <= broadcast_bytes:
-        joined = packs.join(F.broadcast(packed), "block")
-    else:
-        shares = max(1, -(-2 * shuffle_partitions(spark) // max(1, len(names))))
-        left = packs.withColumn("share", F.pmod(F.xxhash64("vec_ids"), F.lit(shares)))
-        right = packed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>")))
-        joined = left.join(right.hint("shuffle_hash"), ["block", "share"])
+    quantiser = index.quantiser
+    joined = blocks.meet(index.packs, anchors, "vec_ids", [c for c in anchors.columns if c != "size"], 100 + 16 * windows, block_rows, broadcast_bytes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[str, Anchors] = {}
@@ -324,12 +311,12 @@ def _met(index: Index, anchors: DataFrame, k: int, windows: int, block_rows: int
                     if size > _HELD_BYTES:  # a task of many blocks hands on what it has found for the former ones
                         yield from (s.found() for s in states.values())
                         states, size = {}, 0
-                    states[name] = Anchors(row.column("anchors")[0].values, quantiser, k, windows)
+                    states[name] = Anchors(row.column("queries")[0].values, quantiser, k, windows)
                     size += states[name].rows.nbytes + 64 * k * max(windows, 1) * len(states[name].ids)
                 states[name].meet(Pack(row.select(_PACK_SCHEMA.names).to_pylist()[0]))
         yield from (s.found() for s in states.values())
 
-    return joined.select("block", *_PACK_SCHEMA.names, "anchors").mapInArrow(meet, "row long, window long, vec_id long, score long")
+    return joined.select("block", *_PACK_SCHEMA.names, "queries").mapInArrow(meet, "row long, window long, vec_id long, score long")
 
 
 def whole_bound(share: Fraction, up: bool) -> Column:

@@ -55,6 +55,37 @@ _ZIPF = 2.7
 _LETTERS = r"[^\W\d_" + MARK
 
 
+def _fields(raw: bytes) -> dict[int, object]:
+    """The last value of each field of a serial message: bytes, or the number of a varint."""
+
+    def number(at: int) -> tuple[int, int]:
+        n = shift = 0
+        while True:
+            n |= (raw[at] & 0x7F) << shift
+            shift += 7
+            at += 1
+            if raw[at - 1] < 0x80:
+                return n, at
+
+    out, at = {}, 0
+    while at < len(raw):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            out[tag >> 3], at = number(at)
+            continue
+        size, at = number(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+        out[tag >> 3], at = raw[at : at + size], at + size
+    return out
+
+
+def marks_spaces_only(model: bytes) -> bool:
+    """Whether the model's rule for normalising is: a mark before the text and for each space, and nothing else."""
+    rule = _fields(_fields(model).get(3, b""))  # the normaliser's specification
+    charsmap, prefix, squeeze, escape = rule.get(2, b""), rule.get(3, 1), rule.get(4, 1), rule.get(5, 1)
+    suffix = _fields(_fields(model).get(2, b"")).get(24, 0)  # the trainer's: marks after words
+    return charsmap == b"" and bool(prefix) and not squeeze and bool(escape) and not suffix
+
+
 class _Words(dict):
     """Word to its packed best path, made on demand; two generations of at most ``kept``.
 
@@ -122,7 +153,7 @@ class Segmenter:
         self.scores = np.zeros(size)
         self.scores[plain] = [value[i] for i in plain]
         self.scores[[i for b, i in self.byte_ids.items() if not 0x80 <= b < 0xC0] or [self.unknown_id]] = self.unknown_score
-        self.plain_form = all(self._normal(t) == MARK + t.replace(" ", MARK) for t in ("a  b", " ﬁÅ ", "A\n\tb", "　x"))
+        self.plain_form = marks_spaces_only(self.sp.serialized_model_proto())
         self.chunks = _Words(self._path, int(kept_words * _PARTS_PER_WORD))
         self.words = _Words(lambda word: self._joined(self.cut.findall(MARK + word)), kept_words)
 

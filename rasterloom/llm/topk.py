@@ -14,9 +14,8 @@ reaches the k-th score, so the result is exact.  A query's own block already giv
 to start from.
 
 Pivots are picked by greatest remainder on a bounded sample of ``pivot_sample`` rows (their
-choice moves speed only).  Queries travel in blocks of ``query_block``, each small enough to
-broadcast; one pass over the index per block, candidates stay where they lie, and a task
-returns k rows for each query of the block.
+choice moves speed only).  Queries are a table of blocks of ``query_block`` that meet packs of the
+index's rows (``blocks``); a task returns k rows for each query of a block that it has met.
 
 A vector that is null, holds null or non-finite components, or overflows a double when scaled,
 takes no part.  Vectors of different lengths count as filled up with zeros; an empty one is all
@@ -35,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import prepare, staged
 
 _SCHEMA = "query_row long, query_id long, vec_id long, score long"
-#: Pivots are no longer than this, and a block of queries takes at most so many bytes.
-_PIVOT_WIDTH, _BLOCK_BYTES = 4096, 32 << 20
+#: Pivots are no longer than this; rows of a pack; what a task holds of queries before it hands on what it has found.
+_PIVOT_WIDTH, _PACK_ROWS, _HELD_BYTES = 4096, 4096, 64 << 20
 _EXACT = float(1 << 53)
 
 
@@ -163,8 +163,9 @@ def exact_scores(vectors: np.ndarray, query: np.ndarray, norms: np.ndarray, norm
 class Search:
     """Running top-k of one task for a block of queries."""
 
-    def __init__(self, rows: list[tuple[int, bytes, bytes]], pivots: Pivots, k: int):
+    def __init__(self, rows: list[tuple[int, bytes, bytes]], pivots: Pivots, k: int, row: np.ndarray | None = None):
         self.ids, self.k, self.pivots = np.array([r[0] for r in rows], np.int64), k, pivots
+        self.row = np.arange(len(rows)) if row is None else row
         ints = [unpacked(r[1]) for r in rows]
         self.ints = np.zeros((len(ints), max(map(len, ints), default=0)))
         for row, v in zip(self.ints, ints, strict=True):
@@ -216,52 +217,54 @@ class Search:
             reach = self._reach(n)
             at, step = at + step, min(step * 4, 4096)
 
-    def rows(self, first: int) -> pa.RecordBatch:
+    def found_rows(self) -> pa.RecordBatch:
         sizes, none = [len(x) for x in self.found], np.zeros(0, np.int64)
         return pa.RecordBatch.from_pydict({
-            "query_row": pa.array(np.repeat(np.arange(first, first + len(sizes)), sizes), pa.int64()), "query_id": pa.array(np.repeat(self.ids, sizes), pa.int64()),
+            "query_row": pa.array(np.repeat(self.row, sizes), pa.int64()), "query_id": pa.array(np.repeat(self.ids, sizes), pa.int64()),
             "vec_id": pa.array(np.concatenate([*self.found, none]), pa.int64()), "score": pa.array(np.concatenate([*self.scores, none]), pa.int64()),
         })
 
 
-def _pass(index: PivotIndex, queries: list[tuple[int, bytes, bytes]], first: int, k: int) -> DataFrame:
-    sent = index.table.sparkSession.sparkContext.broadcast(queries)  # at most _BLOCK_BYTES and query_block rows
-    pivots = index.pivots
+def _packed(table: DataFrame) -> DataFrame:
+    """The index's rows a batch at a time: ids, and the numbers and distances of each."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Search(sent.value, pivots, k).begin()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                far = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(batch.num_rows, -1)
-                state.take(batch.column(0).to_numpy(), list(map(unpacked, batch.column(1).to_pylist())), far)
-        yield state.rows(first)
-
-    return index.table.select("vec_id", "ints", "far").mapInArrow(search, _SCHEMA)
-
+            for first in range(0, batch.num_rows, _PACK_ROWS):
+                part = batch.slice(first, _PACK_ROWS)
+                yield pa.RecordBatch.from_pydict({
+                    "ids": pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), "rows": pa.array([part.column(1).to_pylist()], pa.list_(pa.binary())), "fars": pa.array([b"".join(part.column(2).to_pylist())], pa.binary()),
+                })
 
-def _blocks(queries: DataFrame, query_block: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
-    """Rows in the order of their lengths; a block is all that is held."""
-    block: list[tuple[int, bytes, bytes]] = []
-    for row in queries.select("size", "vec_id", "ints", "far").orderBy("size").toLocalIterator():
-        if block and (len(block) == query_block or (len(block) + 1) * (8 * row["size"] + len(row.far)) > _BLOCK_BYTES):
-            yield block
-            block = []
-        block.append((row.vec_id, bytes(row.ints), bytes(row.far)))
-    if block:
-        yield block
+    return table.select("vec_id", "ints", "far").mapInArrow(pack, "ids binary, rows array<binary>, fars binary")
 
 
-def search(index: PivotIndex, queries: DataFrame, *, k: int = 5, query_block: int = 4_096) -> DataFrame:
+def search(index: PivotIndex, queries: DataFrame, *, k: int = 5, query_block: int = 4_096, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best for every row of ``queries`` (rows of the index's table)."""
-    parts, first, held = [], 0, None
-    for block in _blocks(queries, query_block):
-        if held is not None:
-            parts.append(staged(_pass(index, held, first, k), "topk"))
-            first += len(held)
-        held = block
-    parts.append(_pass(index, held, first, k) if held else index.table.sparkSession.createDataFrame([], _SCHEMA))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
+    pivots = index.pivots
+    asked = staged(queries.select("size", "vec_id", "ints", "far").withColumn("row", F.monotonically_increasing_id()), "queries")
+    joined = blocks.meet(_packed(index.table), asked, "ids", ["row", "vec_id", "ints", "far"], 8 * len(pivots.vectors) + 100, query_block, broadcast_bytes)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[str, Search] = {}
+        size = 0
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1)
+                name = row.column(0)[0].as_py()
+                if name not in states:
+                    if size > _HELD_BYTES:  # a task of many blocks hands on what it has found for the former ones
+                        yield from (s.found_rows() for s in states.values())
+                        states, size = {}, 0
+                    block = row.column(4)[0].values
+                    of = list(zip(block.field("vec_id").to_pylist(), block.field("ints").to_pylist(), block.field("far").to_pylist(), strict=True))
+                    states[name] = Search(of, pivots, k, block.field("row").to_numpy()).begin()
+                    size += states[name].ints.nbytes + 64 * k * len(of)
+                ids = np.frombuffer(row.column(1)[0].as_py(), "<i8")
+                far = np.frombuffer(row.column(3)[0].as_py(), np.float64).reshape(len(ids), -1)
+                states[name].take(ids, list(map(unpacked, row.column(2)[0].as_py())), far)
+        yield from (s.found_rows() for s in states.values())
+
+    found = joined.select("block", "ids", "rows", "fars", "queries").mapInArrow(look, _SCHEMA)
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.select("query_id", F.row_number().over(best).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, prepare, spread_join, staged
+from .common import fresh_path, hot_among, prepare, spread_join, staged
 
 _READ = 1 << 20
 _INDEX_ROWS = 8192
@@ -92,24 +92,32 @@ def headers(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
 
 
-def _revisits(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
-    """page_id, digest and the id it refers to, for revisits only."""
-    marks = pages.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size"), F.monotonically_increasing_id().alias("row"))
-    marks = staged(marks.where(F.col("size") >= min_revisit_bytes), "digests")
-    latest = marks.groupBy("sha").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1 and latest is not null")
-    found = spread_join(marks.select("page_id", "sha", "row"), latest.select(F.col("sha").alias("many_sha"), "latest"), "sha", "many_sha", "row").where("not (page_id <=> latest)")
-    return found.select(F.col("page_id").alias("revisit_id"), F.col("sha").alias("revisit_sha"), F.col("latest").alias("refers_to")).distinct()
+def _latest(rows: DataFrame, min_revisit_bytes: int) -> DataFrame:
+    """sha, latest, count: of payloads that several records share, the largest page id."""
+    marks = rows.select("page_id", F.sha1("payload").alias("sha"), F.length("payload").alias("size")).where(F.col("size") >= min_revisit_bytes)
+    found = marks.groupBy("sha").agg(F.max("page_id").alias("latest"), F.count("*").alias("count")).where("count > 1 and latest is not null")
+    return staged(found, "digests")
 
 
-def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, level: int = 1) -> DataFrame:
-    """Manifest of the monolithic archives, one a task."""
+def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, level: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
+    """Manifest of the monolithic archives, one a task.
+
+    Rows learn from the digest of their payload which record theirs repeats.  Up to ``broadcast_rows``
+    digests that repeat (60 bytes each) go to the rows, so that payloads stay where they are; beyond
+    that rows and digests are joined, digests that many rows share being spread.
+    """
     spark = pages.sparkSession
     prepare(spark)
     folder = fresh_path(spark, "warc")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    back = staged(_revisits(rows, min_revisit_bytes), "revisits")
-    same = F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.sha1("payload") == F.col("revisit_sha"))
-    marked = rows.join(back, same, "left").select("page_id", "url", "payload", "refers_to")
+    latest = _latest(rows, min_revisit_bytes)
+    shared = rows.withColumn("own_sha", F.sha1("payload"))
+    if latest.count() <= broadcast_rows:
+        joined = shared.join(F.broadcast(latest.drop("count")), F.col("own_sha") == F.col("sha"), "left")
+    else:
+        joined = spread_join(shared.withColumn("row", F.monotonically_increasing_id()), latest.drop("count"), "own_sha", "sha", "row", hot=hot_among(latest, "sha"), how="left")
+    refers = F.when((F.length("payload") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest"))
+    marked = joined.select("page_id", "url", "payload", refers.alias("refers_to"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open_fs(folder)
