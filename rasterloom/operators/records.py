@@ -145,13 +145,14 @@ def first_in_order(rows: DataFrame, by: Sequence[str], order: Column, key: Seque
     upto = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     counts = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
     capped = counts.join(total, list(by)).withColumn("_cap", cap)
-    cut = capped.groupBy(*by).agg(F.max(F.when(F.col("_upto") <= F.col("_cap"), F.col("_bin"))).alias("_whole"), F.max(F.when(F.col("_upto") <= F.col("_cap"), F.col("_upto"))).alias("_had"), F.max("_cap").alias("_cap"))
-    cut = written(cut.select(*by, F.coalesce("_whole", F.lit(-1)).alias("_whole"), (F.col("_cap") - F.coalesce("_had", F.lit(0))).alias("_left")), "cut")
+    over = F.col("_upto") > F.col("_cap")
+    cut = capped.groupBy(*by).agg(F.min(F.when(over, F.col("_bin"))).alias("_cut"), F.max(F.when(~over, F.col("_upto"))).alias("_had"), F.max("_cap").alias("_cap"))
+    cut = written(cut.select(*by, F.coalesce("_cut", F.lit(4096)).alias("_cut"), (F.col("_cap") - F.coalesce("_had", F.lit(0))).alias("_left")), "cut")
     # What may be kept is written once: whole bins and the bin that is cut are read from there.
-    near = written(binned.join(cut, list(by)).where(F.col("_bin") <= F.col("_whole") + 1), "near")
-    ranked = near.where(F.col("_bin") > F.col("_whole")).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_order", *key)))
+    near = written(binned.join(cut, list(by)).where(F.col("_bin") <= F.col("_cut")), "near")
+    ranked = near.where(F.col("_bin") == F.col("_cut")).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_order", *key)))
     edge = ranked.where(F.col("_n") <= F.col("_left")).drop("_n")
-    return near.where(F.col("_bin") <= F.col("_whole")).unionByName(edge).drop("_order", "_bin", "_whole", "_left")
+    return near.where(F.col("_bin") < F.col("_cut")).unionByName(edge).drop("_order", "_bin", "_cut", "_left")
 
 
 def balance(rows: DataFrame, answer: Column, key: Sequence[str], fraction: float, scope: Sequence[str] = (), seed: int = 0, **limits) -> DataFrame:

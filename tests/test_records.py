@@ -356,3 +356,11 @@ def test_every_band_has_to_be_there(spark, tmp_path):
     _tiff(tmp_path / "a.tif", [[[1, 9999, 3]], [[7, 8, 9999]]])
     both = readers.raster_pixels(spark, str(tmp_path), nodata=9999, every_band=True).where("v is not null").collect()
     assert sorted((r.band, r.x, r.v) for r in both) == [(0, 0, 1.0), (1, 0, 7.0)]
+
+
+@pytest.mark.parametrize("most", [0, 1, 7, 99, 100, 1500, 5000])
+def test_seeded_sample_is_the_first_in_order(spark, most):
+    """Few rows leave most bins empty: the bin that is cut is the next one with rows."""
+    rows = spark.range(1500).withColumnRenamed("id", "k")
+    want = {r.k for r in rows.orderBy(R.seeded(4, F.col("k")), "k").limit(most).collect()}
+    assert {r.k for r in R.seeded_sample(rows, ["k"], most, seed=4).collect()} == want
