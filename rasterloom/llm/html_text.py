@@ -405,7 +405,7 @@ def labelled_pages(count: int = 3_000, seed: int = 5) -> Iterator[tuple[str, lis
         heading = f"<h1>{title}</h1>"
         if layout == 4 and rng.random() < 0.4:  # no heading, or no element around it that tells
             heading, main = "", main[1:]
-        if rng.random() < 0.2:
+        if layout < 4 and rng.random() < 0.2:
             heading = f"<{(t := pick(['header', 'div']))} class='{pick(['header', 'post-header', 'entry-header'])}'>{heading}</{t}>"
         noise = {
             "nav": f"<nav><ul>{links(int(rng.integers(3, 9)))}</ul></nav>" if layout < 2 else f"<div class='menu'><ul>{links(6)}</ul></div>",
