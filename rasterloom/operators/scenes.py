@@ -18,23 +18,38 @@ def is_valid(scenes: DataFrame) -> Column:
 
 
 def footprint_pairs(left: DataFrame, right: DataFrame, edge: float, least: float = MIN_OVERLAP) -> DataFrame:
-    """left_id, right_id, overlap of rectangles that overlap by ``least`` of the smaller one.
+    """left_id, right_id, overlap of rectangles (id, x0, y0, x1, y1) that overlap by ``least`` of the smaller one."""
+    box = lambda tag: tuple(F.col(f"{tag}_{c}") for c in ("x0", "y0", "x1", "y1"))
+    met = footprints_met(left, right, edge, least).select("left_id", "right_id", B.overlap_share(box("left"), box("right")).alias("overlap"))
+    return met.where((F.col("overlap") >= least) & (F.col("overlap") > 0))
 
-    A rectangle lies in the cells of the grid level of its own size, four at most; a pair meets
+
+def footprints_met(left: DataFrame, right: DataFrame, edge: float, least: float = MIN_OVERLAP) -> DataFrame:
+    """The pairs that ``footprint_pairs`` measures, each once, among them all that overlap by ``least``.
+
+    More than half of the smaller one's area is more than half of its width and height, so its centre
+    lies in the larger one: the smaller one is dealt to the cell of its centre, the larger one
+    to the cells that it touches, a quarter as wide as its level's (25 at most), and no pair comes twice.
+
+    By half and less, a rectangle lies in the cells of the grid level of its own size, four at most; a pair meets
     at the coarser of its two levels.  So each rectangle is dealt to its own level and, to meet
     coarser ones, to the levels above it that the other side has (some dozens at most).  A pair is
     kept only in the cell of its intersection's lower left corner, so none comes twice and no
-    distinct is needed.  Inputs: id, x0, y0, x1, y1.
+    distinct is needed.
     """
     corners = ("x0", "y0", "x1", "y1")
 
     def sized(side: DataFrame, tag: str) -> DataFrame:
         named = side.select(F.col("id").alias(f"{tag}_id"), *[F.col(c).alias(f"{tag}_{c}") for c in corners])
+        named = named.where((F.col(f"{tag}_x0") < F.col(f"{tag}_x1")) & (F.col(f"{tag}_y0") < F.col(f"{tag}_y1")))
         return named.withColumn(f"{tag}_level", B.cell_level(box(tag), edge)).where(F.col(f"{tag}_level").isNotNull())
 
     def box(tag: str) -> tuple:
         return tuple(F.col(f"{tag}_{c}") for c in corners)
 
+    def area(tag: str) -> Column:
+        return (F.col(f"{tag}_x1") - F.col(f"{tag}_x0")) * (F.col(f"{tag}_y1") - F.col(f"{tag}_y0"))
+
     def dealt(side: DataFrame, tag: str, level: Column) -> DataFrame:
         return side.withColumn("_level", level).withColumn("cell", F.explode(B.cells_at(box(tag), edge, F.col("_level")))).drop("_level")
 
@@ -44,12 +59,27 @@ def footprint_pairs(left: DataFrame, right: DataFrame, edge: float, least: float
         above = F.filter(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"), lambda n: n > F.col(f"{tag}_level") if strictly else n >= F.col(f"{tag}_level"))
         return dealt(coarse, coarse_tag, F.col(f"{coarse_tag}_level")).join(dealt(other, tag, F.explode(above)), "cell")
 
+    def centred(large: DataFrame, other: DataFrame, large_tag: str, tag: str, strictly: bool) -> DataFrame:
+        """Pairs whose ``other`` has the smaller area (or an equal one) and its centre in a cell that ``large`` touches."""
+        levels = large.groupBy(f"{large_tag}_level").agg(F.max(area(large_tag))).collect()  # a level per doubling: dozens
+        fits = [F.when(F.lit(most) > area(tag) if strictly else F.lit(most) >= area(tag), F.lit(level)) for level, most in levels]
+        middle = [F.col(f"{tag}_{k}0") / 2 + F.col(f"{tag}_{k}1") / 2 for k in "xy"]
+        spread = large.withColumn("cell", F.explode(B.cells_at(box(large_tag), edge / 4, F.col(f"{large_tag}_level"))))
+        place = other.withColumn("level", F.explode(F.array_compact(F.array(*fits)) if fits else F.array().cast("array<int>")))
+        size = edge / 4 * F.pow(F.lit(2.0), F.col("level"))
+        place = place.withColumns({"cx": F.floor(middle[0] / size), "cy": F.floor(middle[1] / size)})
+        # Shuffled by cells even if one side is small: a broadcast would leave all pairs to the few tasks that read the other.
+        both = spread.select("*", "cell.level", "cell.cx", "cell.cy").drop("cell").join(place.hint("merge"), ["level", "cx", "cy"])
+        return both.where(area(tag) < area(large_tag) if strictly else area(tag) <= area(large_tag))
+
     a, b = sized(left, "left"), sized(right, "right")
-    both = met(a, b, "left", "right", False).unionByName(met(b, a, "right", "left", True))
-    size = edge * F.pow(F.lit(2.0), F.col("cell.level"))
-    own = (F.col("cell.cx") == F.floor(F.greatest("left_x0", "right_x0") / size)) & (F.col("cell.cy") == F.floor(F.greatest("left_y0", "right_y0") / size))
-    share = B.overlap_share(box("left"), box("right"))
-    return both.where(own).select("left_id", "right_id", share.alias("overlap")).where((F.col("overlap") >= least) & (F.col("overlap") > 0))
+    if least > 0.5 + 1e-6:
+        both = centred(b, a, "right", "left", False).unionByName(centred(a, b, "left", "right", True))
+    else:
+        both = met(a, b, "left", "right", False).unionByName(met(b, a, "right", "left", True))
+        size = edge * F.pow(F.lit(2.0), F.col("cell.level"))
+        both = both.where((F.col("cell.cx") == F.floor(F.greatest("left_x0", "right_x0") / size)) & (F.col("cell.cy") == F.floor(F.greatest("left_y0", "right_y0") / size)))
+    return both.select(*[f"{tag}_{c}" for tag in ("left", "right") for c in ("id", *corners)])
 
 
 def coregister(pairs: DataFrame) -> DataFrame:

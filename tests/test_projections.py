@@ -98,6 +98,33 @@ def test_footprints_of_all_sizes(spark, edge):
     assert got == sorted(want) and len(got) > 100
 
 
+@pytest.mark.parametrize("least", [0.55, 0.6, 1.0])
+def test_footprints_meet_by_their_centres(spark, least):
+    rng = np.random.default_rng(3)
+
+    def some(n):
+        at, size = rng.integers(-40, 40, (n, 2)) / 2, 2.0 ** rng.integers(-3, 7, (n, 2))
+        return [(i, float(x), float(y), float(x + w), float(y + h)) for i, ((x, y), (w, h)) in enumerate(zip(at, size, strict=True))]
+
+    frame = lambda rows: spark.createDataFrame(rows, "id int, x0 double, y0 double, x1 double, y1 double")
+    left, right, want = some(150), [*some(150), (900, 5.0, 5.0, 5.0, 9.0), (901, -1e6, -1e6, 1e6, 1e6), (902, 9.0, 9.0, 1.0, 1.0)], []
+    for a in left:
+        for b in right:
+            w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+            smaller = min((a[3] - a[1]) * (a[4] - a[2]), (b[3] - b[1]) * (b[4] - b[2]))
+            if w > 0 and h > 0 and smaller > 0 and w * h / smaller >= least:
+                want.append((a[0], b[0], w * h / smaller))
+    assert sorted(map(tuple, scenes.footprint_pairs(frame(left), frame(right), 10.0, least).collect())) == sorted(want) and len(want) > 300
+
+
+def test_few_footprints_are_met_in_vain(spark):
+    """Scenes of like sizes, smaller than a cell: cells of the edge's width met some 38 pairs for one that overlaps."""
+    left = spark.range(400).selectExpr("id", "id * 7919 % 110 * 1d as x0", "id % 97 * 1d as y0", "id * 7919 % 110 + 6d as x1", "id % 97 + 6d as y1")
+    right = spark.range(3000).selectExpr("id", "id * 104729 % 1100 / 10d as x0", "id % 97 * 1d as y0", "id * 104729 % 1100 / 10d + 8d as x1", "id % 97 + 5d as y1")
+    met, found = scenes.footprints_met(left, right, 10.0).count(), scenes.footprint_pairs(left, right, 10.0).count()
+    assert found > 1000 and met < 8 * found
+
+
 def test_a_continent_takes_four_cells_at_most(spark):
     from rasterloom.functions import boxes as B
 
