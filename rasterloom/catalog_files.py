@@ -9,16 +9,18 @@ from .operators.checkpoints import fresh_path
 from .sources import ranged, readers, sinks
 
 _SHARDS = 7
+#: Bytes of a tar file; a seventh of the documents is dealt over as many as it takes.
+_VOLUME_BYTES = 32 << 20
 
 
 def _shards(spark, sf_dir) -> str:
-    """A tar shard for each seventh of the documents: the text, and a description, of each."""
+    """Tar shards, in volumes, for each seventh of the documents: the text, and a description, of each."""
     docs, folder = table(spark, sf_dir, "documents"), fresh_path(spark, "shards")
     name = F.concat(F.lit("corpus/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     told = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     files = F.array(F.struct(F.concat(name, F.lit(".0.txt")).alias("name"), F.coalesce("text", F.lit("")).alias("content")), F.struct(F.concat(name, F.lit(".json")).alias("name"), told.alias("content")))
     members = docs.select((F.col("doc_id") % _SHARDS).alias("shard"), F.inline(files))
-    sinks.write_tar(members, folder).write.format("noop").mode("overwrite").save()
+    sinks.write_tar(members, folder, _VOLUME_BYTES).write.format("noop").mode("overwrite").save()
     return folder
 
 

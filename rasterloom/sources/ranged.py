@@ -19,7 +19,7 @@ For very many shards ``tar_index`` walks the headers as a job, a task a shard, a
 from __future__ import annotations
 
 import tarfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,10 +108,15 @@ def _records(raw: bytes) -> dict[str, str]:
     return out
 
 
-def walk(shard: str, read: Callable[[int, int], bytes]) -> Iterator[Member]:
-    """The regular members of a shard from its headers; bodies are stepped over."""
-    at, longer, extra = 0, None, {}
-    while len(block := read(at, tarfile.BLOCKSIZE)) == tarfile.BLOCKSIZE and block != bytes(tarfile.BLOCKSIZE):
+def walk(shard: str, read: Callable[[int, int], bytes], at: int = 0, end: int | None = None) -> Iterator[Member]:
+    """The regular members of a shard from its headers, from one at ``at`` on to ``end``; bodies are stepped over."""
+    return (member for _, member in _walked(shard, read, at, end))
+
+
+def _walked(shard: str, read: Callable[[int, int], bytes], at: int, end: int | None) -> Iterator[tuple[int, Member]]:
+    """Each member with the place of its first header: extended ones come before its own."""
+    longer, extra, first = None, {}, at
+    while (end is None or at < end) and len(block := read(at, tarfile.BLOCKSIZE)) == tarfile.BLOCKSIZE and block != bytes(tarfile.BLOCKSIZE):
         head = tarfile.TarInfo.frombuf(block, "utf-8", "surrogateescape")
         size, body = int(extra.get("size", head.size)) if head.type not in (b"x", b"g", b"L", b"K") else head.size, at + tarfile.BLOCKSIZE
         if head.type == b"L":  # a long name for the next member
@@ -120,10 +125,12 @@ def walk(shard: str, read: Callable[[int, int], bytes]) -> Iterator[Member]:
             extra = _records(read(body, size))
         elif head.type not in (b"g", b"K"):
             if head.type in (tarfile.REGTYPE, tarfile.AREGTYPE, tarfile.CONTTYPE) and not head.name.endswith("/"):
-                yield Member(shard, extra.get("path", longer or head.name), body, size)
+                yield first, Member(shard, extra.get("path", longer or head.name), body, size)
             longer, extra = None, {}
             size = 0 if head.type in (b"1", b"2", b"3", b"4", b"5", b"6") else size
         at = body + -(-size // tarfile.BLOCKSIZE) * tarfile.BLOCKSIZE
+        if not extra and longer is None and head.type not in (b"g", b"K"):
+            first = at
 
 
 @dataclass
@@ -176,24 +183,56 @@ class _Pruning(DataSourceReader):
         return iter(filters)
 
 
+@dataclass
+class Run(InputPartition):
+    """Neighbouring members of a shard that one task reads: where the first one's headers and the last one's end lie; the task walks between them."""
+
+    shard: str
+    at: int
+    end: int
+    conditions: list
+
+    def members(self) -> Iterator[Member]:
+        with Ranges(self.shard) as read:
+            yield from _fitting(walk(self.shard, read, self.at, self.end), self.conditions)
+
+    @property
+    def parts(self) -> list[Member]:
+        return list(self.members())
+
+
+def _fitting(members: Iterator[Member], conditions: list) -> Iterator[Member]:
+    return (m for m in members if all(_may_hold(conditions, c, v, v) for c, v in (("key", m.key), ("role", m.role), ("name", m.name))))
+
+
 class TarReader(_Pruning):
     def __init__(self, path: str, most: int):
         self.path, self.most = path, most
 
-    def partitions(self) -> list[Group]:
-        return list(grouped(self._members(), lambda m: (m.size, m.shard), self.most)) or [Group([])]
+    def partitions(self) -> list[InputPartition]:
+        """Runs of at most ``most`` bytes (a larger member alone); no list of members is held."""
+        return list(self._runs()) or [Group([])]
 
-    def _members(self) -> Iterator[Member]:
+    def _runs(self) -> Iterator[Run]:
         for path, _ in files_below(self.path, (".tar",)):
             if _may_hold(self.conditions, "shard", path, path):
                 with Ranges(path) as read:
-                    yield from (m for m in walk(path, read) if all(_may_hold(self.conditions, c, v, v) for c, v in (("key", m.key), ("role", m.role), ("name", m.name))))
-
-    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
-        return _contents(partition.parts)
-
-
-def _contents(members: list[Member]) -> Iterator[pa.RecordBatch]:
+                    start, end, held = None, 0, 0
+                    for first, m in _walked(path, read, 0, None):
+                        if not any(True for _ in _fitting([m], self.conditions)):
+                            continue
+                        if start is not None and held + m.size > self.most:
+                            yield Run(path, start, end, self.conditions)
+                            start, held = None, 0
+                        start, end, held = first if start is None else start, m.at + m.size, held + m.size
+                    if start is not None:
+                        yield Run(path, start, end, self.conditions)
+
+    def read(self, partition: Run | Group) -> Iterator[pa.RecordBatch]:
+        return _contents(partition.members() if isinstance(partition, Run) else partition.parts)
+
+
+def _contents(members: Iterable[Member]) -> Iterator[pa.RecordBatch]:
     shard, read = None, None
     for m in members:
         if m.shard != shard:

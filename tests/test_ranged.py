@@ -69,6 +69,28 @@ def test_filters_take_members_away(shards):
     assert all(len(g.parts) == 1 or sum(m.size for m in g.parts) <= 10_000 for g in reader.partitions())
 
 
+def test_a_plan_holds_no_members(shards):
+    """A run is two places in a shard, however many members lie between them; headers that come before a member's own are in its run."""
+    runs = ranged.TarReader(shards, 5_000).partitions()
+    assert len(runs) > 20 and all(isinstance(r, ranged.Run) for r in runs)
+    assert sorted((r.shard[-5], m.name) for r in runs for m in r.members()) == [(s, n) for s, n, _ in of_tarfile(shards)]
+
+
+def test_shards_are_streamed_in_volumes(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id % 2 as shard", "inline(array(struct(concat('d/', id, '.0.txt') as name, repeat('x', cast(id as int)) as content), struct(concat('d/', id, '.json') as name, '{}' as content)))")
+    told = sinks.write_tar(rows, f"{tmp_path}/v", 20_000).collect()
+    assert len(told) > 10 and sum(r.members for r in told) == 800
+    seen = {}
+    for r in told:
+        with tarfile.open(r.path) as tar:
+            for m in tar:
+                key = m.name.split(".")[0]
+                assert seen.setdefault(key, r.path) == r.path and r.path.endswith(f"-{int(key[2:]) % 2}.tar")
+                assert tar.extractfile(m).read() in (b"{}", b"x" * int(key[2:]))
+    assert len(seen) == 400
+    assert sorted(r.path.rsplit("/", 1)[1] for r in sinks.write_tar(rows, f"{tmp_path}/w").collect()) == ["0.tar", "1.tar"]
+
+
 @pytest.fixture(scope="module")
 def rasters(tmp_path_factory):
     folder, rng = tmp_path_factory.mktemp("rasters"), np.random.default_rng(5)
