@@ -43,3 +43,12 @@ def test_opening_and_closing_share_their_shuffles(spark):
     want = spread(spread(a, np.all, True), np.any, False), spread(spread(a, np.any, False), np.all, True)
     for r in out.collect():
         assert (r.on, r.opened, r.closed) == (a[r.y, r.x], want[0][r.y, r.x], want[1][r.y, r.x])
+
+
+def test_components_across_tiles(spark):
+    a = np.ones((11, 10), bool)
+    a[1:10:4, :9] = a[3:10:4, 1:] = False  # one snake through all tiles
+    a[6:, 4] = False
+    cells = plane(spark, a.astype(float)).where("v > 0").selectExpr("scene", "y as cy", "x as cx")
+    got = {e: {(r.cy, r.cx): (r.label.cy, r.label.cx) for r in G.components(cells, edge=e).collect()} for e in (3, 256)}
+    assert got[3] == got[256] and len(got[3]) == a.sum() and len(set(got[3].values())) > 1
